@@ -20,6 +20,7 @@ ORACLE: dict[str, str] = {}
 
 _MODULES = (
     "detection_plans",
+    "scrub_plans",
 )
 
 

@@ -29,3 +29,74 @@ def access_log_sql(id_prefix: str = "") -> str:
 def with_views(**views: str) -> str:
     """``WITH a AS (...), b AS (...)`` prefix from named SELECT texts."""
     return "WITH " + ",\n".join(f"{n} AS ({q})" for n, q in views.items()) + "\n"
+
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def pick_sql(values: list[str], idx: str) -> str:
+    return "([" + ", ".join(_lit(v) for v in values) + f"])[({idx}) + 1]"
+
+
+def scrub_sql(expr: str, entities=None, tokens=None, hostnames: bool = False) -> str:
+    """Nested ``regexp_replace`` chain — same published patterns, same order."""
+    from vigil.functions.scrub import _table
+
+    out = expr
+    for _, pat, tok in _table(entities, tokens, hostnames):
+        out = f"regexp_replace({out}, {_lit(pat)}, {_lit(tok)}, 'g')"
+    return out
+
+
+def entity_counts_sql(expr: str, entities=None) -> list[tuple[str, str]]:
+    from vigil.functions.scrub import _table
+
+    cols = []
+    cur = expr
+    for name, pat, tok in _table(entities):
+        cols.append((name.lower(), f"CAST(coalesce(len(regexp_extract_all({cur}, {_lit(pat)})), 0) AS BIGINT)"))
+        cur = f"regexp_replace({cur}, {_lit(pat)}, {_lit(tok)}, 'g')"
+    return cols
+
+
+def has_pii_sql(expr: str) -> str:
+    from vigil.functions.scrub import PATTERNS
+
+    return "coalesce(" + " OR ".join(f"regexp_matches({expr}, {_lit(p)})" for _, p, _ in PATTERNS) + ", false)"
+
+
+def alerts_sql() -> str:
+    from vigil.sources.fixtures import ALERT_HOSTS, ALERT_PHRASES, ALERT_USERS, SEVERITIES
+
+    return f"""
+    SELECT 'alert_' || doc_id AS alert_id, doc_id,
+           {pick_sql(SEVERITIES, 'doc_id % 4')} AS severity,
+           source,
+           'Document alert ' || doc_id || ' (' || lang || ')' AS title,
+           {pick_sql(ALERT_PHRASES, 'doc_id % 7')} || ' ' || coalesce(text, '') AS description,
+           strftime(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(doc_id AS BIGINT)), '%Y-%m-%dT%H:%M:%SZ') AS timestamp,
+           {pick_sql(ALERT_USERS, 'doc_id % 6')} AS affected_user,
+           {pick_sql(ALERT_HOSTS, 'doc_id % 5')} AS affected_host,
+           ['198.51.100.' || (doc_id % 250), md5(CAST(doc_id AS VARCHAR)),
+            'evil-' || (doc_id % 13) || '.example.net', sha256(CAST(doc_id AS VARCHAR)),
+            'http://bad.example.org/p/' || (doc_id % 17)] AS iocs,
+           CAST(doc_id % 6 AS BIGINT) AS distinct_resources
+    FROM documents"""
+
+
+def customer_pii_sql() -> str:
+    return """
+    SELECT c_custkey, c_nationkey, ssn, phone, passport, card, email,
+           'Customer ' || c_name || ' ssn ' || ssn || ' phone ' || phone || ' passport ' || passport ||
+           ' card ' || card || ' mail ' || email || ' from 172.16.' || (c_custkey % 256) || '.9' AS text
+    FROM (
+      SELECT c_custkey, c_name, c_nationkey,
+             substr(p9, 1, 3) || '-' || substr(p9, 4, 2) || '-' || substr(p9, 6, 4) AS ssn,
+             substr(p10, 1, 3) || sep || substr(p10, 4, 3) || sep || substr(p10, 7, 4) AS phone,
+             'X' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS passport,
+             '4111 ' || substr(p10, 1, 4) || ' ' || substr(p10, 5, 4) || ' ' || lpad(substr(p10, 9, 2), 4, '0') AS card,
+             'cust' || c_custkey || '@bank.example.com' AS email
+      FROM (SELECT *, lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS p9, lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS p10,
+                   CASE c_custkey % 3 WHEN 0 THEN '-' WHEN 1 THEN '.' ELSE '' END AS sep
+            FROM customer))"""

@@ -49,3 +49,93 @@ def access_log(spark: SparkSession, sf_dir: str, id_prefix: str = "") -> DataFra
         F.concat(F.lit("10.20."), (F.col("user_id") % 256).cast("string"), F.lit("."), k).alias("client_ip"),
         F.concat(F.lit("agent/"), F.col("event_type")).alias("user_agent"),
     )
+
+
+# --- alerts -------------------------------------------------------------------------
+# Sample values of our own (not the reference's): description phrases chosen by
+# doc_id % 7, hosts by doc_id % 5, users by doc_id % 6.
+ALERT_PHRASES = [
+    "Multiple failed SSH attempts from 10.50.100.0/24 observed",
+    "powershell.exe launched with -enc by svc_backup",
+    "Lateral movement from workstation to server detected",
+    "Sequential enumeration of loan applications",
+    "employee accessing customer loans outside assigned portfolio",
+    "Acme QA Test Suite triggered access checks",
+    "Routine authentication event",
+]
+ALERT_HOSTS = [
+    "prod-db-01.internal",
+    "API-GATEWAY-PROD.internal",
+    "acme-laptop-042",
+    "ws-1234.corp.acme.com",
+    "build-agent-7",
+]
+ALERT_USERS = [
+    "dba_team_admin",
+    "jdoe",
+    "svc_accounting",
+    "employee_4411",
+    "qa_automation",
+    "jane.doe@example.com",
+]
+SEVERITIES = ["LOW", "MEDIUM", "HIGH", "CRITICAL"]
+
+
+def _pick(values: list[str], idx: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (idx + 1).cast("int"))
+
+
+def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Security alerts derived from ``documents`` (+ ``labels``); the whole
+    document text is part of the description."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    d = F.col("doc_id")
+    return docs.select(
+        F.concat(F.lit("alert_"), d.cast("string")).alias("alert_id"),
+        d.alias("doc_id"),
+        _pick(SEVERITIES, d % 4).alias("severity"),
+        F.col("source"),
+        F.concat(F.lit("Document alert "), d.cast("string"), F.lit(" ("), F.col("lang"), F.lit(")")).alias("title"),
+        F.concat(_pick(ALERT_PHRASES, d % 7), F.lit(" "), F.coalesce(F.col("text"), F.lit(""))).alias("description"),
+        F.date_format(
+            F.timestamp_seconds(F.lit(1704067200) + d * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'"
+        ).alias("timestamp"),
+        _pick(ALERT_USERS, d % 6).alias("affected_user"),
+        _pick(ALERT_HOSTS, d % 5).alias("affected_host"),
+        F.array(
+            F.concat(F.lit("198.51.100."), (d % 250).cast("string")),
+            F.md5(d.cast("string")),
+            F.concat(F.lit("evil-"), (d % 13).cast("string"), F.lit(".example.net")),
+            F.sha2(d.cast("string"), 256),
+            F.concat(F.lit("http://bad.example.org/p/"), (d % 17).cast("string")),
+        ).alias("iocs"),
+        (d % 6).cast("bigint").alias("distinct_resources"),
+    )
+
+
+def customer_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SSN / phone / passport / email strings formatted from ``c_custkey``."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    p9 = F.lpad(F.col("c_custkey").cast("string"), 9, "0")
+    p10 = F.lpad(F.col("c_custkey").cast("string"), 10, "0")
+    ssn = F.concat_ws("-", F.substring(p9, 1, 3), F.substring(p9, 4, 2), F.substring(p9, 6, 4))
+    sep = F.when(F.col("c_custkey") % 3 == 0, "-").when(F.col("c_custkey") % 3 == 1, ".").otherwise("")
+    phone = F.concat(F.substring(p10, 1, 3), sep, F.substring(p10, 4, 3), sep, F.substring(p10, 7, 4))
+    passport = F.concat(F.lit("X"), F.lpad(F.col("c_custkey").cast("string"), 8, "0"))
+    card = F.concat_ws(" ", F.lit("4111"), F.substring(p10, 1, 4), F.substring(p10, 5, 4), F.lpad(F.substring(p10, 9, 2), 4, "0"))
+    email = F.concat(F.lit("cust"), F.col("c_custkey").cast("string"), F.lit("@bank.example.com"))
+    text = F.concat(
+        F.lit("Customer "), F.col("c_name"), F.lit(" ssn "), ssn, F.lit(" phone "), phone,
+        F.lit(" passport "), passport, F.lit(" card "), card, F.lit(" mail "), email,
+        F.lit(" from 172.16."), (F.col("c_custkey") % 256).cast("string"), F.lit(".9"),
+    )
+    return c.select("c_custkey", "c_nationkey", ssn.alias("ssn"), phone.alias("phone"),
+                    passport.alias("passport"), card.alias("card"), email.alias("email"), text.alias("text"))
+
+
+def conversations_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per conversation: ``turns array<struct<turn,role,text>>`` in turn order."""
+    conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conv.groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns")
+    )
