@@ -21,6 +21,7 @@ ORACLE: dict[str, str] = {}
 _MODULES = (
     "detection_plans",
     "scrub_plans",
+    "ownership_plans",
 )
 
 

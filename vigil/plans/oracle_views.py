@@ -100,3 +100,55 @@ def customer_pii_sql() -> str:
       FROM (SELECT *, lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS p9, lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS p10,
                    CASE c_custkey % 3 WHEN 0 THEN '-' WHEN 1 THEN '.' ELSE '' END AS sep
             FROM customer))"""
+
+
+def ownership_ops_sql(removes: bool = False, clears: bool = False) -> str:
+    q = "SELECT user_id, resource_id, ts_us, 'record' AS op FROM access_log WHERE success"
+    if removes:
+        q += (" UNION ALL SELECT a.user_id, a.resource_id, a.ts_us, 'remove' FROM access_log a JOIN events e USING (event_id)"
+              " WHERE e.event_type = 'purchase' AND a.event_id % 7 = 3")
+    if clears:
+        q += (" UNION ALL SELECT a.user_id, NULL, a.ts_us, 'clear' FROM access_log a JOIN events e USING (event_id)"
+              " WHERE e.event_type = 'signup' AND a.event_id % 11 = 4")
+    return q
+
+
+def ownership_state_sql(ttl_us: int) -> dict[str, str]:
+    """Views over ``ops`` giving records with their ttl-session (plain windows
+    per user — the independent formulation the bucketed plan is checked against)."""
+    return dict(
+        ops_s=("SELECT *, ts_us * 4 + CASE op WHEN 'clear' THEN 0 WHEN 'record' THEN 1 WHEN 'remove' THEN 2 END AS seq FROM ops"),
+        pts=("SELECT DISTINCT user_id, ts_us, seq FROM ops_s WHERE op IN ('record', 'clear')"),
+        pts2=("""SELECT *, max(CASE WHEN seq % 4 = 1 THEN seq END) OVER w AS prev_rec,
+                          max(CASE WHEN seq % 4 = 0 THEN seq END) OVER w AS prev_clear
+                 FROM pts WINDOW w AS (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""),
+        sess=(f"""SELECT user_id, seq, sum(CASE WHEN seq % 4 = 1 THEN
+                       CASE WHEN prev_rec IS NULL OR ts_us - prev_rec // 4 >= {ttl_us} OR coalesce(prev_clear, -1) > prev_rec
+                            THEN 1 ELSE 0 END END)
+                   OVER (PARTITION BY user_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS ttl_session
+                 FROM pts2"""),
+        recs_s=("""SELECT DISTINCT o.user_id, o.resource_id, o.ts_us, o.seq, s.ttl_session
+                   FROM ops_s o JOIN sess s ON o.user_id = s.user_id AND o.seq = s.seq WHERE o.op = 'record'"""),
+    )
+
+
+def is_owner_sql(ttl_us: int, probes: str) -> str:
+    """SELECT probe_id, owned for ``probes(probe_id, user_id, resource_id, ts_us)``."""
+    return f"""
+    SELECT p.probe_id,
+           coalesce(u.last_rec IS NOT NULL AND coalesce(u.last_clear, -1) < u.last_rec
+                    AND p.ts_us - u.last_rec // 4 < {ttl_us}
+                    AND q.last_is_rec AND q.last_session = u.cur_session, false) AS owned
+    FROM {probes} p
+    LEFT JOIN LATERAL (
+        SELECT max(r.seq) AS last_rec, max(r.ttl_session) AS cur_session,
+               (SELECT max(c.seq) FROM ops_s c WHERE c.op = 'clear' AND c.user_id = p.user_id AND c.seq <= p.ts_us * 4 + 3) AS last_clear
+        FROM recs_s r WHERE r.user_id = p.user_id AND r.seq <= p.ts_us * 4 + 3) u ON true
+    LEFT JOIN LATERAL (
+        SELECT arg_max(x.is_rec, x.seq) AS last_is_rec, arg_max(x.ttl_session, x.seq) AS last_session
+        FROM (SELECT seq, true AS is_rec, ttl_session FROM recs_s r
+               WHERE r.user_id = p.user_id AND r.resource_id = p.resource_id AND r.seq <= p.ts_us * 4 + 3
+              UNION ALL
+              SELECT seq, false, NULL FROM ops_s m
+               WHERE m.op = 'remove' AND m.user_id = p.user_id AND m.resource_id = p.resource_id
+                 AND m.seq <= p.ts_us * 4 + 3) x) q ON true"""

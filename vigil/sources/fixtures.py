@@ -139,3 +139,38 @@ def conversations_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conv.groupBy("conv_id").agg(
         F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns")
     )
+
+
+def ownership_ops(spark: SparkSession, sf_dir: str, removes: bool = False, clears: bool = False) -> DataFrame:
+    """Ownership log from the access log: successes record; optionally a
+    purchase with ``event_id % 7 = 3`` removes that resource (transfer) and a
+    signup with ``event_id % 11 = 4`` clears the user's set."""
+    log = access_log(spark, sf_dir)
+    ev = table(spark, sf_dir, "events").select("event_id", "event_type")
+    ops = log.filter("success").select("user_id", "resource_id", "ts_us", F.lit("record").alias("op"))
+    if removes or clears:
+        tagged = log.join(ev, "event_id")
+        if removes:
+            ops = ops.unionByName(
+                tagged.filter((F.col("event_type") == "purchase") & (F.col("event_id") % 7 == 3)).select(
+                    "user_id", "resource_id", "ts_us", F.lit("remove").alias("op")
+                )
+            )
+        if clears:
+            ops = ops.unionByName(
+                tagged.filter((F.col("event_type") == "signup") & (F.col("event_id") % 11 == 4)).select(
+                    "user_id", F.lit(None).cast("string").alias("resource_id"), "ts_us", F.lit("clear").alias("op")
+                )
+            )
+    return ops
+
+
+def ownership_bulk_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bulk ownership loads: one row per (customer, order date) with the list of
+    order keys (bounded: one customer's orders of one day)."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    return o.groupBy("o_custkey", "o_orderdate").agg(F.collect_list(F.col("o_orderkey").cast("string")).alias("resource_ids")).select(
+        F.concat(F.lit("cust_"), F.col("o_custkey").cast("string")).alias("user_id"),
+        "resource_ids",
+        epoch_us("o_orderdate").alias("ts_us"),
+    )
