@@ -64,6 +64,7 @@ def failure_window(
     failures: DataFrame,
     window_seconds: int = X.DEFAULT_WINDOW_SECONDS,
     bucket_seconds: int | None = None,
+    keys: tuple[str, ...] = ("session_id",),
 ) -> DataFrame:
     """Per other-user failure, the session's failures in ``[t - w, t]``.
 
@@ -79,7 +80,7 @@ def failure_window(
         "win_first_us": F.min("ts_us"),
         "win_last_us": F.max("ts_us"),
     }
-    out = bucketed_range_window(failures, "session_id", "ts_us", window_seconds, aggs, bucket_seconds)
+    out = bucketed_range_window(failures, list(keys), "ts_us", window_seconds, aggs, bucket_seconds)
     return out.withColumn("win_events", F.array_sort("win_events")).withColumn(
         "win_distinct", F.size("win_resources").cast("bigint")
     )
@@ -171,14 +172,49 @@ def session_stats(failures: DataFrame, as_of_us, window_seconds: int) -> DataFra
     )
 
 
-def clear_sessions(failures: DataFrame, clears: DataFrame) -> DataFrame:
-    """Forget each session's failures at or before its latest clear time.
+def assign_clear_epoch(failures: DataFrame, clears: DataFrame) -> DataFrame:
+    """Tag each failure with the time of the latest clear of its session at
+    or before it (``clear_epoch``, -1 if none). A clear at the same instant
+    comes first. Windows keyed by ``(session_id, clear_epoch)`` then forget
+    everything before the clear."""
+    from vigil.operators.sequence import running
+
+    c = clears.select("session_id", "ts_us", F.lit(True).alias("_is_clear"))
+    f = failures.withColumn("_is_clear", F.lit(False))
+    u = f.unionByName(c, allowMissingColumns=True)
+    u = running(
+        u,
+        ["session_id"],
+        [F.col("ts_us"), F.col("_is_clear").desc()],
+        {"clear_epoch": ("max", F.when(F.col("_is_clear"), F.col("ts_us")))},
+        "ts_us",
+    )
+    return u.filter(~F.col("_is_clear")).withColumn("clear_epoch", F.coalesce("clear_epoch", F.lit(-1))).drop("_is_clear")
 
-    ``clears``: ``session_id, clear_ts_us``. Sessions never cleared keep all rows.
-    """
-    last_clear = clears.groupBy("session_id").agg(F.max("clear_ts_us").alias("_clear_us"))
-    return (
-        failures.join(last_clear, "session_id", "left")
-        .filter(F.col("_clear_us").isNull() | (F.col("ts_us") > F.col("_clear_us")))
-        .drop("_clear_us")
+
+def stitch_frontend(
+    backend: DataFrame,
+    frontend: DataFrame,
+    window_seconds: int,
+) -> DataFrame:
+    """Per backend failure, the session's frontend page loads in
+    ``[t - w, t]``. Interval join made an equi-join on ``(session, time
+    bucket)``: each failure probes its own bucket and the previous one, so a
+    hot session is split by time instead of landing in one task."""
+    w_us = int(window_seconds) * _US
+    fb = frontend.select("session_id", F.col("ts_us").alias("view_us")).withColumn(
+        "_b", F.floor(F.col("view_us") / F.lit(w_us))
+    )
+    bk = backend.withColumn("_b0", F.floor(F.col("ts_us") / F.lit(w_us))).withColumn(
+        "_b", F.explode(F.array(F.col("_b0"), F.col("_b0") - 1))
+    )
+    cond = (
+        (bk["session_id"] == fb["session_id"])
+        & (bk["_b"] == fb["_b"])
+        & (fb["view_us"] >= bk["ts_us"] - F.lit(w_us))
+        & (fb["view_us"] <= bk["ts_us"])
+    )
+    j = bk.join(fb, cond, "left").select(bk["event_id"], bk["session_id"], bk["ts_us"], fb["view_us"])
+    return j.groupBy("event_id", "session_id", "ts_us").agg(
+        F.count("view_us").alias("page_loads_in_window"), F.max("view_us").alias("last_page_load_us")
     )
