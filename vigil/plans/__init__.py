@@ -22,6 +22,7 @@ _MODULES = (
     "detection_plans",
     "scrub_plans",
     "ownership_plans",
+    "telemetry_plans",
 )
 
 

@@ -152,3 +152,44 @@ def is_owner_sql(ttl_us: int, probes: str) -> str:
               SELECT seq, false, NULL FROM ops_s m
                WHERE m.op = 'remove' AND m.user_id = p.user_id AND m.resource_id = p.resource_id
                  AND m.seq <= p.ts_us * 4 + 3) x) q ON true"""
+
+
+def http_requests_sql() -> str:
+    """Requests with each header as its own column (h_<lower name>)."""
+    return """
+    SELECT o_orderkey AS request_id,
+           CASE WHEN o_orderkey % 10 = 5 THEN '/api/v2/consumer/loan_applications/' || o_orderkey
+                WHEN o_orderkey % 10 = 9 THEN '/api/loans/' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8) || '-' ||
+                     substr(md5(CAST(o_orderkey AS VARCHAR)), 9, 4) || '-' || substr(md5(CAST(o_orderkey AS VARCHAR)), 13, 4) || '-' ||
+                     substr(md5(CAST(o_orderkey AS VARCHAR)), 17, 4) || '-' || substr(md5(CAST(o_orderkey AS VARCHAR)), 21, 12)
+                WHEN o_orderkey % 5 = 0 THEN '/consumer/loan_applications/' || o_orderkey
+                WHEN o_orderkey % 5 = 1 THEN '/api/v' || (o_orderkey % 2 + 1) || '/loans/L' || o_orderkey
+                WHEN o_orderkey % 5 = 2 THEN '/accounts/acc-' || o_orderkey
+                WHEN o_orderkey % 5 = 3 THEN '/documents/doc_' || o_orderkey
+                ELSE '/static/page/' || o_orderkey END AS path,
+           CASE WHEN o_orderkey % 11 = 0 THEN 'POST' ELSE 'GET' END AS method,
+           CASE o_orderstatus WHEN 'O' THEN 200 WHEN 'F' THEN 403 ELSE 404 END AS status,
+           '192.0.2.' || (o_custkey % 256) AS client_host,
+           CASE WHEN o_orderkey % 13 <> 0 THEN 'cust_' || o_custkey END AS h_x_user_id,
+           'c' || o_custkey || '@shop.example.com' AS h_x_user_email,
+           CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'dd-' || o_custkey END AS h_x_datadog_session_id,
+           'view-' || o_orderkey AS h_x_datadog_view_id,
+           'app-1' AS h_x_datadog_application_id,
+           CASE WHEN o_orderkey % 17 <> 0 THEN 'ray-' || o_orderkey END AS h_cf_ray,
+           'pl-' || o_orderkey AS h_x_pageload_id,
+           'Mozilla/5.0 (' || o_orderpriority || ')' AS h_user_agent,
+           CASE WHEN o_orderkey % 3 = 0 THEN '203.0.113.' || (o_orderkey % 256) || ', 10.0.0.1' END AS h_x_forwarded_for,
+           CASE WHEN o_orderkey % 4 = 0 THEN 'theme=dark; session_id=sid-' || o_custkey || '; lang=en' END AS h_cookie,
+           CASE WHEN o_orderkey % 4 = 1 THEN 'Bearer tok.' || o_custkey END AS h_authorization,
+           CASE WHEN o_orderkey % 4 = 2 THEN 'acme-' || o_custkey END AS h_x_acme_id,
+           epoch_us(o_orderdate) AS ts_us
+    FROM orders"""
+
+
+def url_resource_sql(path: str, extra: list[tuple[str, str]] | None = None) -> tuple[str, str]:
+    from vigil.functions.telemetry import RESOURCE_PATTERNS
+
+    pats = list(RESOURCE_PATTERNS) + list(extra or [])
+    t = "CASE " + " ".join(f"WHEN regexp_matches({path}, {_lit(p)}) THEN {_lit(n)}" for n, p in pats) + " END"
+    i = "CASE " + " ".join(f"WHEN regexp_matches({path}, {_lit(p)}) THEN regexp_extract({path}, {_lit(p)}, 1)" for n, p in pats) + " END"
+    return t, i

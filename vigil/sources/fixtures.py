@@ -174,3 +174,56 @@ def ownership_bulk_input(spark: SparkSession, sf_dir: str) -> DataFrame:
         "resource_ids",
         epoch_us("o_orderdate").alias("ts_us"),
     )
+
+
+def _http_parts(k: Column, c: Column, prio: Column, status: Column) -> dict[str, Column]:
+    """Column rules of the request fixture (shared by the map and the oracle)."""
+    ks, cs = k.cast("string"), c.cast("string")
+    hexs = F.md5(ks)
+    uuid = F.concat_ws("-", F.substring(hexs, 1, 8), F.substring(hexs, 9, 4), F.substring(hexs, 13, 4),
+                       F.substring(hexs, 17, 4), F.substring(hexs, 21, 12))
+    path = (
+        F.when(k % 10 == 5, F.concat(F.lit("/api/v2/consumer/loan_applications/"), ks))
+        .when(k % 10 == 9, F.concat(F.lit("/api/loans/"), uuid))
+        .when(k % 5 == 0, F.concat(F.lit("/consumer/loan_applications/"), ks))
+        .when(k % 5 == 1, F.concat(F.lit("/api/v"), (k % 2 + 1).cast("string"), F.lit("/loans/L"), ks))
+        .when(k % 5 == 2, F.concat(F.lit("/accounts/acc-"), ks))
+        .when(k % 5 == 3, F.concat(F.lit("/documents/doc_"), ks))
+        .otherwise(F.concat(F.lit("/static/page/"), ks))
+    )
+    return {
+        "path": path,
+        "method": F.when(k % 11 == 0, "POST").otherwise("GET"),
+        "status": F.when(status == "O", 200).when(status == "F", 403).otherwise(404),
+        "client_host": F.concat(F.lit("192.0.2."), (c % 256).cast("string")),
+        "X-User-Id": F.when(k % 13 != 0, F.concat(F.lit("cust_"), cs)),
+        "x-user-email": F.concat(F.lit("c"), cs, F.lit("@shop.example.com")),
+        "X-Datadog-Session-Id": F.when(k % 7 == 0, F.lit("")).otherwise(F.concat(F.lit("dd-"), cs)),
+        "x-datadog-view-id": F.concat(F.lit("view-"), ks),
+        "x-datadog-application-id": F.lit("app-1"),
+        "CF-Ray": F.when(k % 17 != 0, F.concat(F.lit("ray-"), ks)),
+        "x-pageload-id": F.concat(F.lit("pl-"), ks),
+        "User-Agent": F.concat(F.lit("Mozilla/5.0 ("), prio, F.lit(")")),
+        "X-Forwarded-For": F.when(k % 3 == 0, F.concat(F.lit("203.0.113."), (k % 256).cast("string"), F.lit(", 10.0.0.1"))),
+        "Cookie": F.when(k % 4 == 0, F.concat(F.lit("theme=dark; session_id=sid-"), cs, F.lit("; lang=en"))),
+        "Authorization": F.when(k % 4 == 1, F.concat(F.lit("Bearer tok."), cs)),
+        "X-Acme-Id": F.when(k % 4 == 2, F.concat(F.lit("acme-"), cs)),
+    }
+
+
+def http_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw HTTP requests (one per order): path, method, status, peer address
+    and a header map with mixed-case names; absent headers are left out."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate")
+    parts = _http_parts(F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderpriority"), F.col("o_orderstatus"))
+    entries = F.array(*[F.struct(F.lit(n).alias("key"), v.alias("value")) for n, v in parts.items() if n[0].isalpha() and n not in ("path", "method", "status", "client_host")])
+    headers = F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
+    return o.select(
+        F.col("o_orderkey").alias("request_id"),
+        parts["path"].alias("path"),
+        parts["method"].alias("method"),
+        parts["status"].alias("status"),
+        parts["client_host"].alias("client_host"),
+        headers.alias("headers"),
+        epoch_us("o_orderdate").alias("ts_us"),
+    )
