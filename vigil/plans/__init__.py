@@ -23,6 +23,7 @@ _MODULES = (
     "scrub_plans",
     "ownership_plans",
     "telemetry_plans",
+    "enrich_plans",
 )
 
 
