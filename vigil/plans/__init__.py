@@ -24,6 +24,7 @@ _MODULES = (
     "ownership_plans",
     "telemetry_plans",
     "enrich_plans",
+    "context_plans",
 )
 
 

@@ -78,7 +78,7 @@ def alerts_sql() -> str:
            strftime(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(doc_id AS BIGINT)), '%Y-%m-%dT%H:%M:%SZ') AS timestamp,
            {pick_sql(ALERT_USERS, 'doc_id % 6')} AS affected_user,
            {pick_sql(ALERT_HOSTS, 'doc_id % 5')} AS affected_host,
-           ['198.51.100.' || (doc_id % 250), md5(CAST(doc_id AS VARCHAR)),
+           ['ioc-' || (doc_id % 500 + 1), '10.0.0.' || (doc_id % 100 + 1), md5(CAST(doc_id AS VARCHAR)),
             'evil-' || (doc_id % 13) || '.example.net', sha256(CAST(doc_id AS VARCHAR)),
             'http://bad.example.org/p/' || (doc_id % 17)] AS iocs,
            CAST(doc_id % 6 AS BIGINT) AS distinct_resources
@@ -193,3 +193,28 @@ def url_resource_sql(path: str, extra: list[tuple[str, str]] | None = None) -> t
     t = "CASE " + " ".join(f"WHEN regexp_matches({path}, {_lit(p)}) THEN {_lit(n)}" for n, p in pats) + " END"
     i = "CASE " + " ".join(f"WHEN regexp_matches({path}, {_lit(p)}) THEN regexp_extract({path}, {_lit(p)}, 1)" for n, p in pats) + " END"
     return t, i
+
+
+def ioc_sightings_sql() -> str:
+    return "SELECT 'ioc-' || l_partkey AS indicator, 'host-' || l_suppkey AS asset, epoch_us(l_shipdate) AS ts_us FROM lineitem"
+
+
+def supplier_ip_sql(c: str) -> str:
+    return f"'10.0.' || ({c} // 256 % 256) || '.' || ({c} % 256)"
+
+
+def network_sql() -> str:
+    return (f"SELECT {supplier_ip_sql('l_suppkey')} AS ip, 'host-' || (l_partkey % 50) AS asset, "
+            "epoch_us(l_shipdate) AS ts_us FROM lineitem")
+
+
+def reputation_sql() -> str:
+    return f"SELECT {supplier_ip_sql('s_suppkey')} AS ip, CAST(abs(floor(s_acctbal)) % 100 AS INTEGER) AS reputation_score FROM supplier"
+
+
+def logins_sql() -> str:
+    return """SELECT e.event_id, 'user_' || e.user_id AS user_id, epoch_us(e.ts) AS ts_us,
+                     coalesce(n.n_name, 'UNKNOWN') AS location,
+                     '10.20.' || (e.user_id % 256) || '.' || (CAST(json_extract_string(e.props, '$.k') AS INTEGER) % 4) AS ip,
+                     e.event_type AS agent
+              FROM events e LEFT JOIN customer c ON e.user_id = c.c_custkey LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey"""

@@ -103,7 +103,8 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick(ALERT_USERS, d % 6).alias("affected_user"),
         _pick(ALERT_HOSTS, d % 5).alias("affected_host"),
         F.array(
-            F.concat(F.lit("198.51.100."), (d % 250).cast("string")),
+            F.concat(F.lit("ioc-"), (d % 500 + 1).cast("string")),
+            F.concat(F.lit("10.0.0."), (d % 100 + 1).cast("string")),
             F.md5(d.cast("string")),
             F.concat(F.lit("evil-"), (d % 13).cast("string"), F.lit(".example.net")),
             F.sha2(d.cast("string"), 256),
@@ -227,3 +228,87 @@ def http_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         headers.alias("headers"),
         epoch_us("o_orderdate").alias("ts_us"),
     )
+
+
+# --- context histories ----------------------------------------------------------------
+def ioc_sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indicator sightings: indicator ``ioc-<partkey>`` on asset ``host-<suppkey>`` at ship date."""
+    li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_shipdate")
+    return li.select(
+        F.concat(F.lit("ioc-"), F.col("l_partkey").cast("string")).alias("indicator"),
+        F.concat(F.lit("host-"), F.col("l_suppkey").cast("string")).alias("asset"),
+        epoch_us("l_shipdate").alias("ts_us"),
+    )
+
+
+def supplier_ip(col: Column) -> Column:
+    return F.concat(F.lit("10.0."), (F.floor(col / 256) % 256).cast("string"), F.lit("."), (col % 256).cast("string"))
+
+
+def network_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connections: remote ip from ``l_suppkey``, local asset ``host-<partkey % 50>``."""
+    li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_shipdate")
+    return li.select(
+        supplier_ip(F.col("l_suppkey")).alias("ip"),
+        F.concat(F.lit("host-"), (F.col("l_partkey") % 50).cast("string")).alias("asset"),
+        epoch_us("l_shipdate").alias("ts_us"),
+    )
+
+
+def ip_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
+    return s.select(supplier_ip(F.col("s_suppkey")).alias("ip"), (F.abs(F.floor(F.col("s_acctbal"))) % 100).cast("int").alias("reputation_score"))
+
+
+def logins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Login history: each event is a login; location = nation of the customer
+    with ``c_custkey = user_id``, agent = event type, ip = access-log ip."""
+    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
+    cu = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    na = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    j = ev.join(cu, ev.user_id == cu.c_custkey, "left").join(F.broadcast(na), F.col("c_nationkey") == na.n_nationkey, "left")
+    k = F.get_json_object("props", "$.k")
+    return j.select(
+        "event_id",
+        F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("user_id"),
+        epoch_us("ts").alias("ts_us"),
+        F.coalesce(F.col("n_name"), F.lit("UNKNOWN")).alias("location"),
+        F.concat(F.lit("10.20."), (F.col("user_id") % 256).cast("string"), F.lit("."), (k.cast("int") % 4).cast("string")).alias("ip"),
+        F.col("event_type").alias("agent"),
+    )
+
+
+def deployments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    return o.filter(F.col("o_orderpriority") == "1-URGENT").select(
+        F.col("o_orderkey").alias("deploy_id"),
+        F.concat(F.lit("ep-"), (F.col("o_custkey") % 10).cast("string")).alias("endpoint"),
+        epoch_us("o_orderdate").alias("ts_us"),
+    )
+
+
+def endpoint_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", "l_returnflag")
+    return li.filter(F.col("l_returnflag") == "R").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("alert_key"),
+        F.concat(F.lit("ep-"), (F.col("l_suppkey") % 10).cast("string")).alias("endpoint"),
+        epoch_us("l_shipdate").alias("ts_us"),
+    )
+
+
+DISPOSITIONS = ["TP", "FP", "BTP", "Escalated"]
+
+
+def history_vectors(spark: SparkSession, sf_dir: str, n_queries: int = 10):
+    """(queries, corpus): queries are ``vec_id < n_queries``, the corpus the rest,
+    with a disposition from ``label % 4`` and a note."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    vec = F.col("embedding").cast("array<double>")
+    base = e.select("vec_id", vec.alias("v"), "label")
+    queries = base.filter(F.col("vec_id") < n_queries).select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
+    corpus = base.filter(F.col("vec_id") >= n_queries).select(
+        "vec_id", "v",
+        _pick(DISPOSITIONS, F.col("label") % 4).alias("disposition"),
+        F.concat(F.lit("Analyst note for case "), F.col("vec_id").cast("string")).alias("analyst_notes"),
+    )
+    return queries, corpus
