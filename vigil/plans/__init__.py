@@ -25,6 +25,7 @@ _MODULES = (
     "telemetry_plans",
     "enrich_plans",
     "context_plans",
+    "rules_plans",
 )
 
 

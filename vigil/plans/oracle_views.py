@@ -19,7 +19,7 @@ def access_log_sql(id_prefix: str = "") -> str:
            event_type <> 'error' AS success,
            CASE WHEN event_type <> 'error' THEN 200 ELSE 403 END AS http_status,
            'GET' AS http_method,
-           '/consumer/loan_applications/' || {rid} AS request_path,
+           '/api/v' || (event_id % 2 + 1) || '/consumer/loan_applications/' || {rid} AS request_path,
            'u' || user_id || '@mail.example.com' AS user_email,
            '10.20.' || (user_id % 256) || '.' || {k} AS client_ip,
            'agent/' || event_type AS user_agent
@@ -218,3 +218,7 @@ def logins_sql() -> str:
                      '10.20.' || (e.user_id % 256) || '.' || (CAST(json_extract_string(e.props, '$.k') AS INTEGER) % 4) AS ip,
                      e.event_type AS agent
               FROM events e LEFT JOIN customer c ON e.user_id = c.c_custkey LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey"""
+
+
+def user_tags_sql(n: str) -> str:
+    return f"list_filter([CASE WHEN {n} % 13 = 0 THEN 'qa_automation' END, CASE WHEN {n} % 17 = 0 THEN 'pentester' END], lambda x: x IS NOT NULL)"

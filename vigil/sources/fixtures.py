@@ -20,7 +20,8 @@ def epoch_us(col: Column | str) -> Column:
 
 
 def access_log(spark: SparkSession, sf_dir: str, id_prefix: str = "") -> DataFrame:
-    """Web access events: one row per request, event time ``ts_us``.
+    """Web access events: one row per request, event time ``ts_us``, path
+    ``/api/v{1|2}/consumer/loan_applications/<id>``.
 
     user = ``user_<id>``, session = ``sess_<id>``, resource id = ``props.k``
     (optionally prefixed), success = not an error, owner by ``event_id % 5``:
@@ -44,7 +45,10 @@ def access_log(spark: SparkSession, sf_dir: str, id_prefix: str = "") -> DataFra
         (F.col("event_type") != "error").alias("success"),
         F.when(F.col("event_type") != "error", 200).otherwise(403).alias("http_status"),
         F.lit("GET").alias("http_method"),
-        F.concat(F.lit("/consumer/loan_applications/"), F.concat(F.lit(id_prefix), k)).alias("request_path"),
+        F.concat(
+            F.lit("/api/v"), (F.col("event_id") % 2 + 1).cast("string"), F.lit("/consumer/loan_applications/"),
+            F.lit(id_prefix), k,
+        ).alias("request_path"),
         F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("@mail.example.com")).alias("user_email"),
         F.concat(F.lit("10.20."), (F.col("user_id") % 256).cast("string"), F.lit("."), k).alias("client_ip"),
         F.concat(F.lit("agent/"), F.col("event_type")).alias("user_agent"),
@@ -312,3 +316,19 @@ def history_vectors(spark: SparkSession, sf_dir: str, n_queries: int = 10):
         F.concat(F.lit("Analyst note for case "), F.col("vec_id").cast("string")).alias("analyst_notes"),
     )
     return queries, corpus
+
+
+def user_tags(user_num: Column) -> Column:
+    """Analyst tags of a user: ``qa_automation`` when id % 13 = 0, ``pentester`` when id % 17 = 0."""
+    return F.filter(
+        F.array(F.when(user_num % 13 == 0, F.lit("qa_automation")), F.when(user_num % 17 == 0, F.lit("pentester"))),
+        lambda x: x.isNotNull(),
+    )
+
+
+def cdn_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CDN firewall blocks: signup events, same session rule as the access log."""
+    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    return ev.filter(F.col("event_type") == "signup").select(
+        "event_id", F.concat(F.lit("sess_"), F.col("user_id").cast("string")).alias("session_id"), epoch_us("ts").alias("ts_us")
+    )
