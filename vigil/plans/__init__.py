@@ -26,6 +26,7 @@ _MODULES = (
     "enrich_plans",
     "context_plans",
     "rules_plans",
+    "triage_plans",
 )
 
 

@@ -222,3 +222,32 @@ def logins_sql() -> str:
 
 def user_tags_sql(n: str) -> str:
     return f"list_filter([CASE WHEN {n} % 13 = 0 THEN 'qa_automation' END, CASE WHEN {n} % 17 = 0 THEN 'pentester' END], lambda x: x IS NOT NULL)"
+
+
+def llm_responses_sql() -> str:
+    return """
+    SELECT 'alert_' || doc_id AS alert_id, doc_id,
+      '<triage_analysis>' || chr(10) ||
+      CASE WHEN doc_id % 23 = 4 THEN '' ELSE '<result> ' ||
+           CASE WHEN doc_id % 11 = 3 THEN 'MAYBE' WHEN quality = 0 THEN 'FALSE_POSITIVE'
+                WHEN toxic = 1 THEN 'CRITICAL_IDOR_ATTACK' ELSE 'NEEDS_INVESTIGATION' END || ' </result>' END ||
+      chr(10) || '<confidence>' ||
+      CASE WHEN doc_id % 13 = 5 THEN '1.5' WHEN doc_id % 13 = 6 THEN '-0.1' ELSE printf('%.2f', 0.5 + (doc_id % 50) / 100.0) END ||
+      '</confidence>' || chr(10) || '<reasoning>' ||
+      CASE WHEN doc_id % 17 = 7 THEN ' short ' ELSE chr(10) || '  Analyst-grade reasoning for document ' || doc_id || '.' || chr(10) END ||
+      '</reasoning>' || chr(10) ||
+      CASE WHEN doc_id % 19 = 2 THEN '<action>   </action>' WHEN doc_id % 19 = 3 THEN ''
+           ELSE '<action> Review document ' || doc_id || ' </action><action>Notify owner</action>' END || chr(10) ||
+      CASE WHEN doc_id % 7 = 0 THEN '<ioc>  </ioc>' ELSE '<ioc> ioc-' || doc_id || ' </ioc>' END ||
+      chr(10) || '</triage_analysis>' AS response_text
+    FROM labels"""
+
+
+def raw_alerts_sql() -> str:
+    return f"""
+    SELECT alert_id, doc_id, CASE WHEN doc_id % 23 = 0 THEN 'SEVERE' ELSE severity END AS severity, source,
+           CASE WHEN doc_id % 37 = 0 THEN '' ELSE title END AS title,
+           CASE WHEN doc_id % 29 = 0 THEN NULL ELSE description END AS description,
+           CASE WHEN doc_id % 31 = 0 THEN 'yesterday' ELSE timestamp END AS timestamp,
+           affected_user, affected_host, iocs
+    FROM ({alerts_sql()})"""

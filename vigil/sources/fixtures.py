@@ -332,3 +332,51 @@ def cdn_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.filter(F.col("event_type") == "signup").select(
         "event_id", F.concat(F.lit("sess_"), F.col("user_id").cast("string")).alias("session_id"), epoch_us("ts").alias("ts_us")
     )
+
+
+def llm_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model answers as raw XML-ish text, one per labelled document; a few are
+    malformed by modulus (bad enum, out-of-range confidence, short reasoning,
+    blank actions, missing result tag, no actions)."""
+    lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    d = F.col("doc_id")
+    result = (
+        F.when(d % 11 == 3, F.lit("MAYBE"))
+        .when(F.col("quality") == 0, F.lit("FALSE_POSITIVE"))
+        .when(F.col("toxic") == 1, F.lit("CRITICAL_IDOR_ATTACK"))
+        .otherwise(F.lit("NEEDS_INVESTIGATION"))
+    )
+    conf = F.when(d % 13 == 5, F.lit("1.5")).when(d % 13 == 6, F.lit("-0.1")).otherwise(
+        F.format_string("%.2f", F.lit(0.5) + (d % 50) / F.lit(100.0))
+    )
+    reasoning = F.when(d % 17 == 7, F.lit(" short ")).otherwise(
+        F.concat(F.lit("\n  Analyst-grade reasoning for document "), d.cast("string"), F.lit(".\n"))
+    )
+    actions = (
+        F.when(d % 19 == 2, F.lit("<action>   </action>"))
+        .when(d % 19 == 3, F.lit(""))
+        .otherwise(F.concat(F.lit("<action> Review document "), d.cast("string"), F.lit(" </action><action>Notify owner</action>")))
+    )
+    ioc = F.when(d % 7 == 0, F.lit("<ioc>  </ioc>")).otherwise(F.concat(F.lit("<ioc> ioc-"), d.cast("string"), F.lit(" </ioc>")))
+    res_tag = F.when(d % 23 == 4, F.lit("")).otherwise(F.concat(F.lit("<result> "), result, F.lit(" </result>")))
+    text = F.concat(
+        F.lit("<triage_analysis>\n"), res_tag, F.lit("\n<confidence>"), conf, F.lit("</confidence>\n<reasoning>"), reasoning,
+        F.lit("</reasoning>\n"), actions, F.lit("\n"), ioc, F.lit("\n</triage_analysis>"),
+    )
+    return lab.select(F.concat(F.lit("alert_"), d.cast("string")).alias("alert_id"), d.alias("doc_id"), text.alias("response_text"))
+
+
+def raw_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts as received, some broken: unknown severity (doc_id % 23 = 0),
+    missing description (% 29 = 0), bad timestamp (% 31 = 0), empty title (% 37 = 0)."""
+    a = alerts(spark, sf_dir)
+    d = F.col("doc_id")
+    return a.select(
+        "alert_id", "doc_id",
+        F.when(d % 23 == 0, F.lit("SEVERE")).otherwise(F.col("severity")).alias("severity"),
+        "source",
+        F.when(d % 37 == 0, F.lit("")).otherwise(F.col("title")).alias("title"),
+        F.when(d % 29 == 0, F.lit(None).cast("string")).otherwise(F.col("description")).alias("description"),
+        F.when(d % 31 == 0, F.lit("yesterday")).otherwise(F.col("timestamp")).alias("timestamp"),
+        "affected_user", "affected_host", "iocs",
+    )
