@@ -73,7 +73,7 @@ def failure_window(
     owners), ``win_count``, ``win_first_us``, ``win_last_us``, ``win_distinct``.
     """
     aggs = {
-        "win_events": F.collect_list(F.struct("ts_us", "resource_id")),
+        "win_events": F.collect_list(F.struct("ts_us", "resource_id", "resource_owner_id", "event_id")),
         "win_resources": F.collect_set("resource_id"),
         "win_owners": F.collect_set("resource_owner_id"),
         "win_count": F.count(F.lit(1)),
@@ -127,6 +127,8 @@ def detection_events(analyzed: DataFrame) -> DataFrame:
         "is_sequential",
         ((F.col("win_last_us") - F.col("win_first_us")) / F.lit(_US)).cast("bigint").alias("time_window_seconds"),
         F.transform("win_events", lambda e: e["resource_id"]).alias("failed_resources"),
+        F.transform("win_events", lambda e: F.coalesce(e["resource_owner_id"], F.lit("unknown"))).alias("failed_owners"),
+        F.transform("win_events", lambda e: e["event_id"]).alias("window_event_ids"),
         F.array_sort(F.col("win_owners")).alias("resource_owners"),
         "mitre_tactics",
         "mitre_techniques",

@@ -27,6 +27,7 @@ _MODULES = (
     "context_plans",
     "rules_plans",
     "triage_plans",
+    "cases_plans",
 )
 
 

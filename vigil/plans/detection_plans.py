@@ -66,6 +66,8 @@ def _window_sql(w_us: int, threshold: int, gap: int, fails: str = _FAILS, views:
                max(TRY_CAST(NULLIF(regexp_extract(g.resource_id, '(\\d+)$', 1), '') AS BIGINT)) AS id_max,
                min(TRY_CAST(NULLIF(regexp_extract(g.resource_id, '(\\d+)$', 1), '') AS BIGINT)) AS id_min,
                string_agg(g.resource_id, ',' ORDER BY g.ts_us, g.resource_id) AS failed_resources,
+               list({{'r': g.resource_id, 'o': coalesce(g.resource_owner_id, 'unknown'), 'e': g.event_id}}
+                    ORDER BY g.ts_us, g.resource_id, g.resource_owner_id NULLS FIRST, g.event_id) AS pairs,
                coalesce(string_agg(DISTINCT g.resource_owner_id, ',' ORDER BY g.resource_owner_id), '') AS resource_owners,
                count(*) AS win_count,
                min(g.ts_us) AS first_us, max(g.ts_us) AS last_us
