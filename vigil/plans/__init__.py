@@ -28,6 +28,7 @@ _MODULES = (
     "rules_plans",
     "triage_plans",
     "cases_plans",
+    "kpi_plans",
 )
 
 

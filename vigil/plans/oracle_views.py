@@ -251,3 +251,16 @@ def raw_alerts_sql() -> str:
            CASE WHEN doc_id % 31 = 0 THEN 'yesterday' ELSE timestamp END AS timestamp,
            affected_user, affected_host, iocs
     FROM ({alerts_sql()})"""
+
+
+def edr_events_sql() -> str:
+    return """SELECT 'ep-' || (l_orderkey % 100) AS endpoint_id, l_orderkey AS alert_id, l_orderkey * 10 + l_linenumber AS process_id,
+       CASE WHEN l_linenumber > 1 THEN l_orderkey * 10 + l_linenumber - 1 END AS parent_process_id,
+       'proc_' || lower(l_returnflag) || '.exe' AS process_name, 'C:\\data\\file_' || l_linenumber || '.dat' AS file_path,
+       '198.18.' || (l_partkey // 256 % 256) || '.' || (l_partkey % 256) AS remote_ip,
+       CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'process_injected' WHEN l_returnflag = 'R' THEN 'registry_value_set'
+            WHEN l_linestatus = 'F' THEN 'network_connection' ELSE 'process_created' END AS action,
+       (['TA0004', 'TA0003', 'TA0010', 'TA0008', 'TA0002'])[(l_linenumber % 5) + 1] AS tactic,
+       (['T1547', 'T1021', 'T1055', 'T1059'])[(l_linenumber % 4) + 1] AS technique,
+       'threat-' || l_returnflag AS threat_name, epoch_us(l_shipdate) AS ts_us
+FROM lineitem"""

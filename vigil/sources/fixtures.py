@@ -380,3 +380,28 @@ def raw_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(d % 31 == 0, F.lit("yesterday")).otherwise(F.col("timestamp")).alias("timestamp"),
         "affected_user", "affected_host", "iocs",
     )
+
+
+def edr_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EDR host events from ``lineitem``: endpoint by order (``l_orderkey % 100``,
+    so an order's lines form one process tree on one host), process from the
+    return flag, remote ip from the part, action/tactic/technique by rule."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag",
+                                                  "l_linestatus", "l_shipdate")
+    rf, ls, ln = F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_linenumber")
+    return li.select(
+        F.concat(F.lit("ep-"), (F.col("l_orderkey") % 100).cast("string")).alias("endpoint_id"),
+        F.col("l_orderkey").alias("alert_id"),
+        (F.col("l_orderkey") * 10 + ln).alias("process_id"),
+        F.when(ln > 1, F.col("l_orderkey") * 10 + ln - 1).alias("parent_process_id"),
+        F.concat(F.lit("proc_"), F.lower(rf), F.lit(".exe")).alias("process_name"),
+        F.concat(F.lit("C:\\data\\file_"), ln.cast("string"), F.lit(".dat")).alias("file_path"),
+        F.concat(F.lit("198.18."), (F.floor(F.col("l_partkey") / 256) % 256).cast("string"), F.lit("."),
+                 (F.col("l_partkey") % 256).cast("string")).alias("remote_ip"),
+        F.when((rf == "R") & (ls == "F"), "process_injected").when(rf == "R", "registry_value_set")
+        .when(ls == "F", "network_connection").otherwise("process_created").alias("action"),
+        F.element_at(F.array(*[F.lit(x) for x in ["TA0004", "TA0003", "TA0010", "TA0008", "TA0002"]]), (ln % 5 + 1).cast("int")).alias("tactic"),
+        F.element_at(F.array(*[F.lit(x) for x in ["T1547", "T1021", "T1055", "T1059"]]), (ln % 4 + 1).cast("int")).alias("technique"),
+        F.concat(F.lit("threat-"), rf).alias("threat_name"),
+        epoch_us("l_shipdate").alias("ts_us"),
+    )
