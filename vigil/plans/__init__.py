@@ -29,6 +29,7 @@ _MODULES = (
     "triage_plans",
     "cases_plans",
     "kpi_plans",
+    "io_plans",
 )
 
 
