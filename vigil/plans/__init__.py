@@ -30,6 +30,7 @@ _MODULES = (
     "cases_plans",
     "kpi_plans",
     "io_plans",
+    "stream_plans",
 )
 
 

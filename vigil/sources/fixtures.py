@@ -27,7 +27,12 @@ def access_log(spark: SparkSession, sf_dir: str, id_prefix: str = "") -> DataFra
     (optionally prefixed), success = not an error, owner by ``event_id % 5``:
     0 → unknown (NULL), 1 → the requesting user, else ``user_<id+1+k>``.
     """
-    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
+    return access_log_from_events(table(spark, sf_dir, "events"), id_prefix)
+
+
+def access_log_from_events(events: DataFrame, id_prefix: str = "") -> DataFrame:
+    """The access-log projection of an ``events`` DataFrame (batch or stream)."""
+    ev = events.select("event_id", "ts", "user_id", "event_type", "props")
     k = F.get_json_object("props", "$.k")
     kb = k.cast("bigint")
     uid = F.concat(F.lit("user_"), F.col("user_id").cast("string"))
@@ -52,6 +57,7 @@ def access_log(spark: SparkSession, sf_dir: str, id_prefix: str = "") -> DataFra
         F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("@mail.example.com")).alias("user_email"),
         F.concat(F.lit("10.20."), (F.col("user_id") % 256).cast("string"), F.lit("."), k).alias("client_ip"),
         F.concat(F.lit("agent/"), F.col("event_type")).alias("user_agent"),
+        F.col("ts").cast("timestamp").alias("event_time"),
     )
 
 
