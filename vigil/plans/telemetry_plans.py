@@ -190,3 +190,62 @@ def q_time_range(spark, sf):
     ev = table(spark, sf, "events").select("event_id", "ts")
     tr = F.concat((F.col("event_id") % 50).cast("string"), F.element_at(F.array(*[F.lit(u) for u in _UNITS]), (F.col("event_id") % 5 + 1).cast("int")))
     return ev.select("event_id", tr.alias("time_range"), T.time_range_start(tr, FX.epoch_us("ts")).alias("start_us"))
+
+
+# --- B12: normalized alert fields ---------------------------------------------------------
+# Fixed values of the normalized schema: severity labels, technique-id pattern,
+# hash algorithms by digest length.
+NORM_SEVERITY = {"LOW": "Low", "MEDIUM": "Med", "HIGH": "High", "CRITICAL": "Crit"}
+TECHNIQUE_RE = r"^T[0-9]{4}(\.[0-9]{3})?$"
+HASH_ALGOS = {32: "md5", 40: "sha1", 64: "sha256"}
+
+
+@register(
+    "alert_normalize",
+    with_views(alerts=alerts_sql())
+    + "SELECT alert_id, CASE severity "
+    + " ".join(f"WHEN {_lit(k)} THEN {_lit(v)}" for k, v in NORM_SEVERITY.items())
+    + " END AS norm_severity, array_to_string(list_transform(list_filter(iocs, lambda x: length(x) IN (32, 40, 64) AND "
+    f"regexp_matches(x, {_lit(T.HEX_RE)})), lambda x: CASE length(x) WHEN 32 THEN 'md5' WHEN 40 THEN 'sha1' ELSE 'sha256' END), ',') "
+    "AS hash_algorithms, list_bool_and(list_transform(['T1213', 'T1213.002', 'T1078.004'] || "
+    "CASE WHEN doc_id % 9 = 0 THEN ['T12'] ELSE [] END, lambda t: regexp_matches(t, "
+    + _lit(TECHNIQUE_RE)
+    + "))) AS techniques_valid FROM alerts",
+)
+def q_normalize(spark, sf):
+    a = FX.alerts(spark, sf)
+    m = F.create_map(*[x for k, v in NORM_SEVERITY.items() for x in (F.lit(k), F.lit(v))])
+    hashes = F.filter("iocs", lambda x: F.length(x).isin(32, 40, 64) & x.rlike(T.HEX_RE))
+    algo = F.transform(hashes, lambda x: F.when(F.length(x) == 32, "md5").when(F.length(x) == 40, "sha1").otherwise("sha256"))
+    techs = F.concat(F.array(F.lit("T1213"), F.lit("T1213.002"), F.lit("T1078.004")),
+                     F.when(F.col("doc_id") % 9 == 0, F.array(F.lit("T12"))).otherwise(F.array().cast("array<string>")))
+    return a.select("alert_id", F.element_at(m, F.col("severity")).alias("norm_severity"),
+                    F.array_join(algo, ",").alias("hash_algorithms"),
+                    F.forall(techs, lambda t: t.rlike(TECHNIQUE_RE)).alias("techniques_valid"))
+
+
+# --- B14: observables -------------------------------------------------------------------
+OBSERVABLE_PATTERNS = {
+    "ips": r"\b(?:\d{1,3}\.){3}\d{1,3}\b",
+    "domains": r"\b(?:[a-z0-9-]+\.)+(?:com|net|org|io|internal)\b",
+    "hashes": r"\b(?:[a-fA-F0-9]{64}|[a-fA-F0-9]{40}|[a-fA-F0-9]{32})\b",
+    "processes": r"\b[A-Za-z0-9_-]+\.exe\b",
+}
+
+
+@register(
+    "observables_extract",
+    with_views(alerts=alerts_sql())
+    + "SELECT alert_id, "
+    + ", ".join(
+        f"array_to_string(list_sort(list_distinct(regexp_extract_all(coalesce(description, ''), {_lit(p)}))), ',') AS {n}"
+        for n, p in OBSERVABLE_PATTERNS.items()
+    )
+    + ", affected_user AS usernames, affected_host AS hostnames FROM alerts",
+)
+def q_observables(spark, sf):
+    a = FX.alerts(spark, sf)
+    d = F.coalesce(F.col("description"), F.lit(""))
+    cols = [F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(d, F.lit(p), 0))), ",").alias(n)
+            for n, p in OBSERVABLE_PATTERNS.items()]
+    return a.select("alert_id", *cols, F.col("affected_user").alias("usernames"), F.col("affected_host").alias("hostnames"))
