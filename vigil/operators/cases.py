@@ -35,7 +35,7 @@ SPLUNK_TAGS = ["idor", "enumeration", "ownership-violation"]
 XSOAR_TYPE = "IDOR Enumeration"
 SN_IMPACT, SN_CATEGORY, SN_SUBCATEGORY = "2", "Security", "Unauthorized Access"
 CASE_DESC = (
-    "Identity-Asset Monitor detected IDOR enumeration attack.\n\nUser: {user}\nSession: {session}\n"
+    "Ownership-aware monitor detected IDOR enumeration attack.\n\nUser: {user}\nSession: {session}\n"
     "Distinct Resources: {distinct}\nTime Window: {tw}s\n\nFailed Resources: {failed}\nResource Owners: {owners}\n\n"
     "Detection Logic: {logic} access pattern detected."
 )
@@ -47,7 +47,7 @@ ANNOTATION_TEXT = (
 )
 ANNOTATION_TAGS = ["idor_attack", "ownership_violation", "automated_detection"]
 ANNOTATION_TYPE = "ai_idor_detection"
-ANNOTATED_BY = "llm-soc-triage-idor-monitor"
+ANNOTATED_BY = "vigil-idor-monitor"
 MAX_DESCRIBED = 5
 MAX_ANNOTATED = 5
 INCIDENT_ID_KEYS = ["id", "incident_id", "incidentId", "container_id", "sys_id", "incidentNumber"]
@@ -167,7 +167,7 @@ def case_rows(ev: DataFrame, scrub: bool = False) -> DataFrame:
     """I7 (+E16): one case per CRITICAL detection."""
     crit = ev.filter(F.col("severity") == "CRITICAL_IDOR_ATTACK")
     desc = F.concat(
-        F.lit("Identity-Asset Monitor detected IDOR enumeration attack.\n\nUser: "), F.col("telemetry_snapshot.user_id"),
+        F.lit("Ownership-aware monitor detected IDOR enumeration attack.\n\nUser: "), F.col("telemetry_snapshot.user_id"),
         F.lit("\nSession: "), F.col("session_id"),
         F.lit("\nDistinct Resources: "), F.col("distinct_resources_accessed").cast("string"),
         F.lit("\nTime Window: "), F.col("time_window_seconds").cast("string"), F.lit("s\n\nFailed Resources: "),

@@ -13,7 +13,7 @@ _US = 1_000_000
 DAY_US = 86_400 * _US
 
 # Fixed values that must equal the reference's results.
-SIEM_SOURCE, SIEM_SOURCETYPE, SIEM_EVENT_TYPE = "llm-soc-triage", "idor_detection", "idor_detection_event"
+SIEM_SOURCE, SIEM_SOURCETYPE, SIEM_EVENT_TYPE = "vigil", "idor_detection", "idor_detection_event"
 HOT_DAYS, COLD_DAYS = 90, 7 * 365
 
 

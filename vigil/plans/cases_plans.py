@@ -92,7 +92,7 @@ def q_servicenow(spark, sf):
 @register(
     "case_rows",
     EVX + f"""SELECT event_id AS alert_id, 'IDOR Attack Detected: ' || severity AS title,
-       'Identity-Asset Monitor detected IDOR enumeration attack.' || {NL} || {NL} || 'User: ' || user_id || {NL} ||
+       'Ownership-aware monitor detected IDOR enumeration attack.' || {NL} || {NL} || 'User: ' || user_id || {NL} ||
        'Session: ' || session_id || {NL} || 'Distinct Resources: ' || distinct_resources_accessed || {NL} ||
        'Time Window: ' || time_window_seconds || 's' || {NL} || {NL} ||
        'Failed Resources: ' || replace(failed_resources, ',', ', ') || {NL} || 'Resource Owners: ' || replace(resource_owners, ',', ', ') ||
@@ -100,7 +100,7 @@ def q_servicenow(spark, sf):
          AS description,
        'CRITICAL' AS severity, user_id AS affected_user,
        'Ownership-aware IDOR detection: ' || distinct_resources_accessed || ' unauthorized access attempts to other users'' resources.' AS ai_reasoning,
-       CASE WHEN is_sequential THEN 0.95 ELSE 0.80 END AS confidence_score, mitre_tactics, mitre_techniques,
+       CAST(CASE WHEN is_sequential THEN 0.95 ELSE 0.80 END AS DOUBLE) AS confidence_score, mitre_tactics, mitre_techniques,
        'soc_tier2' AS assigned_to, 'high' AS priority
 FROM evx WHERE severity = 'CRITICAL_IDOR_ATTACK'""",
 )
@@ -118,8 +118,8 @@ _ANN_TEXT = ("'IDOR Attack Detected (AI Confidence: 95%): User attempted unautho
     "annotation_rows",
     EVX + f"""SELECT event_id, pos, pairs[pos].e AS udm_event_id, 'ai_idor_detection' AS annotation_type,
        {scrub_sql(_ANN_TEXT)} AS annotation_text, severity AS triage_result,
-       CASE WHEN is_sequential THEN 0.95 ELSE 0.80 END AS confidence, 'idor_attack,ownership_violation,automated_detection' AS tags,
-       'llm-soc-triage-idor-monitor' AS annotated_by
+       CAST(CASE WHEN is_sequential THEN 0.95 ELSE 0.80 END AS DOUBLE) AS confidence, 'idor_attack,ownership_violation,automated_detection' AS tags,
+       'vigil-idor-monitor' AS annotated_by
 FROM (SELECT *, unnest(range(1, least(len(pairs), 5) + 1)) AS pos FROM evx)""",
 )
 def q_annotations(spark, sf):

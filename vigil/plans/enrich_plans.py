@@ -54,10 +54,10 @@ _TOOL_SQL = (
 _FP = CTX["known_false_positives"]
 _FP_SQL = _sql_first("lower(coalesce(description, ''))", [p["pattern"] for p in _FP])
 _RISK_TEXT = "lower(coalesce(description, '')) || ' ' || lower(array_to_string(iocs, ' '))"
-_RISK_SQL = "greatest(1.0, " + ", ".join(
+_RISK_SQL = "CAST(greatest(1.0, " + ", ".join(
     f"CASE WHEN contains({_RISK_TEXT}, {_lit(p['indicator'].lower())}) THEN {float(p['severity_multiplier'])} ELSE 1.0 END"
     for p in CTX["high_risk_patterns"]
-) + ")"
+) + ") AS DOUBLE)"
 _IDOR_COND = "contains(lower(coalesce(description, '')), 'sequential') AND coalesce(distinct_resources, 0) >= 3"
 _ST = "lower(concat_ws(' ', coalesce(affected_user, ''), coalesce(description, '')))"
 _QA = CTX["qa_infrastructure"]

@@ -94,9 +94,9 @@ _URLS_ALL = ("list_transform(string_split(mitre_techniques, ',') || CASE WHEN is
 
 @register(
     "siem_export",
-    EVX + f"""SELECT event_id, CAST(make_timestamp(detection_ts_us) AS DATE) AS event_date, to_json({{
+    EVX + f"""SELECT event_id, CAST(make_timestamp(detection_ts_us) AS DATE) AS event_date, CAST(to_json({{
   'timestamp': strftime(make_timestamp(detection_ts_us), '%Y-%m-%dT%H:%M:%S.%gZ'),
-  'source': 'llm-soc-triage', 'sourcetype': 'idor_detection', 'event_type': 'idor_detection_event',
+  'source': 'vigil', 'sourcetype': 'idor_detection', 'event_type': 'idor_detection_event',
   'event_id': event_id, 'severity': severity, 'user_id': user_id, 'session_id': session_id,
   'distinct_resources_accessed': distinct_resources_accessed, 'is_sequential': is_sequential,
   'time_window_seconds': time_window_seconds,
@@ -106,7 +106,7 @@ _URLS_ALL = ("list_transform(string_split(mitre_techniques, ',') || CASE WHEN is
   'mitre_sub_techniques': CASE WHEN is_sequential THEN ['T1213.002'] ELSE [] END,
   'mitre_attack_urls': {_URLS_ALL},
   'user_email': {scrub_sql('user_email')}, 'client_ip': {scrub_sql('client_ip')}, 'user_agent': user_agent,
-  'auto_hold_triggered': severity = 'CRITICAL_IDOR_ATTACK'}}) AS json FROM evx""",
+  'auto_hold_triggered': severity = 'CRITICAL_IDOR_ATTACK'}}) AS VARCHAR) AS json FROM evx""",
 )
 def q_siem_export(spark, sf):
     return X.siem_record(events_df(spark, sf))

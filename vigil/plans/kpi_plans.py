@@ -288,7 +288,7 @@ UNIT_COST = 0.002
     "kpi_cost",
     _window_sql(W_US, THRESHOLD, GAP, views=dict(verdicts=_VERDICTS_SQL))
     + f"""SELECT epoch_us(date_trunc('month', make_timestamp(ts_us))) AS month_us, count(*) AS llm_calls,
-       round(count(*) * {UNIT_COST}, 6) AS cost_usd
+       CAST(round(count(*) * {UNIT_COST}, 6) AS DOUBLE) AS cost_usd
 FROM laddered WHERE severity = 'ALERT_MEDIUM' AND has_event GROUP BY 1""",
 )
 def q_cost(spark, sf):

@@ -122,10 +122,10 @@ def ownership_state_sql(ttl_us: int) -> dict[str, str]:
         pts2=("""SELECT *, max(CASE WHEN seq % 4 = 1 THEN seq END) OVER w AS prev_rec,
                           max(CASE WHEN seq % 4 = 0 THEN seq END) OVER w AS prev_clear
                  FROM pts WINDOW w AS (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""),
-        sess=(f"""SELECT user_id, seq, sum(CASE WHEN seq % 4 = 1 THEN
+        sess=(f"""SELECT user_id, seq, CAST(sum(CASE WHEN seq % 4 = 1 THEN
                        CASE WHEN prev_rec IS NULL OR ts_us - prev_rec // 4 >= {ttl_us} OR coalesce(prev_clear, -1) > prev_rec
                             THEN 1 ELSE 0 END END)
-                   OVER (PARTITION BY user_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS ttl_session
+                   OVER (PARTITION BY user_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS ttl_session
                  FROM pts2"""),
         recs_s=("""SELECT DISTINCT o.user_id, o.resource_id, o.ts_us, o.seq, s.ttl_session
                    FROM ops_s o JOIN sess s ON o.user_id = s.user_id AND o.seq = s.seq WHERE o.op = 'record'"""),

@@ -226,15 +226,15 @@ def q_terms(spark, sf):
 @register(
     "playbook_actions",
     EV_VIEWS + """SELECT event_id, 1 AS step, 'disable user' AS action,
-       to_json({'user_id': user_id, 'reason': 'IDOR attack detected: ' || win_count || ' unauthorized access attempts'}) AS parameters
+       CAST(to_json({'user_id': user_id, 'reason': 'IDOR attack detected: ' || win_count || ' unauthorized access attempts'}) AS VARCHAR) AS parameters
 FROM ev WHERE severity = 'CRITICAL_IDOR_ATTACK'
 UNION ALL
-SELECT event_id, 2, 'send email', to_json({'to': 'soc-team@company.com', 'subject': 'CRITICAL: IDOR Attack by ' || user_id,
+SELECT event_id, 2, 'send email', CAST(to_json({'to': 'soc-team@company.com', 'subject': 'CRITICAL: IDOR Attack by ' || user_id,
        'body': 'Session ' || session_id || ' attempted enumeration of ' || win_count || ' loans. Auto-hold executed. MITRE: '
-               || '[''' || replace(mitre_techniques, ',', ''', ''') || ''']'})
+               || '[''' || replace(mitre_techniques, ',', ''', ''') || ''']'}) AS VARCHAR)
 FROM ev WHERE severity = 'CRITICAL_IDOR_ATTACK'
 UNION ALL
-SELECT event_id, 3, 'lookup ip', to_json({'ip': client_ip}) FROM ev WHERE severity = 'CRITICAL_IDOR_ATTACK'""",
+SELECT event_id, 3, 'lookup ip', CAST(to_json({'ip': client_ip}) AS VARCHAR) FROM ev WHERE severity = 'CRITICAL_IDOR_ATTACK'""",
 )
 def q_playbook(spark, sf):
     return R.playbook_actions(events_df(spark, sf)).select("event_id", F.col("step").cast("int").alias("step"), "action", "parameters")
