@@ -46,6 +46,15 @@ def _rank_col() -> F.Column:
     )
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a reused intermediate: a reliable checkpoint into the
+    session's shared ``spark.checkpoint.dir`` (survives executor loss)."""
+    from vigil.session import checkpoint_dir
+
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def records_from_log(log: DataFrame) -> DataFrame:
     """D1 source: every successful access records ownership."""
     return log.filter("success").select("user_id", "resource_id", "ts_us", F.lit("record").alias("op"))
@@ -97,7 +106,9 @@ def is_owner_asof(
     """D2 (+D5, D8): ``probes`` (``probe_id, user_id, resource_id, ts_us``) →
     ``probe_id, owned`` at each probe's instant."""
     ttl = F.lit(int(ttl_seconds) * _US)
-    recs = ttl_sessions(ops, ttl_seconds)
+    # the sessionised records feed two independent streams: materialise them
+    # once (reliable checkpoint in the shared spark.checkpoint.dir)
+    recs = materialize(ttl_sessions(ops, ttl_seconds))
     # user-level stream: records (with session), clears, probes
     clears = ops.filter(F.col("op") == "clear").select("user_id", "ts_us", _seq("ts_us", 0).alias("seq"))
     p = probes.select("probe_id", "user_id", "resource_id", "ts_us", _seq("ts_us", 3).alias("seq"))

@@ -45,8 +45,10 @@ def running(
         Window.partitionBy(*keys, "_tb").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
     )
     fns = {"max": F.max, "sum": F.sum}
-    for name, (fn, col) in values.items():
-        b = b.withColumn(f"_v_{name}", col).withColumn(f"_l_{name}", fns[fn](f"_v_{name}").over(local_frame))
+    b = b.select("*", *[col.alias(f"_v_{name}") for name, (_, col) in values.items()])
+    b = b.select("*", *[fns[fn](f"_v_{name}").over(local_frame).alias(f"_l_{name}") for name, (fn, _) in values.items()])
+    # the bucket summary is read from the windowed rows themselves, so the
+    # input is planned (and shuffled) once
     summary = b.groupBy(*keys, "_tb").agg(*[fns[fn](f"_v_{n}").alias(f"_s_{n}") for n, (fn, _) in values.items()])
     prev_frame = Window.partitionBy(*keys).orderBy("_tb").rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(
