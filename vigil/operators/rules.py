@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -129,37 +128,57 @@ def rule_user_hour(events: DataFrame, window_s: int = 3600) -> DataFrame:
     )
 
 
-def greedy_span_groups(df: DataFrame, key: str, ts: str, span_us: int, out_schema_extra: str = "") -> DataFrame:
-    """F7/F11 core: within each key, events sorted by time form groups greedily —
-    a group starts at an event and takes every later event within ``span`` of
-    that start. Adds ``group_start_us`` and ``is_group_start``.
-
-    The greedy chain is sequential per key, so it runs as a grouped pandas
-    function (vectorised search over the sorted times)."""
-    import numpy as np
-
-    cols = df.columns
-    schema = df.select(*cols).schema.simpleString()[len("struct<"):-1]
-    out_schema = f"{schema},group_start_us bigint,is_group_start boolean"
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts], kind="mergesort").reset_index(drop=True)
-        t = pdf[ts].to_numpy(dtype="int64")
-        starts = np.empty(len(t), dtype="int64")
-        is_start = np.zeros(len(t), dtype=bool)
-        i = 0
-        n = len(t)
-        while i < n:
-            s = t[i]
-            j = int(np.searchsorted(t, s + span_us, side="right"))
-            starts[i:j] = s
-            is_start[i] = True
-            i = j
-        pdf["group_start_us"] = starts
-        pdf["is_group_start"] = is_start
-        return pdf
-
-    return df.groupBy(key).applyInPandas(fn, out_schema)
+def greedy_span_groups(df: DataFrame, key: str, ts: str, span_us: int, id_col: str = "event_id") -> DataFrame:
+    """F7/F11 core: within each key, events in ``(ts, id)`` order form groups
+    greedily — a group starts at an event and takes every later event within
+    ``span`` of that start. Adds ``is_group_start`` and ``group_start_us``.
+
+    Exact and skew-free: each event points to the first event at or after
+    ``ts + span + 1µs`` (an as-of lookup with the bucketed running max); the
+    group starts are the nodes on the pointer path from each key's first
+    event, found by pointer doubling — ``log2(path length)`` rounds of
+    equi-joins on the (unique) event id, so no key is ever gathered in one
+    task. Each round's state is checkpointed to the shared folder.
+    """
+    from vigil.operators.ownership import materialize
+    from vigil.operators.sequence import running
+
+    gap = span_us + 1
+    nodes = df.select(F.col(key).alias("_k"), F.col(ts).alias("_t"), F.col(id_col).alias("_id")).distinct()
+    # as-of "next node at or after t + gap": walk time backwards (negated) so the
+    # bucketed running max yields the smallest (ts, id) at or after the probe
+    alerts = nodes.select("_k", (-F.col("_t")).alias("_nt"), F.lit(0).alias("_rank"), F.col("_id").alias("_id"),
+                          F.struct((-F.col("_t")).alias("nt"), (-F.col("_id")).alias("nid")).alias("_v"),
+                          F.lit(None).cast("long").alias("_from"))
+    probes = nodes.select("_k", (-(F.col("_t") + F.lit(gap))).alias("_nt"), F.lit(1).alias("_rank"),
+                          F.lit(None).cast("long").alias("_id"), F.lit(None).cast("struct<nt:bigint,nid:bigint>").alias("_v"),
+                          F.col("_id").alias("_from"))
+    walked = running(alerts.unionByName(probes), ["_k"], [F.col("_nt"), F.col("_rank"), F.col("_id").desc()],
+                     {"_best": ("max", F.col("_v"))}, "_nt")
+    nxt = walked.filter(F.col("_from").isNotNull()).select(
+        F.col("_from").alias("_id"), (-F.col("_best.nid")).alias("_jump")
+    )
+    jump = materialize(nxt)
+    heads = nodes.groupBy("_k").agg(F.min(F.struct("_t", "_id")).alias("_h")).select(F.col("_h._id").alias("_id"))
+    reached = materialize(heads)
+    n = reached.count()
+    while True:
+        step = reached.join(jump, "_id").select(F.col("_jump").alias("_id")).filter(F.col("_id").isNotNull())
+        grown = materialize(reached.unionByName(step).distinct())
+        m = grown.count()
+        if m == n:
+            break
+        reached, n = grown, m
+        j2 = jump.alias("a").join(jump.alias("b"), F.col("a._jump") == F.col("b._id"), "left").select(
+            F.col("a._id").alias("_id"), F.col("b._jump").alias("_jump")
+        )
+        jump = materialize(j2)
+    starts = reached.select("_id", F.lit(True).alias("is_group_start"))
+    out = df.join(starts, df[id_col] == starts["_id"], "left").drop("_id")
+    out = out.withColumn("is_group_start", F.coalesce("is_group_start", F.lit(False)))
+    out = running(out, [key], [F.col(ts), F.col(id_col)],
+                  {"group_start_us": ("max", F.when(F.col("is_group_start"), F.col(ts)))}, ts)
+    return out
 
 
 def suppress_alerts(alerts: DataFrame, key: str, ts: str, suppress_s: int) -> DataFrame:

@@ -108,7 +108,9 @@ SUPPRESS_S = 5 * 3600
 @register("alert_suppress")
 def q_suppress(spark, sf):
     """the hourly rule's alerts suppressed for 5 h per user (rows-only check)."""
-    hits = R.siem_select(events_df(spark, sf)).select("event_id", "user_id", F.col("detection_ts_us").alias("ts_us"))
+    hits = R.siem_select(events_df(spark, sf)).select(
+        F.col("source_event_id").alias("event_id"), "user_id", F.col("detection_ts_us").alias("ts_us")
+    )
     return R.suppress_alerts(hits, "user_id", "ts_us", SUPPRESS_S).select("event_id", "user_id", "ts_us", "fired")
 
 
@@ -180,9 +182,11 @@ def q_transactions(spark, sf):
     """CRITICAL detections and CDN blocks per session, grouped greedily
     with a maximum span from the group start; groups with > 1 event."""
     ev = events_df(spark, sf).filter(F.col("severity") == "CRITICAL_IDOR_ATTACK").select(
-        "session_id", F.col("detection_ts_us").alias("ts_us"), F.lit("idor_detection").alias("sourcetype"), "user_id"
+        F.col("source_event_id").alias("event_id"), "session_id", F.col("detection_ts_us").alias("ts_us"),
+        F.lit("idor_detection").alias("sourcetype"), "user_id"
     )
-    cdn = FX.cdn_blocks(spark, sf).select("session_id", "ts_us", F.lit("cdn_firewall").alias("sourcetype"),
+    # both sides come from distinct rows of ``events``: the ids stay unique
+    cdn = FX.cdn_blocks(spark, sf).select("event_id", "session_id", "ts_us", F.lit("cdn_firewall").alias("sourcetype"),
                                           F.lit(None).cast("string").alias("user_id"))
     g = R.greedy_span_groups(ev.unionByName(cdn), "session_id", "ts_us", TRANSACTION_SPAN_S * _US)
     t = g.groupBy("session_id", "group_start_us").agg(
