@@ -47,12 +47,17 @@ def _rank_col() -> F.Column:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a reused intermediate: a reliable checkpoint into the
-    session's shared ``spark.checkpoint.dir`` (survives executor loss)."""
+    """Cut the lineage of a reused intermediate by writing it once as parquet
+    under the session's shared ``spark.checkpoint.dir`` and reading it back
+    (one computation; survives executor loss; columnar for the readers)."""
+    import os
+    import uuid
+
     from vigil.session import checkpoint_dir
 
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = os.path.join(checkpoint_dir(df.sparkSession), "tables", uuid.uuid4().hex)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def records_from_log(log: DataFrame) -> DataFrame:
@@ -164,18 +169,31 @@ def is_owner_asof(
 
 
 def owned_set_asof(ops: DataFrame, as_of_us, ttl_seconds: int = DEFAULT_OWNERSHIP_TTL_SECONDS) -> DataFrame:
-    """D3: rows ``(user_id, resource_id)`` owned at ``as_of`` (one row per
-    member — a set is never collected into one array)."""
-    probes = (
-        ops.filter(F.col("op") == "record")
-        .filter(F.col("ts_us") <= F.lit(as_of_us))
-        .select("user_id", "resource_id")
-        .distinct()
-        .withColumn("ts_us", F.lit(as_of_us).cast("bigint"))
-        .withColumn("probe_id", F.xxhash64("user_id", "resource_id"))
-    )
-    got = is_owner_asof(ops, probes, ttl_seconds).filter("owned")
-    return probes.join(got, "probe_id", "left_semi").select("user_id", "resource_id")
+    """D3: rows ``(user_id, resource_id)`` owned at one instant ``as_of`` (one
+    row per member — a set is never collected into one array).
+
+    At a single instant the running state collapses to plain aggregates: the
+    user's last record / clear and current ttl-session, and the last op per
+    (user, resource) — grouped partial aggregates plus one equi-join."""
+    ttl = int(ttl_seconds) * _US
+    upto = ops.filter(F.col("ts_us") <= F.lit(as_of_us))
+    recs = materialize(ttl_sessions(upto, ttl_seconds))  # read twice below
+    last_rec = recs.groupBy("user_id").agg(F.max("seq").alias("last_rec_seq"), F.max("ttl_session").alias("cur_session"))
+    last_clear = upto.filter(F.col("op") == "clear").groupBy("user_id").agg(F.max(_seq("ts_us", 0)).alias("last_clear_seq"))
+    alive = (
+        last_rec.join(last_clear, "user_id", "left")
+        .filter((F.coalesce("last_clear_seq", F.lit(-1)) < F.col("last_rec_seq"))
+                & (F.lit(as_of_us) - F.floor(F.col("last_rec_seq") / 4) < F.lit(ttl)))
+        .select("user_id", "cur_session")
+    )
+    removes = upto.filter(F.col("op") == "remove").select(
+        "user_id", "resource_id", F.struct(_seq("ts_us", 2).alias("seq"), F.lit(False).alias("is_rec"),
+                                           F.lit(None).cast("bigint").alias("ttl_session")).alias("op")
+    )
+    pair_ops = recs.select("user_id", "resource_id", F.struct("seq", F.lit(True).alias("is_rec"), "ttl_session").alias("op"))
+    last_op = pair_ops.unionByName(removes).groupBy("user_id", "resource_id").agg(F.max("op").alias("last"))
+    j = last_op.join(alive, "user_id")
+    return j.filter(F.col("last.is_rec") & (F.col("last.ttl_session") == F.col("cur_session"))).select("user_id", "resource_id")
 
 
 def resource_owner_asof(
