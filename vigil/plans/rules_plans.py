@@ -103,9 +103,30 @@ def q_user_hour(spark, sf):
 
 
 SUPPRESS_S = 5 * 3600
+TRANSACTION_SPAN_S = 5 * 60 * RULE_SCALE
+
+
+def _greedy_sql(src: str, gap_us: int) -> str:
+    """Recursive oracle of the greedy chain over ``src(k, t, id)``: starts are the
+    first node of each key, then the first node at or after ``start + gap``."""
+    return f"""starts(k, t, id) AS (
+  SELECT k, min({{'t': t, 'i': id}}).t, min({{'t': t, 'i': id}}).i FROM {src} GROUP BY k
+  UNION ALL
+  SELECT s.k, n.nx.t, n.nx.i FROM starts s,
+       LATERAL (SELECT min({{'t': e.t, 'i': e.id}}) AS nx FROM {src} e WHERE e.k = s.k AND e.t >= s.t + {gap_us}) n
+  WHERE n.nx IS NOT NULL)"""
 
 
-@register("alert_suppress")
+_SUPPRESS_SQL = EV_VIEWS.rstrip() + f""",
+hits AS (SELECT l.event_id AS id, l.user_id AS k, l.ts_us AS t FROM laddered l
+         WHERE l.has_event AND l.severity IN ('CRITICAL_IDOR_ATTACK', 'ALERT_MEDIUM') AND l.d >= 3 AND l.is_sequential
+           AND NOT list_has_any({user_tags_sql("CAST(regexp_extract(l.user_id, '(\\d+)$', 1) AS BIGINT)")}, ['qa_automation', 'pentester'])),
+"""
+
+
+@register("alert_suppress", "WITH RECURSIVE " + _SUPPRESS_SQL.removeprefix("WITH ") + _greedy_sql("hits", 5 * 3600 * _US) + """
+SELECT h.id AS event_id, h.k AS user_id, h.t AS ts_us, s.id IS NOT NULL AS fired
+FROM hits h LEFT JOIN (SELECT DISTINCT id FROM starts) s ON s.id = h.id""")
 def q_suppress(spark, sf):
     """the hourly rule's alerts suppressed for 5 h per user (rows-only check)."""
     hits = R.siem_select(events_df(spark, sf)).select(
@@ -174,10 +195,25 @@ def q_top_owners(spark, sf):
     return g.orderBy(F.col("times_targeted").desc(), F.col("resource_owner")).limit(20)
 
 
-TRANSACTION_SPAN_S = 5 * 60 * RULE_SCALE
+_TX_SQL = (
+    "WITH RECURSIVE "
+    + _window_sql(W_US, THRESHOLD, GAP).removeprefix("WITH ").rstrip()
+    + """,
+tx AS (SELECT event_id AS id, session_id AS k, ts_us AS t, 'idor_detection' AS sourcetype, user_id FROM laddered
+       WHERE has_event AND severity = 'CRITICAL_IDOR_ATTACK'
+       UNION ALL
+       SELECT event_id, 'sess_' || user_id, epoch_us(ts), 'cdn_firewall', NULL FROM events WHERE event_type = 'signup'),
+"""
+    + _greedy_sql("tx", TRANSACTION_SPAN_S * _US + 1)
+    + """,
+g AS (SELECT x.*, (SELECT max(s.t) FROM starts s WHERE s.k = x.k AND s.t <= x.t) AS group_start_us FROM tx x)
+SELECT k AS session_id, group_start_us, count(*) AS eventcount, max(user_id) AS user_id,
+       array_to_string(list_sort(list(DISTINCT sourcetype)), ',') AS sourcetypes
+FROM g GROUP BY k, group_start_us HAVING count(*) > 1"""
+)
 
 
-@register("hunt_transactions")
+@register("hunt_transactions", _TX_SQL)
 def q_transactions(spark, sf):
     """CRITICAL detections and CDN blocks per session, grouped greedily
     with a maximum span from the group start; groups with > 1 event."""
