@@ -22,11 +22,11 @@ per-user unbounded window.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.idor import DEFAULT_OWNERSHIP_TTL_SECONDS
-from vigil.operators.sequence import running
+from vigil.operators.sequence import DAY_US, running
 
 _US = 1_000_000
 RANK = {"clear": 0, "record": 1, "remove": 2, "probe": 3}
@@ -70,36 +70,64 @@ def bulk_records(bulk: DataFrame) -> DataFrame:
     return bulk.select("user_id", F.explode("resource_ids").alias("resource_id"), "ts_us", F.lit("record").alias("op"))
 
 
-def ttl_sessions(ops: DataFrame, ttl_seconds: int = DEFAULT_OWNERSHIP_TTL_SECONDS) -> DataFrame:
+def ttl_sessions(ops: DataFrame, ttl_seconds: int = DEFAULT_OWNERSHIP_TTL_SECONDS, bucket_us: int = DAY_US) -> DataFrame:
     """Records with ``ttl_session`` (per user) and the set's expiry if
-    nothing follows (``expires_us = ts + TTL``)."""
+    nothing follows (``expires_us = ts + TTL``).
+
+    One shuffle of the records: inside a ``(user, day)`` partition a record's
+    predecessor is local unless it is the first record of that day; only that
+    one record per day needs the previous days' summary (last record, last
+    clear, sessions so far), which is a prefix over one row per (user, day).
+    """
     ttl = F.lit(int(ttl_seconds) * _US)
     touched = ops.filter(F.col("op").isin("record", "clear")).withColumn("seq", _seq("ts_us", _rank_col()))
-    # one row per (user, instant, kind): ties cannot reorder the running state
-    pts = touched.select("user_id", "ts_us", "seq").distinct()
-    is_rec = F.col("seq") % 4 == 1
-    pts = running(
-        pts,
-        ["user_id"],
-        [F.col("seq")],
-        {
-            "prev_rec_seq": ("max", F.when(is_rec, F.col("seq"))),
-            "prev_clear_seq": ("max", F.when(~is_rec, F.col("seq"))),
-        },
-        "ts_us",
-        exclusive=True,
+    # one row per (user, instant, kind): ties cannot reorder the state
+    pts = touched.select("user_id", "seq").distinct().select(
+        "user_id", "seq", (F.col("seq") % 4 == 1).alias("is_rec"), F.floor(F.floor(F.col("seq") / 4) / F.lit(bucket_us)).alias("_tb")
+    )
+    part = Window.partitionBy("user_id", "_tb").orderBy("seq")
+    before = part.rowsBetween(Window.unboundedPreceding, -1)
+    upto = part.rowsBetween(Window.unboundedPreceding, 0)
+    rec_seq = F.when(F.col("is_rec"), F.col("seq"))
+    clear_seq = F.when(~F.col("is_rec"), F.col("seq"))
+    w = pts.select(
+        "*",
+        F.max(rec_seq).over(before).alias("_lp_rec"),
+        F.max(clear_seq).over(before).alias("_lp_clear"),
+    )
+    # flag of records whose predecessor record is in the same day; 0 for the
+    # day's first record (resolved from the summary below)
+    local_flag = F.when(
+        F.col("is_rec") & F.col("_lp_rec").isNotNull(),
+        ((F.floor(F.col("seq") / 4) - F.floor(F.col("_lp_rec") / 4) >= ttl)
+         | (F.coalesce(F.col("_lp_clear"), F.lit(-1)) > F.col("_lp_rec"))).cast("int"),
+    ).otherwise(F.lit(0))
+    w = w.select("*", local_flag.alias("_lf"))
+    w = w.select("*", F.sum("_lf").over(upto).alias("_lcum"))
+    first_rec = F.when(F.col("is_rec") & F.col("_lp_rec").isNull(), F.struct("seq", "_lp_clear"))
+    summary = w.groupBy("user_id", "_tb").agg(
+        F.max(rec_seq).alias("_max_rec"), F.max(clear_seq).alias("_max_clear"),
+        F.sum("_lf").alias("_n_local"), F.min(first_rec).alias("_first"),
+    )
+    days = Window.partitionBy("user_id").orderBy("_tb").rowsBetween(Window.unboundedPreceding, -1)
+    s1 = summary.select(
+        "*", F.max("_max_rec").over(days).alias("_c_rec"), F.max("_max_clear").over(days).alias("_c_clear")
     )
-    prev_rec_ts = F.floor(F.col("prev_rec_seq") / 4)
-    new = (
-        F.col("prev_rec_seq").isNull()
-        | (F.col("ts_us") - prev_rec_ts >= ttl)
-        | (F.coalesce(F.col("prev_clear_seq"), F.lit(-1)) > F.col("prev_rec_seq"))
+    prev_clear = F.greatest(F.col("_first._lp_clear"), F.col("_c_clear"))
+    first_flag = F.when(
+        F.col("_first").isNotNull(),
+        (F.col("_c_rec").isNull()
+         | (F.floor(F.col("_first.seq") / 4) - F.floor(F.col("_c_rec") / 4) >= ttl)
+         | (F.coalesce(prev_clear, F.lit(-1)) > F.col("_c_rec"))).cast("int"),
+    ).otherwise(F.lit(0))
+    s2 = s1.select("user_id", "_tb", first_flag.alias("_ff"), (first_flag + F.col("_n_local")).alias("_nb"))
+    s3 = s2.select("user_id", "_tb", "_ff", F.coalesce(F.sum("_nb").over(days), F.lit(0)).alias("_c_sess"))
+    sess = w.filter("is_rec").join(s3, ["user_id", "_tb"]).select(
+        "user_id", "seq", (F.col("_c_sess") + F.col("_ff") + F.col("_lcum")).cast("bigint").alias("ttl_session")
     )
-    pts = pts.withColumn("new_session", F.when(is_rec, new.cast("int")))
-    pts = running(pts, ["user_id"], [F.col("seq")], {"ttl_session": ("sum", F.col("new_session"))}, "ts_us")
     recs = touched.filter(F.col("op") == "record").select("user_id", "resource_id", "ts_us", "seq").distinct()
-    return recs.join(pts.filter(is_rec).select("user_id", "seq", "ttl_session"), ["user_id", "seq"]).select(
-        "user_id", "resource_id", "ts_us", "seq", F.col("ttl_session").cast("bigint"), (F.col("ts_us") + ttl).alias("expires_us")
+    return recs.join(sess, ["user_id", "seq"]).select(
+        "user_id", "resource_id", "ts_us", "seq", "ttl_session", (F.col("ts_us") + ttl).alias("expires_us")
     )
 
 
