@@ -128,29 +128,53 @@ MAX_BROADCAST_QUERIES = 50_000
 def similar_topk(queries: DataFrame, corpus: DataFrame, k: int = 3, buckets: int = 64) -> DataFrame:
     """Cosine similarity of each query vector to every corpus vector, top-k.
 
-    The query set is broadcast behind a row-count check (it is the set of
-    alerts under triage, not the history); the corpus is streamed once. Top-k
-    is two-phase per (query, corpus hash bucket) so a query's candidates never
-    sort in one task. Beyond the bound, use ``pyspark.ml`` LSH or block
-    matmul in ``mapInPandas``.
+    The query set (the alerts under triage, not the history) is bounded by a
+    row-count check and shipped to the tasks as one normalised matrix; each
+    Arrow batch of the corpus is scored with one matrix product and emits only
+    its best ``k`` rows per query — no pair rows are ever materialised. The
+    per-batch candidates are merged by the two-phase top-k. Beyond the bound,
+    split the query set or use ``pyspark.ml`` LSH.
     """
+    import numpy as np
+    import pandas as pd
+
     nq = queries.count()
     if nq > MAX_BROADCAST_QUERIES:
         raise ValueError(f"{nq} query vectors exceed the broadcast bound {MAX_BROADCAST_QUERIES}")
-
-    def norm(v: Column) -> Column:
-        return F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
-
-    q = queries.withColumn("qn", norm(F.col("qv")))
-    c = corpus.withColumn("cn", norm(F.col("v")))
-    pairs = c.crossJoin(F.broadcast(q))
-    dot = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
-    scored = pairs.select(
-        "query_id", "vec_id", "disposition", "analyst_notes",
-        F.when((F.col("qn") > 0) & (F.col("cn") > 0), dot / (F.col("qn") * F.col("cn"))).alias("similarity"),
-    )
+    qp = queries.select("query_id", "qv").toPandas()  # bounded by the check above
+    qids = qp["query_id"].to_numpy(dtype="int64")
+    qmat = np.array([np.asarray(v, dtype="float64") for v in qp["qv"]]) if nq else np.zeros((0, 0))
+    bq = corpus.sparkSession.sparkContext.broadcast((qids, qmat))
+    schema = "query_id long, vec_id long, disposition string, analyst_notes string, similarity double"
+
+    def score(batches):
+        ids, Q = bq.value
+        qn = np.sqrt((Q * Q).sum(axis=1)) if len(ids) else np.zeros(0)
+        for pdf in batches:
+            if len(pdf) == 0 or len(ids) == 0:
+                continue
+            V = np.array([np.asarray(v, dtype="float64") for v in pdf["v"]])
+            vn = np.sqrt((V * V).sum(axis=1))
+            dots = Q @ V.T
+            with np.errstate(divide="ignore", invalid="ignore"):
+                sim = dots / np.outer(qn, vn)
+            sim[(qn[:, None] == 0) | (vn[None, :] == 0)] = np.nan
+            vec = pdf["vec_id"].to_numpy(dtype="int64")
+            out = []
+            for qi in range(len(ids)):
+                row = sim[qi]
+                key = np.where(np.isnan(row), np.inf, -row)  # NULL scores last
+                order = np.lexsort((vec, key))[:k]
+                out.append(pd.DataFrame({
+                    "query_id": ids[qi], "vec_id": vec[order], "disposition": pdf["disposition"].to_numpy()[order],
+                    "analyst_notes": pdf["analyst_notes"].to_numpy()[order],
+                    "similarity": np.where(np.isnan(row[order]), None, row[order]),
+                }))
+            yield pd.concat(out, ignore_index=True)
+
+    cand = corpus.select("vec_id", "v", "disposition", "analyst_notes").mapInPandas(score, schema)
     order = [F.col("similarity").desc_nulls_last(), F.col("vec_id")]
-    return top_k_per_key(scored, "query_id", order, k, salt_col="vec_id", buckets=buckets)
+    return top_k_per_key(cand, "query_id", order, k, salt_col="vec_id", buckets=buckets)
 
 
 def interval_join_counts(

@@ -12,9 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def percentiles_disc(df: DataFrame, value: str, ps: dict[str, float], keys: list[str] | None = None) -> DataFrame:
+def percentiles_disc(
+    df: DataFrame, value: str, ps: dict[str, float], keys: list[str] | None = None,
+    with_count_mean: tuple[str, str, int] | None = None,
+) -> DataFrame:
     """Nearest-rank percentile: smallest value whose cumulative count ≥ ceil(p·N).
-    ``value`` must be integral (seconds, ms)."""
+    ``value`` must be integral (seconds, ms). ``with_count_mean=(n, mean, digits)``
+    also returns the count and the rounded mean, read off the same histogram."""
     keys = keys or []
     hist = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
@@ -23,12 +27,17 @@ def percentiles_disc(df: DataFrame, value: str, ps: dict[str, float], keys: list
     aggs = [
         F.min(F.when(F.col("_cum") >= F.ceil(F.col("_tot") * F.lit(p)), F.col(value))).alias(name) for name, p in ps.items()
     ]
+    if with_count_mean:
+        n, mean, digits = with_count_mean
+        aggs = [F.sum("_n").alias(n), F.round(F.sum(F.col(value) * F.col("_n")) / F.sum("_n"), digits).alias(mean)] + aggs
     return h.groupBy(*keys).agg(*aggs)
 
 
-def share(count_col: str) -> Column:
-    """Share of the total over an aggregated (bounded) table."""
-    return F.col(count_col) / F.sum(count_col).over(Window.partitionBy())
+def share(df: DataFrame, count_col: str) -> Column:
+    """Share of the total: the total is one aggregate scalar (no single-partition
+    window, no join)."""
+    total = df.agg(F.sum(count_col)).first()[0] or 0
+    return F.col(count_col) / F.lit(float(total)) if total else F.lit(None).cast("double")
 
 
 def rolling_mean(df: DataFrame, value: str, order: str, rows: int = 7) -> DataFrame:

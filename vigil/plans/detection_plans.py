@@ -345,9 +345,8 @@ CROSS JOIN (VALUES ('shadow'), ('alert_queue'), ('active')) m(mode)""",
 )
 def q_alert_mode(spark, sf):
     r = _routed(spark, sf)
-    # three literal modes: a size-bounded broadcast
-    modes = spark.createDataFrame([(m,) for m in MODES], "mode string")
-    j = r.crossJoin(F.broadcast(modes))
+    # one output row per deployment mode: a fan-out over a literal list
+    j = r.withColumn("mode", F.explode(F.array(*[F.lit(m) for m in MODES])))
     return j.select(
         "event_id", "mode", mode_route(F.col("route"), F.col("mode")).alias("route"),
         ((F.col("mode") == "active") & (F.col("severity") == "CRITICAL_IDOR_ATTACK")).alias("auto_hold"),

@@ -107,9 +107,7 @@ def q_ttd(spark, sf):
     ev = _analyzed(spark, sf).filter("has_event").select(
         ((F.col("ts_us") - F.col("win_first_us")) / F.lit(_US)).cast("bigint").alias("ttd_s")
     )
-    a = ev.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ttd_s"), 3).alias("avg_ttd_s"))
-    p = K.percentiles_disc(ev, "ttd_s", {"p50_s": 0.5, "p95_s": 0.95})
-    return a.crossJoin(p)
+    return K.percentiles_disc(ev, "ttd_s", {"p50_s": 0.5, "p95_s": 0.95}, with_count_mean=("n", "avg_ttd_s", 3))
 
 
 @register(
@@ -176,7 +174,7 @@ def q_top_users(spark, sf):
     a = _analyzed(spark, sf)
     c = a.groupBy("user_id").agg(F.count(F.lit(1)).alias("failures"))
     # a top-N dashboard panel: the limit is the feature
-    return c.withColumn("share", F.round(K.share("failures"), 6)).orderBy(F.col("failures").desc(), "user_id").limit(TOP_USERS)
+    return c.withColumn("share", F.round(K.share(c, "failures"), 6)).orderBy(F.col("failures").desc(), "user_id").limit(TOP_USERS)
 
 
 @register(
@@ -192,7 +190,7 @@ def q_geo(spark, sf):
     na = table(spark, sf, "nation").select("n_nationkey", "n_name")
     j = a.join(cu, "user_id", "left").join(F.broadcast(na), F.col("c_nationkey") == F.col("n_nationkey"), "left")
     g = j.groupBy(F.coalesce("n_name", F.lit("UNKNOWN")).alias("location")).agg(F.count(F.lit(1)).alias("detections"))
-    return g.withColumn("share", F.round(K.share("detections"), 6))
+    return g.withColumn("share", F.round(K.share(g, "detections"), 6))
 
 
 @register(
@@ -206,7 +204,7 @@ def q_geo(spark, sf):
 def q_pattern(spark, sf):
     a = _analyzed(spark, sf).filter("has_event")
     g = a.groupBy(attack_pattern_column().alias("attack_pattern")).agg(F.count(F.lit(1)).alias("detections"))
-    return g.withColumn("share", F.round(K.share("detections"), 6))
+    return g.withColumn("share", F.round(K.share(g, "detections"), 6))
 
 
 @register(
@@ -339,9 +337,8 @@ FROM alerts a""",
 )
 def q_audit_cover(spark, sf):
     a = FX.alerts(spark, sf).select("alert_id")
-    audit = FX.llm_responses(spark, sf).select("alert_id")
-    missing = a.join(audit, "alert_id", "left_anti").agg(F.count(F.lit(1)).alias("missing"))
-    total = a.agg(F.count(F.lit(1)).alias("alerts"))
-    j = total.crossJoin(missing)
-    return j.select("alerts", (F.col("alerts") - F.col("missing")).alias("audited"), "missing",
-                    F.round(1 - F.col("missing") / F.col("alerts"), 6).alias("coverage"))
+    audit = FX.llm_responses(spark, sf).select("alert_id", F.lit(True).alias("_audited")).dropDuplicates(["alert_id"])
+    j = a.join(audit, "alert_id", "left")
+    miss = F.count_if(F.col("_audited").isNull())
+    return j.agg(F.count(F.lit(1)).alias("alerts"), (F.count(F.lit(1)) - miss).alias("audited"), miss.alias("missing"),
+                 F.round(1 - miss / F.count(F.lit(1)), 6).alias("coverage"))

@@ -164,7 +164,6 @@ def q_timechart(spark, sf):
 @register(
     "hunt_repeat_attackers",
     EV_VIEWS + """SELECT user_id, count(*) AS attack_count, count(DISTINCT session_id) AS n_sessions,
-       array_to_string(list_sort(list(DISTINCT session_id)), ',') AS sessions,
        (SELECT count(DISTINCT t) FROM (SELECT unnest(string_split(e2.failed_resources, ',')) AS t FROM ev e2 WHERE e2.user_id = ev.user_id)) AS n_targets
 FROM ev GROUP BY user_id HAVING count(*) > 1""",
 )
@@ -173,7 +172,6 @@ def q_repeat(spark, sf):
     base = ev.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("attack_count"),
         F.count_distinct("session_id").alias("n_sessions"),
-        F.array_join(F.array_sort(F.collect_set("session_id")), ",").alias("sessions"),
     )
     targets = ev.select("user_id", F.explode("failed_resources").alias("t")).groupBy("user_id").agg(
         F.count_distinct("t").alias("n_targets")

@@ -164,9 +164,9 @@ POLICY = [("inbound", True), ("context", True), ("case", False), ("annotation",
 )
 def q_policy(spark, sf):
     log = FX.access_log(spark, sf).filter(~F.col("success"))
-    # the policy table is a constant of 5 rows: broadcasting it is size-bounded
-    pol = spark.createDataFrame(POLICY, "sink string, scrub boolean")
-    j = log.crossJoin(F.broadcast(pol))
+    # one row per sink: a fan-out over the literal policy list
+    pol = F.array(*[F.struct(F.lit(s).alias("sink"), F.lit(b).alias("scrub")) for s, b in POLICY])
+    j = log.withColumn("_p", F.explode(pol)).select("*", "_p.sink", "_p.scrub").drop("_p")
     pick = lambda c: F.when(F.col("scrub"), S.scrub_text(c)).otherwise(F.col(c)).alias(c)
     return j.select("event_id", "sink", F.col("scrub").alias("scrubbed"), pick("user_email"), pick("client_ip"))
 
@@ -226,4 +226,4 @@ def q_scrub_hosts(spark, sf):
 @register("pii_scrub_nested")
 def q_scrub_nested(spark, sf):
     conv = FX.conversations_nested(spark, sf)
-    return S.scrub_columns(conv, ["turns"])
+    return S.scrub_columns(conv, ["msg"])

@@ -145,10 +145,17 @@ def customer_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversations_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per conversation: ``turns array<struct<turn,role,text>>`` in turn order."""
+    """Nested messages, one row per turn (no grouping: a long conversation never
+    gathers in one task): ``msg struct<role, body struct<text, lines array>,
+    meta map<string,string>>``."""
     conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return conv.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns")
+    return conv.select(
+        "conv_id", "turn",
+        F.struct(
+            F.col("role"),
+            F.struct(F.col("text"), F.split(F.col("text"), "\n").alias("lines")).alias("body"),
+            F.create_map(F.lit("role"), F.col("role"), F.lit("first_line"), F.split(F.col("text"), "\n").getItem(0)).alias("meta"),
+        ).alias("msg"),
     )
 
 
