@@ -1,8 +1,8 @@
 """UDM rule alerts (A2–A4, C6): nested alert documents with an array of events.
 
-``udm_alerts`` derives alert documents from the access log (one per session
-and day whose failures reach three distinct resources, i.e. the sequential
-rule at day scale); ``parse_udm`` reads the JSON text form back with an
+``udm_alerts`` derives alert documents from the access log (one per failure
+whose trailing window reaches three distinct resources, carrying the
+window's events); ``parse_udm`` reads the JSON text form back with an
 explicit schema, ``flatten_udm`` explodes to event grain, ``udm_to_alert``
 converts to the standard alert shape.
 """
@@ -77,9 +77,9 @@ def _iso(ts_us: Column) -> Column:
     return F.date_format(F.timestamp_micros(ts_us), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
 
 
-def udm_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rule alerts with their UDM events (one per session-day with ≥3 distinct
-    failed resources; the event list is bounded by one session's day)."""
+def udm_alerts(spark: SparkSession, sf_dir: str, window_seconds: int = 3 * 86400) -> DataFrame:
+    """Rule alerts with their UDM events: one per failure whose window holds
+    ≥3 distinct failed resources (the event list is the window)."""
     log = access_log(spark, sf_dir).filter(~F.col("success"))
     num = F.regexp_extract("user_id", r"(\d+)$", 1).cast("bigint")
     qa = F.array_contains(user_tags(num), "qa_automation")
@@ -109,17 +109,24 @@ def udm_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.concat(F.lit("403 for "), F.col("user_email"), F.lit(" from "), F.col("client_ip")).alias("description"))
                 ).alias("security_result"),
     )
-    day = F.floor(F.col("ts_us") / F.lit(DAY_US))
-    g = log.groupBy("session_id", day.alias("day")).agg(
-        F.min("user_id").alias("user_id"),
-        F.max("ts_us").alias("ts_us"),
-        F.count_distinct("resource_id").alias("distinct_resources"),
+    # one alert per failure whose trailing window (the detection window) holds
+    # three distinct resources; its events are that window — bounded by the
+    # window, never a whole session
+    from vigil.operators.windows import bucketed_range_window
+
+    aggs = {
+        "_evs": F.collect_list(F.struct(F.col("ts_us").alias("_t"), F.col("event_id").alias("_e"), ev.alias("_ev"))),
+        "_res": F.collect_set("resource_id"),
+    }
+    g = bucketed_range_window(log, "session_id", "ts_us", window_seconds, aggs)
+    g = g.withColumn("distinct_resources", F.size("_res")).filter(F.col("distinct_resources") >= 3).select(
+        "session_id", "user_id", "ts_us", "distinct_resources", F.floor(F.col("ts_us") / F.lit(DAY_US)).alias("day"),
         F.array_sort(
-            F.collect_list(F.struct(F.col("ts_us").alias("_t"), F.col("event_id").alias("_e"), ev.alias("_ev"))),
+            "_evs",
             lambda l, r: F.when(l["_t"] < r["_t"], -1).when(l["_t"] > r["_t"], 1)
             .when(l["_e"] < r["_e"], -1).when(l["_e"] > r["_e"], 1).otherwise(0),
         ).alias("_evs"),
-    ).filter(F.col("distinct_resources") >= 3)
+    )
     d = F.col("distinct_resources")
     return g.select(
         F.lit(RULE_ID).alias("rule_id"), F.lit(RULE_NAME).alias("rule_name"), F.lit(RULE_VERSION).alias("rule_version"),
