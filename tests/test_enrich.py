@@ -52,3 +52,13 @@ def test_cidr_range_join(spark):
 def test_risk_adjust(spark):
     df = spark.createDataFrame([(3.0,), (1.0,), (None,)], "m double")
     assert [r[0] for r in df.select(E.adjusted_risk(None, F.col("m"))).collect()] == [100, 50, 50]
+
+
+def test_missing_context_file_gives_empty_sections(spark, tmp_path):
+    from vigil.sources.context import load_context
+
+    ctx = load_context(str(tmp_path / "absent.json"))
+    assert ctx["vip_users"] == [] and ctx["critical_assets"] == {}
+    df = spark.createDataFrame([("a", "dba_team_x", "prod-db-01.internal", "Sequential powershell.exe", [], 5)], SCHEMA)
+    r = E.enrich_alerts(spark, df, ctx).first()
+    assert not r["is_critical"] and r["vip_role"] is None and r["approved_tool"] is None and r["risk_multiplier"] == 1.0

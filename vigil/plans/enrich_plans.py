@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from vigil.operators import enrich as E
 from vigil.plans import register
 from vigil.plans.oracle_views import _lit, alerts_sql, with_views
 from vigil.sources import fixtures as FX
-from vigil.sources.context import DEFAULT_CONTEXT as CTX
+from vigil.sources.context import load_context
+
+# The business-context document (default: the bundled sample; a path in
+# VIGIL_CONTEXT_PATH overrides it; a missing file gives empty sections)
+CTX = load_context(os.environ.get("VIGIL_CONTEXT_PATH"))
 
 A = with_views(alerts=alerts_sql())
 
@@ -87,7 +93,7 @@ _VERDICT_SQL = (
 
 
 def _enriched(spark, sf):
-    return E.enrich_alerts(spark, FX.alerts(spark, sf))
+    return E.enrich_alerts(spark, FX.alerts(spark, sf), CTX)
 
 
 @register(
@@ -96,18 +102,18 @@ def _enriched(spark, sf):
     f"FROM alerts a LEFT JOIN ({_ASSETS_SQL}) s ON lower(a.affected_host) = s.hkey",
 )
 def q_asset(spark, sf):
-    df = E.critical_asset(spark, FX.alerts(spark, sf))
+    df = E.critical_asset(spark, FX.alerts(spark, sf), CTX)
     return df.select("alert_id", "is_critical", "asset_role", "asset_risk_level", F.array_join("allowed_users", ", ").alias("allowed_users"))
 
 
 @register("enrich_vip", A + f"SELECT alert_id, {_VIP_SQL} AS vip_role FROM alerts")
 def q_vip(spark, sf):
-    return FX.alerts(spark, sf).select("alert_id", E.vip_role(F.col("affected_user")).alias("vip_role"))
+    return FX.alerts(spark, sf).select("alert_id", E.vip_role(F.col("affected_user"), CTX).alias("vip_role"))
 
 
 @register("enrich_tool", A + f"SELECT alert_id, {_TOOL_SQL} AS approved_tool FROM alerts")
 def q_tool(spark, sf):
-    return FX.alerts(spark, sf).select("alert_id", E.approved_tool(F.col("description")).alias("approved_tool"))
+    return FX.alerts(spark, sf).select("alert_id", E.approved_tool(F.col("description"), CTX).alias("approved_tool"))
 
 
 @register(
@@ -116,13 +122,13 @@ def q_tool(spark, sf):
     f"FROM (SELECT alert_id, {_FP_SQL} AS kp FROM alerts)",
 )
 def q_known_fp(spark, sf):
-    a = FX.alerts(spark, sf).select("alert_id", E.known_false_positive(F.col("description")).alias("known_fp_pattern"))
-    return a.select("alert_id", "known_fp_pattern", E._fp_field(F.col("known_fp_pattern"), "reason").alias("reason"))
+    a = FX.alerts(spark, sf).select("alert_id", E.known_false_positive(F.col("description"), CTX).alias("known_fp_pattern"))
+    return a.select("alert_id", "known_fp_pattern", E._fp_field(F.col("known_fp_pattern"), "reason", CTX).alias("reason"))
 
 
 @register("enrich_risk", A + f"SELECT alert_id, {_RISK_SQL} AS risk_multiplier FROM alerts")
 def q_risk(spark, sf):
-    return FX.alerts(spark, sf).select("alert_id", E.risk_multiplier(F.col("description"), F.col("iocs")).alias("risk_multiplier"))
+    return FX.alerts(spark, sf).select("alert_id", E.risk_multiplier(F.col("description"), F.col("iocs"), CTX).alias("risk_multiplier"))
 
 
 @register(
@@ -133,7 +139,7 @@ def q_risk(spark, sf):
        CASE WHEN {_IDOR_COND} THEN 'CRITICAL_IDOR_ATTACK' END AS recommended_verdict FROM alerts""",
 )
 def q_idor(spark, sf):
-    a = FX.alerts(spark, sf).select("alert_id", E.idor_hint(F.col("description"), F.col("distinct_resources")).alias("h"))
+    a = FX.alerts(spark, sf).select("alert_id", E.idor_hint(F.col("description"), F.col("distinct_resources"), CTX).alias("h"))
     return a.select(
         "alert_id", F.col("h.pattern_type").alias("pattern_type"), F.col("h.resource_count").alias("resource_count"),
         F.col("h.severity").alias("idor_severity"), F.col("h.recommended_verdict").alias("recommended_verdict"),
@@ -144,14 +150,14 @@ def q_idor(spark, sf):
 def q_qa(spark, sf):
     a = FX.alerts(spark, sf)
     st = E.search_text({"affected_user": F.col("affected_user"), "description": F.col("description")})
-    return a.select("alert_id", E.qa_reason(st).alias("qa_reason"))
+    return a.select("alert_id", E.qa_reason(st, CTX).alias("qa_reason"))
 
 
 @register("enrich_insider", A + f"SELECT alert_id, {_INSIDER_SQL} AS insider FROM alerts")
 def q_insider(spark, sf):
     a = FX.alerts(spark, sf)
     st = E.search_text({"affected_user": F.col("affected_user"), "description": F.col("description")})
-    return a.select("alert_id", E.insider_flag(st).alias("insider"))
+    return a.select("alert_id", E.insider_flag(st, CTX).alias("insider"))
 
 
 @register(
@@ -176,7 +182,7 @@ def q_enrich_alert(spark, sf):
 @register("risk_adjust", A + f"SELECT alert_id, least(100, CAST(floor(50 * {_RISK_SQL}) AS INTEGER)) AS risk_score FROM alerts")
 def q_risk_adjust(spark, sf):
     a = FX.alerts(spark, sf)
-    return a.select("alert_id", E.adjusted_risk(None, E.risk_multiplier(F.col("description"), F.col("iocs"))).alias("risk_score"))
+    return a.select("alert_id", E.adjusted_risk(None, E.risk_multiplier(F.col("description"), F.col("iocs"), CTX)).alias("risk_score"))
 
 
 @register("triage_verdict", A + f"SELECT alert_id, {_VERDICT_SQL} AS verdict FROM alerts")
@@ -221,4 +227,4 @@ FROM (SELECT a.*, s.*, {_VIP_SQL} AS vr, {_TOOL_SQL} AS tl, {_FP_SQL} AS kp, {_R
 @register("context_text", _context_text_sql())
 def q_context_text(spark, sf):
     e = _enriched(spark, sf)
-    return e.select("alert_id", E.context_text(e).alias("context_text"))
+    return e.select("alert_id", E.context_text(e, CTX).alias("context_text"))
