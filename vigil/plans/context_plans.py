@@ -43,8 +43,8 @@ _PREV_SQL = with_views(**_PREV_V)
 
 
 def _prevalence(spark, sf):
-    s = FX.ioc_sightings(spark, sf)
-    return C.prevalence(C.lookback(s, _max(s), PREV_DAYS))
+    t = FX.max_time_us(spark, sf, "lineitem", "l_shipdate")
+    return C.prevalence(FX.ioc_sightings(spark, sf, t - PREV_DAYS * DAY_US, t))
 
 
 @register("ctx_prevalence", _PREV_SQL + "SELECT * FROM p")
@@ -86,8 +86,8 @@ _BASE_SQL = with_views(
 
 
 def _baseline(spark, sf):
-    lg = FX.logins(spark, sf)
-    return C.user_baseline(C.lookback(lg, _max(lg), BASE_DAYS), BASE_DAYS)
+    t = FX.max_time_us(spark, sf, "events", "ts")
+    return C.user_baseline(FX.logins(spark, sf, t - BASE_DAYS * DAY_US, t), BASE_DAYS)
 
 
 @register("ctx_user_baseline", _BASE_SQL + "SELECT user_id, round(average_daily_logins, 6) AS average_daily_logins, typical_locations, typical_source_ips, typical_user_agents FROM b")
@@ -125,8 +125,8 @@ _NET_SQL = with_views(**_NET_V)
 
 
 def _network(spark, sf):
-    c = FX.network_connections(spark, sf)
-    return C.network_context(C.lookback(c, _max(c), NET_DAYS), FX.ip_reputation(spark, sf))
+    t = FX.max_time_us(spark, sf, "lineitem", "l_shipdate")
+    return C.network_context(FX.network_connections(spark, sf, t - NET_DAYS * DAY_US, t), FX.ip_reputation(spark, sf))
 
 
 @register("ctx_network", _NET_SQL + "SELECT * FROM nr")

@@ -82,8 +82,12 @@ FROM access_log WHERE http_status = 403 AND request_path LIKE '/api/v1/%'
 ORDER BY ts_us DESC, event_id DESC LIMIT {SEARCH_MAX}""",
 )
 def q_search(spark, sf):
-    log = FX.access_log(spark, sf).select("event_id", "ts_us", "user_id", "user_email", "client_ip", "request_path", "http_status")
-    end = log.agg(F.max("ts_us")).first()[0]
+    end = FX.max_time_us(spark, sf, "events", "ts")
+    # prune the scan to the searched range (7 days back from the end); the
+    # operator applies the exact time-range rule on top
+    log = FX.access_log(spark, sf, since_us=end - 7 * 86400 * _US, until_us=end).select(
+        "event_id", "ts_us", "user_id", "user_email", "client_ip", "request_path", "http_status"
+    )
     r = X.event_search(log, SEARCH_PREDICATE, SEARCH_RANGE, SEARCH_MAX, end_us=end)
     return r.drop("http_status")
 

@@ -13,13 +13,34 @@ from pyspark.sql import functions as F
 from vigil.sources.tables import table
 
 
+def raw_time_filter(col: str, since_us: int | None, until_us: int | None) -> Column:
+    """A range on a raw (NTZ) timestamp column written with NTZ literals, so
+    parquet receives it as ``PushedFilters`` (row-group skipping)."""
+    import datetime as _dt
+
+    def lit(us):
+        return F.lit(_dt.datetime(1970, 1, 1) + _dt.timedelta(microseconds=int(us))).cast("timestamp_ntz")
+
+    cond = F.lit(True)
+    if since_us is not None:
+        cond = cond & (F.col(col) >= lit(since_us))
+    if until_us is not None:
+        cond = cond & (F.col(col) <= lit(until_us))
+    return cond
+
+
+def max_time_us(spark: SparkSession, sf_dir: str, name: str, col: str) -> int:
+    """``as_of`` default: the latest instant of a table column (one scalar)."""
+    return table(spark, sf_dir, name).agg(F.max(epoch_us(col))).first()[0]
+
+
 def epoch_us(col: Column | str) -> Column:
     """Event time as epoch microseconds (UTC); works for TIMESTAMP and TIMESTAMP_NTZ."""
     c = F.col(col) if isinstance(col, str) else col
     return F.unix_micros(c.cast("timestamp"))
 
 
-def access_log(spark: SparkSession, sf_dir: str, id_prefix: str = "") -> DataFrame:
+def access_log(spark: SparkSession, sf_dir: str, id_prefix: str = "", since_us=None, until_us=None) -> DataFrame:
     """Web access events: one row per request, event time ``ts_us``, path
     ``/api/v{1|2}/consumer/loan_applications/<id>``.
 
@@ -27,7 +48,10 @@ def access_log(spark: SparkSession, sf_dir: str, id_prefix: str = "") -> DataFra
     (optionally prefixed), success = not an error, owner by ``event_id % 5``:
     0 → unknown (NULL), 1 → the requesting user, else ``user_<id+1+k>``.
     """
-    return access_log_from_events(table(spark, sf_dir, "events"), id_prefix)
+    ev = table(spark, sf_dir, "events")
+    if since_us is not None or until_us is not None:
+        ev = ev.filter(raw_time_filter("ts", since_us, until_us))  # pushed into the scan
+    return access_log_from_events(ev, id_prefix)
 
 
 def access_log_from_events(events: DataFrame, id_prefix: str = "") -> DataFrame:
@@ -248,9 +272,10 @@ def http_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- context histories ----------------------------------------------------------------
-def ioc_sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ioc_sightings(spark: SparkSession, sf_dir: str, since_us=None, until_us=None) -> DataFrame:
     """Indicator sightings: indicator ``ioc-<partkey>`` on asset ``host-<suppkey>`` at ship date."""
     li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_shipdate")
+    li = li.filter(raw_time_filter("l_shipdate", since_us, until_us))
     return li.select(
         F.concat(F.lit("ioc-"), F.col("l_partkey").cast("string")).alias("indicator"),
         F.concat(F.lit("host-"), F.col("l_suppkey").cast("string")).alias("asset"),
@@ -262,9 +287,10 @@ def supplier_ip(col: Column) -> Column:
     return F.concat(F.lit("10.0."), (F.floor(col / 256) % 256).cast("string"), F.lit("."), (col % 256).cast("string"))
 
 
-def network_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
+def network_connections(spark: SparkSession, sf_dir: str, since_us=None, until_us=None) -> DataFrame:
     """Connections: remote ip from ``l_suppkey``, local asset ``host-<partkey % 50>``."""
     li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_shipdate")
+    li = li.filter(raw_time_filter("l_shipdate", since_us, until_us))
     return li.select(
         supplier_ip(F.col("l_suppkey")).alias("ip"),
         F.concat(F.lit("host-"), (F.col("l_partkey") % 50).cast("string")).alias("asset"),
@@ -277,10 +303,11 @@ def ip_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(supplier_ip(F.col("s_suppkey")).alias("ip"), (F.abs(F.floor(F.col("s_acctbal"))) % 100).cast("int").alias("reputation_score"))
 
 
-def logins(spark: SparkSession, sf_dir: str) -> DataFrame:
+def logins(spark: SparkSession, sf_dir: str, since_us=None, until_us=None) -> DataFrame:
     """Login history: each event is a login; location = nation of the customer
     with ``c_custkey = user_id``, agent = event type, ip = access-log ip."""
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
+    ev = ev.filter(raw_time_filter("ts", since_us, until_us))
     cu = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     na = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     j = ev.join(cu, ev.user_id == cu.c_custkey, "left").join(F.broadcast(na), F.col("c_nationkey") == na.n_nationkey, "left")
