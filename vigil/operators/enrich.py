@@ -89,14 +89,14 @@ def _role_field(role: Column, field: str, ctx=DEFAULT_CONTEXT) -> Column:
     return out
 
 
-def approved_tool(desc: Column, ctx=DEFAULT_CONTEXT) -> Column:
+def approved_tool(desc: Column, ctx=DEFAULT_CONTEXT, lowered: bool = False) -> Column:
     """Only when the description mentions powershell/psexec; the first
     whitespace-separated word that contains a tool name, then the first tool
     (list order) contained in that word."""
     tools = [t["process"] for t in ctx.get("approved_admin_tools", [])]
     if not tools:
         return F.lit(None).cast("string")
-    ld = F.lower(desc)
+    ld = desc if lowered else F.lower(desc)
     gate = _any_contained(ld, TOOL_GATE)
     alt = "|".join(re.escape(t.lower()) for t in tools)
     word = F.regexp_extract(ld, rf"(\S*(?:{alt})\S*)", 1)
@@ -112,10 +112,10 @@ def _tool_field(tool: Column, field: str, ctx=DEFAULT_CONTEXT) -> Column:
     return out
 
 
-def known_false_positive(desc: Column, ctx=DEFAULT_CONTEXT) -> Column:
+def known_false_positive(desc: Column, ctx=DEFAULT_CONTEXT, lowered: bool = False) -> Column:
     """First false-positive pattern contained in the description."""
     pats = [p["pattern"] for p in ctx.get("known_false_positives", [])]
-    return _first_contained(F.lower(F.coalesce(desc, F.lit(""))), pats)
+    return _first_contained(desc if lowered else F.lower(F.coalesce(desc, F.lit(""))), pats)
 
 
 def _fp_field(pattern: Column, field: str, ctx=DEFAULT_CONTEXT) -> Column:
@@ -125,20 +125,24 @@ def _fp_field(pattern: Column, field: str, ctx=DEFAULT_CONTEXT) -> Column:
     return out
 
 
-def risk_multiplier(desc: Column, iocs: Column, ctx=DEFAULT_CONTEXT) -> Column:
+def risk_text(desc: Column, iocs: Column) -> Column:
+    return F.concat(F.lower(F.coalesce(desc, F.lit(""))), F.lit(" "), F.lower(F.array_join(F.coalesce(iocs, F.array()), " ")))
+
+
+def risk_multiplier(desc: Column, iocs: Column | None, ctx=DEFAULT_CONTEXT, text: Column | None = None) -> Column:
     """Max multiplier over indicators contained in ``desc + ' ' + join(iocs)``, at least 1.0."""
-    text = F.concat(F.lower(F.coalesce(desc, F.lit(""))), F.lit(" "), F.lower(F.array_join(F.coalesce(iocs, F.array()), " ")))
+    text = text if text is not None else risk_text(desc, iocs)
     out = F.lit(1.0)
     for p in ctx.get("high_risk_patterns", []):
         out = F.when(text.contains(p["indicator"].lower()), F.greatest(out, F.lit(float(p["severity_multiplier"])))).otherwise(out)
     return out
 
 
-def idor_hint(desc: Column, distinct: Column, ctx=DEFAULT_CONTEXT) -> Column:
+def idor_hint(desc: Column, distinct: Column, ctx=DEFAULT_CONTEXT, lowered: bool = False) -> Column:
     """struct(pattern_type, resource_count, severity, recommended_verdict) or NULL."""
     thr = ctx.get("idor_detection_rules", {}).get("sequential_threshold", 3)
     d = F.coalesce(distinct, F.lit(0))
-    hit = F.lower(F.coalesce(desc, F.lit(""))).contains("sequential") & (d >= thr)
+    hit = (desc if lowered else F.lower(F.coalesce(desc, F.lit("")))).contains("sequential") & (d >= thr)
     return F.when(
         hit,
         F.struct(
@@ -197,17 +201,20 @@ def enrich_alerts(spark: SparkSession, alerts: DataFrame, ctx=DEFAULT_CONTEXT, f
     df = critical_asset(spark, alerts, ctx)
     st = search_text({"affected_user": F.col("affected_user"), "description": F.col("description"),
                       "udm_text": F.col("udm_text") if "udm_text" in alerts.columns else None})
-    df = (
-        df.withColumn("vip_role", vip_role(F.col("affected_user"), ctx))
-        .withColumn("approved_tool", approved_tool(F.col("description"), ctx))
-        .withColumn("known_fp_pattern", known_false_positive(F.col("description"), ctx))
-        .withColumn("risk_multiplier", risk_multiplier(F.col("description"), F.col("iocs"), ctx))
-        .withColumn("idor", idor_hint(F.col("description"), F.col("distinct_resources"), ctx))
-        .withColumn("_st", st)
-        .withColumn("qa_reason", qa_reason(F.col("_st"), ctx))
-        .withColumn("insider", insider_flag(F.col("_st"), ctx, fold_case))
-        .drop("_st")
-    )
+    # lower-case each long text once; every pattern test reads these columns
+    df = df.select("*", F.lower(F.coalesce(F.col("description"), F.lit(""))).alias("_ld"), st.alias("_st"),
+                   risk_text(F.col("description"), F.col("iocs")).alias("_rt"))
+    ld = F.col("_ld")
+    df = df.select(
+        "*",
+        vip_role(F.col("affected_user"), ctx).alias("vip_role"),
+        approved_tool(ld, ctx, lowered=True).alias("approved_tool"),
+        known_false_positive(ld, ctx, lowered=True).alias("known_fp_pattern"),
+        risk_multiplier(None, None, ctx, text=F.col("_rt")).alias("risk_multiplier"),
+        idor_hint(ld, F.col("distinct_resources"), ctx, lowered=True).alias("idor"),
+        qa_reason(F.col("_st"), ctx).alias("qa_reason"),
+        insider_flag(F.col("_st"), ctx, fold_case).alias("insider"),
+    ).drop("_ld", "_st", "_rt")
     comp = ctx.get("compliance_requirements", {})
     sla = comp.get("escalation_sla", {})
     return df.withColumn(
