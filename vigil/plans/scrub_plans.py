@@ -223,7 +223,21 @@ def q_scrub_hosts(spark, sf):
     return s.select("s_suppkey", F.array_join(F.transform(names, lambda x: S.scrub_text(x)), "|").alias("asset_names"))
 
 
-@register("pii_scrub_nested")
+@register(
+    "pii_scrub_nested",
+    f"""SELECT conv_id, turn, {scrub_sql('role')} AS role, {scrub_sql('text')} AS text,
+       array_to_string(list_transform(string_split(text, chr(10)), lambda x: {scrub_sql('x')}), chr(10)) AS lines,
+       {scrub_sql("split_part(text, chr(10), 1)")} AS meta_first_line, 'role' AS meta_keys
+FROM conversations""",
+)
 def q_scrub_nested(spark, sf):
+    """The nested message scrubbed leaf by leaf (struct, array and map
+    values; map keys untouched), then flattened for the comparison."""
     conv = FX.conversations_nested(spark, sf)
-    return S.scrub_columns(conv, ["msg"])
+    s = S.scrub_columns(conv, ["msg"])
+    return s.select(
+        "conv_id", "turn", F.col("msg.role").alias("role"), F.col("msg.body.text").alias("text"),
+        F.array_join("msg.body.lines", "\n").alias("lines"),
+        F.element_at("msg.meta", F.lit("first_line")).alias("meta_first_line"),
+        F.array_join(F.array_sort(F.filter(F.map_keys("msg.meta"), lambda k: k == "role")), ",").alias("meta_keys"),
+    )
