@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 
 from vigil.functions import scrub as S
 from vigil.functions.telemetry import soar_severity, servicenow_urgency, xsoar_severity
+from vigil.functions.text import fmt
 
 # Fixed values that must equal the reference's results: payload constants and
 # text templates of the SOAR, case and annotation outputs.
 SOURCE = "idor_detection_middleware"
-MITRE_URL = "https://attack.mitre.org/techniques/{}/"
-TITLE = "IDOR Attack Detected: {}"
+TITLE = "IDOR Attack Detected: {user}"
+SN_TEMPLATE_SHORT = "IDOR Attack: {user} - {distinct} resources"
+XSOAR_TEMPLATE_NAME = "IDOR Enumeration Attack - {user}"
+MITRE_PREFIX = "https://attack.mitre.org/techniques/"
 DESC_HEAD = [
     "IDOR enumeration attack detected against user {user}.",
     "",
@@ -29,7 +32,8 @@ DESC_HEAD = [
     "Failed Resources:",
 ]
 DESC_SEQ_YES, DESC_SEQ_NO = "YES (high confidence)", "NO"
-DESC_MORE = "  ... and {} more"
+DESC_RESOURCE = "  - {res} (owner: {owner})"
+DESC_MORE = "  ... and {n} more"
 DESC_TAIL = ["", "Evidence:", "- Request path: {path}", "- Client IP: {ip}", "- User Agent: {agent}"]
 SPLUNK_TAGS = ["idor", "enumeration", "ownership-violation"]
 XSOAR_TYPE = "IDOR Enumeration"
@@ -39,12 +43,16 @@ CASE_DESC = (
     "Distinct Resources: {distinct}\nTime Window: {tw}s\n\nFailed Resources: {failed}\nResource Owners: {owners}\n\n"
     "Detection Logic: {logic} access pattern detected."
 )
-CASE_REASONING = "Ownership-aware IDOR detection: {} unauthorized access attempts to other users' resources."
+CASE_TITLE = "IDOR Attack Detected: {severity}"
+CASE_REASONING = "Ownership-aware IDOR detection: {distinct} unauthorized access attempts to other users' resources."
 CASE_SEVERITY = {"CRITICAL_IDOR_ATTACK": "CRITICAL", "ALERT_MEDIUM": "MEDIUM", "ALERT_LOW": "LOW"}
 ANNOTATION_TEXT = (
     "IDOR Attack Detected (AI Confidence: 95%): User attempted unauthorized access to {distinct} resources owned by "
     "other users. Pattern: {logic}. MITRE: {techs}."
 )
+LOGIC_SEQ, LOGIC_NON_SEQ = "Sequential", "Non-sequential"
+CONFIDENCE_SEQ, CONFIDENCE_OTHER = 0.95, 0.80
+CASE_ASSIGNEE = "soc_tier2"
 ANNOTATION_TAGS = ["idor_attack", "ownership_violation", "automated_detection"]
 ANNOTATION_TYPE = "ai_idor_detection"
 ANNOTATED_BY = "vigil-idor-monitor"
@@ -62,37 +70,26 @@ def iso_timestamp(ts_us: Column) -> Column:
 
 def mitre_urls(techniques: Column) -> Column:
     """One URL per technique, ``.`` → ``/``."""
-    return F.transform(techniques, lambda t: F.concat(F.lit("https://attack.mitre.org/techniques/"), F.replace(t, F.lit("."), F.lit("/")), F.lit("/")))
+    return F.transform(techniques, lambda t: F.concat(F.lit(MITRE_PREFIX), F.replace(t, F.lit("."), F.lit("/")), F.lit("/")))
 
 
 def description(ev: DataFrame) -> Column:
     """Multi-line text; the first five failed resources each with its own owner."""
     seq = F.when(F.col("is_sequential"), F.lit(DESC_SEQ_YES)).otherwise(F.lit(DESC_SEQ_NO))
-    head = F.concat_ws(
-        "\n",
-        F.concat(F.lit("IDOR enumeration attack detected against user "), F.col("user_id"), F.lit(".")),
-        F.lit(""),
-        F.lit("Attack Pattern:"),
-        F.concat(F.lit("- Accessed "), F.col("distinct_resources_accessed").cast("string"), F.lit(" distinct resources owned by other users")),
-        F.concat(F.lit("- Sequential access: "), seq),
-        F.concat(F.lit("- Time window: "), F.col("time_window_seconds").cast("string"), F.lit(" seconds")),
-        F.concat(F.lit("- Session: "), F.col("session_id")),
-        F.lit(""),
-        F.lit("Failed Resources:"),
-    )
+    cols = dict(user=F.col("user_id"), distinct=F.col("distinct_resources_accessed"), seq=seq,
+                tw=F.col("time_window_seconds"), session=F.col("session_id"))
+    head = F.concat_ws("\n", *[fmt(line, **cols) for line in DESC_HEAD])
     pairs = F.slice(F.arrays_zip(F.col("failed_resources").alias("r"), F.col("failed_owners").alias("o")), 1, MAX_DESCRIBED)
-    lines = F.array_join(F.transform(pairs, lambda p: F.concat(F.lit("  - "), p["r"], F.lit(" (owner: "), p["o"], F.lit(")"))), "\n")
+    lines = F.array_join(F.transform(pairs, lambda p: fmt(DESC_RESOURCE, res=p["r"], owner=p["o"])), "\n")
     n = F.size("failed_resources")
-    more = F.when(n > MAX_DESCRIBED, F.concat(F.lit("  ... and "), (n - MAX_DESCRIBED).cast("string"), F.lit(" more")))
+    more = F.when(n > MAX_DESCRIBED, fmt(DESC_MORE, n=n - MAX_DESCRIBED))
     snap = F.col("telemetry_snapshot")
-    tail = F.concat_ws(
-        "\n",
-        F.lit(""),
-        F.lit("Evidence:"),
-        F.concat(F.lit("- Request path: "), F.coalesce(snap["request_path"], F.lit("None"))),
-        F.concat(F.lit("- Client IP: "), F.coalesce(F.nullif(snap["client_ip"], F.lit("")), F.lit("unknown"))),
-        F.concat(F.lit("- User Agent: "), F.coalesce(F.nullif(snap["user_agent"], F.lit("")), F.lit("unknown"))),
+    tail_cols = dict(
+        path=F.coalesce(snap["request_path"], F.lit("None")),
+        ip=F.coalesce(F.nullif(snap["client_ip"], F.lit("")), F.lit("unknown")),
+        agent=F.coalesce(F.nullif(snap["user_agent"], F.lit("")), F.lit("unknown")),
     )
+    tail = F.concat_ws("\n", *[fmt(line, **tail_cols) for line in DESC_TAIL])
     return F.concat_ws("\n", head, F.when(F.size(pairs) > 0, lines), more, tail)
 
 
@@ -102,7 +99,7 @@ def common_payload(ev: DataFrame, auto_hold: Column | None = None) -> DataFrame:
     snap = F.col("telemetry_snapshot")
     return ev.select(
         "event_id",
-        F.concat(F.lit("IDOR Attack Detected: "), F.col("user_id")).alias("title"),
+        fmt(TITLE, user=F.col("user_id")).alias("title"),
         description(ev).alias("description"),
         soar_severity(F.col("severity")).alias("soar_severity"),
         F.lit(SOURCE).alias("source"),
@@ -160,34 +157,35 @@ def servicenow_incident(common: DataFrame) -> DataFrame:
 
 
 def _logic(seq: Column) -> Column:
-    return F.when(seq, F.lit("Sequential")).otherwise(F.lit("Non-sequential"))
+    return F.when(seq, F.lit(LOGIC_SEQ)).otherwise(F.lit(LOGIC_NON_SEQ))
+
+
+def _confidence(seq: Column) -> Column:
+    return F.when(seq, F.lit(CONFIDENCE_SEQ)).otherwise(F.lit(CONFIDENCE_OTHER))
 
 
 def case_rows(ev: DataFrame, scrub: bool = False) -> DataFrame:
     """I7 (+E16): one case per CRITICAL detection."""
     crit = ev.filter(F.col("severity") == "CRITICAL_IDOR_ATTACK")
-    desc = F.concat(
-        F.lit("Ownership-aware monitor detected IDOR enumeration attack.\n\nUser: "), F.col("telemetry_snapshot.user_id"),
-        F.lit("\nSession: "), F.col("session_id"),
-        F.lit("\nDistinct Resources: "), F.col("distinct_resources_accessed").cast("string"),
-        F.lit("\nTime Window: "), F.col("time_window_seconds").cast("string"), F.lit("s\n\nFailed Resources: "),
-        F.array_join("failed_resources", ", "), F.lit("\nResource Owners: "), F.array_join("resource_owners", ", "),
-        F.lit("\n\nDetection Logic: "), _logic(F.col("is_sequential")), F.lit(" access pattern detected."),
+    desc = fmt(
+        CASE_DESC, user=F.col("telemetry_snapshot.user_id"), session=F.col("session_id"),
+        distinct=F.col("distinct_resources_accessed"), tw=F.col("time_window_seconds"),
+        failed=F.array_join("failed_resources", ", "), owners=F.array_join("resource_owners", ", "),
+        logic=_logic(F.col("is_sequential")),
     )
     sev = F.coalesce(
         F.element_at(F.create_map(*[x for k, v in CASE_SEVERITY.items() for x in (F.lit(k), F.lit(v))]), F.col("severity")), F.lit("INFO")
     )
     out = crit.select(
         F.col("event_id").alias("alert_id"),
-        F.concat(F.lit("IDOR Attack Detected: "), F.col("severity")).alias("title"),
+        fmt(CASE_TITLE, severity=F.col("severity")).alias("title"),
         desc.alias("description"),
         sev.alias("severity"),
         F.col("user_id").alias("affected_user"),
-        F.concat(F.lit("Ownership-aware IDOR detection: "), F.col("distinct_resources_accessed").cast("string"),
-                 F.lit(" unauthorized access attempts to other users' resources.")).alias("ai_reasoning"),
-        F.when(F.col("is_sequential"), F.lit(0.95)).otherwise(F.lit(0.80)).alias("confidence_score"),
+        fmt(CASE_REASONING, distinct=F.col("distinct_resources_accessed")).alias("ai_reasoning"),
+        _confidence(F.col("is_sequential")).alias("confidence_score"),
         "mitre_tactics", "mitre_techniques",
-        F.lit("soc_tier2").alias("assigned_to"),
+        F.lit(CASE_ASSIGNEE).alias("assigned_to"),
         F.when(F.col("severity") == "CRITICAL_IDOR_ATTACK", F.lit("high")).otherwise(F.lit("medium")).alias("priority"),
     )
     if scrub:
@@ -197,12 +195,8 @@ def case_rows(ev: DataFrame, scrub: bool = False) -> DataFrame:
 
 def annotation_rows(ev: DataFrame) -> DataFrame:
     """I8: first five source events of each detection; text always scrubbed."""
-    text = F.concat(
-        F.lit("IDOR Attack Detected (AI Confidence: 95%): User attempted unauthorized access to "),
-        F.col("distinct_resources_accessed").cast("string"),
-        F.lit(" resources owned by other users. Pattern: "), _logic(F.col("is_sequential")),
-        F.lit(". MITRE: "), F.array_join("mitre_techniques", ", "), F.lit("."),
-    )
+    text = fmt(ANNOTATION_TEXT, distinct=F.col("distinct_resources_accessed"), logic=_logic(F.col("is_sequential")),
+               techs=F.array_join("mitre_techniques", ", "))
     x = ev.select(
         "event_id", "severity", "is_sequential", "mitre_tactics", "mitre_techniques", "detection_ts_us",
         S.scrub_text(text).alias("annotation_text"),
@@ -211,7 +205,7 @@ def annotation_rows(ev: DataFrame) -> DataFrame:
     return x.select(
         "event_id", (F.col("pos") + 1).alias("pos"), "udm_event_id", F.lit(ANNOTATION_TYPE).alias("annotation_type"),
         "annotation_text", F.col("severity").alias("triage_result"),
-        F.when(F.col("is_sequential"), F.lit(0.95)).otherwise(F.lit(0.80)).alias("confidence"),
+        _confidence(F.col("is_sequential")).alias("confidence"),
         F.array(*[F.lit(t) for t in ANNOTATION_TAGS]).alias("tags"), F.lit(ANNOTATED_BY).alias("annotated_by"),
     )
 
@@ -245,7 +239,7 @@ def incident_templates(ev: DataFrame) -> DataFrame:
     )
     return crit.select(
         "event_id",
-        F.format_string("IDOR Attack: %s - %s resources", F.col("user_id"), F.col("distinct_resources_accessed").cast("string")).alias("sn_short_description"),
-        F.concat(F.lit("IDOR Enumeration Attack - "), F.col("user_id")).alias("xsoar_name"),
+        fmt(SN_TEMPLATE_SHORT, user=F.col("user_id"), distinct=F.col("distinct_resources_accessed")).alias("sn_short_description"),
+        fmt(XSOAR_TEMPLATE_NAME, user=F.col("user_id")).alias("xsoar_name"),
         labels.alias("labels"),
     )

@@ -32,6 +32,25 @@ QA_REASON_USER = "QA user ID detected: contains '{}'"
 TOOL_GATE = ["powershell", "psexec"]
 REDACTED_MARKERS = ["[EMAIL_REDACTED]", "[REDACTED]"]
 NO_CONTEXT_TEXT = "No additional business context available."
+# Business-context text block: header and per-signal line templates, in order.
+CTX_HEADER = "### Business Context"
+CTX_ASSET = ["- **Critical Asset Involved**: {role} (Risk Level: {risk})", "  - Allowed users: {users}"]
+CTX_VIP = ["- **Privileged User**: {justification}", "  - Approved privileges: {privileges}"]
+CTX_TOOL = ["- **Approved Admin Tool**: {notes}", "  - Allowed contexts: {contexts}"]
+CTX_FP = ["- **Known False Positive Pattern**: {reason}", "  - Recommended action: {action}", "  - Last reviewed: {reviewed}"]
+CTX_RISK = ["- **Risk Multiplier**: {m}x (high-risk indicators present)"]
+CTX_IDOR = [
+    "", "**⚠️ IDOR ATTACK PATTERN DETECTED ⚠️**", "- Pattern: {pattern} ({count} resources)", "- Severity: {severity}",
+    "- **STRONG RECOMMENDATION: Classify as {verdict}**", "- This matches known IDOR exploitation techniques",
+]
+CTX_QA = [
+    "", "**✓ QA Testing Activity Detected**", "- {reason}", "- **STRONG RECOMMENDATION: Classify as {verdict}**",
+    "- This is legitimate automated testing, not a real attack",
+]
+CTX_INSIDER = [
+    "", "**⚠️ INSIDER THREAT INDICATORS ⚠️**", "- {reason}", "- **STRONG RECOMMENDATION: Classify as {verdict}**",
+    "- Immediate actions: {actions}",
+]
 
 
 def _lit_array(values: list) -> Column:
@@ -250,62 +269,28 @@ def _fmt_num(x: Column) -> Column:
 
 
 def context_text(df: DataFrame, ctx=DEFAULT_CONTEXT) -> Column:
-    """The business-context block, one line per present signal."""
-    nl = F.lit("\n")
-
-    def lines(cond: Column, *parts: Column) -> Column:
-        return F.when(cond, F.concat_ws("\n", *parts))
-
-    asset = lines(
-        F.col("is_critical"),
-        F.concat(F.lit("- **Critical Asset Involved**: "), F.col("asset_role"), F.lit(" (Risk Level: "), F.col("asset_risk_level"), F.lit(")")),
-        F.concat(F.lit("  - Allowed users: "), F.array_join("allowed_users", ", ")),
-    )
-    vip = lines(
-        F.col("vip_role").isNotNull(),
-        F.concat(F.lit("- **Privileged User**: "), _role_field(F.col("vip_role"), "justification", ctx)),
-        F.concat(F.lit("  - Approved privileges: "), F.array_join(_role_field(F.col("vip_role"), "privileges", ctx), ", ")),
-    )
-    tool = lines(
-        F.col("approved_tool").isNotNull(),
-        F.concat(F.lit("- **Approved Admin Tool**: "), _tool_field(F.col("approved_tool"), "risk_notes", ctx)),
-        F.concat(F.lit("  - Allowed contexts: "), F.array_join(_tool_field(F.col("approved_tool"), "allowed_contexts", ctx), ", ")),
-    )
-    fp = lines(
-        F.col("known_fp_pattern").isNotNull(),
-        F.concat(F.lit("- **Known False Positive Pattern**: "), _fp_field(F.col("known_fp_pattern"), "reason", ctx)),
-        F.concat(F.lit("  - Recommended action: "), _fp_field(F.col("known_fp_pattern"), "recommended_action", ctx)),
-        F.concat(F.lit("  - Last reviewed: "), _fp_field(F.col("known_fp_pattern"), "last_reviewed", ctx)),
-    )
-    risk = lines(
-        F.col("risk_multiplier") > 1.0,
-        F.concat(F.lit("- **Risk Multiplier**: "), _fmt_num(F.col("risk_multiplier")), F.lit("x (high-risk indicators present)")),
-    )
-    idor = lines(
-        F.col("idor").isNotNull(),
-        F.lit(""),
-        F.lit("**⚠️ IDOR ATTACK PATTERN DETECTED ⚠️**"),
-        F.concat(F.lit("- Pattern: "), F.col("idor.pattern_type"), F.lit(" ("), F.col("idor.resource_count").cast("string"), F.lit(" resources)")),
-        F.concat(F.lit("- Severity: "), F.upper(F.col("idor.severity"))),
-        F.concat(F.lit("- **STRONG RECOMMENDATION: Classify as "), F.col("idor.recommended_verdict"), F.lit("**")),
-        F.lit("- This matches known IDOR exploitation techniques"),
-    )
-    qa = lines(
-        F.col("qa_reason").isNotNull(),
-        F.lit(""),
-        F.lit("**✓ QA Testing Activity Detected**"),
-        F.concat(F.lit("- "), F.col("qa_reason")),
-        F.lit(f"- **STRONG RECOMMENDATION: Classify as {V_FALSE_POSITIVE}**"),
-        F.lit("- This is legitimate automated testing, not a real attack"),
-    )
-    insider = lines(
-        F.col("insider"),
-        F.lit(""),
-        F.lit("**⚠️ INSIDER THREAT INDICATORS ⚠️**"),
-        F.lit(f"- {INSIDER_REASON}"),
-        F.lit(f"- **STRONG RECOMMENDATION: Classify as {V_INSIDER}**"),
-        F.lit(f"- Immediate actions: {', '.join(INSIDER_ACTIONS[:2])}"),
-    )
-    body = F.concat_ws("\n", F.lit("### Business Context"), asset, vip, tool, fp, risk, idor, qa, insider)
-    del nl
-    return body
+    """The business-context block, one group of lines per present signal."""
+    from vigil.functions.text import fmt
+
+    def block(cond: Column, lines: list[str], **cols: Column) -> Column:
+        return F.when(cond, F.concat_ws("\n", *[fmt(line, **cols) for line in lines]))
+
+    role, tool, fp = F.col("vip_role"), F.col("approved_tool"), F.col("known_fp_pattern")
+    parts = [
+        F.lit(CTX_HEADER),
+        block(F.col("is_critical"), CTX_ASSET, role=F.col("asset_role"), risk=F.col("asset_risk_level"),
+              users=F.array_join("allowed_users", ", ")),
+        block(role.isNotNull(), CTX_VIP, justification=_role_field(role, "justification", ctx),
+              privileges=F.array_join(_role_field(role, "privileges", ctx), ", ")),
+        block(tool.isNotNull(), CTX_TOOL, notes=_tool_field(tool, "risk_notes", ctx),
+              contexts=F.array_join(_tool_field(tool, "allowed_contexts", ctx), ", ")),
+        block(fp.isNotNull(), CTX_FP, reason=_fp_field(fp, "reason", ctx), action=_fp_field(fp, "recommended_action", ctx),
+              reviewed=_fp_field(fp, "last_reviewed", ctx)),
+        block(F.col("risk_multiplier") > 1.0, CTX_RISK, m=_fmt_num(F.col("risk_multiplier"))),
+        block(F.col("idor").isNotNull(), CTX_IDOR, pattern=F.col("idor.pattern_type"), count=F.col("idor.resource_count"),
+              severity=F.upper(F.col("idor.severity")), verdict=F.col("idor.recommended_verdict")),
+        block(F.col("qa_reason").isNotNull(), CTX_QA, reason=F.col("qa_reason"), verdict=F.lit(V_FALSE_POSITIVE)),
+        block(F.col("insider"), CTX_INSIDER, reason=F.lit(INSIDER_REASON), verdict=F.lit(V_INSIDER),
+              actions=F.lit(", ".join(INSIDER_ACTIONS[:2]))),
+    ]
+    return F.concat_ws("\n", *parts)
