@@ -188,21 +188,29 @@ def suppress_alerts(alerts: DataFrame, key: str, ts: str, suppress_s: int) -> Da
     return g.withColumn("fired", F.col("is_group_start"))
 
 
+# Fixed values of the published playbook: three actions and their texts.
+PLAYBOOK_DISABLE_REASON = "IDOR attack detected: {n} unauthorized access attempts"
+PLAYBOOK_MAIL_TO = "soc-team@company.com"
+PLAYBOOK_MAIL_SUBJECT = "CRITICAL: IDOR Attack by {user}"
+PLAYBOOK_MAIL_BODY = "Session {session} attempted enumeration of {n} loans. Auto-hold executed. MITRE: {techs}"
+PLAYBOOK_ACTIONS = ["disable user", "send email", "lookup ip"]
+
+
 def playbook_actions(events: DataFrame) -> DataFrame:
     """CRITICAL → disable user, notify SOC, look up the client IP."""
-    n = F.size("failed_resources").cast("string")
-    techs = F.concat(F.lit("['"), F.array_join("mitre_techniques", "', '"), F.lit("']"))
-    actions = F.array(
-        F.struct(F.lit(1).alias("step"), F.lit("disable user").alias("action"),
-                 F.to_json(F.struct(F.col("user_id").alias("user_id"),
-                                    F.concat(F.lit("IDOR attack detected: "), n, F.lit(" unauthorized access attempts")).alias("reason"))).alias("parameters")),
-        F.struct(F.lit(2).alias("step"), F.lit("send email").alias("action"),
-                 F.to_json(F.struct(F.lit("soc-team@company.com").alias("to"),
-                                    F.concat(F.lit("CRITICAL: IDOR Attack by "), F.col("user_id")).alias("subject"),
-                                    F.concat(F.lit("Session "), F.col("session_id"), F.lit(" attempted enumeration of "), n,
-                                             F.lit(" loans. Auto-hold executed. MITRE: "), techs).alias("body"))).alias("parameters")),
-        F.struct(F.lit(3).alias("step"), F.lit("lookup ip").alias("action"),
-                 F.to_json(F.struct(F.col("client_ip").alias("ip"))).alias("parameters")),
-    )
+    from vigil.functions.text import fmt
+
+    n = F.size("failed_resources")
+    techs = F.concat(F.lit("['"), F.array_join("mitre_techniques", "', '"), F.lit("']"))  # Python list text
+    params = [
+        F.to_json(F.struct(F.col("user_id").alias("user_id"), fmt(PLAYBOOK_DISABLE_REASON, n=n).alias("reason"))),
+        F.to_json(F.struct(F.lit(PLAYBOOK_MAIL_TO).alias("to"), fmt(PLAYBOOK_MAIL_SUBJECT, user=F.col("user_id")).alias("subject"),
+                           fmt(PLAYBOOK_MAIL_BODY, session=F.col("session_id"), n=n, techs=techs).alias("body"))),
+        F.to_json(F.struct(F.col("client_ip").alias("ip"))),
+    ]
+    actions = F.array(*[
+        F.struct(F.lit(i + 1).alias("step"), F.lit(name).alias("action"), p.alias("parameters"))
+        for i, (name, p) in enumerate(zip(PLAYBOOK_ACTIONS, params))
+    ])
     crit = events.filter(F.col("severity") == "CRITICAL_IDOR_ATTACK")
     return crit.select("event_id", F.explode(actions).alias("a")).select("event_id", "a.step", "a.action", "a.parameters")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigil.functions import scrub as S
+from vigil.functions.text import fmt
 from vigil.sources.fixtures import access_log, user_tags
 
 _US = 1_000_000
@@ -68,8 +69,13 @@ UDM_ALERT = T.StructType([
     T.StructField("risk_score", T.IntegerType()), T.StructField("udm_events", T.ArrayType(UDM_EVENT)),
 ])
 
-# Fixed values of the rule that raises these alerts.
+# Fixed values of the rule that raises these alerts (ours) and of the
+# standard-alert conversion (alert id, title and description formats).
 RULE_ID, RULE_NAME, RULE_VERSION = "ru_idor_seq_enum", "idor_sequential_enumeration", "1.0"
+STD_ALERT_ID = "chronicle_{rule}_{ts}"
+STD_SOURCE = "chronicle"
+STD_TITLE = "Chronicle: {rule}"
+STD_DESCRIPTION = "Chronicle YARA-L rule '{rule}' triggered. Detected {n} matching events."
 UDM_SEVERITIES = ["INFO", "LOW", "MEDIUM", "HIGH", "CRITICAL"]
 
 
@@ -186,12 +192,11 @@ def udm_to_alert(alerts: DataFrame, sample: int = 3) -> DataFrame:
     scrubbed = scrub_udm(alerts.select(*[c for c in UDM_ALERT.fieldNames()]))
     n = F.size("udm_events")
     return scrubbed.select(
-        F.concat(F.lit("chronicle_"), F.col("rule_id"), F.lit("_"), F.col("timestamp")).alias("alert_id"),
+        fmt(STD_ALERT_ID, rule=F.col("rule_id"), ts=F.col("timestamp")).alias("alert_id"),
         F.coalesce("severity", F.lit("MEDIUM")).alias("severity"),
-        F.lit("chronicle").alias("source"),
-        F.concat(F.lit("Chronicle: "), F.col("rule_name")).alias("title"),
-        F.concat(F.lit("Chronicle YARA-L rule '"), F.col("rule_name"), F.lit("' triggered. Detected "),
-                 F.coalesce(F.nullif(F.col("distinct_resources"), F.lit(0)), n).cast("string"), F.lit(" matching events.")).alias("description"),
+        F.lit(STD_SOURCE).alias("source"),
+        fmt(STD_TITLE, rule=F.col("rule_name")).alias("title"),
+        fmt(STD_DESCRIPTION, rule=F.col("rule_name"), n=F.coalesce(F.nullif(F.col("distinct_resources"), F.lit(0)), n)).alias("description"),
         F.col("timestamp"),
         F.col("user_id").alias("affected_user"),
         F.struct(
