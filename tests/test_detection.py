@@ -104,3 +104,31 @@ def test_batch_and_stream_agree(spark, sf_small):
     stream = q["idor_stream"](spark, sf_small)
     stream = stream.select(*q["idor_events"](spark, sf_small).columns)
     assert {tuple(r) for r in stream.collect()} == batch and len(batch) > 0
+
+
+def test_own_resources_do_not_alert(spark):
+    # a multi-loan user touching ten of their own loans: no other-user failures
+    rows = [(i, "u", "s", str(100 + i), "u", False) for i in range(10)]
+    out = D.detect(_log(spark, rows)).collect()
+    assert out == []
+
+
+def test_clear_session_forgets_earlier_failures(spark):
+    rows = [(i, "u", "s", str(100 + i), "o", False) for i in range(3)] + [(10, "u", "s", "200", "o", False)]
+    log = _log(spark, rows)
+    fails = D.classify_access(log).filter("other_failure")
+    clears = spark.createDataFrame([("s", BASE + 5 * US)], "session_id string, clear_ts_us long").withColumnRenamed("clear_ts_us", "ts_us")
+    tagged = D.assign_clear_epoch(fails, clears)
+    out = D.analyze_failures(D.failure_window(tagged, 3600, keys=("session_id", "clear_epoch")))
+    last = out.orderBy(F.col("ts_us").desc()).first()
+    assert last["win_distinct"] == 1 and last["severity"] == X.LOG_ONLY
+    first_three = out.filter(F.col("ts_us") < BASE + 5 * US).orderBy(F.col("ts_us").desc()).first()
+    assert first_three["win_distinct"] == 3
+
+
+def test_frontend_stitch_counts_views_in_window(spark):
+    fails = spark.createDataFrame([(1, "s", BASE + 3600 * US), (2, "t", BASE)], "event_id long, session_id string, ts_us long")
+    views = spark.createDataFrame([("s", BASE + 100 * US), ("s", BASE + 3500 * US), ("s", BASE - 10 * US), ("t", BASE + 1)],
+                                  "session_id string, ts_us long")
+    got = {r["event_id"]: r["page_loads_in_window"] for r in D.stitch_frontend(fails, views, 3600).collect()}
+    assert got == {1: 2, 2: 0}
