@@ -132,3 +132,32 @@ def test_frontend_stitch_counts_views_in_window(spark):
                                   "session_id string, ts_us long")
     got = {r["event_id"]: r["page_loads_in_window"] for r in D.stitch_frontend(fails, views, 3600).collect()}
     assert got == {1: 2, 2: 0}
+
+
+def test_ownership_aware_stream_matches_batch_across_batches(spark, sf_small, tmp_path):
+    """Four time-ordered micro-batches: cross-batch ownership and window state."""
+    import os
+
+    from vigil.plans import load_all
+    from vigil.sources.fixtures import access_log_from_events
+    from vigil.sources.tables import table
+    from vigil.streaming.idor_stream import classify_stream_with_ownership
+
+    ev = table(spark, sf_small, "events")
+    src = os.path.join(str(tmp_path), "events")
+    bounds = ev.approxQuantile("event_id", [0.25, 0.5, 0.75], 0.0)
+    edges = [None] + bounds + [None]
+    for i in range(4):
+        part = ev
+        if edges[i] is not None:
+            part = part.filter(F.col("event_id") > edges[i])
+        if edges[i + 1] is not None:
+            part = part.filter(F.col("event_id") <= edges[i + 1])
+        part.coalesce(1).write.parquet(os.path.join(src, f"part{i}"))
+    paths = sorted(os.path.join(src, d) for d in os.listdir(src))
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(src)
+    got = classify_stream_with_ownership(spark, access_log_from_events(stream), "t", 3 * 86400, 3, 10, 86400)
+    q, _ = load_all()
+    want = {tuple(r) for r in q["access_classify"](spark, sf_small).collect()}
+    assert {tuple(r) for r in got.select("event_id", "user_id", "owner_known", "result").collect()} == want
+    assert len(paths) == 4

@@ -48,3 +48,19 @@ def q_rule_stream(spark, sf):
         F.lit(rule.name).alias("rule_name"), F.unix_micros("w.start").alias("window_start_us"), "session_id", "user_id",
         "distinct_urls", "total_attempts", F.lit(rule.risk_score).alias("risk_score"), F.lit(rule.severity).alias("severity"),
     )
+
+
+def _classify_sql():
+    from vigil.plans.detection_plans import _access_classify_sql
+
+    return _access_classify_sql()
+
+
+@register("access_classify_stream", _classify_sql())
+def q_classify_stream(spark, sf):
+    """E15 + E1/D2 on a stream: ownership-aware classification per micro-batch
+    (stream–static join); equals the batch ``access_classify`` (same oracle)."""
+    from vigil.plans.detection_plans import TTL_S
+
+    log = access_log_from_events(ST.events_stream(spark, sf))
+    return ST.classify_stream_with_ownership(spark, log, "classify_stream", WINDOW_S, THRESHOLD, GAP, TTL_S)

@@ -211,3 +211,73 @@ def run_available_now_update(spark: SparkSession, df: DataFrame, name: str, keys
     res = spark.read.parquet(out)
     w = Window.partitionBy(*keys).orderBy(F.col("_batch").desc())
     return res.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "_batch")
+
+
+def classify_stream_with_ownership(
+    spark: SparkSession,
+    log: DataFrame,
+    name: str,
+    window_seconds: int,
+    threshold: int,
+    sequential_gap: int,
+    ttl_seconds: int,
+) -> DataFrame:
+    """E15 with the ownership lookup (E1 + D2) on a stream: ``foreachBatch`` keeps
+    two tables in the shared checkpoint folder — the ownership log (every
+    success) and the other-user failures — and each micro-batch is classified
+    relationally against them (a stream–static join refreshed per batch). A
+    batch only re-reads failures inside its own window span. Writes overwrite
+    their ``batch_id`` partition, so a retried batch is idempotent.
+    Returns the per-event results table (batch DataFrame) once the input is
+    exhausted (``availableNow``)."""
+    import uuid
+
+    from vigil.operators import detection as D
+    from vigil.operators.ownership import is_owner_asof
+
+    base = os.path.join(checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:8]}")
+    own_path, fail_path, out_path = (os.path.join(base, p) for p in ("ownership", "failures", "results"))
+    w_us = int(window_seconds) * _US
+
+    def write(df: DataFrame, path: str, bid: int) -> None:
+        df.withColumn("batch_id", F.lit(bid)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+            .partitionBy("batch_id").parquet(path)
+
+    def process(batch: DataFrame, bid: int) -> None:
+        batch = batch.drop("event_time")
+        write(batch.filter("success").select("user_id", "resource_id", "ts_us", F.lit("record").alias("op")), own_path, bid)
+        ops = spark.read.parquet(own_path).drop("batch_id")
+        probes = batch.filter(~F.col("success") & F.col("resource_owner_id").isNull()).select(
+            F.col("event_id").alias("probe_id"), "user_id", "resource_id", "ts_us"
+        )
+        owned = is_owner_asof(ops, probes, ttl_seconds).withColumnRenamed("probe_id", "event_id")
+        classified = D.classify_access(batch, owned)
+        fails = classified.filter("other_failure").select(*batch.columns)
+        write(fails, fail_path, bid)
+        span = fails.agg(F.min("ts_us"), F.max("ts_us")).first()
+        results = classified.select("event_id", "user_id", "success", "owner_known", "access_class")
+        if span[0] is not None:
+            hist = spark.read.parquet(fail_path).drop("batch_id").filter(
+                (F.col("ts_us") >= F.lit(span[0] - w_us)) & (F.col("ts_us") <= F.lit(span[1]))
+            )
+            scored = D.analyze_failures(D.failure_window(hist, window_seconds), threshold, sequential_gap)
+            mine = scored.join(fails.select("event_id"), "event_id", "left_semi").select("event_id", "severity")
+            results = results.join(mine, "event_id", "left")
+        else:
+            results = results.withColumn("severity", F.lit(None).cast("string"))
+        result = (
+            F.when(F.col("access_class") == "NO_SESSION", F.lit("LOG_ONLY"))
+            .when(F.col("success"), F.lit("LEGITIMATE_ACCESS"))
+            .when(F.col("owner_known"), F.lit("LOG_ONLY"))
+            .otherwise(F.col("severity"))
+        )
+        write(results.select("event_id", "user_id", "owner_known", result.alias("result")), out_path, bid)
+
+    q = (
+        log.writeStream.foreachBatch(process)
+        .option("checkpointLocation", os.path.join(base, "ckpt"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    q.awaitTermination()
+    return spark.read.parquet(out_path).drop("batch_id")
