@@ -38,7 +38,15 @@ def register(name: str, sql: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
         if name in QUERIES:
             raise ValueError(f"duplicate query {name!r}")
-        QUERIES[name] = fn
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            from vigil.session import ensure_defaults
+
+            ensure_defaults(spark)  # UTC event time, AQE, checkpoint folder
+            return fn(spark, sf_dir)
+
+        run.__name__, run.__module__, run.__doc__ = fn.__name__, fn.__module__, fn.__doc__
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
         return fn

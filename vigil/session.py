@@ -50,6 +50,10 @@ def ensure_defaults(spark: SparkSession) -> None:
     for k, v in _DEFAULTS.items():
         if spark.conf.get(k, None) is None:
             spark.conf.set(k, v)
+    # Event-time arithmetic (epoch micros of naive timestamps, day buckets,
+    # rendered ISO times) is defined in UTC; the session zone always has a
+    # value (the JVM default), so it is pinned explicitly.
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     checkpoint_dir(spark)
 
 
