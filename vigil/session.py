@@ -55,18 +55,33 @@ def ensure_defaults(spark: SparkSession) -> None:
     # value (the JVM default), so it is pinned explicitly.
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     checkpoint_dir(spark)
+    find_package(spark)
+
+
+def find_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it.
+
+    Workers that have it installed, or get it with ``--py-files``, need no such path.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the deployment sets it to shared storage; only when it is
-    unset (local tests) a fresh scratch folder is created.
+    On a cluster the deployment sets it to shared storage, and it is an error if
+    it has not; a local session (tests) gets a fresh scratch folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
-        # unset, as in tests: take a fresh scratch folder
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set; executors need a shared folder for intermediate tables")
+        # unset in a local session, as in tests: take a fresh scratch folder
         current = tempfile.mkdtemp(prefix="vigil-ckpt-", dir="/tmp")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
