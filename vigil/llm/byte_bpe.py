@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.llm.common import PieceCache
+from vigil.llm.common import PieceCache, with_text
 
 NONE = 1 << 62  # rank of a pair that is no token
 
@@ -125,7 +125,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, *keep: Column) -> Dat
                 cols = [*part.columns[:-1], pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, [*part.schema.names[:-1], "ids", "decoded"])
 
-    rows = docs.select(*keep, F.col("text").cast("string"))
+    rows = with_text(docs, *keep)
     made = T.StructType().add("ids", "binary").add("decoded", "binary")
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *made.fields]))
 

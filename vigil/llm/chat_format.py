@@ -45,7 +45,7 @@ class ChatTemplate:
 
 def escape(text: Column) -> Column:
     """Put one more backslash between "<" and "|", so no control string is left in a text."""
-    return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\\\|")
+    return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\|")
 
 
 def unescape(text: Column) -> Column:

@@ -66,6 +66,15 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_text(docs: DataFrame, *keep: Column) -> DataFrame:
+    """``keep`` columns, then the text as a string under a name that none of them has."""
+    kept = docs.select(*keep).columns
+    name = "text"
+    while name in kept:
+        name += "_"
+    return docs.select(*keep, F.col("text").cast("string").alias(name))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vigil.llm.common import with_text
+
 DIM, OTHER_SLOTS, SEED = 1024, 101, 20
 UNKNOWN = "und"
 _ALPHABET = 27 + OTHER_SLOTS  # 0 is the space
@@ -65,7 +67,9 @@ class Profiler:
         return cls.shared
 
     def trigrams(self, text: str | None):
-        """Distinct trigram codes of a whole text and their counts; none if it has no letters."""
+        """Distinct trigram codes of a whole text and their weights; none if it has no letters.
+
+        A weight is the root of the count, so lines repeated many times don't drown the rest."""
         points = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32)
         s = self.slots[points].astype(np.int32)
         if not s.any():
@@ -75,16 +79,17 @@ class Profiler:
         s = np.append(s, 0)
         if len(s) < 3:
             return None
-        return np.unique((s[:-2] * _ALPHABET + s[1:-1]) * _ALPHABET + s[2:], return_counts=True)
+        codes, counts = np.unique((s[:-2] * _ALPHABET + s[1:-1]) * _ALPHABET + s[2:], return_counts=True)
+        return codes, np.sqrt(counts)
 
-    def bundle(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        total = np.zeros(DIM, np.float64)
+    def bundle(self, codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        total = np.zeros(DIM)
         for low in range(0, len(codes), _BLOCK):
             c = codes[low : low + _BLOCK]
             vectors = self.first[c // _ALPHABET**2]
             vectors *= self.second[c // _ALPHABET % _ALPHABET]
             vectors *= self.third[c % _ALPHABET]
-            total += counts[low : low + _BLOCK].astype(np.float32) @ vectors.astype(np.float32)
+            total += weights[low : low + _BLOCK].astype(np.float32) @ vectors.astype(np.float32)
         return total
 
 
@@ -93,15 +98,15 @@ def learn(labelled: DataFrame) -> dict[str, np.ndarray]:
 
     def bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiler = Profiler.get()
-        counts: dict[str, dict[int, int]] = {}
+        sums: dict[str, dict[int, float]] = {}
         for b in batches:
             for text, lang in zip(b.column(0), b.column(1).to_pylist()):
                 found = profiler.trigrams(text.as_py())
                 if found:
-                    own = counts.setdefault(lang, {})
+                    own = sums.setdefault(lang, {})
                     for code, n in zip(found[0].tolist(), found[1].tolist()):
                         own[code] = own.get(code, 0) + n
-        for lang, own in counts.items():
+        for lang, own in sums.items():
             total = profiler.bundle(np.fromiter(own, np.int64), np.fromiter(own.values(), np.float64))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang] * DIM), pa.array(np.arange(DIM, dtype=np.int32)), pa.array(total)],
@@ -120,38 +125,41 @@ def learn(labelled: DataFrame) -> dict[str, np.ndarray]:
 
 
 def predict(docs: DataFrame, model: dict[str, np.ndarray], *keep: Column) -> DataFrame:
-    """``keep`` columns, lang_pred and score (cosine, at least 0) of every whole text."""
+    """``keep`` columns, lang_pred, score (cosine, at least 0) and n_trigrams of every whole text."""
     langs, matrix = list(model), np.array(list(model.values())).reshape(-1, DIM)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiler = Profiler.get()
         for b in batches:
-            best, scores = [], []
+            best, scores, sizes = [], [], []
             for text in b.column(b.num_columns - 1):
-                found = profiler.trigrams(text.as_py()) if langs else None
+                found = profiler.trigrams(text.as_py())
                 lang, score = UNKNOWN, 0.0
-                if found:
+                if found and langs:
                     v = profiler.bundle(*found)
                     cosines = matrix @ v / max(np.linalg.norm(v), 1e-300)
                     at = int(cosines.argmax())
                     lang, score = langs[at], float(min(1.0, max(0.0, cosines[at])))
                 best.append(lang)
                 scores.append(score)
-            cols = [*b.columns[:-1], pa.array(best, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, [*b.schema.names[:-1], "lang_pred", "score"])
+                sizes.append(len(found[0]) if found else 0)
+            cols = [*b.columns[:-1], pa.array(best, pa.string()), pa.array(scores, pa.float64()), pa.array(sizes)]
+            yield pa.RecordBatch.from_arrays(cols, [*b.schema.names[:-1], "lang_pred", "score", "n_trigrams"])
 
-    rows = docs.select(*keep, F.col("text").cast("string"))
-    found = T.StructType().add("lang_pred", "string").add("score", "double")
+    rows = with_text(docs, *keep)
+    found = T.StructType().add("lang_pred", "string").add("score", "double").add("n_trigrams", "long")
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *found.fields]))
 
 
-def drop_foreign(docs: DataFrame, least: float = 0.05) -> DataFrame:
+def drop_foreign(docs: DataFrame, least: float = 0.05, enough: int = 100) -> DataFrame:
     """Documents in a language that can be told, with all their columns; learns from their own lang.
 
-    Rejects ``und`` (no letters at all) and texts whose cosine to every language is under
-    ``least``: two random bundles differ by about 1 / sqrt(DIM) = 0.03, so such a text
-    shares no letter patterns with any language. Short and noisy prose stays.
+    Rejects ``und`` (no letters, or no language to learn) and texts of at least ``enough`` distinct
+    trigrams whose cosine to every language is under ``least``: random bundles differ by about
+    1 / sqrt(DIM) = 0.03, so such a text shares no letter patterns with any language. Prose, noisy
+    or short, stays.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     told = predict(docs, learn(docs), row)
-    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
+    near = (F.col("score") >= least) | (F.col("n_trigrams") < enough)
+    return told.where((F.col("lang_pred") != UNKNOWN) & near).select("row.*")

@@ -58,11 +58,113 @@ def query(sql: str | None = None):
     return add
 
 
+_MIX_SQL = """
+WITH rows AS (
+  SELECT doc_id, coalesce('s' || source, '~') AS src,
+         coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size,
+         greatest(0.05, 1.0 - 4.0 * (coalesce(len(regexp_extract_all(text, '[^\\p{L}\\x20\\x09-\\x0D]')), 0)
+                                     / greatest(length(coalesce(text, '')), 1)::DOUBLE)) AS weight,
+         (('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT + 0.5::DOUBLE)
+           / 4503599627370496::DOUBLE AS u
+  FROM documents
+), sources AS (
+  SELECT src, sum(size)::BIGINT AS source_size,
+         [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY src) - 1) % 3 + 1)::INT]::DOUBLE AS share
+  FROM rows GROUP BY src
+), levels AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(3.0::DOUBLE * source_size) OVER before, 0))
+            / (sum(share) OVER () - coalesce(sum(share) OVER before, 0)) AS level
+  FROM sources
+  WINDOW before AS (ORDER BY 3.0::DOUBLE * source_size / share, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), plan AS (
+  SELECT src, source_size, least(3.0::DOUBLE * source_size, share * max(level) OVER ()) AS target FROM levels
+), dealt AS (
+  SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 0 END AS epochs FROM plan
+), keyed AS (
+  SELECT r.*, d.source_size, d.target, d.epochs, d.target - d.epochs * d.source_size AS rest, -ln(u) / weight AS key
+  FROM rows r JOIN dealt d USING (src)
+), placed AS (
+  SELECT *, sum(size) OVER (PARTITION BY src ORDER BY key) - sum(size) OVER (PARTITION BY src, key) / 2.0 AS middle
+  FROM keyed
+)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+       (size * (epochs + CASE WHEN rest > 0 AND middle <= rest THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM placed
+"""
+
+_LINKS_SQL = """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.98
+), reached AS (
+  SELECT vec_id AS a, vec_id AS b FROM vectors UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+)
+SELECT v.vec_id, (SELECT count(*) FROM links l WHERE l.a = v.vec_id) AS n_links, min(r.b) AS component_id,
+       min(r.b) = v.vec_id AS kept
+FROM vectors v JOIN reached r ON r.a = v.vec_id GROUP BY v.vec_id
+"""
+
+_CHAT_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'),
+                   (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+), turns AS (
+  SELECT *, row_number() OVER w AS k, coalesce(lag(role) OVER w, '') AS before,
+         12 + length(replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '<', '%3C')) + 1
+         + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) + 11 AS chars
+  FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), chats AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY k) AS lines,
+         coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '') AS loss,
+         sum(chars)::BIGINT AS formatted_chars,
+         bool_and(before || '>' || role IN ('>system', '>user', 'system>user', 'user>assistant', 'assistant>user'))
+           AND arg_max(role, k) = 'assistant' AS valid
+  FROM turns GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(lines) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+       formatted_chars, valid
+FROM chats
+"""
+
+
+def _license_sql(threshold: float) -> str:
+    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    names = sorted(license_scan.TEMPLATES)
+    quoted = lambda g: g.replace("'", "''")
+    values = ", ".join(
+        f"({k}, '{name}', [{', '.join(f"'{quoted(g)}'" for g in license_scan.template_bigrams(license_scan.TEMPLATES[name]))}])"
+        for k, name in enumerate(names)
+    )
+    return rf"""
+WITH templates(place, license, wanted) AS (VALUES {values}),
+texts AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+units AS (
+  SELECT doc_id, unnest(range(1, len(lines) + 1))::INT AS unit, unnest(lines) AS raw FROM texts
+  UNION ALL SELECT doc_id, 0, text FROM texts WHERE len(lines) > 1
+), worded AS (
+  SELECT doc_id, unit, string_split(trim(regexp_replace(lower(raw), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS words
+  FROM units
+), pairs AS (
+  SELECT doc_id, unit, list_distinct([words[i] || ' ' || words[i + 1] FOR i IN range(1, len(words))]) AS grams
+  FROM worded WHERE len(words) > 1
+), scored AS (
+  SELECT doc_id, unit, license, place,
+         2.0::DOUBLE * len(list_intersect(grams, wanted)) / (len(grams) + len(wanted)) AS dice
+  FROM pairs JOIN templates ON len(grams) BETWEEN {low} * len(wanted) AND {high} * len(wanted)
+)
+SELECT doc_id, unit, license, dice FROM scored WHERE dice >= {threshold}
+QUALIFY row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, place) = 1
+"""
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query()
+@query(_MIX_SQL)
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_table(spark, sf_dir, "documents")).drop("times")
 
@@ -75,7 +177,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model, F.col("doc_id"), held_out)
 
 
-@query()
+@query(_LINKS_SQL)
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link_embeddings(_table(spark, sf_dir, "embeddings"), threshold=0.98)
 
@@ -94,7 +196,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.token_digests(byte_bpe.encode_texts(docs, path, pattern, F.col("doc_id")), F.col("doc_id"))
 
 
-@query()
+@query(_license_sql(0.8))
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(_table(spark, sf_dir, "documents"), threshold=0.8)
 
@@ -109,7 +211,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passage_dedup.passage_report(_table(spark, sf_dir, "documents"), window=200)
 
 
-@query()
+@query(_CHAT_SQL)
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "<|im_end|><|im_start|>assistant ok"
