@@ -335,7 +335,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, tile: int = TILE, batc
     """(key, guard, firsts, ends): for every text with repeats, byte spans that together are
     all bytes to remove. Spans may touch or overlap."""
     found = stage_table(_scan(docs, window), "anchors")
-    grams = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # written, so that the join has two plain exchanges and Spark can split a gram's rows
+    grams = stage_table(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams")
     shared = stage_table(found.join(grams, "gram"), "shared_anchors")
     contexts = stage_table(
         shared.groupBy("gram", "context").agg(
