@@ -134,7 +134,7 @@ class PieceCache(dict):
     The bound is on memory only; a dropped entry is computed again.
     """
 
-    def __init__(self, fn: Callable, limit: int = 400_000):
+    def __init__(self, fn: Callable, limit: int = 300_000):
         super().__init__()
         self.fn, self.limit, self.old = fn, limit, {}
 

@@ -21,6 +21,8 @@ files and no rows; other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,31 +31,36 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.llm.common import PieceCache, bucket_of, ordered_bounds, scratch_path, shuffle_width
+from vigil.llm.common import bucket_of, ordered_bounds, scratch_path, shuffle_width
 
 BLOCK_IDS = 1 << 18
 
+#: Signs (but the apostrophe) between a letter and white space are a word of their own to the tokenizer.
+SIGNS = re.compile(r"(?<=[a-z])([!-&(-/:-@\[-`{-~]+)(?=[ \n]|$)")
+
 #: Lengths of the four numbers of every control byte.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 
 
 class WordTokenizer:
-    """Ids of whole texts by a tokenizers file whose pre-tokenizer drops white space.
+    """Ids of whole texts by a tokenizers file that lower-cases, splits runs of letters from
+    other signs and drops white space.
 
-    No token spans a space or line break, so a text's ids are those of its parts between
-    them; parts repeat and are kept in a bounded cache.
+    No token spans a space or line break, so a text's ids are those of its parts between them.
+    Parts repeat; their ids are kept in two generations of bounded dictionaries. A part of
+    letters only is one word to the library: ASCII ones go straight to its merges, others are
+    encoded together, and the library says of every id to which word it belongs.
     """
 
     loaded: dict[str, "WordTokenizer"] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.parts = PieceCache(self.encode_part)
-        self.parts[""] = b""
+        self.limit, self.known, self.older = limit, {}, {}
 
     @classmethod
     def get(cls, path: str) -> "WordTokenizer":
@@ -61,12 +68,52 @@ class WordTokenizer:
             cls.loaded[path] = cls(path)
         return cls.loaded[path]
 
-    def encode_part(self, part: str) -> bytes:
-        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, text: str | None) -> np.ndarray:
-        parts = (text or "").replace("\n", " ").split(" ")
-        return np.frombuffer(b"".join(map(self.parts.__getitem__, parts)), "<u4")
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, parts: set[str]) -> None:
+        """Make the ids of all parts known."""
+        known, older = self.known, self.older
+        new = parts.difference(known)
+        back = new.intersection(older)
+        known.update((part, older[part]) for part in back)
+        new -= back
+        merges = self.tokenizer.model.tokenize
+        words = []
+        for part in new:
+            if not part.isalpha():
+                known[part] = self._ids(part)
+            elif part.isascii():  # the library's merges alone: the steps before them change nothing here
+                known[part] = array("I", [t.id for t in merges(part)]).tobytes()
+            else:
+                words.append(part)
+        for low in range(0, len(words), 4096):
+            group = words[low : low + 4096]
+            found = self.tokenizer.encode(" ".join(group), add_special_tokens=False)
+            ids, of = np.array(found.ids, "<u4").tobytes(), found.word_ids
+            if of[-1] != len(group) - 1:  # not one word each: ask for them one by one
+                known.update((w, self._ids(w)) for w in group)
+                continue
+            at = 0
+            for word, end in zip(group, (np.searchsorted(of, np.arange(len(group)), side="right") * 4).tolist()):
+                known[word] = ids[at:end]
+                at = end
+
+    @staticmethod
+    def _parts(text: str | None) -> list[str]:
+        # Only A-Z: the library lower-cases all else by its own rules.
+        lowered = (text or "").encode().lower().decode()
+        return SIGNS.sub(r" \1 ", lowered).replace("\n", " ").split(" ")
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        out = []
+        for low in range(0, len(texts), 64):
+            if len(self.known) > self.limit:
+                self.older, self.known = self.known, {}
+            parts = [self._parts(t) for t in texts[low : low + 64]]
+            self._learn(set().union(*parts))
+            out += [np.frombuffer(b"".join(map(self.known.__getitem__, p)), "<u4") for p in parts]
+        return out
 
 
 def pack(numbers: np.ndarray) -> tuple[bytes, bytes]:
@@ -100,7 +147,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         for b in batches:
             for low in range(0, b.num_rows, 512):
                 part = b.slice(low, 512)
-                ids = [np.concatenate([words.encode(t.as_py()), end]).tobytes() for t in part.column(2)]
+                ids = [np.concatenate([i, end]).tobytes() for i in words.encode(part.column(2).to_pylist())]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(ids, pa.binary())], ["doc_id", "tie", "ids"]
                 )
@@ -145,12 +192,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -
     rank_of[ranked] = np.arange(len(ranked), dtype=np.uint32)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            arrays = [rank_of[ids] for ids in _arrays(b.column(3))]
-            both = [pack(a) for a in arrays]
-            cols = [pa.array([len(a) for a in arrays], pa.int64())]
-            cols += [pa.array([x[k] for x in both], pa.binary()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *cols], [*b.schema.names[:3], "n", "control", "data"])
+        for whole in batches:
+            for low in range(0, whole.num_rows, 512):  # a few documents at a time bound the memory
+                b = whole.slice(low, 512)
+                arrays = [rank_of[ids] for ids in _arrays(b.column(3))]
+                both = [pack(a) for a in arrays]
+                cols = [pa.array([len(a) for a in arrays], pa.int64())]
+                cols += [pa.array([x[k] for x in both], pa.binary()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], *cols], [*b.schema.names[:3], "n", "control", "data"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, number, held, rows = 0, 0, 0, []
