@@ -223,9 +223,18 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) ->
     Rows with that doc_id and the same text are one document and stay once. Rows with a null
     doc_id cannot be named by a component and all stay.
     """
-    found = simhash_components(docs, shingle, radius)
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept")).distinct()
+    found = stage_table(simhash_components(docs, shingle, radius).where("doc_id is not null"), "components")
+    keep = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    # What goes is little; written, Spark sees its size and need not shuffle the texts if it is small.
+    gone = stage_table(found.select("doc_id").distinct().join(keep, "doc_id", "left_anti"), "gone")
+    many = stage_table(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "many")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    kept = whole.join(keep, F.col("row.doc_id") == F.col("kept"))
-    once = kept.withColumn("digest", F.xxhash64("row.text")).dropDuplicates(["kept", "digest"]).select("row")
-    return once.unionByName(whole.where(F.col("row.doc_id").isNull())).select("row.*")
+    is_one = lambda ids: F.col("row.doc_id") == ids["doc_id"]
+    left = whole.join(gone, is_one(gone), "left_anti")
+    once = (
+        left.join(many, is_one(many), "left_semi")
+        .select("row", F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("digest"))
+        .dropDuplicates(["id", "digest"])
+        .select("row")
+    )
+    return left.join(many, is_one(many), "left_anti").unionByName(once).select("row.*")
