@@ -67,6 +67,12 @@ def bigrams(words: Column) -> Column:
     )
 
 
+def _once(value: Column) -> Column:
+    """The value as a column of a generator: filters on it stay above it, so it is computed once
+    per row and not again in every filter and comparison that Spark would move it into."""
+    return F.explode(F.array(value))
+
+
 def scan_licenses(
     docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8
 ) -> DataFrame:
@@ -90,10 +96,10 @@ def scan_licenses(
     opening = F.slice("words", 1, 2 * int(largest) + 2)
     units = (
         units.where(F.length("raw") >= F.lit(2 * fewest))
-        .withColumn("words", F.split(normalise(F.col("raw")), " "))
+        .select("doc_id", "unit", _once(F.split(normalise(F.col("raw")), " ")).alias("words"))
         .where((F.size("words") > 1) & (F.size("words") - 1 >= F.lit(fewest)))
         .where((F.size("words") <= F.size(opening)) | (F.size(bigrams(opening)) <= F.lit(largest)))
-        .select("doc_id", "unit", bigrams(F.col("words")).alias("grams"))
+        .select("doc_id", "unit", _once(bigrams(F.col("words"))).alias("grams"))
     )
     n = F.size("grams")
     scored = [
@@ -111,7 +117,7 @@ def scan_licenses(
     ]
     return (
         units.where(n <= F.lit(largest))
-        .select("doc_id", "unit", F.array_max(F.array(*scored)).alias("best"))
+        .select("doc_id", "unit", _once(F.array_max(F.array(*scored))).alias("best"))
         .where(F.col("best.dice") >= F.lit(threshold))
         .select("doc_id", "unit", "best.license", "best.dice")
     )
