@@ -217,14 +217,17 @@ def incident_id(response_json: Column) -> Column:
 
 
 def delivery_attempts(deliveries: DataFrame, max_attempts: int = 3) -> DataFrame:
-    """One row per attempt; exponential backoff ``2^(n-1)`` s before retry n+1."""
-    n = F.least(F.col("attempts"), F.lit(max_attempts))
+    """One row per attempt made; exponential backoff ``2^(n-1)`` s before retry n+1.
+
+    Attempts beyond ``max_attempts`` keep their rows and outcome and are flagged ``over_limit``."""
+    n = F.col("attempts")
     x = deliveries.select("delivery_id", "success", n.alias("n"), F.explode(F.sequence(F.lit(1), n)).alias("attempt"))
     ok = F.col("success") & (F.col("attempt") == F.col("n"))
     return x.select(
         "delivery_id", "attempt",
         F.when(ok, F.lit("delivered")).otherwise(F.lit("failed")).alias("outcome"),
         F.when(F.col("attempt") > 1, F.pow(F.lit(2), F.col("attempt") - 2).cast("int")).otherwise(F.lit(0)).alias("backoff_before_s"),
+        (F.col("attempt") > max_attempts).alias("over_limit"),
     )
 
 

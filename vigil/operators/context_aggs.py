@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigil.operators.sequence import running
+
 _US = 1_000_000
 DAY_US = 86_400 * _US
 
@@ -122,78 +124,103 @@ def fmt_network(n: Column) -> Column:
     )
 
 
-MAX_BROADCAST_QUERIES = 50_000
-
-
-def similar_topk(queries: DataFrame, corpus: DataFrame, k: int = 3, buckets: int = 64) -> DataFrame:
+def similar_topk(queries: DataFrame, corpus: DataFrame, k: int = 3, block_rows: int = 2048) -> DataFrame:
     """Cosine similarity of each query vector to every corpus vector, top-k.
 
-    The query set (the alerts under triage, not the history) is bounded by a
-    row-count check and shipped to the tasks as one normalised matrix; each
-    Arrow batch of the corpus is scored with one matrix product and emits only
-    its best ``k`` rows per query — no pair rows are ever materialised. The
-    per-batch candidates are merged by the two-phase top-k. Beyond the bound,
-    split the query set or use ``pyspark.ml`` LSH.
+    Both sides are dealt by hash into blocks of about ``block_rows`` rows, and every
+    query block meets every corpus block in its own task: one matrix product, of which
+    only the best ``k`` rows per query leave. Neither side passes the driver; the number
+    of blocks grows with the tables and the memory of a task does not. The candidates
+    are merged by the two-phase top-k, and the winners fetch their other columns.
+
+    Scores are compared at 12 decimals, so that equal vectors tie (the smaller
+    ``vec_id`` first); a zero vector has a NULL score and comes last.
     """
     import numpy as np
     import pandas as pd
 
-    nq = queries.count()
-    if nq > MAX_BROADCAST_QUERIES:
-        raise ValueError(f"{nq} query vectors exceed the broadcast bound {MAX_BROADCAST_QUERIES}")
-    qp = queries.select("query_id", "qv").toPandas()  # bounded by the check above
-    qids = qp["query_id"].to_numpy(dtype="int64")
-    qmat = np.array([np.asarray(v, dtype="float64") for v in qp["qv"]]) if nq else np.zeros((0, 0))
-    bq = corpus.sparkSession.sparkContext.broadcast((qids, qmat))
-    schema = "query_id long, vec_id long, disposition string, analyst_notes string, similarity double"
-
-    def score(batches):
-        ids, Q = bq.value
-        qn = np.sqrt((Q * Q).sum(axis=1)) if len(ids) else np.zeros(0)
-        for pdf in batches:
-            if len(pdf) == 0 or len(ids) == 0:
-                continue
-            V = np.array([np.asarray(v, dtype="float64") for v in pdf["v"]])
-            vn = np.sqrt((V * V).sum(axis=1))
-            dots = Q @ V.T
-            with np.errstate(divide="ignore", invalid="ignore"):
-                sim = dots / np.outer(qn, vn)
-            sim[(qn[:, None] == 0) | (vn[None, :] == 0)] = np.nan
-            vec = pdf["vec_id"].to_numpy(dtype="int64")
-            out = []
-            for qi in range(len(ids)):
-                row = sim[qi]
-                key = np.where(np.isnan(row), np.inf, -row)  # NULL scores last
-                order = np.lexsort((vec, key))[:k]
-                out.append(pd.DataFrame({
-                    "query_id": ids[qi], "vec_id": vec[order], "disposition": pdf["disposition"].to_numpy()[order],
-                    "analyst_notes": pdf["analyst_notes"].to_numpy()[order],
-                    "similarity": np.where(np.isnan(row[order]), None, row[order]),
-                }))
-            yield pd.concat(out, ignore_index=True)
-
-    cand = corpus.select("vec_id", "v", "disposition", "analyst_notes").mapInPandas(score, schema)
+    n_q = -(-queries.count() // block_rows) or 1
+    n_c = -(-corpus.count() // block_rows) or 1
+
+    def block(key: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    q = queries.select("query_id", "qv", block("query_id", n_q).alias("qb")).select("*", every(n_c).alias("cb"))
+    c = corpus.select("vec_id", "v", block("vec_id", n_c).alias("cb")).select("*", every(n_q).alias("qb"))
+
+    def score(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
+        if qs.empty or cs.empty:
+            return pd.DataFrame({"query_id": [], "vec_id": [], "similarity": []})
+        Q, V = (np.stack(x.to_numpy()).astype("float64") for x in (qs["qv"], cs["v"]))
+        norms = np.outer(np.sqrt((Q * Q).sum(axis=1)), np.sqrt((V * V).sum(axis=1)))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            sim = np.where(norms > 0, np.round((Q @ V.T) / norms, 12), -np.inf)  # NULL scores last
+        last = -np.partition(-sim, min(k, len(V)) - 1, axis=1)[:, min(k, len(V)) - 1]
+        row, col = np.nonzero(sim >= last[:, None])
+        value, vec = sim[row, col], cs["vec_id"].to_numpy()[col]
+        order = np.lexsort((vec, -value, row))
+        row = row[order]
+        best = order[np.arange(len(row)) - np.searchsorted(row, row) < k]
+        value = pd.Series(value[best])
+        return pd.DataFrame({
+            "query_id": np.repeat(qs["query_id"].to_numpy(), np.bincount(row, minlength=len(Q)).clip(max=k)),
+            "vec_id": vec[best],
+            "similarity": value.where(value > -np.inf, None),
+        })
+
+    cand = (
+        q.groupBy("qb", "cb")
+        .cogroup(c.groupBy("qb", "cb"))
+        .applyInPandas(score, "query_id long, vec_id long, similarity double")
+    )
     order = [F.col("similarity").desc_nulls_last(), F.col("vec_id")]
-    return top_k_per_key(cand, "query_id", order, k, salt_col="vec_id", buckets=buckets)
+    top = top_k_per_key(cand, "query_id", order, k, salt_col="vec_id")
+    return top.join(corpus.select("vec_id", "disposition", "analyst_notes"), "vec_id").select(
+        "query_id", "vec_id", "disposition", "analyst_notes", "similarity", "rank"
+    )
 
 
 def interval_join_counts(
     alerts: DataFrame, events: DataFrame, key: str, before_us: int, bucket_us: int = DAY_US
 ) -> DataFrame:
-    """Per alert, events on the same key with ``alert_ts - before ≤ ts ≤ alert_ts``.
+    """Per alert, the number and last time of events on the same key with
+    ``alert_ts - before ≤ ts ≤ alert_ts``.
+
+    No alert meets an event: both lie on one time line per key, where every alert reads
+    the running count (and latest event) at its end and just before its start. The
+    running values split a hot key by time bucket."""
+    at_start, an_event, at_end = 0, 1, 2  # order of rows of one instant
+    none = F.lit(None)
+
+    def probe(kind: int, ts: Column) -> DataFrame:
+        return alerts.select(
+            F.col(key).alias("_k"), ts.alias("_t"), F.lit(kind).alias("_o"), "alert_key", F.col("ts_us").alias("_alert_us")
+        )
 
-    Equi-join on ``(key, time bucket)``: each alert probes every bucket its
-    interval touches, so a key with many events is split by time."""
-    nb = before_us // bucket_us + 1
-    a = alerts.withColumn("_b0", F.floor(F.col("ts_us") / F.lit(bucket_us))).withColumn(
-        "_b", F.explode(F.sequence(F.col("_b0") - F.lit(nb), F.col("_b0")))
+    line = (
+        events.select(
+            F.col(key).alias("_k"), F.col("ts_us").alias("_t"), F.lit(an_event).alias("_o"),
+            none.cast(alerts.schema["alert_key"].dataType).alias("alert_key"), none.cast("bigint").alias("_alert_us"),
+        )
+        .unionByName(probe(at_start, F.col("ts_us") - F.lit(before_us)))
+        .unionByName(probe(at_end, F.col("ts_us")))
+    )
+    is_event = F.col("_o") == an_event
+    seen = running(
+        line, ["_k"], [F.col("_t"), F.col("_o")],
+        {"n": ("sum", is_event.cast("bigint")), "last": ("max", F.when(is_event, F.col("_t")))}, "_t", bucket_us,
+    ).filter(~is_event)
+    n, end = F.col("n"), F.col("_o") == at_end
+    both = seen.groupBy("alert_key", F.col("_k").alias(key), F.col("_alert_us").alias("ts_us")).agg(
+        # rows repeated in ``alerts`` stand in both sums alike and count once per row
+        F.sum(F.when(end, n).otherwise(-n)).alias("events_in_window"), F.max(F.when(end, F.col("last"))).alias("_last")
     )
-    e = events.select(F.col(key).alias("_k"), F.col("ts_us").alias("ev_us"), F.floor(F.col("ts_us") / F.lit(bucket_us)).alias("_b"))
-    cond = (
-        (a[key] == e["_k"]) & (a["_b"] == e["_b"]) & (e["ev_us"] >= a["ts_us"] - F.lit(before_us)) & (e["ev_us"] <= a["ts_us"])
+    return both.select(
+        "alert_key", key, "ts_us", "events_in_window", F.when(F.col("events_in_window") > 0, F.col("_last")).alias("last_event_us")
     )
-    j = a.join(e, cond, "left").select(a["alert_key"], a[key], a["ts_us"], e["ev_us"])
-    return j.groupBy("alert_key", key, "ts_us").agg(F.count("ev_us").alias("events_in_window"), F.max("ev_us").alias("last_event_us"))
 
 
 def ip_to_long(ip: Column) -> Column:
@@ -219,8 +246,7 @@ def cidr_ranges(cidrs: DataFrame) -> DataFrame:
 
 def cidr_match(ips: DataFrame, ranges: DataFrame) -> DataFrame:
     """Range join ``lo ≤ ip ≤ hi`` as an equi-join on the /16 bucket plus a filter.
-    ``ranges`` is configuration (bounded) and broadcast."""
+    Spark chooses the join by the size of ``ranges``."""
     x = ips.withColumn("_ipn", ip_to_long(F.col("ip"))).withColumn("_b16", F.shiftright("_ipn", 16))
-    r = F.broadcast(ranges)
-    j = x.join(r, (x["_b16"] == r["_b16"]) & (x["_ipn"] >= r["lo"]) & (x["_ipn"] <= r["hi"]), "inner")
+    j = x.join(ranges, "_b16").filter((F.col("_ipn") >= F.col("lo")) & (F.col("_ipn") <= F.col("hi")))
     return j.drop("_b16", "_ipn", "lo", "hi")

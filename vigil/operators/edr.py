@@ -42,9 +42,11 @@ def edr_flags(ev: DataFrame) -> DataFrame:
     )
 
 
-def process_parentage(ev: DataFrame, depth: int = 2) -> DataFrame:
-    """Child → parent (→ grandparent …) by (endpoint, pid) self-joins, a
-    fixed number of levels (no unbounded recursion)."""
+def process_parentage(ev: DataFrame, depth: int) -> DataFrame:
+    """Child → parent (→ grandparent …) by (endpoint, pid) self-joins.
+
+    ``depth`` is the number of ancestor columns; ``truncated`` says that the
+    topmost ancestor shown has a parent of its own in the data."""
     base = ev.select("endpoint_id", "process_id", "parent_process_id", "process_name")
     out = base.withColumn("_cur", F.col("parent_process_id"))
     names = []
@@ -56,4 +58,6 @@ def process_parentage(ev: DataFrame, depth: int = 2) -> DataFrame:
         out = out.join(p, (out["endpoint_id"] == p["_e"]) & (out["_cur"] == p["_p"]), "left").drop("_e", "_p", "_cur")
         out = out.withColumnRenamed("_next", "_cur")
         names.append(f"ancestor_{lvl}")
-    return out.drop("_cur").select("endpoint_id", "process_id", "process_name", *names)
+    known = base.select(F.col("endpoint_id").alias("_e"), F.col("process_id").alias("_p")).distinct()
+    out = out.join(known, (out["endpoint_id"] == known["_e"]) & (out["_cur"] == known["_p"]), "left")
+    return out.select("endpoint_id", "process_id", "process_name", *names, F.col("_p").isNotNull().alias("truncated"))

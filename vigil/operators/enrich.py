@@ -73,7 +73,7 @@ def _any_contained(text: Column, patterns: list[str]) -> Column:
 
 
 def critical_asset(spark: SparkSession, alerts: DataFrame, ctx=DEFAULT_CONTEXT) -> DataFrame:
-    """G1: case-insensitive equality on hostname (left equi-join, broadcast dim)."""
+    """G1: case-insensitive equality on hostname (left equi-join)."""
     servers = ctx.get("critical_assets", {}).get("servers", [])
     dim = dimension(
         spark,
@@ -85,7 +85,7 @@ def critical_asset(spark: SparkSession, alerts: DataFrame, ctx=DEFAULT_CONTEXT)
 
     dim = dim.withColumn("_r", F.row_number().over(Window.partitionBy("_k").orderBy("_pos"))).filter("_r = 1")
     a = alerts.withColumn("_k", F.lower("affected_host"))
-    j = a.join(F.broadcast(dim.drop("_pos", "_r")), "_k", "left").drop("_k")
+    j = a.join(dim.drop("_pos", "_r"), "_k", "left").drop("_k")
     return j.withColumn("is_critical", F.col("role").isNotNull()).withColumnRenamed("role", "asset_role").withColumnRenamed(
         "risk_level", "asset_risk_level"
     )

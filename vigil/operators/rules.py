@@ -50,8 +50,10 @@ VELOCITY = WindowRule("idor_high_velocity_attack", 60, 60, min_attempts=10, risk
 
 
 def rule_candidates(log: DataFrame, rule: WindowRule) -> DataFrame:
-    """Rule event filter: HTTP GET, status 403, URL pattern."""
+    """Rule event filter: HTTP GET, status 403, URL pattern, a session (without one, failures
+    of unrelated users would pool under one key)."""
     return log.filter(
+        (F.col("session_id") != "") &
         (~F.col("success")) & (F.col("http_method") == "GET") & F.col("request_path").rlike(rule.url_pattern)
     )
 
@@ -82,7 +84,7 @@ def evaluate_window_rule(log: DataFrame, rule: WindowRule, key: str = "session_i
         F.lit(rule.severity).alias("severity"),
     )
     if rule.velocity:
-        out = out.withColumn("attack_velocity", F.col("total_attempts") / F.lit(60.0))
+        out = out.withColumn("attack_velocity", F.col("total_attempts") / F.lit(float(rule.window_s)))
     return out
 
 

@@ -3,8 +3,10 @@ retention tiers, webhook signatures, event search, outbox writers."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from vigil.functions import scrub as S
 from vigil.functions.telemetry import time_range_start
@@ -45,11 +47,23 @@ def write_partitioned(df: DataFrame, path: str, partition_col: str, fmt: str = "
 
 
 def outbox_foreach_batch(path: str, key: str = "event_id"):
-    """Streaming outbox: idempotent per event id inside each micro-batch, and
-    re-runs of a batch overwrite only their own partition (batch id)."""
+    """Streaming outbox: every ``key`` stands once, whatever is replayed.
+
+    A batch's rows are one partition folder (``batch_id``), which a replay of the batch
+    overwrites; keys delivered by earlier batches are left out by an anti-join that reads
+    their key column only. Rows without a key are all kept."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.dropDuplicates([key]).withColumn("batch_id", F.lit(batch_id)).write.mode("append").partitionBy("batch_id").parquet(path)
+        field = batch.schema[key]
+        known = StructType([StructField(key, field.dataType), StructField("batch_id", LongType())])
+        keyed = batch.filter(F.col(key).isNotNull()).dropDuplicates([key])
+        try:
+            earlier = batch.sparkSession.read.schema(known).parquet(path).filter(F.col("batch_id") < batch_id)
+            keyed = keyed.join(earlier.select(key), key, "left_anti").select(batch.columns)
+        except AnalysisException as e:  # the first batch: no outbox yet
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+        keyed.unionByName(batch.filter(F.col(key).isNull())).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return sink
 

@@ -166,13 +166,13 @@ def q_incident_id(spark, sf):
 @register(
     "delivery_attempts",
     """SELECT o_orderkey AS delivery_id, a AS attempt,
-       CASE WHEN o_orderstatus <> 'F' AND a = least(1 + o_orderkey % 3, 3) THEN 'delivered' ELSE 'failed' END AS outcome,
-       CASE WHEN a > 1 THEN CAST(pow(2, a - 2) AS INTEGER) ELSE 0 END AS backoff_before_s
-FROM (SELECT *, unnest(range(1, least(1 + o_orderkey % 3, 3) + 1)) AS a FROM orders)""",
+       CASE WHEN o_orderstatus <> 'F' AND a = 1 + o_orderkey % 5 THEN 'delivered' ELSE 'failed' END AS outcome,
+       CASE WHEN a > 1 THEN CAST(pow(2, a - 2) AS INTEGER) ELSE 0 END AS backoff_before_s, a > 3 AS over_limit
+FROM (SELECT *, unnest(range(1, o_orderkey % 5 + 2)) AS a FROM orders)""",
 )
 def q_delivery(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
-    d = o.select(F.col("o_orderkey").alias("delivery_id"), (F.lit(1) + F.col("o_orderkey") % 3).alias("attempts"),
+    d = o.select(F.col("o_orderkey").alias("delivery_id"), (F.lit(1) + F.col("o_orderkey") % 5).alias("attempts"),
                  (F.col("o_orderstatus") != "F").alias("success"))
     return K.delivery_attempts(d).withColumn("attempt", F.col("attempt").cast("bigint"))
 

@@ -183,11 +183,11 @@ K_SIMILAR = 3
 @register(
     "similar_topk",
     f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings),
-q AS (SELECT vec_id AS query_id, v AS qv FROM e WHERE vec_id < 10),
-c AS (SELECT vec_id, v, (['TP', 'FP', 'BTP', 'Escalated'])[(label % 4) + 1] AS disposition FROM e WHERE vec_id >= 10),
+q AS (SELECT vec_id AS query_id, v AS qv FROM e WHERE vec_id % 10 = 0),
+c AS (SELECT vec_id, v, (['TP', 'FP', 'BTP', 'Escalated'])[(label % 4) + 1] AS disposition FROM e WHERE vec_id % 10 <> 0),
 s AS (SELECT query_id, vec_id, disposition,
              CASE WHEN list_dot_product(qv, qv) > 0 AND list_dot_product(v, v) > 0
-                  THEN list_dot_product(qv, v) / (sqrt(list_dot_product(qv, qv)) * sqrt(list_dot_product(v, v))) END AS sim
+                  THEN round(list_dot_product(qv, v) / (sqrt(list_dot_product(qv, qv)) * sqrt(list_dot_product(v, v))), 12) END AS sim
       FROM q, c)
 SELECT query_id, rank, vec_id, round(sim, 6) AS similarity, disposition FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC NULLS LAST, vec_id) AS rank FROM s) WHERE rank <= {K_SIMILAR}""",

@@ -47,7 +47,8 @@ def q_edr_flags(spark, sf):
 
 @register(
     "edr_parent",
-    EDR + """SELECT c.endpoint_id, c.process_id, c.process_name, p.process_name AS ancestor_1, g.process_name AS ancestor_2
+    EDR + """SELECT c.endpoint_id, c.process_id, c.process_name, p.process_name AS ancestor_1, g.process_name AS ancestor_2,
+       EXISTS (SELECT 1 FROM e t WHERE t.endpoint_id = g.endpoint_id AND t.process_id = g.parent_process_id) AS truncated
 FROM e c LEFT JOIN e p ON p.endpoint_id = c.endpoint_id AND p.process_id = c.parent_process_id
 LEFT JOIN e g ON g.endpoint_id = p.endpoint_id AND g.process_id = p.parent_process_id""",
 )

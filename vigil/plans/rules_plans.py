@@ -25,7 +25,7 @@ def _rule_sql(rule: R.WindowRule) -> str:
         cond.append(f"distinct_urls >= {rule.min_distinct}")
     if rule.min_attempts is not None:
         cond.append(f"total_attempts >= {rule.min_attempts}")
-    vel = ", total_attempts / 60.0 AS attack_velocity" if rule.velocity else ""
+    vel = f", total_attempts / {float(rule.window_s)} AS attack_velocity" if rule.velocity else ""
     return with_views(access_log=access_log_sql()) + f"""
 SELECT {_lit(rule.name)} AS rule_name, window_start_us, session_id, user_id, distinct_urls, total_attempts,
        {rule.risk_score} AS risk_score, {_lit(rule.severity)} AS severity{vel}
@@ -33,7 +33,7 @@ FROM (SELECT ws AS window_start_us, session_id, count(DISTINCT request_path) AS
              max(user_id) AS user_id
       FROM (SELECT a.*, (a.ts_us // {sl}) * {sl} - j * {sl} AS ws
             FROM access_log a, range(0, {n}) r(j)
-            WHERE NOT a.success AND a.http_method = 'GET' AND regexp_matches(a.request_path, {_lit(rule.url_pattern)}))
+            WHERE a.session_id <> '' AND NOT a.success AND a.http_method = 'GET' AND regexp_matches(a.request_path, {_lit(rule.url_pattern)}))
       WHERE ts_us < ws + {w}
       GROUP BY ws, session_id)
 WHERE {' AND '.join(cond)}"""

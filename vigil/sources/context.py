@@ -1,20 +1,18 @@
 """Business context: the small dimension document that drives enrichment.
 
-``load_context(path)`` reads a JSON document with the sections below; a
-missing file gives empty sections (no failure). Sections are tens of rows,
-bounded by the configuration, so they are folded into the plan as literal
-arrays (or broadcast dimension tables) — the alert side is never shuffled
-for them.
+``load_context(path)`` reads a JSON document with the sections below, by
+Spark from any storage that it can read; a missing document gives empty
+sections, an unreadable one an error. Pattern sections are folded into the
+plan as literal arrays; sections that are looked up by key become tables.
 """
 
 from __future__ import annotations
 
 import json
-import os
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Fixed values that must equal the reference's results: the sample business
 # context (assets, privileged roles, tools, false-positive patterns, risk
@@ -98,22 +96,22 @@ _SECTIONS = list(DEFAULT_CONTEXT)
 
 
 def load_context(path: str | None = None) -> dict[str, Any]:
-    """Context document; ``None`` gives the default, a missing file empty sections."""
+    """Context document (one JSON file on local or remote storage); ``None`` gives the
+    default, a missing file empty sections. Anything else that stops the read is an error."""
     if path is None:
         return DEFAULT_CONTEXT
-    if not os.path.exists(path):
-        return {k: ({} if isinstance(v, dict) else []) for k, v in DEFAULT_CONTEXT.items()}
-    with open(path, encoding="utf-8") as fh:
-        doc = json.load(fh)
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        raise ValueError(f"a Spark session is needed to read the context document {path}")
+    try:
+        doc = json.loads(spark.read.text(path, wholetext=True).first()[0])
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        doc = {}
     return {k: doc.get(k, {} if isinstance(DEFAULT_CONTEXT[k], dict) else []) for k in _SECTIONS}
 
 
-MAX_DIM_ROWS = 10_000
-
-
 def dimension(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
-    """A context section as a broadcast dimension table (size-checked)."""
-    if len(rows) > MAX_DIM_ROWS:
-        raise ValueError(f"context section has {len(rows)} rows; above the broadcast bound {MAX_DIM_ROWS}")
-    df = spark.createDataFrame([tuple(r.get(f.split()[0]) for f in schema.split(",")) for r in rows], schema)
-    return F.broadcast(df)
+    """A context section as a table; Spark knows its size and chooses the join by it."""
+    return spark.createDataFrame([tuple(r.get(f.split()[0]) for f in schema.split(",")) for r in rows], schema)

@@ -343,14 +343,14 @@ def endpoint_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 DISPOSITIONS = ["TP", "FP", "BTP", "Escalated"]
 
 
-def history_vectors(spark: SparkSession, sf_dir: str, n_queries: int = 10):
-    """(queries, corpus): queries are ``vec_id < n_queries``, the corpus the rest,
-    with a disposition from ``label % 4`` and a note."""
+def history_vectors(spark: SparkSession, sf_dir: str, every: int = 10):
+    """(queries, corpus): every ``every``-th ``vec_id`` is an alert under triage, the
+    rest is history with a disposition from ``label % 4`` and a note; both grow with the table."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     vec = F.col("embedding").cast("array<double>")
     base = e.select("vec_id", vec.alias("v"), "label")
-    queries = base.filter(F.col("vec_id") < n_queries).select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
-    corpus = base.filter(F.col("vec_id") >= n_queries).select(
+    queries = base.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
+    corpus = base.filter(F.col("vec_id") % every != 0).select(
         "vec_id", "v",
         _pick(DISPOSITIONS, F.col("label") % 4).alias("disposition"),
         F.concat(F.lit("Analyst note for case "), F.col("vec_id").cast("string")).alias("analyst_notes"),
