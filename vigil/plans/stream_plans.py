@@ -18,7 +18,7 @@ def q_idor_stream(spark, sf):
     ``idor_events`` (same oracle)."""
     out = ST.run_available_now(spark, ST.idor_stream(spark, sf, window_seconds=WINDOW_S, threshold=THRESHOLD, sequential_gap=GAP),
                                "idor_stream")
-    ev = out.filter("has_event")
+    ev = ST.newest_verdicts(out).filter("has_event")
     seq, d = F.col("is_sequential"), F.col("win_distinct")
     return ev.select(
         F.concat(F.lit("idor_evt_"), F.substring(F.sha2(F.concat_ws(":", "session_id", F.col("ts_us").cast("string"),

@@ -1,20 +1,23 @@
 """Streaming IDOR detection (E15) and stateful suppression (F7, stream form).
 
 Event time is ``event_time`` (TIMESTAMP; parquet NTZ is cast first). State is
-keyed by session and holds only the failures inside the sliding window, so
-it is bounded by ``window × rate`` per session; an event-time timeout drops a
-session's state once the watermark passes its last failure plus the window.
-Rows later than the watermark are dropped by Spark before the stateful
-operator; those that slip in behind a session's own state horizon are
-counted in the output (``late``) instead of changing past verdicts.
+keyed by session and time bucket, so a hot session is spread over many keys;
+each failure goes to its own bucket and, as context, to those its window
+reaches into. A key holds the rows of its bucket and of one window before it
+until the watermark passes the bucket's end: up to then a row may arrive out
+of order, and every verdict whose window it falls into is given again with a
+higher ``revision`` (``newest_verdicts`` reads the last one). Rows behind the
+watermark are dropped by Spark, which counts them in the query's progress.
+Failures without a session belong to no window and are LOG_ONLY.
 """
 
 from __future__ import annotations
 
-import bisect
 import os
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +32,13 @@ _US = 1_000_000
 OUT_SCHEMA = (
     "event_id long, ts_us long, user_id string, session_id string, win_distinct long, win_count long, "
     "is_sequential boolean, severity string, has_event boolean, failed_resources string, resource_owners string, "
-    "time_window_seconds long, late boolean"
+    "time_window_seconds long, revision long"
+)
+_ROW = ["event_id", "ts_us", "user_id", "resource_id", "resource_owner_id"]
+STATE_SCHEMA = (
+    "revision long, event_id array<long>, ts_us array<long>, user_id array<string>, resource_id array<string>, "
+    "resource_owner_id array<string>"
 )
-STATE_SCHEMA = "ts string, res string, own string"
 
 
 def events_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
@@ -45,68 +52,63 @@ def events_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataF
     )
 
 
-def _numeric(ids, id_mode: str):
-    out = []
-    for r in ids:
-        s = r.strip() if id_mode == "strict" else r
-        if id_mode == "suffix":
-            j = len(s)
-            while j > 0 and s[j - 1].isdigit() and s[j - 1].isascii():
-                j -= 1
-            s = s[j:]
-        try:
-            out.append(int(s))
-        except ValueError:
-            continue
-    return out
-
-
-def _make_fn(window_s: int, threshold: int, gap: int, id_mode: str):
-    w_us = window_s * _US
+def _number(resource: str | None, id_mode: str) -> int | None:
+    if resource is None:
+        return None
+    text = resource.strip() if id_mode == "strict" else re.search("[0-9]*$", resource)[0]
+    try:
+        return int(text)
+    except ValueError:
+        return None
+
+
+def _make_fn(window_s: int, threshold: int, gap: int, id_mode: str, bucket_s: int):
+    w_us, b_us = window_s * _US, bucket_s * _US
+
+    def verdict(rows: pd.DataFrame, prev: np.ndarray, number: list, lo: int, hi: int) -> tuple:
+        """Verdict over the rows ``lo..hi``; a resource counts where it first stands in them."""
+        first = lo + np.flatnonzero((prev[lo:hi] < lo) & rows["resource_id"].notna().to_numpy()[lo:hi])
+        d = len(first)
+        nums = [number[i] for i in first if number[i] is not None] if d >= 3 else []
+        seq = len(nums) >= 3 and max(nums) - min(nums) <= gap * (len(nums) - 1)
+        if d < 2:
+            sev = X.LOG_ONLY
+        elif d == 2:
+            sev = X.ALERT_LOW
+        else:
+            sev = X.CRITICAL if d >= threshold and seq else X.ALERT_MEDIUM
+        event = d >= threshold and d >= 3
+        win = rows.iloc[lo:hi] if event else rows.iloc[:0]  # only a detection lists its window
+        span = (rows["ts_us"].iat[hi - 1] - rows["ts_us"].iat[lo]) // _US
+        return (d, hi - lo, seq, sev, event, ",".join(win["resource_id"].dropna()),
+                ",".join(sorted({o for o in win["resource_owner_id"].dropna() if o})), int(span))
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        if state.exists:
-            (ts_s, res_s, own_s) = state.get
-            hist = [(int(t), r, (o or None)) for t, r, o in zip(ts_s.split(","), res_s.split("\x1f"), own_s.split("\x1f"))] if ts_s else []
-        else:
-            hist = []
-        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts_us", "event_id"], kind="mergesort")
-        horizon = max((t for t, _, _ in hist), default=None)
-        new = list(zip(rows["ts_us"].astype("int64"), rows["resource_id"], rows["resource_owner_id"], rows["event_id"],
-                       rows["user_id"]))
-        allrows = hist + [(int(t), r, o) for t, r, o, _, _ in new]
-        allrows.sort(key=lambda x: x[0])
-        times = [x[0] for x in allrows]
-        out = []
-        for t, r, o, eid, uid in new:
-            t = int(t)
-            late = horizon is not None and t < horizon - w_us
-            win = allrows[bisect.bisect_left(times, t - w_us):bisect.bisect_right(times, t)]
-            win.sort(key=lambda x: (x[0], x[1], x[2] or ""))
-            distinct = sorted({rr for _, rr, _ in win})
-            d = len(distinct)
-            nums = _numeric(distinct, id_mode)
-            seq = d >= 3 and len(nums) >= 3 and (max(nums) - min(nums)) <= gap * (len(nums) - 1)
-            if d < 2:
-                sev = X.LOG_ONLY
-            elif d == 2:
-                sev = X.ALERT_LOW
-            elif d >= threshold and seq:
-                sev = X.CRITICAL
-            else:
-                sev = X.ALERT_MEDIUM
-            owners = sorted({oo for _, _, oo in win if oo})
-            span = (max(x[0] for x in win) - min(x[0] for x in win)) // _US
-            out.append((int(eid), t, uid, key[0], d, len(win), seq, sev, d >= threshold and d >= 3,
-                        ",".join(rr for _, rr, _ in win), ",".join(owners), int(span), bool(late)))
-        # keep only what a future failure's window can still see
-        latest = max(x[0] for x in allrows)
-        keep = [x for x in allrows if x[0] >= latest - w_us]
-        state.update((",".join(str(x[0]) for x in keep), "\x1f".join(x[1] for x in keep), "\x1f".join(x[2] or "" for x in keep)))
-        state.setTimeoutTimestamp(int(latest // 1000) + window_s * 1000 + 1)
+        session, bucket = key[0], int(key[1])
+        new = pd.concat(list(pdfs), ignore_index=True)[_ROW]  # one session, at most two windows of time
+        revision, *held = state.get if state.exists else (0, *([] for _ in _ROW))
+        rows = pd.concat([pd.DataFrame(dict(zip(_ROW, held))).astype({"event_id": "int64", "ts_us": "int64"}), new])
+        rows = rows.astype(object).where(rows.notna(), None).astype({"event_id": "int64", "ts_us": "int64"})
+        rows = rows.sort_values(["ts_us", "resource_id", "resource_owner_id", "event_id"], kind="mergesort", ignore_index=True)
+        ts, arrived = rows["ts_us"].to_numpy(), np.sort(new["ts_us"].to_numpy("int64"))
+        lo, hi = np.searchsorted(ts, ts - w_us), np.searchsorted(ts, ts, side="right")
+        # a verdict is new or changes if a row arrived in its window
+        touched = np.searchsorted(arrived, ts, side="right") > np.searchsorted(arrived, ts - w_us)
+        codes = pd.factorize(rows["resource_id"])[0]
+        prev = pd.Series(np.arange(len(rows))).groupby(codes).shift(1).fillna(-1).to_numpy("int64")
+        number = [_number(r, id_mode) for r in rows["resource_id"]]
+        mine = np.flatnonzero(touched & (ts >= bucket * b_us))
+        state.update((revision + 1, *(rows[c].tolist() for c in _ROW)))
+        # no row of this bucket's windows can arrive once the watermark has passed its end
+        state.setTimeoutTimestamp((bucket + 1) * b_us // 1000)
+        out = [
+            (int(rows["event_id"].iat[i]), int(ts[i]), rows["user_id"].iat[i], session,
+             *verdict(rows, prev, number, int(lo[i]), int(hi[i])), revision + 1)
+            for i in mine
+        ]
         yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT_SCHEMA.split(", ")])
 
     return fn
@@ -119,18 +121,43 @@ def detect_stream(
     sequential_gap: int = X.DEFAULT_SEQUENTIAL_GAP,
     id_mode: str = "suffix",
     watermark: str = "10 minutes",
+    bucket_seconds: int | None = None,
 ) -> DataFrame:
-    """Other-user failures of a streaming access log → per-failure verdicts."""
+    """Other-user failures of a streaming access log → verdicts per failure.
+
+    ``bucket_seconds`` (default: the window) is the time span of one state key."""
     fails = log.filter(~F.col("success") & (F.col("resource_owner_id").isNull() | (F.col("resource_owner_id") != F.col("user_id"))))
     fails = fails.select("event_id", "ts_us", "user_id", "session_id", "resource_id", "resource_owner_id", "event_time")
-    return (
-        fails.withWatermark("event_time", watermark)
-        .groupBy("session_id")
+    in_session = F.coalesce(F.col("session_id") != "", F.lit(False))
+    bucket_s = bucket_seconds or window_seconds
+    bucket = F.floor(F.col("ts_us") / F.lit(bucket_s * _US))
+    copies = -(-window_seconds // bucket_s)
+    in_window = (
+        fails.filter(in_session)
+        .withWatermark("event_time", watermark)
+        .withColumn("bucket", F.explode(F.sequence(bucket, bucket + F.lit(copies))))
+        .groupBy("session_id", "bucket")
         .applyInPandasWithState(
-            _make_fn(window_seconds, threshold, sequential_gap, id_mode),
+            _make_fn(window_seconds, threshold, sequential_gap, id_mode, bucket_s),
             OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout,
         )
     )
+    alone = {
+        "win_distinct": F.lit(1), "win_count": F.lit(1), "is_sequential": F.lit(False), "severity": F.lit(X.LOG_ONLY),
+        "has_event": F.lit(False), "failed_resources": F.lit(""), "resource_owners": F.lit(""),
+        "time_window_seconds": F.lit(0), "revision": F.lit(1),
+    }
+    types = dict(c.split() for c in OUT_SCHEMA.split(", "))
+    without = fails.filter(~in_session).select(
+        *[alone.get(name, F.col(name)).cast(kind).alias(name) for name, kind in types.items()]
+    )
+    return in_window.unionByName(without)
+
+
+def newest_verdicts(out: DataFrame) -> DataFrame:
+    """The last revision of every failure's verdict."""
+    newest = out.groupBy("event_id").agg(F.max_by(F.struct(*out.columns), "revision").alias("v"))
+    return newest.select("v.*")
 
 
 def run_available_now(spark: SparkSession, df: DataFrame, name: str, fmt: str = "parquet") -> DataFrame:
