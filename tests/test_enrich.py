@@ -62,3 +62,58 @@ def test_missing_context_file_gives_empty_sections(spark, tmp_path):
     df = spark.createDataFrame([("a", "dba_team_x", "prod-db-01.internal", "Sequential powershell.exe", [], 5)], SCHEMA)
     r = E.enrich_alerts(spark, df, ctx).first()
     assert not r["is_critical"] and r["vip_role"] is None and r["approved_tool"] is None and r["risk_multiplier"] == 1.0
+
+
+def test_context_document_is_read_by_spark(spark, tmp_path):
+    import json
+
+    import pytest
+
+    from vigil.sources.context import load_context
+
+    path = tmp_path / "context.json"
+    path.write_text(json.dumps({"vip_users": [{"user_role": "ops", "privileges": [], "justification": "x"}]}, indent=1))
+    ctx = load_context(f"file://{path}")
+    assert [v["user_role"] for v in ctx["vip_users"]] == ["ops"] and ctx["known_false_positives"] == []
+    with pytest.raises(Exception, match="nowhere"):  # unreadable is not the same as missing
+        load_context("nowhere://conf/context.json")
+
+
+def test_similar_topk_equals_brute_force_in_blocks(spark):
+    import numpy as np
+
+    from vigil.operators.context_aggs import similar_topk
+
+    rng = np.random.default_rng(3)
+    vecs = rng.integers(-2, 3, (90, 4)).astype(float)  # many ties, some zero vectors
+    base = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "id long, vec array<double>")
+    queries = base.filter("id % 5 = 0").selectExpr("id AS query_id", "vec AS qv")
+    corpus = base.filter("id % 5 <> 0").selectExpr("id AS vec_id", "vec AS v", "'TP' AS disposition", "'n' AS analyst_notes")
+    got = {}
+    for r in similar_topk(queries, corpus, 3, block_rows=7).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    want = {}
+    for q in range(0, 90, 5):
+        def key(i):
+            n = np.linalg.norm(vecs[q]) * np.linalg.norm(vecs[i])
+            return (-round(float(vecs[q] @ vecs[i] / n), 9) if n else 9, i)
+        want[q] = sorted((i for i in range(90) if i % 5), key=key)[:3]
+    assert got == want
+    assert similar_topk(queries, corpus.limit(0), 3).count() == 0
+
+
+def test_interval_counts_without_pairs(spark):
+    import random
+
+    from vigil.operators.context_aggs import interval_join_counts
+
+    rng = random.Random(1)
+    ev = [("k%d" % rng.randrange(3), rng.randrange(1000)) for _ in range(300)]
+    al = [(i, "k%d" % rng.randrange(4), rng.randrange(1000)) for i in range(100)]
+    alerts = spark.createDataFrame(al, "alert_key long, endpoint string, ts_us long")
+    events = spark.createDataFrame(ev, "endpoint string, ts_us long")
+    got = {r["alert_key"]: (r["events_in_window"], r["last_event_us"])
+           for r in interval_join_counts(alerts, events, "endpoint", 50, bucket_us=64).collect()}
+    for i, k, t in al:
+        hits = [e for kk, e in ev if kk == k and t - 50 <= e <= t]
+        assert got[i] == (len(hits), max(hits, default=None))

@@ -51,3 +51,31 @@ def test_stream_suppression_matches_batch(spark, tmp_path):
     out = run_available_now(spark, suppress_stream(stream_in, "user_id", "event_time", 3600), "suppress_test")
     streamed = {r["event_id"]: r["fired"] for r in out.collect()}
     assert streamed == batch
+
+
+def test_outbox_replay_equals_one_delivery(spark, tmp_path):
+    path = str(tmp_path / "outbox")
+    sink = X.outbox_foreach_batch(path)
+
+    def rows(lo, hi):
+        return spark.createDataFrame([(i, f"v{i}") for i in [*range(lo, hi), lo]], "event_id long, payload string")
+
+    for batch_id, batch in [(0, rows(0, 5)), (0, rows(0, 5)), (1, rows(3, 8)), (0, rows(0, 5)), (1, rows(3, 8)), (2, rows(0, 8))]:
+        sink(batch, batch_id)
+    got = sorted((r["event_id"], r["payload"], r["batch_id"]) for r in spark.read.parquet(path).collect())
+    assert got == [(i, f"v{i}", 0 if i < 5 else 1) for i in range(8)]
+
+
+def test_tokens_of_full_length_do_not_collide(spark):
+    from vigil.functions import scrub as S
+
+    df = spark.range(200_000).select(F.concat(F.lit("user"), F.col("id").cast("string")).alias("u"))
+    assert df.select(S.tokenize("u", "salt", length=64)).distinct().count() == 200_000
+
+
+def test_all_delivery_attempts_are_kept(spark):
+    from vigil.operators.cases import delivery_attempts
+
+    df = spark.createDataFrame([(1, 5, True)], "delivery_id long, attempts int, success boolean")
+    got = [(r["attempt"], r["outcome"], r["over_limit"]) for r in delivery_attempts(df).orderBy("attempt").collect()]
+    assert got == [(1, "failed", False), (2, "failed", False), (3, "failed", False), (4, "failed", True), (5, "delivered", True)]

@@ -201,7 +201,7 @@ def interval_join_counts(
         )
 
     line = (
-        events.select(
+        events.filter(F.col(key).isNotNull()).select(
             F.col(key).alias("_k"), F.col("ts_us").alias("_t"), F.lit(an_event).alias("_o"),
             none.cast(alerts.schema["alert_key"].dataType).alias("alert_key"), none.cast("bigint").alias("_alert_us"),
         )
