@@ -35,8 +35,17 @@ from vigil.llm.common import bucket_of, ordered_bounds, scratch_path, shuffle_wi
 
 BLOCK_IDS = 1 << 18
 
-#: Signs (but the apostrophe) between a letter and white space are a word of their own to the tokenizer.
-SIGNS = re.compile(r"(?<=[a-z])([!-&(-/:-@\[-`{-~]+)(?=[ \n]|$)")
+#: Letters that Python lower-cases as the library does and that stay one letter in its normal form
+#: (others, as some of Indic scripts, come apart into a letter and a sign).
+_LETTERS = "a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+LATIN = re.compile(f"[{_LETTERS}]+")
+
+#: Signs (but the apostrophe) between such a letter or a digit and white space are a word of their own to the tokenizer.
+SIGNS = re.compile(rf"(?<=[0-9{_LETTERS}])([!-&(-/:-@\[-`{{-~]+)(?=[ \n]|$)")
+
+#: The sign by which byte-level vocabularies write each byte: itself if printable, else the next from 256 on.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_SIGNS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 #: Lengths of the four numbers of every control byte.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
@@ -48,8 +57,8 @@ class WordTokenizer:
 
     No token spans a space or line break, so a text's ids are those of its parts between them.
     Parts repeat; their ids are kept in two generations of bounded dictionaries. A part of
-    letters only is one word to the library: ASCII ones go straight to its merges, others are
-    encoded together, and the library says of every id to which word it belongs.
+    letters only is one word to the library: ASCII and Latin ones go straight to its merges,
+    others are encoded together, and the library says of every id to which word it belongs.
     """
 
     loaded: dict[str, "WordTokenizer"] = {}
@@ -75,18 +84,22 @@ class WordTokenizer:
         """Make the ids of all parts known."""
         known, older = self.known, self.older
         new = parts.difference(known)
-        back = new.intersection(older)
+        back = [part for part in new if part in older]
         known.update((part, older[part]) for part in back)
-        new -= back
+        new.difference_update(back)
         merges = self.tokenizer.model.tokenize
         words = []
         for part in new:
-            if not part.isalpha():
-                known[part] = self._ids(part)
-            elif part.isascii():  # the library's merges alone: the steps before them change nothing here
+            # the library's merges alone, where its steps before them are known
+            if part.isalpha() and part.isascii():
                 known[part] = array("I", [t.id for t in merges(part)]).tobytes()
-            else:
+            elif LATIN.fullmatch(part):
+                signs = part.lower().encode().decode("latin-1").translate(BYTE_SIGNS)
+                known[part] = array("I", [t.id for t in merges(signs)]).tobytes()
+            elif part.isalpha():
                 words.append(part)
+            else:
+                known[part] = self._ids(part)
         for low in range(0, len(words), 4096):
             group = words[low : low + 4096]
             found = self.tokenizer.encode(" ".join(group), add_special_tokens=False)
