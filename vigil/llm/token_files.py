@@ -118,30 +118,44 @@ class WordTokenizer:
         lowered = (text or "").encode().lower().decode()
         return SIGNS.sub(r" \1 ", lowered).replace("\n", " ").split(" ")
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
         out = []
         for low in range(0, len(texts), 64):
             if len(self.known) > self.limit:
                 self.older, self.known = self.known, {}
             parts = [self._parts(t) for t in texts[low : low + 64]]
             self._learn(set().union(*parts))
-            out += [np.frombuffer(b"".join(map(self.known.__getitem__, p)), "<u4") for p in parts]
+            out += [b"".join(map(self.known.__getitem__, p)) for p in parts]
         return out
 
 
-def pack(numbers: np.ndarray) -> tuple[bytes, bytes]:
-    """Control and data bytes of unsigned 32-bit numbers."""
-    size = 1 + (numbers > 0xFF) + (numbers > 0xFFFF) + (numbers > 0xFFFFFF)
-    fields = np.zeros(-(-len(numbers) // 4) * 4, np.uint8)
-    fields[: len(numbers)] = size - 1
+def _ends(sizes: np.ndarray) -> np.ndarray:
+    """Where each row starts in the joined rows, and the end of the last."""
+    return np.append(0, np.cumsum(sizes))
+
+
+def _control_places(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of every number's field, as each row starts with a new control byte, and where the rows' bytes start."""
+    starts = _ends(-(-counts // 4))
+    ahead = starts[:-1] * 4 - _ends(counts)[:-1]
+    return np.arange(counts.sum()) + np.repeat(ahead, counts), starts
+
+
+def pack(numbers: np.ndarray, counts: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Control and data bytes per row of unsigned 32-bit numbers; row i has the next ``counts[i]`` of them."""
+    size = (1 + (numbers > 0xFF) + (numbers > 0xFFFF) + (numbers > 0xFFFFFF)).astype(np.uint8)
+    places, starts = _control_places(counts)
+    fields = np.zeros(int(starts[-1]) * 4, np.uint8)
+    fields[places] = size - 1
     control = (fields.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
     raw = numbers.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return control.tobytes(), raw[np.arange(4) < size[:, None]].tobytes()
+    return _rows(control, starts), _rows(raw[np.arange(4) < size[:, None]], _ends(size)[_ends(counts)])
 
 
-def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
-    """The ``n`` numbers of a control and a data byte array."""
-    size = LENGTHS[control].ravel()[:n]
+def unpack(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers of all rows of a control and a data byte array."""
+    size = LENGTHS[control].ravel()[_control_places(counts)[0]]
     at = np.cumsum(size) - size
     padded = np.append(data, np.zeros(4, np.uint8)).astype(np.uint32)
     out = padded[at]
@@ -151,16 +165,41 @@ def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _rows(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary rows that stand one after the other in ``data``; ``ends`` as of ``_ends``."""
+    buffers = [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))]
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, buffers)
+
+
+def _joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all rows of a binary column, and how many each row has."""
+    if not len(column):
+        return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+    column = column.cast(pa.binary())
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    ids = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view("<u4")
+    return ids, np.diff(ends).astype(np.int64) // 4
+
+
+def _slices(counts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``BLOCK_IDS`` ids each, at least one row."""
+    ends, low = _ends(counts), 0
+    while low < len(counts):
+        high = max(low + 1, int(np.searchsorted(ends, ends[low] + BLOCK_IDS, side="right")) - 1)
+        yield low, high
+        low = high
+
+
 def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """doc_id, tie, ids (little-endian unsigned 32-bit, the end id last) per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordTokenizer.get(path)
-        end = np.array([end_id], "<u4")
+        end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             for low in range(0, b.num_rows, 512):
                 part = b.slice(low, 512)
-                ids = [np.concatenate([i, end]).tobytes() for i in words.encode(part.column(2).to_pylist())]
+                ids = [i + end for i in words.encode(part.column(2).to_pylist())]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(ids, pa.binary())], ["doc_id", "tie", "ids"]
                 )
@@ -169,21 +208,15 @@ def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     return rows.mapInArrow(run, T.StructType(rows.schema.fields[:2]).add("ids", "binary"))
 
 
-def _arrays(column: pa.Array) -> Iterator[np.ndarray]:
-    for ids in column:
-        yield np.frombuffer(ids.as_py(), "<u4")
-
-
 def rank_ids(tokens: DataFrame) -> np.ndarray:
     """Ids by falling corpus frequency, then id; one entry per id in use (at most the vocabulary)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
-            for ids in _arrays(b.column(0)):
-                here = np.bincount(ids, minlength=len(total))
-                here[: len(total)] += total
-                total = here
+            here = np.bincount(_joined(b.column(0))[0], minlength=len(total))
+            here[: len(total)] += total
+            total = here
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
@@ -206,12 +239,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for low in range(0, whole.num_rows, 512):  # a few documents at a time bound the memory
-                b = whole.slice(low, 512)
-                arrays = [rank_of[ids] for ids in _arrays(b.column(3))]
-                both = [pack(a) for a in arrays]
-                cols = [pa.array([len(a) for a in arrays], pa.int64())]
-                cols += [pa.array([x[k] for x in both], pa.binary()) for k in (0, 1)]
+            for low, high in _slices(_joined(whole.column(3))[1]):  # a few documents at a time bound the memory
+                b = whole.slice(low, high - low)
+                ids, counts = _joined(b.column(3))
+                cols = [pa.array(counts), *pack(rank_of[ids], counts)]
                 yield pa.RecordBatch.from_arrays([*b.columns[:3], *cols], [*b.schema.names[:3], "n", "control", "data"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,16 +326,10 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 counts = np.array(counts.as_py(), np.int64)
                 control = np.frombuffer(control.as_py(), np.uint8)
                 data = np.frombuffer(data.as_py(), np.uint8)
-                c = d = 0
-                ids = []
-                for n in counts.tolist():
-                    fields = control[c : c + -(-n // 4)]
-                    size = int(LENGTHS[fields].ravel()[:n].sum())
-                    ids.append(id_of[unpack(fields, data[d : d + size], n)].astype("<u4").tobytes())
-                    c, d = c + len(fields), d + size
+                ids = id_of[unpack(control, data, counts)].astype("<u4")
                 starts = start.as_py() + np.cumsum(counts) - counts
                 yield pa.RecordBatch.from_arrays(
-                    [docs.values, pa.array(starts), pa.array(counts), pa.array(ids, pa.binary())],
+                    [docs.values, pa.array(starts), pa.array(counts), _rows(ids.view(np.uint8), _ends(counts) * 4)],
                     ["doc_id", "start", "n_tokens", "ids"],
                 )
 
