@@ -153,6 +153,36 @@ def test_license(make_docs):
     assert got == Counter({(4, 2, "MIT", 1.0): 2, (5, 0, "MIT-grant", 1.0): 1})
 
 
+def test_license_in_long_documents(make_docs):
+    """Notices wrapped over lines, or in a line with other prose, in the midst of long texts."""
+    import textwrap
+
+    prose = " ".join(f"word{i} of the other {i}" for i in range(400))
+    wrap = lambda name, width=60: "\n# ".join(textwrap.wrap(license_scan.TEMPLATES[name], width))
+    names = ["Apache-2.0-header", "BSD-3-Clause", "GPL-header", "MIT-grant", "MPL-2.0"]
+    rows = [(i, f"{prose}\n\n# {wrap(n)}\n\n{prose}\n{prose}") for i, n in enumerate(names)]
+    rows += [
+        (10, f"{prose} {license_scan.TEMPLATES['BSD-3-Clause']} {prose}"),
+        (11, f"{prose}\n{wrap('MIT-grant')}\n{prose}\n{wrap('BSD-3-Clause', 30)}\n{wrap('BSD-3-Clause', 30)}\n{prose}"),
+        (12, f"{prose}\nThis work is licensed under the GNU\nGeneral Public License, version 3.\n{prose}"),
+        (13, f"{prose}\nReleased under the MIT License.\nBye\n{prose}"),
+        (14, f"{wrap('MIT-grant')}\n{wrap('BSD-3-Clause', 30)}"),
+    ]
+    got = pairs(license_scan.scan_licenses(make_docs(rows + rows[1:2])), "doc_id", "unit", "license", "dice")
+    mit, bsd = (len(license_scan.template_bigrams(license_scan.TEMPLATES[n])) for n in ("MIT-grant", "BSD-3-Clause"))
+    after = 2 + wrap("MIT-grant").count("\n") + 2
+    whole = next(v for (d, u, *_, v) in got if (d, u) == (14, 0))
+    want = Counter({(i, 3, n, 1.0): 1 for i, n in enumerate(names)})
+    want += Counter([(1, 3, "BSD-3-Clause", 1.0), (10, 1, "BSD-3-Clause", 1.0), (11, 2, "MIT-grant", 1.0)])
+    want += Counter([(11, after, "BSD-3-Clause", 1.0), (11, after + 1 + wrap("BSD-3-Clause", 30).count("\n"), "BSD-3-Clause", 1.0)])
+    want += Counter([(12, 2, "GPL-3.0", 1.0), (13, 2, "MIT", 1.0), (14, 0, "MIT-grant", whole)])
+    want += Counter([(14, 2 + wrap("MIT-grant").count("\n"), "BSD-3-Clause", 1.0)])
+    assert 2 * mit / (2 * mit + bsd + 1) == pytest.approx(whole, abs=0.03)
+    header = {k: n for k, n in got.items() if k[0] == 0 and k[2] == "Apache-2.0"}
+    assert len(header) <= 1 and all(k[1] == 3 for k in header)  # its first line is near the short notice
+    assert got - Counter(header) == want
+
+
 def test_fingerprints(odd_docs):
     got = fingerprints.fingerprint_with_edit(odd_docs).collect()
     order = sorted(texts(odd_docs), key=lambda r: (r[0] is not None, r[0] or 0), reverse=True)
