@@ -241,6 +241,29 @@ def test_passages(make_docs, tile):
     assert pairs(left, "doc_id").total() == len(rows)
 
 
+def test_passages_copies(make_docs, monkeypatch):
+    """Thousands of copies of a text: each of its contexts is searched once."""
+    import random
+
+    rnd = random.Random(7)
+    prose = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    copied = prose(500)
+    rows = [(i, copied) for i in range(3000)]
+    rows += [(5000 + i, prose(100) + copied[50 : 300 + i] + prose(100)) for i in range(5)] + [(6000, prose(400))]
+    searched = []
+    search = passage_dedup._search
+
+    def counted(contexts, *how):
+        searched.extend((r["gram"], r["context"]) for r in contexts.select("gram", "context").collect())
+        return search(contexts, *how)
+
+    monkeypatch.setattr(passage_dedup, "_search", counted)
+    got = passage_dedup.passage_report(make_docs(rows))
+    want = Counter((d, *r) for (d, _), r in zip(rows, brute.repeats([t for _, t in rows])))
+    assert pairs(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+    assert searched and len(searched) == len(set(searched))
+
+
 def test_chat(spark):
     rows = [
         (1, 0, "user", "a <| b <\\| c \\<\\\\|"),

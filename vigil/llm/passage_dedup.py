@@ -266,8 +266,11 @@ def _fetch(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(*_key_and_guard(text), text.cast("binary").alias("raw"))
+    # one row per text, so that a gram's rows are its distinct contexts however many copies there
+    # are; partial aggregation leaves one row of a copied text per partition before the exchange
     return (
-        texts.join(wanted, ["key", "guard"])
+        texts.dropDuplicates(["key", "guard"])
+        .join(wanted, ["key", "guard"])
         .select("raw", "spans")
         .mapInArrow(run, "gram long, context long, copies long, lead int, tiles int, bytes binary")
     )
@@ -291,11 +294,6 @@ def _search(contexts: DataFrame, window: int, batch_size: int) -> DataFrame:
 
     def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
         gram, context = t.column("gram").to_numpy(), t.column("context").to_numpy()
-        # a context may have come from several rows with the same text
-        once = np.unique(np.stack([gram, context], 1), axis=0, return_index=True)[1]
-        once.sort()
-        t = t.take(pa.array(once))
-        gram, context = gram[once], context[once]
         lead, tiles = t.column("lead").to_numpy(), t.column("tiles").to_numpy()
         raw = t.column("bytes").to_pylist()
         owner, start, twice, label = repeated_starts(raw, lead.astype(np.int64), t.column("copies").to_numpy(), window)
