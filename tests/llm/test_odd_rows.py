@@ -80,6 +80,16 @@ def test_simhash(odd_docs):
     assert sorted(i for i in ids if i is not None) == sorted(set(least.values()))
 
 
+def test_simhash_one_per_component(make_docs):
+    """Null and repeated ids: one document of every component stays."""
+    first, second, third = ("alpha beta gamma delta " * 9, "un deux trois quatre cinq " * 9, "eins zwei drei vier " * 9)
+    rows = [(None, first), (None, first), (3, first), (2, second), (2, second + "\n"), (None, third), (None, third)]
+    left = simhash.drop_near_duplicates(make_docs(rows))
+    assert pairs(left.selectExpr("doc_id", "trim(BOTH '\n ' FROM text) AS words"), "doc_id", "words") == Counter(
+        [(3, first.strip()), (2, second.strip()), (None, third.strip())]
+    )
+
+
 def test_simhash_split_tiles(spark, monkeypatch):
     """Tiles and crowds far larger than a block give the same components."""
     import numpy as np

@@ -61,15 +61,17 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id and ``fp``, the fingerprint as a signed long."""
+    """doc_id, ``digest`` (64-bit hash of the text) and ``fp``, the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(2)], np.uint64)
+            cols = [b.column(0), b.column(1), pa.array(fps.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "digest", "fp"])
 
-    slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, T.StructType([slim.schema["doc_id"]]).add("fp", "long"))
+    text = F.col("text").cast("string")
+    slim = docs.select("doc_id", F.xxhash64(text).alias("digest"), text.alias("text"))
+    return slim.mapInArrow(run, T.StructType([slim.schema["doc_id"]]).add("digest", "long").add("fp", "long"))
 
 
 def _tile(fp):
@@ -204,8 +206,8 @@ def link_fingerprints(nodes: DataFrame, radius: int = 2) -> DataFrame:
     )
 
 
-def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """doc_id, fp and component_id (smallest doc_id reachable by links) per document."""
+def _components(docs: DataFrame, shingle: int, radius: int) -> DataFrame:
+    """doc_id, digest, fp, root (names the component) and component_id per document."""
     rows = stage_table(fingerprints(docs, shingle), "fingerprints")
     nodes = stage_table(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = connected_components(link_fingerprints(nodes.select("fp"), radius))
@@ -213,28 +215,42 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2) -> Da
         "root", F.coalesce("root", "fp")
     )
     least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = nodes.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = nodes.join(least, "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp").select("doc_id", "digest", "fp", "root", "component_id")
+
+
+def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
+    """doc_id, fp and component_id (smallest doc_id reachable by links) per document."""
+    return _components(docs, shingle, radius).select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, with all its columns.
+    """One document of each component, with all its columns: the one with the smallest doc_id
+    (null last), of several with that doc_id the one with the smallest text hash.
 
-    Rows with that doc_id and the same text are one document and stay once. Rows with a null
-    doc_id cannot be named by a component and all stay.
+    Rows with the same doc_id and text, null ones too, are one document and stay once.
     """
-    found = stage_table(simhash_components(docs, shingle, radius).where("doc_id is not null"), "components")
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    found = stage_table(_components(docs, shingle, radius).select("doc_id", "digest", "root"), "components")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")).alias("first")
+    kept = found.groupBy("root").agg(first).select("root", "first.*").select(
+        "root", F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest")
+    )
+    is_kept = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest"))
     # What goes is little; written, Spark sees its size and need not shuffle the texts if it is small.
-    gone = stage_table(found.select("doc_id").distinct().join(keep, "doc_id", "left_anti"), "gone")
-    many = stage_table(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "many")
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    is_one = lambda ids: F.col("row.doc_id") == ids["doc_id"]
+    gone = stage_table(found.join(kept, "root").where(~is_kept).select("doc_id", "digest").distinct(), "gone")
+    many = stage_table(
+        found.groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "digest"), "many"
+    )
+    whole = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.xxhash64(F.col("text").cast("string")).alias("text_digest"),
+    )
+    is_one = lambda ids: F.col("row.doc_id").eqNullSafe(ids["doc_id"]) & (F.col("text_digest") == ids["digest"])
     left = whole.join(gone, is_one(gone), "left_anti")
     once = (
         left.join(many, is_one(many), "left_semi")
-        .select("row", F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("digest"))
-        .dropDuplicates(["id", "digest"])
+        .select("row", F.col("row.doc_id").alias("id"), "text_digest")
+        .dropDuplicates(["id", "text_digest"])
         .select("row")
     )
-    return left.join(many, is_one(many), "left_anti").unionByName(once).select("row.*")
+    return left.join(many, is_one(many), "left_anti").select("row").unionByName(once).select("row.*")
