@@ -6,6 +6,7 @@ from collections import Counter
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import brute
 import corpus_pipeline
@@ -309,7 +310,7 @@ def test_token_files(odd_docs):
     file = P.path("word_bpe_49k.json")
     token_files.write_token_files(odd_docs, path, file, 2)
     got = token_files.read_token_files(spark, path).collect()
-    words = token_files.WordTokenizer.get(file).tokenizer
+    words = Tokenizer.from_file(file)
     want = Counter(
         (d, bytes(b"".join(i.to_bytes(4, "little") for i in [*words.encode(t or "", add_special_tokens=False).ids, 2])))
         for d, t in texts(odd_docs)
@@ -323,6 +324,31 @@ def test_token_files(odd_docs):
     assert [r["doc_id"] or 0 for r in got] == sorted(r["doc_id"] or 0 for r in got)
 
 
+def test_word_tokenizer():
+    """Random strings of odd parts, and bounded memory: the ids of the library's plain call."""
+    import random
+
+    file = P.path("word_bpe_49k.json")
+    library, words = Tokenizer.from_file(file), token_files.WordTokenizer(file, limit=40_000)
+    rng = random.Random(7)
+    signs = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "a", "Don't", "e\u0301", "\u00e9", "\u0130"]
+    signs += ["漢字", " ", "\n", "\t", "  ", "123", "!!", "word", "x" * 100, "'s", "ß", "\u0301", ".", "_", "Hello", "\u1e9e"]
+    lines = ["".join(rng.choices(signs, k=rng.randint(0, 14))) for _ in range(6000)] + ["a <|endoftext|> b"]
+    ids = [list(memoryview(i).cast("I")) for i in words.encode(lines)]
+    assert ids == [library.encode(t, add_special_tokens=False).ids for t in lines]
+    assert ids[-1] == [320, 49407, 321]
+    assert all(len(p) <= token_files.LONG_PART for p in [*words.known, *words.older])
+
+
+def test_word_tokenizer_other_file():
+    """A file with other steps before its merges goes through the library alone."""
+    file = P.path("byte_bpe_50k.json")
+    library, words = Tokenizer.from_file(file), token_files.WordTokenizer(file)
+    lines = ["Two  Words", " x<|endoftext|>", "", None, "é\n\n"]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in lines]
+    assert not words.by_parts and [list(memoryview(i).cast("I")) for i in words.encode(lines)] == want
+
+
 def test_embeddings(spark):
     import numpy as np
 

@@ -20,6 +20,7 @@ files and no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -47,6 +48,34 @@ SIGNS = re.compile(rf"(?<=[0-9{_LETTERS}])([!-&(-/:-@\[-`{{-~]+)(?=[ \n]|$)")
 _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_SIGNS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
+#: Parts of more code points (long unbroken signs, encoded data) are not kept.
+LONG_PART = 64
+
+#: The steps before the merges in vocabulary files for which ``WordTokenizer`` may split texts itself.
+SPLIT_BY_WORD = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [
+            {"type": "NFC"},
+            {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+            {"type": "Lowercase"},
+        ],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+
 #: Lengths of the four numbers of every control byte.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 
@@ -59,17 +88,31 @@ class WordTokenizer:
     Parts repeat; their ids are kept in two generations of bounded dictionaries. A part of
     letters only is one word to the library: ASCII and Latin ones go straight to its merges,
     others are encoded together, and the library says of every id to which word it belongs.
+    The file's added tokens are cut out of a text first, as the library does. A file whose
+    steps before the merges are others than these is left to the library's plain call.
+
+    ``limit`` bounds the bytes of one generation of kept parts, keys and ids; longer parts than
+    ``LONG_PART`` code points are encoded each time.
     """
 
     loaded: dict[str, "WordTokenizer"] = {}
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 60_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.limit, self.known, self.older = limit, {}, {}
+        self.limit, self.held, self.known, self.older = limit, 0, {}, {}
+        made_of = json.loads(self.tokenizer.to_str())
+        added = made_of["added_tokens"]
+        self.by_parts = all(made_of[k] == v for k, v in SPLIT_BY_WORD.items()) and all(
+            t["special"] and not any(t[k] for k in ("single_word", "lstrip", "rstrip", "normalized")) for t in added
+        )
+        # Parts have no added tokens left, so what looks like one after lower-casing is ordinary text.
+        self.tokenizer.encode_special_tokens = self.by_parts
+        self.added = {(t["content"],): np.array([t["id"]], "<u4").tobytes() for t in added}
+        longest_first = sorted((t["content"] for t in added), key=len, reverse=True)
+        self.cut = re.compile("|".join(map(re.escape, longest_first)) or r"(?!)")
 
     @classmethod
     def get(cls, path: str) -> "WordTokenizer":
@@ -86,6 +129,7 @@ class WordTokenizer:
         new = parts.difference(known)
         back = [part for part in new if part in older]
         known.update((part, older[part]) for part in back)
+        self.held += sum(map(len, new))
         new.difference_update(back)
         merges = self.tokenizer.model.tokenize
         words = []
@@ -118,15 +162,34 @@ class WordTokenizer:
         lowered = (text or "").encode().lower().decode()
         return SIGNS.sub(r" \1 ", lowered).replace("\n", " ").split(" ")
 
+    def _pieces(self, text: str | None) -> list:
+        """A text's parts in order; its added tokens stand among them as tuples."""
+        if not text or not self.cut.search(text):
+            return self._parts(text)
+        pieces, at = [], 0
+        for token in self.cut.finditer(text):
+            pieces += [*self._parts(text[at : token.start()]), (token[0],)]
+            at = token.end()
+        return pieces + self._parts(text[at:])
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if not self.by_parts:
+            return [self._ids(t or "") for t in texts]
         out = []
         for low in range(0, len(texts), 64):
-            if len(self.known) > self.limit:
-                self.older, self.known = self.known, {}
-            parts = [self._parts(t) for t in texts[low : low + 64]]
-            self._learn(set().union(*parts))
-            out += [b"".join(map(self.known.__getitem__, p)) for p in parts]
+            # a part has at most about one id per code point; the rest is what Python needs per entry
+            if 5 * self.held + 200 * len(self.known) > self.limit:
+                self.older, self.known, self.held = self.known, {}, 0
+            pieces = [self._pieces(t) for t in texts[low : low + 64]]
+            once = set().union(*pieces)
+            passing = {p for p in once if len(p) > LONG_PART}
+            self._learn(once - passing - self.added.keys())
+            if passing or not once.isdisjoint(self.added):
+                apart = {p: self._ids(p) for p in passing} | self.added
+                out += [b"".join(apart.get(p) or self.known.get(p, b"") for p in row) for row in pieces]
+            else:
+                out += [b"".join(map(self.known.__getitem__, row)) for row in pieces]
         return out
 
 
