@@ -19,8 +19,10 @@ from vigil.llm import (
     language_id,
     license_scan,
     mixing,
+    packing,
     passage_dedup,
     simhash,
+    spelling,
     token_files,
 )
 from vigil.llm.common import scratch_path
@@ -242,3 +244,16 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token_files")
     token_files.write_token_files(docs, path, tokenizer_file("word_bpe_49k.json"), end_id=2)
     return token_files.with_crc32(token_files.read_token_files(spark, path))
+
+
+@query()
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    pieces = packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json"), end_id=2, capacity=4096)
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@query()
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return spelling.group_variants(spelling.count_words(docs, least=7, deleted=31), least_n=2, factor=10)
