@@ -21,6 +21,7 @@ from vigil.llm import (
     mixing,
     packing,
     passage_dedup,
+    prefix_trie,
     simhash,
     spelling,
     token_files,
@@ -246,6 +247,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.with_crc32(token_files.read_token_files(spark, path))
 
 
+@query()
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.number_turns(_table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie_report(*prefix_trie.graft(turns, group=100, most=6))
+
+
 @query()
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
