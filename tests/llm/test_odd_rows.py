@@ -337,7 +337,7 @@ def test_word_tokenizer():
     ids = [list(memoryview(i).cast("I")) for i in words.encode(lines)]
     assert ids == [library.encode(t, add_special_tokens=False).ids for t in lines]
     assert ids[-1] == [320, 49407, 321]
-    assert all(len(p) <= token_files.LONG_PART for p in [*words.known, *words.older])
+    assert all(len(p) <= token_files.LONG_PART for p in [*words.known, *words.known.older])
 
 
 def test_word_tokenizer_other_file():

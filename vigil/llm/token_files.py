@@ -42,7 +42,8 @@ _LETTERS = "a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
 LATIN = re.compile(f"[{_LETTERS}]+")
 
 #: Signs (but the apostrophe) between such a letter or a digit and white space are a word of their own to the tokenizer.
-SIGNS = re.compile(rf"(?<=[0-9{_LETTERS}])([!-&(-/:-@\[-`{{-~]+)(?=[ \n]|$)")
+_SIGN = r"[!-&(-/:-@\[-`{-~]"
+SIGNS = re.compile(rf"({_SIGN}(?<=[0-9{_LETTERS}].){_SIGN}*)(?=[ \n]|$)")
 
 #: The sign by which byte-level vocabularies write each byte: itself if printable, else the next from 256 on.
 _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -51,6 +52,9 @@ BYTE_SIGNS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b n
 #: Parts of more code points (long unbroken signs, encoded data) are not kept.
 LONG_PART = 64
 
+#: What Python takes for a kept part besides its code points and ids (two objects and a place in the dictionary).
+ENTRY_BYTES = 190
+
 #: The steps before the merges in vocabulary files for which ``WordTokenizer`` may split texts itself.
 SPLIT_BY_WORD = {
     "normalizer": {
@@ -85,14 +89,12 @@ class WordTokenizer:
     other signs and drops white space.
 
     No token spans a space or line break, so a text's ids are those of its parts between them.
-    Parts repeat; their ids are kept in two generations of bounded dictionaries. A part of
-    letters only is one word to the library: ASCII and Latin ones go straight to its merges,
-    others are encoded together, and the library says of every id to which word it belongs.
-    The file's added tokens are cut out of a text first, as the library does. A file whose
+    Parts repeat, so their ids are kept. A part of letters only is one word to the library:
+    ASCII and Latin ones go straight to its merges. The file's added tokens are cut out of a text first, as the library does. A file whose
     steps before the merges are others than these is left to the library's plain call.
 
-    ``limit`` bounds the bytes of one generation of kept parts, keys and ids; longer parts than
-    ``LONG_PART`` code points are encoded each time.
+    ``limit`` bounds the bytes of one generation of kept parts; longer parts than ``LONG_PART``
+    code points are encoded each time.
     """
 
     loaded: dict[str, "WordTokenizer"] = {}
@@ -102,7 +104,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.limit, self.held, self.known, self.older = limit, 0, {}, {}
+        self.merges = self.tokenizer.model.tokenize
+        self.known = PartIds(self._part_ids, limit)
         made_of = json.loads(self.tokenizer.to_str())
         added = made_of["added_tokens"]
         self.by_parts = all(made_of[k] == v for k, v in SPLIT_BY_WORD.items()) and all(
@@ -123,38 +126,17 @@ class WordTokenizer:
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, parts: set[str]) -> None:
-        """Make the ids of all parts known."""
-        known, older = self.known, self.older
-        new = parts.difference(known)
-        back = [part for part in new if part in older]
-        known.update((part, older[part]) for part in back)
-        self.held += sum(map(len, new))
-        new.difference_update(back)
-        merges = self.tokenizer.model.tokenize
-        words = []
-        for part in new:
-            # the library's merges alone, where its steps before them are known
-            if part.isalpha() and part.isascii():
-                known[part] = array("I", [t.id for t in merges(part)]).tobytes()
-            elif LATIN.fullmatch(part):
+    def _part_ids(self, part) -> bytes:
+        if type(part) is tuple:
+            return self.added[part]
+        # the library's merges alone, where its steps before them are known
+        if part.isalpha():
+            if part.isascii():
+                return array("I", [t.id for t in self.merges(part)]).tobytes()
+            if LATIN.fullmatch(part):
                 signs = part.lower().encode().decode("latin-1").translate(BYTE_SIGNS)
-                known[part] = array("I", [t.id for t in merges(signs)]).tobytes()
-            elif part.isalpha():
-                words.append(part)
-            else:
-                known[part] = self._ids(part)
-        for low in range(0, len(words), 4096):
-            group = words[low : low + 4096]
-            found = self.tokenizer.encode(" ".join(group), add_special_tokens=False)
-            ids, of = np.array(found.ids, "<u4").tobytes(), found.word_ids
-            if of[-1] != len(group) - 1:  # not one word each: ask for them one by one
-                known.update((w, self._ids(w)) for w in group)
-                continue
-            at = 0
-            for word, end in zip(group, (np.searchsorted(of, np.arange(len(group)), side="right") * 4).tolist()):
-                known[word] = ids[at:end]
-                at = end
+                return array("I", [t.id for t in self.merges(signs)]).tobytes()
+        return self._ids(part)
 
     @staticmethod
     def _parts(text: str | None) -> list[str]:
@@ -176,21 +158,28 @@ class WordTokenizer:
         """Little-endian unsigned 32-bit ids of each text."""
         if not self.by_parts:
             return [self._ids(t or "") for t in texts]
-        out = []
-        for low in range(0, len(texts), 64):
-            # a part has at most about one id per code point; the rest is what Python needs per entry
-            if 5 * self.held + 200 * len(self.known) > self.limit:
-                self.older, self.known, self.held = self.known, {}, 0
-            pieces = [self._pieces(t) for t in texts[low : low + 64]]
-            once = set().union(*pieces)
-            passing = {p for p in once if len(p) > LONG_PART}
-            self._learn(once - passing - self.added.keys())
-            if passing or not once.isdisjoint(self.added):
-                apart = {p: self._ids(p) for p in passing} | self.added
-                out += [b"".join(apart.get(p) or self.known.get(p, b"") for p in row) for row in pieces]
-            else:
-                out += [b"".join(map(self.known.__getitem__, row)) for row in pieces]
-        return out
+        return [b"".join(map(self.known.__getitem__, self._pieces(t))) for t in texts]
+
+
+class PartIds(dict):
+    """Ids of parts in two generations of at most ``limit`` bytes each; a dropped one is made again."""
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit, self.held, self.older = make, limit, 0, {}
+
+    def __missing__(self, part) -> bytes:
+        ids = self.older.get(part)
+        if ids is None:
+            ids = self.make(part)
+            if len(part) > LONG_PART:
+                return ids
+        if self.held > self.limit:
+            self.older, self.held = dict(self), 0
+            self.clear()
+        self.held += ENTRY_BYTES + len(part) + len(ids)
+        self[part] = ids
+        return ids
 
 
 def _ends(sizes: np.ndarray) -> np.ndarray:
