@@ -44,8 +44,9 @@ LETTERS = "A-Za-zÀ-ÿ"
 LEAST = 7
 SEGMENTS = 4
 BLOCK = 1024
-KEPT_WORDS = 200_000  # counts that a task holds before it hands them on
-CELLS = 4_000_000  # cells of a matrix, bounding the memory of a comparison
+KEPT_WORDS = 50_000  # counts that a task holds before it hands them on
+TILE_ROWS = 20_000  # rows of tiles that a task compares at once
+CELLS = 1_000_000  # cells of a matrix, bounding the memory of a comparison
 
 
 def count_words(docs: DataFrame, least: int = LEAST, deleted: int = 0) -> DataFrame:
@@ -59,7 +60,8 @@ def count_words(docs: DataFrame, least: int = LEAST, deleted: int = 0) -> DataFr
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
+                text = text.as_py()
                 # bytes.lower() changes A-Z alone
                 runs = Counter(run_of.findall((text or "").encode().lower().decode()))
                 if deleted:
@@ -214,7 +216,7 @@ def near_words(words: DataFrame, segments: int = SEGMENTS, block: int = BLOCK) -
         held: list[pa.RecordBatch] = []
         for b in batches:
             held.append(b)
-            if sum(x.num_rows for x in held) < 50_000:
+            if sum(x.num_rows for x in held) < TILE_ROWS:
                 continue
             table = pa.Table.from_batches(held)
             key, tile = table.column("key").to_numpy(), table.column("tile").to_numpy()
