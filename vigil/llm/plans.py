@@ -163,6 +163,101 @@ QUALIFY row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, place)
 """
 
 
+#: DuckDB SQL: the table of CRC-32 by byte.
+_CRC_TABLE = """
+crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+                        lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))) AS t
+)"""
+
+
+def _crc(text: str) -> str:
+    """CRC-32 of a string of code points up to U+07FF, with the table ``t``."""
+    return f"""xor(list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split({text}, ''), lambda c:
+      CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [192 + (ord(c) >> 6), 128 + (ord(c) & 63)]::BIGINT[] END)),
+      lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295)"""
+
+
+_TRIE_SQL = f"""
+WITH {_CRC_TABLE}, ids AS (
+  SELECT DISTINCT conv_id, conv_id::VARCHAR AS name FROM conversations WHERE conv_id IS NOT NULL
+), heads AS (
+  SELECT conv_id, {_crc("name")} % 6 AS h, conv_id - conv_id % 100 AS base FROM ids, crc
+), texts AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+), turns AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM texts
+), rebuilt AS (
+  SELECT h.conv_id, 0 AS own, pos, role, text FROM heads h JOIN turns t ON t.conv_id = h.base AND pos <= h.h
+  UNION ALL SELECT h.conv_id, 1, pos, role, text FROM heads h JOIN turns t ON t.conv_id = h.conv_id AND pos > h.h
+), items AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, pos) AS depth, length(text) AS chars,
+         sha256(length(role) || ':' || role || text) AS item
+  FROM rebuilt
+), named AS (
+  SELECT conv_id, depth, chars, sha256(string_agg(item, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS node
+  FROM items
+), places AS (
+  SELECT *, coalesce(lag(node) OVER (PARTITION BY conv_id ORDER BY depth), 'root') AS up FROM named
+  UNION ALL SELECT conv_id, 0, 0, 'root', NULL FROM ids
+), nodes AS (
+  SELECT node, min(depth) AS depth, min(conv_id) AS conv_id, min(up) AS up, count(*) AS n_convs,
+         (count(*) - 1) * min(chars) AS saved
+  FROM places GROUP BY node
+), kids AS (
+  SELECT up AS node, count(*) AS n FROM nodes WHERE up IS NOT NULL GROUP BY up
+), sums AS (
+  SELECT p.node, sum(w.saved) AS saved, count(*) FILTER (WHERE k.n IS NULL) AS leaves
+  FROM nodes w LEFT JOIN kids k ON k.node = w.node JOIN places p ON p.conv_id = w.conv_id AND p.depth <= w.depth
+  GROUP BY p.node
+), ends AS (
+  SELECT node, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids
+  FROM (SELECT conv_id, arg_max(node, depth) AS node FROM places GROUP BY conv_id) GROUP BY node
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, o.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0)::BIGINT AS n_children,
+       s.leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM nodes n LEFT JOIN nodes o ON o.node = n.up LEFT JOIN kids k ON k.node = n.node
+JOIN sums s ON s.node = n.node LEFT JOIN ends e ON e.node = n.node
+"""
+
+_SPELLING_SQL = rf"""
+WITH RECURSIVE {_CRC_TABLE}, texts AS (
+  SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), runs AS (
+  SELECT doc_id, run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM texts)
+  WHERE length(run) >= 7 GROUP BY doc_id, run
+), hashed AS (
+  SELECT run, n, {_crc("coalesce(doc_id::VARCHAR, 'null') || ':' || run")} AS h FROM runs, crc
+), words AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END
+         AS word, sum(n)::BIGINT AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 7 AND sum(n) >= 2
+), cuts AS (
+  SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)
+), longer AS (
+  SELECT DISTINCT c.word AS a, w.word AS b FROM cuts c JOIN words w ON w.word = c.rest
+), near AS (
+  SELECT a, b FROM longer UNION SELECT b, a FROM longer
+  UNION SELECT x.word, y.word FROM cuts x JOIN cuts y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word
+), best AS (
+  SELECT a AS word, count(*) AS n_near, first(b ORDER BY w.n DESC, b) AS b, max(w.n) AS b_n
+  FROM near JOIN words w ON w.word = near.b GROUP BY a
+), formed AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN b_n >= 10 * n THEN b END AS form,
+         CASE WHEN b_n >= 10 * n THEN b_n END AS form_n
+  FROM words LEFT JOIN best USING (word)
+), chain AS (
+  SELECT word, word AS root FROM formed
+  UNION ALL SELECT c.word, f.form FROM chain c JOIN formed f ON f.word = c.root AND f.form IS NOT NULL
+), ends AS (
+  SELECT c.word, c.root FROM chain c JOIN formed f ON f.word = c.root AND f.form IS NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)
+"""
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -247,7 +342,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.with_crc32(token_files.read_token_files(spark, path))
 
 
-@query()
+@query(_TRIE_SQL)
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = prefix_trie.number_turns(_table(spark, sf_dir, "conversations"))
     return prefix_trie.trie_report(*prefix_trie.graft(turns, group=100, most=6))
@@ -260,7 +355,7 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
-@query()
+@query(_SPELLING_SQL)
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return spelling.group_variants(spelling.count_words(docs, least=7, deleted=31), least_n=2, factor=10)
