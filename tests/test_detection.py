@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions import idor as X
 from vigil.operators import detection as D
-from vigil.operators.windows import bucketed_range_window
+from vigil.operators.windows import sliding_window, window_members
 
 COLS = "event_id long, ts_us long, user_id string, session_id string, resource_id string, resource_owner_id string, success boolean"
 US = 1_000_000
@@ -83,17 +83,49 @@ def test_no_session_is_log_only(spark):
     assert c["access_class"] == "NO_SESSION" and not c["other_failure"]
 
 
-def test_bucketed_window_equals_plain_window(spark):
-    rnd = random.Random(7)
-    rows = [(i, BASE + rnd.randrange(0, 3600) * US, f"s{rnd.randrange(3)}", str(rnd.randrange(20))) for i in range(400)]
+@pytest.mark.parametrize("w", [0, 7, 300])
+def test_sliding_window_equals_plain_window(spark, w):
+    """Ties, repeated items, null items and null keys, several keys; also the lists of some windows."""
+    rnd = random.Random(w)
+    rows = [
+        (i, BASE + rnd.randrange(0, 900) * US, rnd.choice(["s1", "s2", None]), rnd.choice([*map(str, range(12)), None, "x"]))
+        for i in range(500)
+    ]
     df = spark.createDataFrame(rows, "event_id long, ts_us long, session_id string, resource_id string")
-    aggs = {"n": F.count(F.lit(1)), "s": F.collect_set("resource_id")}
-    got = bucketed_range_window(df, "session_id", "ts_us", 300, aggs, bucket_seconds=120).withColumn("d", F.size("s"))
-    w = Window.partitionBy("session_id").orderBy("ts_us").rangeBetween(-300 * US, 0)
-    want = df.select("event_id", F.count(F.lit(1)).over(w).alias("n"), F.size(F.collect_set("resource_id").over(w)).alias("d"))
-    a = {r["event_id"]: (r["n"], r["d"]) for r in got.collect()}
-    b = {r["event_id"]: (r["n"], r["d"]) for r in want.collect()}
-    assert a == b
+    number = X.numeric_id(F.col("resource_id"))
+    got = sliding_window(
+        df, ["session_id"], "ts_us", w, "resource_id", {"d": F.lit(True), "n": number.isNotNull()},
+        {"first": ("min", F.col("ts_us")), "low": ("min", number), "high": ("max", number)},
+    )
+    assert got.columns == [*df.columns, "win_count", "d", "n", "first", "low", "high"]
+    frame = Window.partitionBy("session_id").orderBy("ts_us").rangeBetween(-w * US, 0)
+    ids = F.collect_set("resource_id").over(frame)
+    want = df.select(
+        "*", F.count(F.lit(1)).over(frame), F.size(ids), F.size(F.filter(ids, lambda x: x.rlike("[0-9]$"))),
+        F.min("ts_us").over(frame), F.min(number).over(frame), F.max(number).over(frame),
+    )
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    some = df.where("event_id % 5 = 0")
+    listed = window_members(some, df, ["session_id"], "ts_us", w, F.col("event_id")).collect()
+    by_key = {(r["session_id"], r["ts_us"]): r["members"] for r in listed}
+    assert len(by_key) == len(listed) == some.select("session_id", "ts_us").distinct().count()
+    for i, t, s, _ in rows:
+        if i % 5 == 0:
+            assert by_key[s, t] == [j for j, u, z, _ in rows if z == s and t - w * US <= u <= t]
+
+
+def test_many_failures_in_one_window(spark):
+    """10^5 failures of one session inside one window: running sums, no list per row."""
+    n = 100_000
+    df = spark.range(n).selectExpr(
+        "id AS event_id", f"{BASE} + (id * 7919) % {n} * 100 AS ts_us", "if(id < 0, 't', 's') AS session_id",
+        "CAST(id % 30011 AS STRING) AS resource_id",
+    )
+    out = D.analyze_failures(D.failure_window(df, 3600), 3, 10)
+    r = out.agg(F.max("win_count"), F.max("win_distinct"), F.min("win_count"), F.count("*")).first()
+    assert tuple(r) == (n, 30011, 1, n)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "collect_set" not in plan and plan.count("Exchange hashpartitioning") == 1
 
 
 def test_batch_and_stream_agree(spark, sf_small):

@@ -25,32 +25,25 @@ DEFAULT_SEQUENTIAL_GAP = 10
 DEFAULT_OWNERSHIP_TTL_SECONDS = 86400
 
 
-def numeric_ids(ids: Column, id_mode: str = "suffix") -> Column:
-    """Array of bigint ids parsed from an array of id strings; unparsable ids dropped.
+def numeric_id(resource: Column, id_mode: str = "suffix") -> Column:
+    """Bigint id of a resource string; null if it has none.
 
     ``strict``: the whole (trimmed) string must be an integer, as Python ``int()``.
     ``suffix``: the trailing run of digits is the id (``loan_4395669`` → 4395669).
     """
     if id_mode == "strict":
-        parsed = F.transform(ids, lambda x: F.trim(x).try_cast("bigint"))
-    elif id_mode == "suffix":
-        parsed = F.transform(
-            ids, lambda x: F.nullif(F.regexp_extract(x, r"(\d+)$", 1), F.lit("")).try_cast("bigint")
-        )
-    else:
-        raise ValueError(f"id_mode must be 'strict' or 'suffix', not {id_mode!r}")
-    return F.filter(parsed, lambda x: x.isNotNull())
+        return F.trim(resource).try_cast("bigint")
+    if id_mode == "suffix":
+        return F.nullif(F.regexp_extract(resource, r"(\d+)$", 1), F.lit("")).try_cast("bigint")
+    raise ValueError(f"id_mode must be 'strict' or 'suffix', not {id_mode!r}")
 
 
-def is_sequential(ids: Column, gap: int = DEFAULT_SEQUENTIAL_GAP, id_mode: str = "suffix") -> Column:
+def is_dense(n: Column, least: Column, largest: Column, gap: int = DEFAULT_SEQUENTIAL_GAP) -> Column:
     """≥3 numeric ids whose sorted average gap ``(max-min)/(n-1)`` is ≤ ``gap``.
 
     Compared exactly in integers: ``max - min <= gap * (n - 1)``.
     """
-    nums = numeric_ids(ids, id_mode)
-    n = F.size(nums)
-    span = F.array_max(nums) - F.array_min(nums)
-    return F.coalesce((n >= 3) & (span <= F.lit(gap) * (n - 1)), F.lit(False))
+    return F.coalesce((n >= 3) & (largest - least <= F.lit(gap) * (n - 1)), F.lit(False))
 
 
 def severity(distinct: Column, sequential: Column, threshold: int = DEFAULT_THRESHOLD) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions import idor as X
-from vigil.operators.windows import bucketed_range_window
+from vigil.operators.windows import sliding_window, window_members
 
 _US = 1_000_000
 
@@ -63,40 +63,38 @@ def classify_access(
 def failure_window(
     failures: DataFrame,
     window_seconds: int = X.DEFAULT_WINDOW_SECONDS,
-    bucket_seconds: int | None = None,
     keys: tuple[str, ...] = ("session_id",),
+    id_mode: str = "suffix",
 ) -> DataFrame:
     """Per other-user failure, the session's failures in ``[t - w, t]``.
 
-    Adds ``win_events`` (array<struct<ts_us,resource_id>> sorted by time),
-    ``win_resources`` (distinct ids), ``win_owners`` (distinct non-null
-    owners), ``win_count``, ``win_first_us``, ``win_last_us``, ``win_distinct``.
+    Adds ``win_count``, ``win_first_us``, ``win_last_us``, ``win_distinct`` (distinct resources),
+    ``win_numeric`` (those of them with a numeric id), ``win_id_min`` and ``win_id_max``. No list
+    is built: see ``vigil.operators.windows.sliding_window``.
     """
-    aggs = {
-        "win_events": F.collect_list(F.struct("ts_us", "resource_id", "resource_owner_id", "event_id")),
-        "win_resources": F.collect_set("resource_id"),
-        "win_owners": F.collect_set("resource_owner_id"),
-        "win_count": F.count(F.lit(1)),
-        "win_first_us": F.min("ts_us"),
-        "win_last_us": F.max("ts_us"),
-    }
-    out = bucketed_range_window(failures, list(keys), "ts_us", window_seconds, aggs, bucket_seconds)
-    return out.withColumn("win_events", F.array_sort("win_events")).withColumn(
-        "win_distinct", F.size("win_resources").cast("bigint")
+    number = X.numeric_id(F.col("resource_id"), id_mode)
+    out = sliding_window(
+        failures,
+        keys,
+        "ts_us",
+        window_seconds,
+        "resource_id",
+        {"win_distinct": F.lit(True), "win_numeric": number.isNotNull()},
+        {"win_first_us": ("min", F.col("ts_us")), "win_id_min": ("min", number), "win_id_max": ("max", number)},
     )
+    return out.withColumn("win_last_us", F.col("ts_us"))
 
 
 def analyze_failures(
     windowed: DataFrame,
     threshold: int = X.DEFAULT_THRESHOLD,
     sequential_gap: int = X.DEFAULT_SEQUENTIAL_GAP,
-    id_mode: str = "suffix",
 ) -> DataFrame:
     """Sequential test, severity ladder and MITRE mapping per failure."""
     d = F.col("win_distinct")
-    seq = F.when(d >= 3, X.is_sequential(F.col("win_resources"), sequential_gap, id_mode)).otherwise(F.lit(False))
+    dense = X.is_dense(F.col("win_numeric"), F.col("win_id_min"), F.col("win_id_max"), sequential_gap)
     return (
-        windowed.withColumn("is_sequential", seq)
+        windowed.withColumn("is_sequential", (d >= 3) & dense)
         .withColumn("severity", X.severity(d, F.col("is_sequential"), threshold))
         .withColumn("has_event", X.emits_event(d, threshold))
         .withColumn("mitre_tactics", X.mitre_tactics(F.col("is_sequential"), d))
@@ -105,9 +103,21 @@ def analyze_failures(
     )
 
 
-def detection_events(analyzed: DataFrame) -> DataFrame:
-    """One detection event per failure that crossed the threshold."""
+def detection_events(
+    analyzed: DataFrame,
+    failures: DataFrame,
+    window_seconds: int = X.DEFAULT_WINDOW_SECONDS,
+) -> DataFrame:
+    """One detection event per failure that crossed the threshold. Only these windows are listed,
+    once per session and instant, from ``failures`` (the rows that ``analyzed`` was made of)."""
     ev = analyzed.filter("has_event")
+    member = F.struct("ts_us", "resource_id", "resource_owner_id", "event_id")
+    listed = window_members(ev, failures, ["session_id"], "ts_us", window_seconds, member, "win_events")
+    ev = ev.join(
+        listed.withColumnsRenamed({"session_id": "_session", "ts_us": "_ts"}),
+        F.col("session_id").eqNullSafe(F.col("_session")) & (F.col("ts_us") == F.col("_ts")),
+    )
+    owners = F.transform("win_events", lambda e: e["resource_owner_id"])
     event_id = F.concat(
         F.lit("idor_evt_"),
         F.substring(
@@ -129,7 +139,7 @@ def detection_events(analyzed: DataFrame) -> DataFrame:
         F.transform("win_events", lambda e: e["resource_id"]).alias("failed_resources"),
         F.transform("win_events", lambda e: F.coalesce(e["resource_owner_id"], F.lit("unknown"))).alias("failed_owners"),
         F.transform("win_events", lambda e: e["event_id"]).alias("window_event_ids"),
-        F.array_sort(F.col("win_owners")).alias("resource_owners"),
+        F.array_sort(F.array_distinct(F.filter(owners, lambda o: o.isNotNull()))).alias("resource_owners"),
         "mitre_tactics",
         "mitre_techniques",
         "mitre_sub_techniques",
@@ -147,17 +157,22 @@ def detect(
     sequential_gap: int = X.DEFAULT_SEQUENTIAL_GAP,
     id_mode: str = "suffix",
     ownership: DataFrame | None = None,
-    bucket_seconds: int | None = None,
 ) -> DataFrame:
     """E1→E6 on a log: every other-user failure with its window verdict."""
-    classified = classify_access(log, ownership)
-    failures = classified.filter("other_failure")
-    return analyze_failures(failure_window(failures, window_seconds, bucket_seconds), threshold, sequential_gap, id_mode)
+    failures = classify_access(log, ownership).filter("other_failure")
+    return analyze_failures(failure_window(failures, window_seconds, id_mode=id_mode), threshold, sequential_gap)
 
 
-def idor_events(log: DataFrame, **params) -> DataFrame:
+def idor_events(
+    log: DataFrame,
+    window_seconds: int = X.DEFAULT_WINDOW_SECONDS,
+    ownership: DataFrame | None = None,
+    **params,
+) -> DataFrame:
     """E1→E7: detection events (the flagship)."""
-    return detection_events(detect(log, **params))
+    failures = classify_access(log, ownership).filter("other_failure")
+    analyzed = detect(log, window_seconds, ownership=ownership, **params)
+    return detection_events(analyzed, failures, window_seconds)
 
 
 def session_stats(failures: DataFrame, as_of_us, window_seconds: int) -> DataFrame:

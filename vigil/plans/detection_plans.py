@@ -127,12 +127,7 @@ def q_distinct(spark, sf):
 
 @register("sequential_check", _BASE + "SELECT event_id, d AS win_distinct, n_num AS numeric_ids, is_sequential FROM scored")
 def q_sequential(spark, sf):
-    from vigil.functions.idor import numeric_ids
-
-    a = _analyzed(spark, sf)
-    return a.select(
-        "event_id", "win_distinct", F.size(numeric_ids(F.col("win_resources"))).cast("bigint").alias("numeric_ids"), "is_sequential"
-    )
+    return _analyzed(spark, sf).select("event_id", "win_distinct", F.col("win_numeric").alias("numeric_ids"), "is_sequential")
 
 
 @register("idor_severity", _BASE + "SELECT event_id, severity, has_event FROM laddered")
@@ -399,11 +394,11 @@ def q_sweep(spark, sf):
 FROM nwin n FULL OUTER JOIN laddered l ON l.event_id = n.event_id""",
 )
 def q_naive_vs_aware(spark, sf):
-    from vigil.operators.windows import bucketed_range_window
+    from vigil.operators.windows import sliding_window
 
-    log = access_log(spark, sf)
-    naive = bucketed_range_window(log, "session_id", "ts_us", WINDOW_S, {"_set": F.collect_set("resource_id")}).select(
-        "event_id", F.size("_set").cast("bigint").alias("naive_distinct")
+    log = access_log(spark, sf).select("event_id", "session_id", "ts_us", "resource_id")
+    naive = sliding_window(log, ["session_id"], "ts_us", WINDOW_S, "resource_id", {"naive_distinct": F.lit(True)}).select(
+        "event_id", "naive_distinct"
     )
     aware = _analyzed(spark, sf).select("event_id", F.col("win_distinct").alias("aware_distinct"), "has_event")
     j = naive.join(aware, "event_id", "full_outer")
@@ -419,11 +414,8 @@ MANUAL_SECONDS = 10
 
 
 def attack_pattern_column() -> F.Column:
-    from vigil.functions.idor import numeric_ids
-
-    nums = numeric_ids(F.col("win_resources"))
-    n = F.size(nums)
-    id_gap = F.when(n >= 2, (F.array_max(nums) - F.array_min(nums)) / (n - 1))
+    n = F.col("win_numeric")
+    id_gap = F.when(n >= 2, (F.col("win_id_max") - F.col("win_id_min")) / (n - 1))
     t_gap = F.when(F.col("win_count") >= 2, (F.col("win_last_us") - F.col("win_first_us")) / F.lit(1e6) / (F.col("win_count") - 1))
     return (
         F.when(F.col("is_sequential"), "sequential")

@@ -118,20 +118,14 @@ def udm_alerts(spark: SparkSession, sf_dir: str, window_seconds: int = 3 * 86400
     # one alert per failure whose trailing window (the detection window) holds
     # three distinct resources; its events are that window — bounded by the
     # window, never a whole session
-    from vigil.operators.windows import bucketed_range_window
-
-    aggs = {
-        "_evs": F.collect_list(F.struct(F.col("ts_us").alias("_t"), F.col("event_id").alias("_e"), ev.alias("_ev"))),
-        "_res": F.collect_set("resource_id"),
-    }
-    g = bucketed_range_window(log, "session_id", "ts_us", window_seconds, aggs)
-    g = g.withColumn("distinct_resources", F.size("_res")).filter(F.col("distinct_resources") >= 3).select(
-        "session_id", "user_id", "ts_us", "distinct_resources", F.floor(F.col("ts_us") / F.lit(DAY_US)).alias("day"),
-        F.array_sort(
-            "_evs",
-            lambda l, r: F.when(l["_t"] < r["_t"], -1).when(l["_t"] > r["_t"], 1)
-            .when(l["_e"] < r["_e"], -1).when(l["_e"] > r["_e"], 1).otherwise(0),
-        ).alias("_evs"),
+    from vigil.operators.windows import sliding_window, window_members
+
+    slim = log.select("session_id", "user_id", "ts_us", "resource_id")
+    g = sliding_window(slim, ["session_id"], "ts_us", window_seconds, "resource_id", {"distinct_resources": F.lit(True)})
+    g = g.filter(F.col("distinct_resources") >= 3)
+    listed = window_members(g, log, ["session_id"], "ts_us", window_seconds, ev, "_evs", F.struct("ts_us", "event_id"))
+    g = g.join(listed, ["session_id", "ts_us"]).select(
+        "session_id", "user_id", "ts_us", "distinct_resources", F.floor(F.col("ts_us") / F.lit(DAY_US)).alias("day"), "_evs"
     )
     d = F.col("distinct_resources")
     return g.select(
@@ -141,7 +135,7 @@ def udm_alerts(spark: SparkSession, sf_dir: str, window_seconds: int = 3 * 86400
         F.when(F.col("day") % 2 == 0, d.cast("int")).alias("distinct_resources"),
         "session_id", "user_id",
         F.least(F.lit(100), (d * 20).cast("int")).alias("risk_score"),
-        F.transform("_evs", lambda x: x["_ev"]).alias("udm_events"),
+        F.col("_evs").alias("udm_events"),
     )
 
 
