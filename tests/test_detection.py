@@ -253,3 +253,10 @@ def test_shuffled_micro_batches_and_null_sessions_equal_batch(spark, tmp_path):
         in_session = stored.filter("session_id <> ''")
         want = {r["event_id"]: r["severity"] for r in D.detect(in_session, window_seconds=60).collect()}
         assert want and all(got[e]["severity"] == s for e, s in want.items() if e in got)
+
+
+def test_access_results_shuffles(spark, sf_small):
+    from vigil.plans import load_all
+
+    plan = load_all()[0]["access_classify"](spark, sf_small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 6 and "Join" not in plan

@@ -40,8 +40,8 @@ def simulate(ops, probes, ttl):
     return owned, owner
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_is_owner_and_reverse_owner_match_simulation(spark, seed):
+@pytest.mark.parametrize("seed, bucket_us", [(1, None), (2, 50 * US), (3, 7 * US), (4, 1)])
+def test_is_owner_and_reverse_owner_match_simulation(spark, seed, bucket_us):
     rnd = random.Random(seed)
     ttl_s = 50
     users, res = [f"u{i}" for i in range(4)], [str(i) for i in range(6)]
@@ -63,13 +63,13 @@ def test_is_owner_and_reverse_owner_match_simulation(spark, seed):
     want_owned, _ = simulate(ops, probes, ttl_s * US)
     ops_df = spark.createDataFrame(ops, "user_id string, resource_id string, ts_us long, op string")
     pr = spark.createDataFrame(probes, "probe_id long, user_id string, resource_id string, ts_us long")
-    got = {r["probe_id"]: r["owned"] for r in O.is_owner_asof(ops_df, pr, ttl_s).collect()}
+    got = {r["probe_id"]: r["owned"] for r in O.is_owner_asof(ops_df, pr, ttl_s, bucket_us).collect()}
     assert got == want_owned
 
     no_clear = [o for o in ops if o[3] != "clear"]
     _, want_owner = simulate(no_clear, probes, ttl_s * US)
     ops2 = spark.createDataFrame(no_clear, "user_id string, resource_id string, ts_us long, op string")
-    got2 = {r["probe_id"]: r["owner"] for r in O.resource_owner_asof(ops2, pr.drop("user_id"), ttl_s).collect()}
+    got2 = {r["probe_id"]: r["owner"] for r in O.resource_owner_asof(ops2, pr.drop("user_id"), ttl_s, bucket_us).collect()}
     assert got2 == want_owner
 
 
@@ -78,3 +78,34 @@ def test_user_stats_top_k_sorted(spark):
     st = {r["user_id"]: r for r in O.user_stats(owned, k=10, salt_buckets=4).collect()}
     assert st["u"]["owned_count"] == 30 and st["u"]["first_resources"] == sorted(str(i) for i in range(30))[:10]
     assert st["v"]["first_resources"] == ["x"]
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_owned_set_matches_simulation(spark, seed):
+    rnd = random.Random(seed)
+    ops = []
+    for _ in range(200):
+        kind = rnd.choices(["record", "remove", "clear"], [8, 2, 1])[0]
+        resource = None if kind == "clear" else str(rnd.randrange(6))
+        ops.append((f"u{rnd.randrange(4)}", resource, rnd.randrange(0, 400) * US, kind))
+    df = spark.createDataFrame(ops, "user_id string, resource_id string, ts_us long, op string")
+    for as_of in (100 * US, 250 * US, 420 * US):
+        probes = [((u, r), u, r, as_of) for u in ("u0", "u1", "u2", "u3") for r in map(str, range(6))]
+        want, _ = simulate([o for o in ops if o[2] <= as_of], probes, 50 * US)
+        got = O.owned_set_asof(df, as_of, 50, bucket_us=11 * US).collect()
+        assert {tuple(r) for r in got} == {k for k, owned in want.items() if owned}
+
+
+def test_lookup_plan_has_no_join(spark):
+    """Five exchanges, no join, no table written at plan time; columns of the probes stay."""
+    ops = spark.createDataFrame([("u", "1", 10 * US, "record")], "user_id string, resource_id string, ts_us long, op string")
+    probes = spark.createDataFrame(
+        [("u", "1", 12 * US, "x"), ("u", "2", 12 * US, "y"), (None, "1", 12 * US, "z"), ("u", None, 12 * US, "n")],
+        "user_id string, resource_id string, ts_us long, op string",
+    )
+    out = O.is_owner_asof(ops, probes, 50)
+    assert {r["op"]: r["owned"] for r in out.collect()} == {"x": True, "y": False, "z": False, "n": False}
+    plan = O.is_owner_asof(ops, probes, 50)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 5
+    with pytest.raises(ValueError):
+        O.is_owner_asof(ops, probes, 0)

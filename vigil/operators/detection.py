@@ -13,10 +13,11 @@ an explicit ``as_of`` replaces wall-clock ``now`` so results reproduce.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions import idor as X
+from vigil.operators.ownership import is_owner_asof
 from vigil.operators.windows import sliding_window, window_members
 
 _US = 1_000_000
@@ -27,39 +28,68 @@ def own_resource(df: DataFrame) -> DataFrame:
     return df.withColumn("is_own", F.col("user_id") == F.col("resource_owner_id"))
 
 
+def _unknown_owner() -> Column:
+    return F.coalesce(~F.col("success"), F.lit(False)) & F.col("resource_owner_id").isNull()
+
+
 def classify_access(
     log: DataFrame,
-    ownership: DataFrame | None = None,
+    ownership_ops: DataFrame | None = None,
+    ttl_seconds: int = X.DEFAULT_OWNERSHIP_TTL_SECONDS,
     require_session: bool = True,
 ) -> DataFrame:
     """Classify each request.
 
     Order of the checks follows the reference: no session → LOG_ONLY (before
     success); success → LEGITIMATE_ACCESS; failure on own resource → LOG_ONLY;
-    unknown owner → ownership lookup (``ownership`` = output of
-    ``vigil.operators.ownership.is_owner_asof``: ``event_id, owned``);
+    unknown owner → ownership lookup (in ``ownership_ops``, if given; see
+    ``vigil.operators.ownership.is_owner_asof``);
     otherwise the row is an other-user failure (``other_failure``) that feeds
-    the sliding window.
+    the sliding window. Only failures of unknown owner are looked up; other rows
+    pass by the lookup, and no join brings the two together.
     """
     df = own_resource(log)
-    if ownership is not None:
-        df = df.join(ownership.select("event_id", F.col("owned").alias("_owned")), "event_id", "left")
-        known = F.coalesce(F.col("is_own"), F.col("_owned"), F.lit(False))
-    else:
-        known = F.coalesce(F.col("is_own"), F.lit(False))
+    known = F.coalesce(F.col("is_own"), F.lit(False))
+    if ownership_ops is not None:
+        looked_up = is_owner_asof(ownership_ops, df.filter(_unknown_owner()), ttl_seconds)
+        df = df.filter(~_unknown_owner()).withColumn("owned", F.lit(False)).unionByName(looked_up)
+        known = known | F.col("owned")
     no_session = F.col("session_id").isNull() | (F.col("session_id") == "")
     cls = (
         F.when(no_session if require_session else F.lit(False), F.lit("NO_SESSION"))
         .when(F.col("success"), F.lit(X.LEGITIMATE_ACCESS))
-        .when(known, F.lit("OWN_FAILURE"))
+        .when(F.col("owner_known"), F.lit("OWN_FAILURE"))
         .otherwise(F.lit("OTHER_FAILURE"))
     )
-    df = df.withColumn("access_class", cls).withColumn("owner_known", known)
-    if ownership is not None:
-        df = df.drop("_owned")
+    df = df.withColumn("owner_known", known).withColumn("access_class", cls).drop("owned")
     return df.withColumn("other_failure", F.col("access_class") == "OTHER_FAILURE")
 
 
+def access_results(
+    log: DataFrame,
+    ownership_ops: DataFrame,
+    ttl_seconds: int = X.DEFAULT_OWNERSHIP_TTL_SECONDS,
+    window_seconds: int = X.DEFAULT_WINDOW_SECONDS,
+    threshold: int = X.DEFAULT_THRESHOLD,
+    sequential_gap: int = X.DEFAULT_SEQUENTIAL_GAP,
+) -> DataFrame:
+    """``event_id, user_id, owner_known, result`` of every request: the severity of its window for
+    an other-user failure, LEGITIMATE_ACCESS or LOG_ONLY for the rest.
+
+    Failures go through the windows only, and through the lookup first if their owner is unknown
+    (those found owned bring no resource into a window): six shuffles, no join."""
+    columns = ["event_id", "user_id", "owner_known", "other_failure"]
+    known = classify_access(log.filter(~_unknown_owner()))
+    asked = classify_access(log.filter(_unknown_owner()), ownership_ops, ttl_seconds)
+    result = F.when(F.col("access_class") == X.LEGITIMATE_ACCESS, X.LEGITIMATE_ACCESS).otherwise(X.LOG_ONLY)
+    passed = known.filter(~F.col("other_failure")).select(*columns[:3], result.alias("result"))
+    counted = F.when(F.col("other_failure"), F.col("resource_id")).alias("resource_id")
+    rows = known.filter("other_failure").unionByName(asked).select(*columns, "session_id", "ts_us", counted)
+    scored = analyze_failures(failure_window(rows, window_seconds), threshold, sequential_gap)
+    severity = F.when(F.col("other_failure"), F.col("severity")).otherwise(X.LOG_ONLY)
+    return passed.unionByName(scored.select(*columns[:3], severity.alias("result")))
+
+
 def failure_window(
     failures: DataFrame,
     window_seconds: int = X.DEFAULT_WINDOW_SECONDS,
@@ -156,22 +186,22 @@ def detect(
     threshold: int = X.DEFAULT_THRESHOLD,
     sequential_gap: int = X.DEFAULT_SEQUENTIAL_GAP,
     id_mode: str = "suffix",
-    ownership: DataFrame | None = None,
+    ownership_ops: DataFrame | None = None,
 ) -> DataFrame:
     """E1→E6 on a log: every other-user failure with its window verdict."""
-    failures = classify_access(log, ownership).filter("other_failure")
+    failures = classify_access(log, ownership_ops).filter("other_failure")
     return analyze_failures(failure_window(failures, window_seconds, id_mode=id_mode), threshold, sequential_gap)
 
 
 def idor_events(
     log: DataFrame,
     window_seconds: int = X.DEFAULT_WINDOW_SECONDS,
-    ownership: DataFrame | None = None,
+    ownership_ops: DataFrame | None = None,
     **params,
 ) -> DataFrame:
     """E1→E7: detection events (the flagship)."""
-    failures = classify_access(log, ownership).filter("other_failure")
-    analyzed = detect(log, window_seconds, ownership=ownership, **params)
+    failures = classify_access(log, ownership_ops).filter("other_failure")
+    analyzed = detect(log, window_seconds, ownership_ops=ownership_ops, **params)
     return detection_events(analyzed, failures, window_seconds)
 
 

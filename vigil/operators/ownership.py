@@ -15,18 +15,19 @@ store. Here the state at any instant is a function of the log:
   ttl-session.
 
 Ties at the same microsecond are ordered clear < record < remove < probe, so a
-probe sees everything recorded at its own instant. All running state uses
-``vigil.operators.sequence.running`` (bucketed, skew-safe), never a
-per-user unbounded window.
+probe sees everything recorded at its own instant. Running state is kept within
+time buckets and carried on over one summary row per bucket, never by a
+per-user unbounded window over events.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigil.functions.idor import DEFAULT_OWNERSHIP_TTL_SECONDS
-from vigil.operators.sequence import DAY_US, running
+from vigil.operators.sequence import BUCKET_US
 
 _US = 1_000_000
 RANK = {"clear": 0, "record": 1, "remove": 2, "probe": 3}
@@ -70,14 +71,14 @@ def bulk_records(bulk: DataFrame) -> DataFrame:
     return bulk.select("user_id", F.explode("resource_ids").alias("resource_id"), "ts_us", F.lit("record").alias("op"))
 
 
-def ttl_sessions(ops: DataFrame, ttl_seconds: int = DEFAULT_OWNERSHIP_TTL_SECONDS, bucket_us: int = DAY_US) -> DataFrame:
+def ttl_sessions(ops: DataFrame, ttl_seconds: int = DEFAULT_OWNERSHIP_TTL_SECONDS, bucket_us: int = BUCKET_US) -> DataFrame:
     """Records with ``ttl_session`` (per user) and the set's expiry if
     nothing follows (``expires_us = ts + TTL``).
 
-    One shuffle of the records: inside a ``(user, day)`` partition a record's
-    predecessor is local unless it is the first record of that day; only that
-    one record per day needs the previous days' summary (last record, last
-    clear, sessions so far), which is a prefix over one row per (user, day).
+    One shuffle of the records: inside a ``(user, bucket)`` partition a record's
+    predecessor is local unless it is the first record of that bucket; only that
+    one record per bucket needs the summary of the buckets before (last record, last
+    clear, sessions so far), which is a prefix over one row per (user, bucket).
     """
     ttl = F.lit(int(ttl_seconds) * _US)
     touched = ops.filter(F.col("op").isin("record", "clear")).withColumn("seq", _seq("ts_us", _rank_col()))
@@ -131,127 +132,194 @@ def ttl_sessions(ops: DataFrame, ttl_seconds: int = DEFAULT_OWNERSHIP_TTL_SECOND
     )
 
 
+def _instant(seq) -> F.Column:
+    return F.shiftright(seq, 2)
+
+
+def _span_us(ttl_us: int, bucket_us: int | None) -> int:
+    """Length of a time bucket: a quarter of the TTL if none is given, never more than the TTL."""
+    if ttl_us <= 0:
+        raise ValueError("ttl_seconds must be positive")
+    return max(1, min(bucket_us or ttl_us // 4, ttl_us))
+
+
+def _user_buckets(marks: DataFrame, ttl_us: int) -> DataFrame:
+    """One row per (user, bucket) of ``marks`` (``user_id, _b, rec, clear``): its first record, and over all
+    buckets before it the last record, the last clear and the last record that began a set anew.
+
+    No bucket is longer than the TTL, so a set can expire between two records only where the
+    later one is the first of its bucket: the summary rows tell every such gap.
+    """
+    past = Window.partitionBy("user_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    extra = [F.max(c).alias(c) for c in marks.columns if c not in ("user_id", "_b", "rec", "clear")]
+    per = marks.groupBy("user_id", "_b").agg(
+        F.min("rec").alias("first_rec"), F.max("rec").alias("last_rec"), F.max("clear").alias("last_clear"), *extra
+    )
+    per = per.select("*", F.max("last_rec").over(past).alias("c_rec"), F.max("last_clear").over(past).alias("c_clear"))
+    anew = F.col("c_rec").isNull() | (_instant("first_rec") - _instant("c_rec") >= ttl_us)
+    per = per.withColumn("gap", F.when(anew, F.col("first_rec")))
+    return per.select("*", F.max("gap").over(past).alias("c_gap"))
+
+
+def _marks(ops: DataFrame, span: int) -> DataFrame:
+    seq = _seq("ts_us", _rank_col())
+    return ops.select(
+        "user_id",
+        "resource_id",
+        F.floor(F.col("ts_us") / F.lit(span)).alias("_b"),
+        seq.alias("seq"),
+        "op",
+        F.when(F.col("op") == "record", seq).alias("rec"),
+        F.when(F.col("op") == "clear", seq).alias("clear"),
+    )
+
+
 def is_owner_asof(
     ops: DataFrame,
     probes: DataFrame,
     ttl_seconds: int = DEFAULT_OWNERSHIP_TTL_SECONDS,
+    bucket_us: int | None = None,
 ) -> DataFrame:
-    """D2 (+D5, D8): ``probes`` (``probe_id, user_id, resource_id, ts_us``) →
-    ``probe_id, owned`` at each probe's instant."""
-    ttl = F.lit(int(ttl_seconds) * _US)
-    # the sessionised records feed two independent streams: materialise them
-    # once (reliable checkpoint in the shared spark.checkpoint.dir)
-    recs = materialize(ttl_sessions(ops, ttl_seconds))
-    # user-level stream: records (with session), clears, probes
-    clears = ops.filter(F.col("op") == "clear").select("user_id", "ts_us", _seq("ts_us", 0).alias("seq"))
-    p = probes.select("probe_id", "user_id", "resource_id", "ts_us", _seq("ts_us", 3).alias("seq"))
-    user_stream = (
-        recs.select("user_id", "ts_us", "seq", "ttl_session", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("probe_id"))
-        .unionByName(clears.select("user_id", "ts_us", "seq", F.lit(None).cast("bigint").alias("ttl_session"),
-                                   F.lit(0).alias("kind"), F.lit(None).cast("long").alias("probe_id")))
-        .unionByName(p.select("user_id", "ts_us", "seq", F.lit(None).cast("bigint").alias("ttl_session"),
-                              F.lit(3).alias("kind"), "probe_id"))
-    )
-    user_stream = running(
-        user_stream,
-        ["user_id"],
-        [F.col("ts_us"), F.col("seq")],
-        {
-            "last_rec_seq": ("max", F.when(F.col("kind") == 1, F.col("seq"))),
-            "last_clear_seq": ("max", F.when(F.col("kind") == 0, F.col("seq"))),
-            "cur_session": ("max", F.col("ttl_session")),
-        },
-        "ts_us",
-    )
-    alive = (
-        F.col("last_rec_seq").isNotNull()
-        & (F.coalesce(F.col("last_clear_seq"), F.lit(-1)) < F.col("last_rec_seq"))
-        & (F.col("ts_us") - F.floor(F.col("last_rec_seq") / 4) < ttl)
+    """D2 (+D5, D8): every row of ``probes`` (``user_id, resource_id, ts_us`` and any other columns)
+    with ``owned`` at its instant.
+
+    A probe is owned if the last operation on its (user, resource) is a record that no clear of
+    the user and no gap of a TTL came after, and the set still lives. All of it is carried to
+    the probe; nothing is joined. Time is cut into buckets of at most one TTL. What went
+    before a bucket comes from partial aggregates: per (user, bucket) the first and last record
+    and the last clear, per (user, resource, bucket) the last operation, each carried on over
+    one row per bucket. These carry rows stand first among the bucket's own rows, and running
+    maxima bring both to the probes. Five shuffles, two of them of summary rows; a task holds
+    one bucket of a user.
+    """
+    ttl = int(ttl_seconds) * _US
+    span = _span_us(ttl, bucket_us)
+    o = _marks(ops, span)
+    p = probes.select(
+        "user_id",
+        "resource_id",
+        F.floor(F.col("ts_us") / F.lit(span)).alias("_b"),
+        _seq("ts_us", 3).alias("_at"),
+        F.struct("*").alias("_p"),
     )
-    user_side = user_stream.filter(F.col("kind") == 3).select("probe_id", alive.alias("alive"), "cur_session")
-    # (user, resource)-level stream: records, removes, probes
-    removes = ops.filter(F.col("op") == "remove").select("user_id", "resource_id", "ts_us", _seq("ts_us", 2).alias("seq"))
-    pair_stream = (
-        recs.select("user_id", "resource_id", "ts_us", "seq", "ttl_session", F.lit(True).alias("is_rec"),
-                    F.lit(None).cast("long").alias("probe_id"))
-        .unionByName(removes.select("user_id", "resource_id", "ts_us", "seq", F.lit(None).cast("bigint").alias("ttl_session"),
-                                    F.lit(False).alias("is_rec"), F.lit(None).cast("long").alias("probe_id")))
-        .unionByName(p.select("user_id", "resource_id", "ts_us", "seq", F.lit(None).cast("bigint").alias("ttl_session"),
-                              F.lit(None).cast("boolean").alias("is_rec"), "probe_id"))
+    none = F.lit(None).cast("long")
+    here = o.select("user_id", "resource_id", "_b", "op", "seq", "rec", "clear", F.lit(False).alias("probed"))
+    asked = p.select(
+        "user_id", "resource_id", "_b", F.lit("probe").alias("op"),
+        none.alias("seq"), none.alias("rec"), none.alias("clear"), F.lit(True).alias("probed"),
+    )
+    marks = here.unionByName(asked)
+    users = _user_buckets(
+        marks.filter(F.col("op") != "remove").select("user_id", "_b", "rec", "clear", "probed"), ttl
+    ).filter("probed")
+    past = Window.partitionBy("user_id", "resource_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    pairs = (
+        marks.filter(F.col("op") != "clear")
+        .groupBy("user_id", "resource_id", "_b")
+        .agg(F.max("seq").alias("last"), F.max("probed").alias("probed"))
+        .select("*", F.max("last").over(past).alias("before"))
+        .filter(F.col("probed") & F.col("before").isNotNull())
     )
-    pair_stream = running(
-        pair_stream,
-        ["user_id", "resource_id"],
-        [F.col("ts_us"), F.col("seq")],
-        {"last_op": ("max", F.when(F.col("is_rec").isNotNull(), F.struct("seq", "is_rec", "ttl_session")))},
-        "ts_us",
+    first = F.lit(-(1 << 62))
+    carried = F.struct("first_rec", "gap", "c_rec", "c_gap", "c_clear")
+    stream = (
+        p.withColumns({"op_seq": none, "clear_seq": none})
+        .unionByName(
+            o.select(
+                "user_id", "resource_id", "_b", F.col("seq").alias("_at"), F.col("clear").alias("clear_seq"),
+                F.when(F.col("op") != "clear", F.col("seq")).alias("op_seq"),
+            ),
+            allowMissingColumns=True,
+        )
+        .unionByName(users.select("user_id", "_b", first.alias("_at"), carried.alias("_u")), allowMissingColumns=True)
+        .unionByName(
+            pairs.select("user_id", "resource_id", "_b", first.alias("_at"), F.col("before").alias("op_seq")),
+            allowMissingColumns=True,
+        )
+        .repartition("user_id", "_b")
     )
-    pair_side = pair_stream.filter(F.col("probe_id").isNotNull()).select(
-        "probe_id", F.col("last_op.is_rec").alias("last_is_rec"), F.col("last_op.ttl_session").alias("last_session")
+    upto = lambda *keys: (
+        Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    j = user_side.join(pair_side, "probe_id")
-    owned = F.coalesce(
-        F.col("alive") & F.col("last_is_rec") & (F.col("last_session") == F.col("cur_session")), F.lit(False)
+    of_pair, of_user = upto("user_id", "_b", "resource_id"), upto("user_id", "_b")
+    seen = stream.select(
+        "_at", "_p", F.max("op_seq").over(of_pair).alias("last_op"), F.max("clear_seq").over(of_user).alias("cleared"),
+        F.max("_u").over(of_user).alias("u"),
+    ).filter(F.col("_p").isNotNull())
+    recorded = F.coalesce(F.col("u.first_rec") < F.col("_at"), F.lit(False))
+    alive = recorded | F.coalesce(_instant("_at") - _instant("u.c_rec") < ttl, F.lit(False))
+    began = F.when(recorded, F.coalesce("u.gap", "u.c_gap")).otherwise(F.col("u.c_gap"))
+    last = F.col("last_op")
+    owned = (
+        alive
+        & (F.pmod(last, F.lit(4)) == RANK["record"])
+        & (last > F.coalesce(F.greatest("cleared", "u.c_clear"), first))
+        & (last >= F.coalesce(began, first))
     )
-    return j.select("probe_id", owned.alias("owned"))
+    return seen.select("_p.*", F.coalesce(owned, F.lit(False)).alias("owned"))
 
 
-def owned_set_asof(ops: DataFrame, as_of_us, ttl_seconds: int = DEFAULT_OWNERSHIP_TTL_SECONDS) -> DataFrame:
+def owned_set_asof(
+    ops: DataFrame, as_of_us, ttl_seconds: int = DEFAULT_OWNERSHIP_TTL_SECONDS, bucket_us: int | None = None
+) -> DataFrame:
     """D3: rows ``(user_id, resource_id)`` owned at one instant ``as_of`` (one
     row per member — a set is never collected into one array).
 
-    At a single instant the running state collapses to plain aggregates: the
-    user's last record / clear and current ttl-session, and the last op per
-    (user, resource) — grouped partial aggregates plus one equi-join."""
+    At a single instant the running state collapses to plain aggregates: the user's last record,
+    last clear and last gap from one row per bucket, and the last op per (user, resource)."""
     ttl = int(ttl_seconds) * _US
-    upto = ops.filter(F.col("ts_us") <= F.lit(as_of_us))
-    recs = materialize(ttl_sessions(upto, ttl_seconds))  # read twice below
-    last_rec = recs.groupBy("user_id").agg(F.max("seq").alias("last_rec_seq"), F.max("ttl_session").alias("cur_session"))
-    last_clear = upto.filter(F.col("op") == "clear").groupBy("user_id").agg(F.max(_seq("ts_us", 0)).alias("last_clear_seq"))
-    alive = (
-        last_rec.join(last_clear, "user_id", "left")
-        .filter((F.coalesce("last_clear_seq", F.lit(-1)) < F.col("last_rec_seq"))
-                & (F.lit(as_of_us) - F.floor(F.col("last_rec_seq") / 4) < F.lit(ttl)))
-        .select("user_id", "cur_session")
-    )
-    removes = upto.filter(F.col("op") == "remove").select(
-        "user_id", "resource_id", F.struct(_seq("ts_us", 2).alias("seq"), F.lit(False).alias("is_rec"),
-                                           F.lit(None).cast("bigint").alias("ttl_session")).alias("op")
+    o = _marks(ops.filter(F.col("ts_us") <= F.lit(as_of_us)), _span_us(ttl, bucket_us))
+    users = (
+        _user_buckets(o.filter(F.col("op") != "remove").select("user_id", "_b", "rec", "clear"), ttl)
+        .groupBy("user_id")
+        .agg(F.max("last_rec").alias("last_rec"), F.greatest(F.max("gap"), F.max("last_clear")).alias("since"))
+        .filter(F.lit(as_of_us) - _instant("last_rec") < ttl)
     )
-    pair_ops = recs.select("user_id", "resource_id", F.struct("seq", F.lit(True).alias("is_rec"), "ttl_session").alias("op"))
-    last_op = pair_ops.unionByName(removes).groupBy("user_id", "resource_id").agg(F.max("op").alias("last"))
-    j = last_op.join(alive, "user_id")
-    return j.filter(F.col("last.is_rec") & (F.col("last.ttl_session") == F.col("cur_session"))).select("user_id", "resource_id")
+    last = (
+        o.filter(F.col("op") != "clear").groupBy("user_id", "resource_id").agg(F.max("seq").alias("last_op"))
+        .filter(F.pmod("last_op", F.lit(4)) == RANK["record"])
+    )
+    return last.join(users, "user_id").filter(F.col("last_op") >= F.col("since")).select("user_id", "resource_id")
 
 
 def resource_owner_asof(
     ops: DataFrame,
     probes: DataFrame,
     ttl_seconds: int = DEFAULT_OWNERSHIP_TTL_SECONDS,
+    bucket_us: int | None = None,
 ) -> DataFrame:
     """Reverse lookup — last user to record the resource within TTL (per
     resource key), unless a later ``remove`` of that resource deleted the key.
-    ``probes``: ``probe_id, resource_id, ts_us`` → ``probe_id, owner``."""
-    ttl = F.lit(int(ttl_seconds) * _US)
-    ev = ops.filter(F.col("op").isin("record", "remove")).select(
-        "resource_id", "ts_us", _seq("ts_us", _rank_col()).alias("seq"), "user_id",
-        (F.col("op") == "record").alias("is_rec"), F.lit(None).cast("long").alias("probe_id"),
-    )
-    pr = probes.select(
-        "resource_id", "ts_us", _seq("ts_us", 3).alias("seq"), F.lit(None).cast("string").alias("user_id"),
-        F.lit(None).cast("boolean").alias("is_rec"), "probe_id",
-    )
-    s = running(
-        ev.unionByName(pr),
-        ["resource_id"],
-        [F.col("ts_us"), F.col("seq")],
-        {"last": ("max", F.when(F.col("is_rec").isNotNull(), F.struct("seq", "is_rec", "user_id")))},
-        "ts_us",
+    Every row of ``probes`` (``resource_id, ts_us`` and any other columns) with ``owner``.
+
+    As in ``is_owner_asof``: the last operation before a bucket is carried on over one row per
+    (resource, bucket), stands first in the bucket and reaches the probe by a running maximum."""
+    ttl = int(ttl_seconds) * _US
+    span = _span_us(ttl, bucket_us)
+    op = F.struct(_seq("ts_us", _rank_col()).alias("seq"), "user_id")
+    none = F.lit(None).cast(T.StructType().add("seq", "long").add("user_id", "string"))
+    bucket = F.floor(F.col("ts_us") / F.lit(span)).alias("_b")
+    done = ops.filter(F.col("op").isin("record", "remove")).select("resource_id", bucket, op.alias("op"))
+    asked = probes.select("resource_id", bucket, _seq("ts_us", 3).alias("_at"), F.struct("*").alias("_p"))
+    past = Window.partitionBy("resource_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        done.withColumn("probed", F.lit(False))
+        .unionByName(asked.select("resource_id", "_b", none.alias("op"), F.lit(True).alias("probed")))
+        .groupBy("resource_id", "_b")
+        .agg(F.max("op").alias("last"), F.max("probed").alias("probed"))
+        .select("*", F.max("last").over(past).alias("op"))
+        .filter(F.col("probed") & F.col("op").isNotNull())
+        .select("resource_id", "_b", F.lit(-(1 << 62)).alias("_at"), "op")
     )
-    live = F.col("last.is_rec") & (F.col("ts_us") - F.floor(F.col("last.seq") / 4) < ttl)
-    return s.filter(F.col("probe_id").isNotNull()).select(
-        "probe_id", F.when(live, F.col("last.user_id")).alias("owner")
+    stream = (
+        asked.unionByName(done.withColumn("_at", F.col("op.seq")), allowMissingColumns=True)
+        .unionByName(carried, allowMissingColumns=True)
+        .repartition("resource_id", "_b")
     )
+    upto = Window.partitionBy("resource_id", "_b").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    seen = stream.select("_at", "_p", F.max("op").over(upto).alias("last")).filter(F.col("_p").isNotNull())
+    live = (F.pmod("last.seq", F.lit(4)) == RANK["record"]) & (_instant("_at") - _instant("last.seq") < ttl)
+    return seen.select("_p.*", F.when(live, F.col("last.user_id")).alias("owner"))
 
 
 def user_stats(owned: DataFrame, k: int = 10, salt_buckets: int = 16) -> DataFrame:

@@ -18,10 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DAY_US = 86_400 * 1_000_000
+#: Six hours of event time in one task of a key.
+BUCKET_US = 6 * 3600 * 1_000_000
 
 
-def with_bucket(df: DataFrame, ts_us: str, bucket_us: int = DAY_US) -> DataFrame:
+def with_bucket(df: DataFrame, ts_us: str, bucket_us: int = BUCKET_US) -> DataFrame:
     return df.withColumn("_tb", F.floor(F.col(ts_us) / F.lit(bucket_us)))
 
 
@@ -31,7 +32,7 @@ def running(
     order: list[Column],
     values: dict[str, tuple[str, Column]],
     ts_us: str,
-    bucket_us: int = DAY_US,
+    bucket_us: int = BUCKET_US,
     exclusive: bool = False,
 ) -> DataFrame:
     """Add running aggregates per key in ``order`` (which must start with ``ts_us``).

@@ -151,18 +151,6 @@ def q_mitre(spark, sf):
 TTL_S = 86400
 
 
-def _classified_with_lookup(spark, sf):
-    from vigil.operators.ownership import is_owner_asof
-    from vigil.sources.fixtures import ownership_ops
-
-    log = access_log(spark, sf)
-    probes = log.filter(~F.col("success") & F.col("resource_owner_id").isNull()).select(
-        F.col("event_id").alias("probe_id"), "user_id", "resource_id", "ts_us"
-    )
-    owned = is_owner_asof(ownership_ops(spark, sf), probes, TTL_S).withColumnRenamed("probe_id", "event_id")
-    return log, owned
-
-
 def _access_classify_sql() -> str:
     from vigil.plans.oracle_views import is_owner_sql, ownership_ops_sql, ownership_state_sql
 
@@ -185,18 +173,9 @@ FROM cls c LEFT JOIN laddered l ON l.event_id = c.event_id
 
 @register("access_classify", _access_classify_sql())
 def q_access_classify(spark, sf):
-    log, owned = _classified_with_lookup(spark, sf)
-    classified = D.classify_access(log, owned)
-    fails = classified.filter("other_failure")
-    scored = D.analyze_failures(D.failure_window(fails, WINDOW_S), THRESHOLD, GAP).select("event_id", "severity")
-    out = classified.join(scored, "event_id", "left")
-    result = (
-        F.when(F.col("access_class") == "NO_SESSION", F.lit("LOG_ONLY"))
-        .when(F.col("success"), F.lit("LEGITIMATE_ACCESS"))
-        .when(F.col("owner_known"), F.lit("LOG_ONLY"))
-        .otherwise(F.col("severity"))
-    )
-    return out.select("event_id", "user_id", "owner_known", result.alias("result"))
+    from vigil.sources.fixtures import ownership_ops
+
+    return D.access_results(access_log(spark, sf), ownership_ops(spark, sf), TTL_S, WINDOW_S, THRESHOLD, GAP)
 
 
 # --- E8 / E9 ------------------------------------------------------------------------

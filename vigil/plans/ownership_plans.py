@@ -35,18 +35,13 @@ _PROBES = "SELECT event_id AS probe_id, user_id, resource_id, ts_us FROM access_
 def _probe_df(spark, sf):
     log = FX.access_log(spark, sf)
     return log.filter(~F.col("success") & F.col("resource_owner_id").isNull()).select(
-        F.col("event_id").alias("probe_id"), "user_id", "resource_id", "ts_us"
+        "event_id", "user_id", "resource_id", "ts_us"
     )
 
 
 def _is_owner_plan(removes, clears):
     def q(spark, sf):
-        ops = FX.ownership_ops(spark, sf, removes, clears)
-        probes = _probe_df(spark, sf)
-        got = O.is_owner_asof(ops, probes, TTL_S)
-        return probes.join(got, "probe_id").select(
-            F.col("probe_id").alias("event_id"), "user_id", "resource_id", "ts_us", "owned"
-        )
+        return O.is_owner_asof(FX.ownership_ops(spark, sf, removes, clears), _probe_df(spark, sf), TTL_S)
 
     sql = _views(removes, clears, probes=_PROBES) + (
         "SELECT p.probe_id AS event_id, p.user_id, p.resource_id, p.ts_us, o.owned FROM probes p JOIN ("
@@ -131,9 +126,7 @@ def q_user_stats(spark, sf):
 def q_owner(spark, sf):
     ops = FX.ownership_ops(spark, sf, removes=True)
     log = FX.access_log(spark, sf).filter(~F.col("success"))
-    probes = log.select(F.col("event_id").alias("probe_id"), "resource_id", "ts_us")
-    got = O.resource_owner_asof(ops, probes, TTL_S)
-    return probes.join(got, "probe_id").select(F.col("probe_id").alias("event_id"), "resource_id", "ts_us", "owner")
+    return O.resource_owner_asof(ops, log.select("event_id", "resource_id", "ts_us"), TTL_S)
 
 
 _BULK_SQL = with_views(

@@ -261,7 +261,6 @@ def classify_stream_with_ownership(
     import uuid
 
     from vigil.operators import detection as D
-    from vigil.operators.ownership import is_owner_asof
 
     base = os.path.join(checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:8]}")
     own_path, fail_path, out_path = (os.path.join(base, p) for p in ("ownership", "failures", "results"))
@@ -275,11 +274,7 @@ def classify_stream_with_ownership(
         batch = batch.drop("event_time")
         write(batch.filter("success").select("user_id", "resource_id", "ts_us", F.lit("record").alias("op")), own_path, bid)
         ops = spark.read.parquet(own_path).drop("batch_id")
-        probes = batch.filter(~F.col("success") & F.col("resource_owner_id").isNull()).select(
-            F.col("event_id").alias("probe_id"), "user_id", "resource_id", "ts_us"
-        )
-        owned = is_owner_asof(ops, probes, ttl_seconds).withColumnRenamed("probe_id", "event_id")
-        classified = D.classify_access(batch, owned)
+        classified = D.classify_access(batch, ops, ttl_seconds)
         fails = classified.filter("other_failure").select(*batch.columns)
         write(fails, fail_path, bid)
         span = fails.agg(F.min("ts_us"), F.max("ts_us")).first()
