@@ -14,7 +14,6 @@ Failures without a session belong to no window and are LOG_ONLY.
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +25,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from vigil.functions import idor as X
 from vigil.session import checkpoint_dir
 from vigil.sources.fixtures import access_log_from_events
+from vigil.streaming import kernels as K
 
 _US = 1_000_000
 
@@ -34,10 +34,10 @@ OUT_SCHEMA = (
     "is_sequential boolean, severity string, has_event boolean, failed_resources string, resource_owners string, "
     "time_window_seconds long, revision long"
 )
-_ROW = ["event_id", "ts_us", "user_id", "resource_id", "resource_owner_id"]
+_ROW = ["event_id", "ts_us", "user_id", "resource_id", "resource_owner_id", "number"]
 STATE_SCHEMA = (
     "revision long, event_id array<long>, ts_us array<long>, user_id array<string>, resource_id array<string>, "
-    "resource_owner_id array<string>"
+    "resource_owner_id array<string>, number array<double>"
 )
 
 
@@ -52,64 +52,55 @@ def events_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataF
     )
 
 
-def _number(resource: str | None, id_mode: str) -> int | None:
-    if resource is None:
-        return None
-    text = resource.strip() if id_mode == "strict" else re.search("[0-9]*$", resource)[0]
-    try:
-        return int(text)
-    except ValueError:
-        return None
+def _listed(rows: dict, ts: np.ndarray, low: int, high: int) -> tuple[str, str]:
+    """The resources of a window's rows in their order, and their distinct owners."""
+    known = lambda x: (x is not None, x or "")
+    resource, owner, event = (rows[c][low:high] for c in ("resource_id", "resource_owner_id", "event_id"))
+    turn = sorted(range(high - low), key=lambda i: (ts[low + i], known(resource[i]), known(owner[i]), event[i]))
+    return (
+        ",".join(resource[i] for i in turn if resource[i] is not None),
+        ",".join(sorted({o for o in owner if o})),
+    )
 
 
-def _make_fn(window_s: int, threshold: int, gap: int, id_mode: str, bucket_s: int):
+def _make_fn(window_s: int, threshold: int, gap: int, bucket_s: int):
     w_us, b_us = window_s * _US, bucket_s * _US
-
-    def verdict(rows: pd.DataFrame, prev: np.ndarray, number: list, lo: int, hi: int) -> tuple:
-        """Verdict over the rows ``lo..hi``; a resource counts where it first stands in them."""
-        first = lo + np.flatnonzero((prev[lo:hi] < lo) & rows["resource_id"].notna().to_numpy()[lo:hi])
-        d = len(first)
-        nums = [number[i] for i in first if number[i] is not None] if d >= 3 else []
-        seq = len(nums) >= 3 and max(nums) - min(nums) <= gap * (len(nums) - 1)
-        if d < 2:
-            sev = X.LOG_ONLY
-        elif d == 2:
-            sev = X.ALERT_LOW
-        else:
-            sev = X.CRITICAL if d >= threshold and seq else X.ALERT_MEDIUM
-        event = d >= threshold and d >= 3
-        win = rows.iloc[lo:hi] if event else rows.iloc[:0]  # only a detection lists its window
-        span = (rows["ts_us"].iat[hi - 1] - rows["ts_us"].iat[lo]) // _US
-        return (d, hi - lo, seq, sev, event, ",".join(win["resource_id"].dropna()),
-                ",".join(sorted({o for o in win["resource_owner_id"].dropna() if o})), int(span))
+    names = [c.split()[0] for c in OUT_SCHEMA.split(", ")]
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         session, bucket = key[0], int(key[1])
-        new = pd.concat(list(pdfs), ignore_index=True)[_ROW]  # one session, at most two windows of time
+        new = list(pdfs)  # one session, at most two windows of time
         revision, *held = state.get if state.exists else (0, *([] for _ in _ROW))
-        rows = pd.concat([pd.DataFrame(dict(zip(_ROW, held))).astype({"event_id": "int64", "ts_us": "int64"}), new])
-        rows = rows.astype(object).where(rows.notna(), None).astype({"event_id": "int64", "ts_us": "int64"})
-        rows = rows.sort_values(["ts_us", "resource_id", "resource_owner_id", "event_id"], kind="mergesort", ignore_index=True)
-        ts, arrived = rows["ts_us"].to_numpy(), np.sort(new["ts_us"].to_numpy("int64"))
-        lo, hi = np.searchsorted(ts, ts - w_us), np.searchsorted(ts, ts, side="right")
-        # a verdict is new or changes if a row arrived in its window
-        touched = np.searchsorted(arrived, ts, side="right") > np.searchsorted(arrived, ts - w_us)
-        codes = pd.factorize(rows["resource_id"])[0]
-        prev = pd.Series(np.arange(len(rows))).groupby(codes).shift(1).fillna(-1).to_numpy("int64")
-        number = [_number(r, id_mode) for r in rows["resource_id"]]
-        mine = np.flatnonzero(touched & (ts >= bucket * b_us))
-        state.update((revision + 1, *(rows[c].tolist() for c in _ROW)))
+        rows = {}
+        for c, old in zip(_ROW, held):
+            kind = {"event_id": "int64", "ts_us": "int64", "number": "float64"}.get(c, object)
+            rows[c] = np.concatenate([np.array(old, kind), *[p[c].to_numpy(kind) for p in new]])
+        arrived = rows["ts_us"][len(held[0]) :]
+        order = np.argsort(rows["ts_us"], kind="stable")
+        rows = {c: v[order] for c, v in rows.items()}
+        state.update((revision + 1, *(v.tolist() for v in rows.values())))
         # no row of this bucket's windows can arrive once the watermark has passed its end
         state.setTimeoutTimestamp((bucket + 1) * b_us // 1000)
-        out = [
-            (int(rows["event_id"].iat[i]), int(ts[i]), rows["user_id"].iat[i], session,
-             *verdict(rows, prev, number, int(lo[i]), int(hi[i])), revision + 1)
-            for i in mine
-        ]
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT_SCHEMA.split(", ")])
+        ts = rows["ts_us"]
+        # a verdict is new or changes if a row arrived in its window
+        mine = np.flatnonzero(K.touched(ts, arrived, w_us) & (ts >= bucket * b_us))
+        if not len(mine):
+            return
+        v = K.window_verdicts(ts, rows["resource_id"], rows["number"], w_us, threshold, gap)
+        # only a detection lists its window, and rows of one instant share it
+        lists = {}
+        for i in mine[v["has_event"][mine]]:
+            if ts[i] not in lists:
+                lists[ts[i]] = _listed(rows, ts, v["lo"][i], v["hi"][i])
+        listed = [lists[ts[i]] if v["has_event"][i] else ("", "") for i in mine]
+        out = {c: rows[c][mine] for c in ("event_id", "ts_us", "user_id")}
+        out |= {c: v[c][mine] for c in ("win_distinct", "win_count", "is_sequential", "severity", "has_event")}
+        out |= {"failed_resources": [f for f, _ in listed], "resource_owners": [o for _, o in listed]}
+        out |= {"session_id": session, "time_window_seconds": v["span_us"][mine] // _US, "revision": revision + 1}
+        yield pd.DataFrame(out)[names]
 
     return fn
 
@@ -128,7 +119,10 @@ def detect_stream(
     ``bucket_seconds`` (default: ten windows) is the time span of one state key: longer ones
     mean fewer keys and context copies, shorter ones split a hot session further."""
     fails = log.filter(~F.col("success") & (F.col("resource_owner_id").isNull() | (F.col("resource_owner_id") != F.col("user_id"))))
-    fails = fails.select("event_id", "ts_us", "user_id", "session_id", "resource_id", "resource_owner_id", "event_time")
+    number = X.numeric_id(F.col("resource_id"), id_mode).cast("double").alias("number")
+    fails = fails.select(
+        "event_id", "ts_us", "user_id", "session_id", "resource_id", "resource_owner_id", number, "event_time"
+    )
     in_session = F.coalesce(F.col("session_id") != "", F.lit(False))
     bucket_s = bucket_seconds or 10 * window_seconds
     bucket = F.floor(F.col("ts_us") / F.lit(bucket_s * _US))
@@ -139,7 +133,7 @@ def detect_stream(
         .withColumn("bucket", F.explode(F.sequence(bucket, bucket + F.lit(copies))))
         .groupBy("session_id", "bucket")
         .applyInPandasWithState(
-            _make_fn(window_seconds, threshold, sequential_gap, id_mode, bucket_s),
+            _make_fn(window_seconds, threshold, sequential_gap, bucket_s),
             OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout,
         )
     )
