@@ -166,35 +166,6 @@ def test_frontend_stitch_counts_views_in_window(spark):
     assert got == {1: 2, 2: 0}
 
 
-def test_ownership_aware_stream_matches_batch_across_batches(spark, sf_small, tmp_path):
-    """Four time-ordered micro-batches: cross-batch ownership and window state."""
-    import os
-
-    from vigil.plans import load_all
-    from vigil.sources.fixtures import access_log_from_events
-    from vigil.sources.tables import table
-    from vigil.streaming.idor_stream import classify_stream_with_ownership
-
-    ev = table(spark, sf_small, "events")
-    src = os.path.join(str(tmp_path), "events")
-    bounds = ev.approxQuantile("event_id", [0.25, 0.5, 0.75], 0.0)
-    edges = [None] + bounds + [None]
-    for i in range(4):
-        part = ev
-        if edges[i] is not None:
-            part = part.filter(F.col("event_id") > edges[i])
-        if edges[i + 1] is not None:
-            part = part.filter(F.col("event_id") <= edges[i + 1])
-        part.coalesce(1).write.parquet(os.path.join(src, f"part{i}"))
-    paths = sorted(os.path.join(src, d) for d in os.listdir(src))
-    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(src)
-    got = classify_stream_with_ownership(spark, access_log_from_events(stream), "t", 3 * 86400, 3, 10, 86400)
-    q, _ = load_all()
-    want = {tuple(r) for r in q["access_classify"](spark, sf_small).collect()}
-    assert {tuple(r) for r in got.select("event_id", "user_id", "owner_known", "result").collect()} == want
-    assert len(paths) == 4
-
-
 def _stream_files(spark, path, batches):
     """One file per micro-batch; the file source takes the oldest first."""
     import glob
@@ -260,3 +231,110 @@ def test_access_results_shuffles(spark, sf_small):
 
     plan = load_all()[0]["access_classify"](spark, sf_small)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 6 and "Join" not in plan
+
+
+def _ownership_rows(rng, n):
+    """Requests of users who get, lose by time and probe resources; some without session, user or resource."""
+    rows = []
+    for _ in range(n):
+        user = rng.choice(["u0", "u1", "u2", None])
+        rows.append(
+            (rng.randrange(0, 3000), user, rng.choice(["s1", "s2", "s2", None, ""]), rng.choice([*map(str, range(8)), None]),
+             rng.choice([None, None, "u0", "x"]), rng.random() < 0.4)
+        )
+    return rows
+
+
+@pytest.mark.parametrize("shuffled, watermark", [(True, "1 day"), (False, "60 seconds")])
+def test_ownership_stream_equals_batch(spark, tmp_path, shuffled, watermark):
+    """Five micro-batches in no order: later rows correct earlier results. Five in order of time with a
+    short watermark: state is folded and forgotten as it passes, and results stay the same."""
+    from vigil.operators.ownership import records_from_log
+    from vigil.streaming import idor_stream as ST
+    from vigil.streaming import ownership_stream as OS
+
+    rng = random.Random(11)
+    rows = _ownership_rows(rng, 400)
+    if not shuffled:
+        rows.sort(key=lambda r: r[0])
+    batches = [rows[i::5] for i in range(5)] if shuffled else [rows[80 * i : 80 * i + 80] for i in range(5)]
+    path = _stream_files(spark, str(tmp_path / "log"), batches)
+    stored = spark.read.parquet(path)
+    log = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    log = log.withColumn("event_time", F.timestamp_micros("ts_us"))
+    with OS.rocksdb_state(spark):
+        out = ST.run_available_now(spark, OS.classify_stream(log, 120, 3, 10, 300, watermark, bucket_seconds=200), "t")
+    want = D.access_results(stored, records_from_log(stored), 300, 120, 3, 10)
+    columns = ["event_id", "user_id", "owner_known", "result"]
+    got = OS.newest_results(out).select(columns).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want.select(columns).collect()))
+    assert sum(r["owner_known"] for r in got) > 10
+    if shuffled:
+        assert out.filter("revision > 1").count() > 10
+
+
+def test_late_rows_are_kept_apart(spark, tmp_path):
+    """On-time and late rows together are the input; late ones tell why."""
+    from vigil.streaming import ownership_stream as OS
+
+    batches = [[(100, "u", "s", "1", None, False), (500, "u", "s", "2", None, False)],
+               [(439, "u", "s", "3", None, False), (440, "u", "s", "4", None, False), (900, "u", "s", "5", None, True)],
+               [(1000, "u", "s", "6", None, False), (830, "u", "s", "7", None, False)]]
+    path = _stream_files(spark, str(tmp_path / "log"), batches)
+    stored = spark.read.parquet(path)
+    stream = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    stream = stream.withColumn("event_time", F.when(F.col("resource_id") != "6", F.timestamp_micros("ts_us")))
+    on_time, late = (spark.read.parquet(p) for p in OS.route_late(spark, stream, "late", 60))
+    behind = {r["resource_id"]: (r["reason"], r["watermark_us"]) for r in late.collect()}
+    assert behind == {
+        "3": ("behind the watermark", BASE + 440 * US),
+        "7": ("behind the watermark", BASE + 840 * US),
+    }
+    both = on_time.select(stored.columns).unionByName(late.select(stored.columns))
+    assert sorted(map(tuple, both.collect()), key=repr) == sorted(map(tuple, stored.collect()), key=repr)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_array_kernels(seed):
+    """Window verdicts and lookups against plain loops."""
+    import numpy as np
+
+    from vigil.streaming import kernels as K
+
+    rng = random.Random(seed)
+    n = 200
+    ts = np.sort(np.array([rng.randrange(0, 300) for _ in range(n)]))
+    resource = np.array([rng.choice([None, "a", *map(str, range(9))]) for _ in range(n)], object)
+    number = np.array([float(r) if r and r.isdigit() else np.nan for r in resource])
+    v = K.window_verdicts(ts, resource, number, 20, 3, 2)
+    for i in range(n):
+        inside = [j for j in range(n) if ts[i] - 20 <= ts[j] <= ts[i]]
+        items = {resource[j] for j in inside} - {None}
+        nums = [int(r) for r in items if r.isdigit()]
+        seq = len(items) >= 3 and len(nums) >= 3 and max(nums) - min(nums) <= 2 * (len(nums) - 1)
+        assert (v["win_distinct"][i], v["win_count"][i], v["is_sequential"][i]) == (len(items), len(inside), seq)
+    rec = sorted(((rng.randrange(0, 400), rng.choice([*map(str, range(5)), None])) for _ in range(60)), key=lambda r: r[0])
+    probes = [(rng.randrange(100, 400), rng.choice([*map(str, range(5)), None])) for _ in range(80)]
+
+    def owned(t, r, cut):
+        begun, last, member = None, None, {}
+        for u, x in rec:
+            if u > t:
+                break
+            if last is None or u - last >= 15:
+                member = {}
+            member[x], last = u, u
+        return r is not None and r in member and t - last < 15
+
+    for cut in (0, 100):  # records before the cut are known by their last of each resource only
+        older, live = [x for x in rec if x[0] < cut], [x for x in rec if x[0] >= cut]
+        gap = last = None
+        for u, _ in older:
+            gap = u if last is None or u - last >= 15 else gap
+            last = u
+        base = {x: u for u, x in older if x is not None}
+        got = K.owned_at(
+            np.array([t for t, _ in probes]), np.array([r for _, r in probes], object),
+            np.array([t for t, _ in live], np.int64), np.array([r for _, r in live], object), base, last, gap, 15,
+        )
+        assert got.tolist() == [owned(t, r, cut) for t, r in probes]

@@ -184,7 +184,8 @@ def is_owner_asof(
     with ``owned`` at its instant.
 
     A probe is owned if the last operation on its (user, resource) is a record that no clear of
-    the user and no gap of a TTL came after, and the set still lives. All of it is carried to
+    the user and no gap of a TTL came after, and the set still lives; nobody owns a resource without
+    an id, and a probe without a user owns nothing. All of it is carried to
     the probe; nothing is joined. Time is cut into buckets of at most one TTL. What went
     before a bucket comes from partial aggregates: per (user, bucket) the first and last record
     and the last clear, per (user, resource, bucket) the last operation, each carried on over
@@ -250,8 +251,10 @@ def is_owner_asof(
     alive = recorded | F.coalesce(_instant("_at") - _instant("u.c_rec") < ttl, F.lit(False))
     began = F.when(recorded, F.coalesce("u.gap", "u.c_gap")).otherwise(F.col("u.c_gap"))
     last = F.col("last_op")
+    named = F.col("_p.user_id").isNotNull() & F.col("_p.resource_id").isNotNull()
     owned = (
-        alive
+        named
+        & alive
         & (F.pmod(last, F.lit(4)) == RANK["record"])
         & (last > F.coalesce(F.greatest("cleared", "u.c_clear"), first))
         & (last >= F.coalesce(began, first))
@@ -279,7 +282,9 @@ def owned_set_asof(
         o.filter(F.col("op") != "clear").groupBy("user_id", "resource_id").agg(F.max("seq").alias("last_op"))
         .filter(F.pmod("last_op", F.lit(4)) == RANK["record"])
     )
-    return last.join(users, "user_id").filter(F.col("last_op") >= F.col("since")).select("user_id", "resource_id")
+    return last.join(users, "user_id").filter(
+        (F.col("last_op") >= F.col("since")) & F.col("resource_id").isNotNull()
+    ).select("user_id", "resource_id")
 
 
 def resource_owner_asof(
@@ -318,7 +323,7 @@ def resource_owner_asof(
     )
     upto = Window.partitionBy("resource_id", "_b").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
     seen = stream.select("_at", "_p", F.max("op").over(upto).alias("last")).filter(F.col("_p").isNotNull())
-    live = (F.pmod("last.seq", F.lit(4)) == RANK["record"]) & (_instant("_at") - _instant("last.seq") < ttl)
+    live = F.col("_p.resource_id").isNotNull() & (F.pmod("last.seq", F.lit(4)) == RANK["record"]) & (_instant("_at") - _instant("last.seq") < ttl)
     return seen.select("_p.*", F.when(live, F.col("last.user_id")).alias("owner"))
 
 

@@ -10,14 +10,18 @@ from vigil.plans.detection_plans import GAP, IDOR_EVENTS_SQL, THRESHOLD, WINDOW_
 from vigil.plans.rules_plans import RULE_SCALE, _rule_sql
 from vigil.sources.fixtures import access_log_from_events
 from vigil.streaming import idor_stream as ST
+from vigil.streaming import ownership_stream as OS
+
+#: The replayed micro-batches are in no order of time: no row of them is late.
+ANY_ORDER = "3650 days"
 
 
 @register("idor_stream", IDOR_EVENTS_SQL)
 def q_idor_stream(spark, sf):
-    """The detection stream over the replayed events; equal to the batch
+    """The detection stream over the events in five shuffled micro-batches; equal to the batch
     ``idor_events`` (same oracle)."""
-    out = ST.run_available_now(spark, ST.idor_stream(spark, sf, window_seconds=WINDOW_S, threshold=THRESHOLD, sequential_gap=GAP),
-                               "idor_stream")
+    stream = ST.idor_stream(spark, sf, window_seconds=WINDOW_S, threshold=THRESHOLD, sequential_gap=GAP, watermark=ANY_ORDER)
+    out = ST.run_available_now(spark, stream, "idor_stream")
     ev = ST.newest_verdicts(out).filter("has_event")
     seq, d = F.col("is_sequential"), F.col("win_distinct")
     return ev.select(
@@ -37,7 +41,7 @@ def q_rule_stream(spark, sf):
     ``size(collect_set)`` (distinct aggregates are not allowed on streams)."""
     rule = R.SEQ_ENUM.scaled(RULE_SCALE)
     log = access_log_from_events(ST.events_stream(spark, sf))
-    ev = R.rule_candidates(log, rule).withWatermark("event_time", "1 day")
+    ev = R.rule_candidates(log, rule).withWatermark("event_time", ANY_ORDER)
     w = F.window("event_time", f"{rule.window_s} seconds", f"{rule.slide_s} seconds")
     g = ev.groupBy(w.alias("w"), "session_id").agg(
         F.size(F.collect_set("request_path")).cast("bigint").alias("distinct_urls"),
@@ -58,9 +62,43 @@ def _classify_sql():
 
 @register("access_classify_stream", _classify_sql())
 def q_classify_stream(spark, sf):
-    """E15 + E1/D2 on a stream: ownership-aware classification per micro-batch
-    (stream–static join); equals the batch ``access_classify`` (same oracle)."""
+    """E15 + E1/D2 on a stream of five shuffled micro-batches: ownership state per user, chained with the
+    window state per session; equals the batch ``access_classify`` (same oracle)."""
     from vigil.plans.detection_plans import TTL_S
 
     log = access_log_from_events(ST.events_stream(spark, sf))
-    return ST.classify_stream_with_ownership(spark, log, "classify_stream", WINDOW_S, THRESHOLD, GAP, TTL_S)
+    out = OS.classify_stream(log, WINDOW_S, THRESHOLD, GAP, TTL_S, ANY_ORDER)
+    with OS.rocksdb_state(spark):
+        results = ST.run_available_now(spark, out, "classify_stream")
+    return OS.newest_results(results).select("event_id", "user_id", "owner_known", "result")
+
+
+LATE_BATCHES, LATE_DELAY_S = 5, 20 * 86400
+
+_LATE_SQL = f"""
+WITH dealt AS (
+  SELECT event_id, epoch_us(ts) AS ts_us, event_id % {LATE_BATCHES} AS batch FROM events
+), marks AS (
+  SELECT batch, max(max(ts_us)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest
+  FROM dealt GROUP BY batch
+)
+SELECT d.event_id, d.batch::BIGINT AS batch, coalesce(d.ts_us < m.newest - {LATE_DELAY_S * 1_000_000}, false) AS late
+FROM dealt d JOIN marks m ON m.batch = d.batch
+"""
+
+
+@register("stream_late_rows", _LATE_SQL)
+def q_late_rows(spark, sf):
+    """The log in five micro-batches (``event_id`` modulo five, in that order), divided into on-time and late rows."""
+    from vigil.sources.fixtures import epoch_us
+    from vigil.sources.tables import table
+
+    events = table(spark, sf, "events").select("event_id", epoch_us("ts").alias("ts_us"), "ts")
+    stream = ST.replayed(spark, events, F.col("event_id") % LATE_BATCHES, LATE_BATCHES)
+    on_time, late = OS.route_late(
+        spark, stream.withColumn("event_time", F.col("ts").cast("timestamp")), "late_rows", LATE_DELAY_S
+    )
+    columns = ["event_id", F.col("batch_id").cast("long").alias("batch")]
+    return spark.read.parquet(on_time).select(*columns, F.lit(False).alias("late")).unionByName(
+        spark.read.parquet(late).select(*columns, F.lit(True).alias("late"))
+    )

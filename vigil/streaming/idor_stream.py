@@ -14,11 +14,12 @@ Failures without a session belong to no window and are LOG_ONLY.
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -41,15 +42,21 @@ STATE_SCHEMA = (
 )
 
 
-def events_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
-    """``events`` as a stream (file source; one table file per trigger here)."""
-    schema = spark.read.parquet(os.path.join(sf_dir, "events.parquet")).schema
-    return (
-        spark.readStream.schema(schema)
-        .option("maxFilesPerTrigger", max_files)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(sf_dir)
-    )
+def replayed(spark: SparkSession, table: DataFrame, part: Column, batches: int) -> DataFrame:
+    """A table as a stream of ``batches`` micro-batches: ``part`` (0 to ``batches`` - 1) tells a row's.
+
+    The parts are written one after the other into the shared checkpoint folder; the file source
+    takes the oldest file first, one per trigger."""
+    path = os.path.join(checkpoint_dir(spark), "streams", f"replay-{uuid.uuid4().hex[:8]}")
+    for i in range(batches):
+        table.filter(part == i).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def events_stream(spark: SparkSession, sf_dir: str, batches: int = 5) -> DataFrame:
+    """``events`` as a stream of ``batches`` micro-batches in no order of time."""
+    events = spark.read.parquet(os.path.join(sf_dir, "events.parquet"))
+    return replayed(spark, events, F.pmod(F.xxhash64("event_id"), F.lit(batches)), batches)
 
 
 def _listed(rows: dict, ts: np.ndarray, low: int, high: int) -> tuple[str, str]:
@@ -158,8 +165,6 @@ def newest_verdicts(out: DataFrame) -> DataFrame:
 def run_available_now(spark: SparkSession, df: DataFrame, name: str, fmt: str = "parquet") -> DataFrame:
     """Run a streaming DataFrame over everything available now into a table in
     the shared checkpoint folder; return the table as a batch DataFrame."""
-    import uuid
-
     base = os.path.join(checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:8]}")
     q = (
         df.writeStream.format(fmt)
@@ -212,8 +217,6 @@ def run_available_now_update(spark: SparkSession, df: DataFrame, name: str, keys
     every micro-batch appends its changed rows tagged with the batch id, and
     the result is the newest version of each key (an upsert outbox). Windows
     still open at the end of the input are included with their current value."""
-    import uuid
-
     from pyspark.sql import Window
 
     base = os.path.join(checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:8]}")
@@ -233,68 +236,3 @@ def run_available_now_update(spark: SparkSession, df: DataFrame, name: str, keys
     res = spark.read.parquet(out)
     w = Window.partitionBy(*keys).orderBy(F.col("_batch").desc())
     return res.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "_batch")
-
-
-def classify_stream_with_ownership(
-    spark: SparkSession,
-    log: DataFrame,
-    name: str,
-    window_seconds: int,
-    threshold: int,
-    sequential_gap: int,
-    ttl_seconds: int,
-) -> DataFrame:
-    """E15 with the ownership lookup (E1 + D2) on a stream: ``foreachBatch`` keeps
-    two tables in the shared checkpoint folder — the ownership log (every
-    success) and the other-user failures — and each micro-batch is classified
-    relationally against them (a stream–static join refreshed per batch). A
-    batch only re-reads failures inside its own window span. Writes overwrite
-    their ``batch_id`` partition, so a retried batch is idempotent.
-    Returns the per-event results table (batch DataFrame) once the input is
-    exhausted (``availableNow``)."""
-    import uuid
-
-    from vigil.operators import detection as D
-
-    base = os.path.join(checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:8]}")
-    own_path, fail_path, out_path = (os.path.join(base, p) for p in ("ownership", "failures", "results"))
-    w_us = int(window_seconds) * _US
-
-    def write(df: DataFrame, path: str, bid: int) -> None:
-        df.withColumn("batch_id", F.lit(bid)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-            .partitionBy("batch_id").parquet(path)
-
-    def process(batch: DataFrame, bid: int) -> None:
-        batch = batch.drop("event_time")
-        write(batch.filter("success").select("user_id", "resource_id", "ts_us", F.lit("record").alias("op")), own_path, bid)
-        ops = spark.read.parquet(own_path).drop("batch_id")
-        classified = D.classify_access(batch, ops, ttl_seconds)
-        fails = classified.filter("other_failure").select(*batch.columns)
-        write(fails, fail_path, bid)
-        span = fails.agg(F.min("ts_us"), F.max("ts_us")).first()
-        results = classified.select("event_id", "user_id", "success", "owner_known", "access_class")
-        if span[0] is not None:
-            hist = spark.read.parquet(fail_path).drop("batch_id").filter(
-                (F.col("ts_us") >= F.lit(span[0] - w_us)) & (F.col("ts_us") <= F.lit(span[1]))
-            )
-            scored = D.analyze_failures(D.failure_window(hist, window_seconds), threshold, sequential_gap)
-            mine = scored.join(fails.select("event_id"), "event_id", "left_semi").select("event_id", "severity")
-            results = results.join(mine, "event_id", "left")
-        else:
-            results = results.withColumn("severity", F.lit(None).cast("string"))
-        result = (
-            F.when(F.col("access_class") == "NO_SESSION", F.lit("LOG_ONLY"))
-            .when(F.col("success"), F.lit("LEGITIMATE_ACCESS"))
-            .when(F.col("owner_known"), F.lit("LOG_ONLY"))
-            .otherwise(F.col("severity"))
-        )
-        write(results.select("event_id", "user_id", "owner_known", result.alias("result")), out_path, bid)
-
-    q = (
-        log.writeStream.foreachBatch(process)
-        .option("checkpointLocation", os.path.join(base, "ckpt"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()
-    return spark.read.parquet(out_path).drop("batch_id")
