@@ -117,3 +117,69 @@ def test_interval_counts_without_pairs(spark):
     for i, k, t in al:
         hits = [e for kk, e in ev if kk == k and t - 50 <= e <= t]
         assert got[i] == (len(hits), max(hits, default=None))
+
+
+def test_addresses_of_both_families(spark):
+    """Every address against Python's ``ipaddress``; malformed text is null and raises nothing."""
+    import ipaddress
+
+    from vigil.operators.context_aggs import ip_words
+
+    texts = ["0.0.0.0", "255.255.255.255", "10.1.2.3", "010.1.2.3", "::", "::1", "1::", "fe80::1:2", "2001:DB8:0:1:2:3:4:5",
+             "::ffff:1.2.3.4", "1:2:3:4:5:6:7::", "64:ff9b::192.0.2.33", "ffff:ffff:ffff:ffff:ffff:ffff:ffff:ffff",
+             "", "10.1", "10.1.2.3.4", "256.1.1.1", "1.2.3.-4", ":::", "1::2::3", "1:2:3", "12345::", "g::1", "unknown", None,
+             "1:2:3:4:5:6:7:8:9", "1:2:3:4:5:6:7:8::", ":1:2:3:4:5:6:7", "::1%eth0", "1.2.3.4/8", " 1.2.3.4"]
+    df = spark.createDataFrame([(t,) for t in texts], "ip string")
+    for r in df.select("ip", ip_words(F.col("ip")).alias("w")).collect():
+        try:
+            a = ipaddress.ip_address(r["ip"] or "x")
+            n = int(a) + (0xFFFF << 32 if a.version == 4 else 0)
+            want = (n >> 64, n & (1 << 64) - 1)
+        except ValueError:
+            want = None
+        if r["ip"] == "::1%eth0":
+            want = None  # zones are no part of an address here
+        assert (r["w"] and (r["w"]["hi"] % 2**64, r["w"]["lo"] % 2**64)) == want, r["ip"]
+
+
+def test_nested_and_malformed_ranges(spark):
+    import ipaddress
+
+    cidrs = ["0.0.0.0/0", "10.0.0.0/8", "10.1.0.0/16", "10.1.2.3", "::/0", "2001:db8::/33", "2001:db8:8000::/33", "fe80::1/128",
+             "10.0.0.0/33", "x/8", "10.0.0.0/", "1.2.3.4/8/9", "::/129"]
+    ips = ["10.1.2.3", "10.1.9.9", "11.0.0.1", "2001:db8:7fff::1", "2001:db8:ffff::1", "fe80::1", "::1", "unknown", "10.1", None]
+    ranges = cidr_ranges(spark.createDataFrame([(c, c) for c in cidrs], "cidr string, label string"))
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(ips)], "n long, ip string")
+    got = {(r["ip"], r["cidr"]) for r in cidr_match(rows, ranges).collect()}
+    mapped = lambda x: ipaddress.ip_address(f"::ffff:{x}" if ":" not in x else x)
+    want = set()
+    for x in ips[:7]:
+        for c in cidrs[:8]:
+            net, _, bits = c.partition("/")
+            length = int(bits or (128 if ":" in c else 32)) + (0 if ":" in c else 96)
+            if int(mapped(x)) >> (128 - length) == int(mapped(net)) >> (128 - length):
+                want.add((x, c))
+    assert got == want
+    narrowest = {(r["ip"], r["cidr"]) for r in cidr_match(rows, ranges, longest=True).collect()}
+    assert {("10.1.2.3", "10.1.2.3"), ("10.1.9.9", "10.1.0.0/16"), ("::1", "::/0")} <= narrowest <= got
+
+
+def test_process_ancestry(spark):
+    """Long lines, a process id used again, repeated events, a cycle, a missing start."""
+    from vigil.operators.edr import process_ancestry
+
+    rows = [("h", i, i - 1 if i else None, f"p{i}", 10 * i) for i in range(12)]
+    rows += rows[:6] * 3  # repeated events of one process
+    rows += [("h", 3, 99, "again", 500), ("h", 50, 3, "child", 600), ("h", 51, 3, "early", 35), ("h", 52, 11, "before", 1)]
+    rows += [("c", 1, 3, "x", 1), ("c", 2, 1, "y", 1), ("c", 3, 2, "z", 1), ("c", 4, 3, "w", 2), ("c", 5, 5, "self", 3)]
+    df = spark.createDataFrame(rows, "endpoint_id string, process_id long, parent_process_id long, process_name string, ts_us long")
+    out = process_ancestry(df).collect()
+    assert len(out) == 12 + 4 + 5
+    got = {(r["endpoint_id"], r["process_name"]): r for r in out}
+    assert got["h", "p11"]["ancestors"] == [f"p{i}" for i in reversed(range(11))]
+    assert got["h", "child"]["ancestors"] == ["again"]
+    assert got["h", "early"]["ancestors"] == ["p3", "p2", "p1", "p0"]
+    assert got["h", "before"]["ancestors"][0] == "p11"  # started after its child as far as is known
+    assert got["c", "x"]["ancestors"] == ["z", "y"] and got["c", "x"]["cyclic"]
+    assert got["c", "w"]["cyclic"] and got["c", "self"]["cyclic"] and got["c", "self"]["ancestors"] == []
+    assert not got["h", "p11"]["cyclic"]

@@ -223,30 +223,77 @@ def interval_join_counts(
     )
 
 
-def ip_to_long(ip: Column) -> Column:
-    parts = F.split(ip, r"\.")
-    return (
-        parts.getItem(0).cast("bigint") * 16777216
-        + parts.getItem(1).cast("bigint") * 65536
-        + parts.getItem(2).cast("bigint") * 256
-        + parts.getItem(3).cast("bigint")
+def ip_words(ip: Column) -> Column:
+    """An IPv4 or IPv6 address as ``struct<hi: bigint, lo: bigint>`` (its 128 bits); null if malformed.
+
+    An IPv4 address stands at its IPv4-mapped place (``::ffff:a.b.c.d``), so both families share one
+    order and one prefix length scale. Nothing raises, whatever the text.
+    """
+    octet = r"(25[0-5]|2[0-4]\d|1?\d?\d)"
+    dotted = rf"{octet}\.{octet}\.{octet}\.{octet}$"
+    parts = [F.regexp_extract(ip, dotted, i).try_cast("int") for i in range(1, 5)]
+    pair = lambda a, b: F.lpad(F.lower(F.hex(parts[a] * 256 + parts[b])), 4, "0")
+    as_groups = F.concat(pair(0, 1), F.lit(":"), pair(2, 3))
+    has_v4 = ip.rlike(r"(^|:)" + dotted)
+    text = (
+        F.when(ip.rlike("^" + dotted), F.concat(F.lit("::ffff:"), as_groups))
+        .when(has_v4, F.concat(F.regexp_replace(ip, dotted, ""), as_groups))
+        .otherwise(F.lower(ip))
+    )
+    halves = F.split(text, "::", -1)
+    groups = lambda half: F.when(F.coalesce(half, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(half, ":", -1))
+    left, right = groups(F.get(halves, F.lit(0))), groups(F.get(halves, F.lit(1)))
+    n = F.size(left) + F.size(right)
+    zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - n, F.lit(0)))
+    every = F.concat(left, F.when(F.size(halves) == 2, zeros).otherwise(F.array().cast("array<string>")), right)
+    valid = (
+        ((F.size(halves) == 1) & (n == 8) | (F.size(halves) == 2) & (n <= 7))
+        & F.forall(every, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+    )
+    digits = F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), "")
+    word = lambda at: F.conv(F.substring(digits, at, 16), 16, -10).try_cast("bigint")
+    return F.when(F.coalesce(valid, F.lit(False)), F.struct(word(1).alias("hi"), word(17).alias("lo")))
+
+
+def _prefix(words: Column, bits: Column) -> Column:
+    """The first ``bits`` of the 128, the rest zero."""
+    mask = lambda k: F.when(k <= 0, F.lit(0).cast("bigint")).when(k >= 64, F.lit(-1).cast("bigint")).otherwise(
+        F.call_function("shiftleft", F.lit(-1).cast("bigint"), (F.lit(64) - k).cast("int"))
+    )
+    return F.struct(
+        words["hi"].bitwiseAND(mask(bits)).alias("hi"), words["lo"].bitwiseAND(mask(bits - F.lit(64))).alias("lo")
     )
 
 
 def cidr_ranges(cidrs: DataFrame) -> DataFrame:
-    """``cidr, label`` → ``lo, hi`` and the /16 buckets the range covers."""
-    base = F.split("cidr", "/")
-    bits = base.getItem(1).cast("int")
-    net = ip_to_long(base.getItem(0))
-    size = F.pow(F.lit(2.0), F.lit(32) - bits).cast("bigint")
-    lo = F.floor(net / size) * size
-    out = cidrs.select("cidr", "label", lo.alias("lo"), (lo + size - 1).alias("hi"))
-    return out.withColumn("_b16", F.explode(F.sequence(F.shiftright("lo", 16), F.shiftright("hi", 16))))
-
-
-def cidr_match(ips: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Range join ``lo ≤ ip ≤ hi`` as an equi-join on the /16 bucket plus a filter.
-    Spark chooses the join by the size of ``ranges``."""
-    x = ips.withColumn("_ipn", ip_to_long(F.col("ip"))).withColumn("_b16", F.shiftright("_ipn", 16))
-    j = x.join(ranges, "_b16").filter((F.col("_ipn") >= F.col("lo")) & (F.col("_ipn") <= F.col("hi")))
-    return j.drop("_b16", "_ipn", "lo", "hi")
+    """``cidr, label`` → ``cidr, label, bits, prefix``: the prefix index of IPv4 and IPv6 ranges.
+
+    A range without a length is one address. Malformed ranges are left out.
+    """
+    base = F.split("cidr", "/", -1)
+    words = ip_words(F.trim(base.getItem(0)))
+    four = ~base.getItem(0).contains(":")
+    given = F.when(F.size(base) == 1, F.when(four, 32).otherwise(128)).otherwise(F.trim(F.get(base, F.lit(1))).try_cast("int"))
+    most = F.when(four, 32).otherwise(128)
+    ok = words.isNotNull() & given.between(0, most) & (F.size(base) <= 2)
+    out = cidrs.select("cidr", "label", words.alias("_w"), (given + F.when(four, 96).otherwise(0)).alias("bits"), ok.alias("_ok"))
+    return out.filter("_ok").select("cidr", "label", "bits", _prefix(F.col("_w"), F.col("bits")).alias("prefix"))
+
+
+def cidr_match(ips: DataFrame, ranges: DataFrame, longest: bool = False) -> DataFrame:
+    """Every row of ``ips`` (column ``ip``) with every range that holds it (``cidr``, ``label``), or with
+    ``longest`` only with the narrowest ones. A malformed address is in no range.
+
+    An address is in a range if their first ``bits`` agree. ``ranges`` has few different lengths (129
+    at most, one scalar list), so an address takes one row per length and meets its ranges by an
+    equi-join on (length, prefix): nested ranges and both families alike, no range condition.
+    """
+    lengths = sorted(r["bits"] for r in ranges.select("bits").distinct().collect())
+    x = ips.withColumn("_w", ip_words(F.col("ip"))).filter(F.col("_w").isNotNull())
+    x = x.withColumn("bits", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")))
+    x = x.withColumn("prefix", _prefix(F.col("_w"), F.col("bits")))
+    j = x.join(ranges, ["bits", "prefix"])
+    if longest:
+        w = Window.partitionBy("_w", *ips.columns)
+        j = j.withColumn("_most", F.max("bits").over(w)).filter(F.col("bits") == F.col("_most")).drop("_most")
+    return j.drop("bits", "prefix", "_w")

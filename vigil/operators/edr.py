@@ -42,22 +42,67 @@ def edr_flags(ev: DataFrame) -> DataFrame:
     )
 
 
-def process_parentage(ev: DataFrame, depth: int) -> DataFrame:
-    """Child → parent (→ grandparent …) by (endpoint, pid) self-joins.
-
-    ``depth`` is the number of ancestor columns; ``truncated`` says that the
-    topmost ancestor shown has a parent of its own in the data."""
-    base = ev.select("endpoint_id", "process_id", "parent_process_id", "process_name")
-    out = base.withColumn("_cur", F.col("parent_process_id"))
-    names = []
-    for lvl in range(1, depth + 1):
-        p = base.select(
-            F.col("endpoint_id").alias("_e"), F.col("process_id").alias("_p"),
-            F.col("process_name").alias(f"ancestor_{lvl}"), F.col("parent_process_id").alias("_next"),
+def process_ancestry(ev: DataFrame) -> DataFrame:
+    """Every process with its whole line of ancestors, nearest first.
+
+    ``endpoint_id, process_id, process_name, start_us, ancestors`` (names), ``depth`` and ``cyclic``.
+    A process is one (endpoint, process id, parent id, name), however many events it has; it starts
+    at its first event. A process id may be used again: the parent is the one of that id that
+    started last at or before the child (of those that all started later, the first: telemetry
+    may miss a start; ties: by name). Lines are found by pointer doubling, so a line of n ancestors takes
+    log2(n) rounds of equi-joins; each round is written to the shared checkpoint folder. A line
+    that comes back to itself is cut there and marked ``cyclic``.
+    """
+    from vigil.operators.ownership import materialize
+
+    procs = ev.groupBy("endpoint_id", "process_id", "parent_process_id", "process_name").agg(
+        F.min("ts_us").alias("start_us")
+    )
+    procs = materialize(
+        procs.withColumn("_id", F.xxhash64("endpoint_id", "process_id", "parent_process_id", "process_name"))
+    )
+    above = procs.select(
+        F.col("endpoint_id").alias("_e"), F.col("process_id").alias("_p"), F.struct("start_us", "process_name", F.col("parent_process_id").alias("_of"), "_id").alias("_up")
+    )
+    on_time = F.col("_up.start_us") <= F.col("start_us")
+    parents = (
+        procs.join(above, (F.col("endpoint_id") == F.col("_e")) & (F.col("parent_process_id") == F.col("_p")))
+        .groupBy("_id")
+        .agg(F.coalesce(F.max(F.when(on_time, F.col("_up"))), F.min("_up")).alias("_up"))
+    )
+    line = materialize(
+        procs.join(parents, "_id", "left").select(
+            "_id",
+            F.col("_up._id").alias("_next"),
+            F.when(F.col("_up").isNull(), F.array().cast("array<struct<id:bigint,name:string>>"))
+            .otherwise(F.array(F.struct(F.col("_up._id").alias("id"), F.col("_up.process_name").alias("name"))))
+            .alias("_line"),
+            F.lit(False).alias("cyclic"),
         )
-        out = out.join(p, (out["endpoint_id"] == p["_e"]) & (out["_cur"] == p["_p"]), "left").drop("_e", "_p", "_cur")
-        out = out.withColumnRenamed("_next", "_cur")
-        names.append(f"ancestor_{lvl}")
-    known = base.select(F.col("endpoint_id").alias("_e"), F.col("process_id").alias("_p")).distinct()
-    out = out.join(known, (out["endpoint_id"] == known["_e"]) & (out["_cur"] == known["_p"]), "left")
-    return out.select("endpoint_id", "process_id", "process_name", *names, F.col("_p").isNotNull().alias("truncated"))
+    )
+    while not line.filter(F.col("_next").isNotNull()).isEmpty():
+        further = line.select(
+            F.col("_id").alias("_next"), F.col("_next").alias("_after"), F.col("_line").alias("_rest"),
+        )
+        grown = line.join(further, "_next", "left").withColumn(
+            "_line", F.concat("_line", F.coalesce("_rest", F.array().cast("array<struct<id:bigint,name:string>>")))
+        )
+        ids = F.transform("_line", lambda x: x["id"])
+        # a line that meets itself: keep it up to the first process that stands in it twice
+        again = F.col("cyclic") | F.array_contains(ids, F.col("_id")) | (F.size(F.array_distinct(ids)) < F.size(ids))
+        cut = F.filter(
+            "_line",
+            lambda x, i: (F.array_position(ids, x["id"]) == i + 1) & (x["id"] != F.col("_id")),
+        )
+        line = materialize(
+            grown.select(
+                "_id",
+                F.when(~again, F.col("_after")).alias("_next"),
+                F.when(again, cut).otherwise(F.col("_line")).alias("_line"),
+                again.alias("cyclic"),
+            )
+        )
+    return procs.join(line, "_id").select(
+        "endpoint_id", "process_id", "process_name", "start_us", F.transform("_line", lambda x: x["name"]).alias("ancestors"),
+        F.size("_line").alias("depth"), "cyclic",
+    )

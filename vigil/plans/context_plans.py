@@ -319,3 +319,73 @@ def q_cidr(spark, sf):
     ips = a.select("alert_id", F.explode(cand).alias("ip")).distinct()
     ranges = C.cidr_ranges(spark.createDataFrame(_cidr_rows(), "cidr string, label string"))
     return C.cidr_match(ips, ranges).select("alert_id", "ip", "cidr", "label")
+
+
+# --- G5: both address families, nested ranges, malformed addresses -------------------
+FAMILY_RANGES = [
+    ("10.0.0.0/8", "internal"), ("10.1.0.0/16", "branch"), ("10.1.2.0/24", "lab"), ("2001:db8::/32", "documentation"),
+    ("2001:db8:0:1::/64", "segment"), ("2001:DB8:0:1::7", "host"), ("::ffff:10.1.0.0/112", "mapped"), ("10.1.2.0/40", "malformed"),
+    ("gateway", "malformed"),
+]
+
+
+def _hosts(spark, sf):
+    """Addresses as sensors write them, from ``supplier``: both families, short forms, and malformed ones."""
+    k = F.col("s_suppkey")
+    low = F.lower(F.hex(k % 9))
+    form = [
+        F.concat(F.lit("10."), (k % 3).cast("string"), F.lit("."), (k % 4).cast("string"), F.lit("."), (k % 256).cast("string")),
+        F.concat(F.lit("2001:db8:0:"), (k % 3).cast("string"), F.lit("::"), low),
+        F.concat(F.lit("2001:0DB8:0000:0001:0:0:0:"), low),
+        F.concat(F.lit("::ffff:10.1.2."), (k % 256).cast("string")),
+        F.element_at(F.array(*map(F.lit, ["::1", "unknown", "10.1", "300.1.1.1", "1:2:3", ":::", "", "10.1.2.3.4"])), (k % 8 + 1).cast("int")),
+    ]
+    pick = F.coalesce(*[F.when(k % 7 == i, f) for i, f in enumerate(form)])
+    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("host_id"), pick.alias("ip"))
+
+
+def _address_bits_sql(source: str, name: str) -> dict[str, str]:
+    """View ``name`` of ``source`` (key, ip): ``bits``, the address as 128 characters, null if malformed."""
+    octet = "(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+    dotted = rf"{octet}\.{octet}\.{octet}\.{octet}$"
+    part = lambda i: f"regexp_extract(ip, '{dotted}', {i})::INTEGER"
+    hexed = f"printf('%02x%02x:%02x%02x', {part(1)}, {part(2)}, {part(3)}, {part(4)})"
+    return {
+        f"{name}_text": f"""SELECT key, ip, CASE WHEN regexp_matches(ip, '^{dotted}') THEN '::ffff:' || {hexed}
+            WHEN regexp_matches(ip, ':{dotted}') THEN regexp_replace(ip, '{dotted}', '') || {hexed} ELSE lower(ip) END AS t FROM {source}""",
+        f"{name}_halves": f"SELECT *, string_split(t, '::') AS h FROM {name}_text",
+        f"{name}_sides": f"""SELECT *, CASE WHEN h[1] = '' THEN []::VARCHAR[] ELSE string_split(h[1], ':') END AS l,
+            CASE WHEN len(h) < 2 OR h[2] = '' THEN []::VARCHAR[] ELSE string_split(h[2], ':') END AS r FROM {name}_halves""",
+        f"{name}_groups": f"""SELECT *, list_concat(l, list_concat(CASE WHEN len(h) = 2 THEN list_transform(range(8 - len(l) - len(r)),
+            lambda i: '0') ELSE []::VARCHAR[] END, r)) AS g FROM {name}_sides""",
+        name: f"""SELECT key, ip, CASE WHEN len(g) = 8 AND (len(h) = 1 OR len(h) = 2 AND len(l) + len(r) <= 7)
+            AND len(list_filter(g, lambda x: NOT regexp_full_match(x, '[0-9a-f]{{1,4}}'))) = 0 THEN
+            array_to_string(list_transform(g, lambda x: right(('0x' || lpad(x, 8, '0'))::INTEGER::BIT::VARCHAR, 16)), '') END AS bits
+            FROM {name}_groups""",
+    }
+
+
+def _families_sql() -> str:
+    pick = """CASE s_suppkey % 7
+      WHEN 0 THEN '10.' || s_suppkey % 3 || '.' || s_suppkey % 4 || '.' || s_suppkey % 256
+      WHEN 1 THEN '2001:db8:0:' || s_suppkey % 3 || '::' || s_suppkey % 9
+      WHEN 2 THEN '2001:0DB8:0000:0001:0:0:0:' || s_suppkey % 9
+      WHEN 3 THEN '::ffff:10.1.2.' || s_suppkey % 256
+      WHEN 4 THEN (['::1', 'unknown', '10.1', '300.1.1.1', '1:2:3', ':::', '', '10.1.2.3.4'])[s_suppkey % 8 + 1] END"""
+    ranges = ", ".join(f"({_lit(c)}, {_lit(l)})" for c, l in FAMILY_RANGES)
+    v = {"hosts": f"SELECT s_suppkey AS key, {pick} AS ip FROM supplier", **_address_bits_sql("hosts", "host_bits")}
+    v["ranges"] = f"SELECT cidr AS key, label, split_part(cidr, '/', 1) AS ip FROM (VALUES {ranges}) t(cidr, label)"
+    v |= _address_bits_sql("(SELECT key, ip FROM ranges)", "range_bits")
+    v["nets"] = """SELECT r.key AS cidr, r.label, b.bits,
+        coalesce(TRY_CAST(nullif(split_part(r.key, '/', 2), '') AS INTEGER), CASE WHEN contains(r.ip, ':') THEN 128 ELSE 32 END) AS given,
+        CASE WHEN contains(r.ip, ':') THEN 128 ELSE 32 END AS most FROM ranges r JOIN range_bits b ON b.key = r.key"""
+    return with_views(**v) + """SELECT h.key AS host_id, h.ip, n.cidr, n.label FROM host_bits h JOIN nets n
+        ON h.bits IS NOT NULL AND n.bits IS NOT NULL AND n.given BETWEEN 0 AND n.most
+       AND left(h.bits, (n.given + 128 - n.most)::INTEGER) = left(n.bits, (n.given + 128 - n.most)::INTEGER)"""
+
+
+@register("enrich_cidr_families", _families_sql())
+def q_cidr_families(spark, sf):
+    """G5 over IPv4, IPv6, nested ranges and malformed addresses."""
+    ranges = C.cidr_ranges(spark.createDataFrame(FAMILY_RANGES, "cidr string, label string"))
+    return C.cidr_match(_hosts(spark, sf), ranges).select("host_id", "ip", "cidr", "label")

@@ -47,13 +47,27 @@ def q_edr_flags(spark, sf):
 
 @register(
     "edr_parent",
-    EDR + """SELECT c.endpoint_id, c.process_id, c.process_name, p.process_name AS ancestor_1, g.process_name AS ancestor_2,
-       EXISTS (SELECT 1 FROM e t WHERE t.endpoint_id = g.endpoint_id AND t.process_id = g.parent_process_id) AS truncated
-FROM e c LEFT JOIN e p ON p.endpoint_id = c.endpoint_id AND p.process_id = c.parent_process_id
-LEFT JOIN e g ON g.endpoint_id = p.endpoint_id AND g.process_id = p.parent_process_id""",
+    EDR.replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
+    + """, procs AS (
+  SELECT row_number() OVER () AS id, * FROM (
+    SELECT endpoint_id, process_id, parent_process_id, process_name, min(ts_us) AS start_us FROM e GROUP BY ALL)
+), parents AS (
+  SELECT c.id, p.id AS up, p.process_name AS up_name
+  FROM procs c JOIN procs p ON p.endpoint_id = c.endpoint_id AND p.process_id = c.parent_process_id
+  QUALIFY row_number() OVER (PARTITION BY c.id ORDER BY p.start_us <= c.start_us DESC,
+    CASE WHEN p.start_us <= c.start_us THEN p.start_us END DESC, CASE WHEN p.start_us <= c.start_us THEN p.process_name END DESC,
+    p.start_us, p.process_name) = 1
+), line AS (
+  SELECT id, id AS at, 0 AS depth, []::VARCHAR[] AS names FROM procs
+  UNION ALL SELECT l.id, p.up, l.depth + 1, list_append(l.names, p.up_name) FROM line l JOIN parents p ON p.id = l.at
+), whole AS (
+  SELECT id, arg_max(names, depth) AS names, max(depth) AS depth FROM line GROUP BY id
+)
+SELECT endpoint_id, process_id, process_name, start_us, array_to_string(names, '>') AS ancestors, depth, false AS cyclic
+FROM procs JOIN whole USING (id)""",
 )
 def q_edr_parent(spark, sf):
-    return J.process_parentage(FX.edr_events(spark, sf), depth=2)
+    return J.process_ancestry(FX.edr_events(spark, sf)).withColumn("ancestors", F.array_join("ancestors", ">"))
 
 
 # --- K ------------------------------------------------------------------------------
