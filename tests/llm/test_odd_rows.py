@@ -410,3 +410,23 @@ def test_pipeline_odd_rows(odd_docs):
         if name != corpus_pipeline.STAGES[-1][0]:
             assert docs.columns == before, name
     assert docs.count() > 0
+
+
+def test_drop_foreign_by_size(make_docs):
+    """Short and long texts of an unlearned script go; clean texts of the same sizes stay."""
+    import random
+
+    rng = random.Random(9)
+    words = {
+        "en": "the of and to in that was with for his they this have from which there were their been would about".split(),
+        "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden".split(),
+    }
+    rows = [(i, " ".join(rng.choices(words[la], k=rng.choice([8, 30, 200]))), la) for i, la in enumerate(["en", "de"] * 150)]
+    script = [chr(c) for c in range(0x0531, 0x0557)] + [chr(c) for c in range(0x10D0, 0x10F1)]
+    foreign = [(1000 + k, " ".join("".join(rng.choices(script, k=6)) for _ in range(n)), None) for k, n in enumerate([8, 8, 30, 200, 2000])]
+    none = [(2000, "", "en"), (2001, None, "de"), (2002, "123 ...", None)]
+    ids = Counter(r["doc_id"] for r in language_id.drop_foreign(make_docs(rows + foreign + none)).collect())
+    assert not [i for i in ids if i >= 2000]
+    assert not {1002, 1003, 1004} & set(ids)
+    clean = sum(1 for i in ids if i < 1000)
+    assert clean == len(rows) and set(ids.values()) == {1}

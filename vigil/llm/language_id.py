@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.llm.common import with_text
+from vigil.llm.common import stage_table, with_text
 
 DIM, OTHER_SLOTS, SEED = 1024, 101, 20
 UNKNOWN = "und"
@@ -151,15 +151,46 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray], *keep: Column) -> Dat
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *found.fields]))
 
 
-def drop_foreign(docs: DataFrame, least: float = 0.05, enough: int = 100) -> DataFrame:
+def _size_class(n: Column) -> Column:
+    """Whole power of two of a number of trigrams; texts of one class have like scores."""
+    return F.floor(F.log2(F.greatest(n, F.lit(1)))).cast("int")
+
+
+def least_scores(told: DataFrame, quantile: float, share: float) -> list[float]:
+    """The least score of every size class, from the scores of labelled texts.
+
+    A text of m trigrams scores the higher the larger m is, so each language's labelled texts give
+    one low quantile for each size class; ``share`` of the lowest of them is the class's least
+    score, as the language told for an odd text may be any. A class without labelled texts has
+    the score of the next smaller one that has some, and the classes under the smallest have its
+    score. One number per language and class is collected.
+    """
+    known = told.where(F.col("lang").isNotNull() & (F.col("lang_pred") != UNKNOWN))
+    lows = known.groupBy("lang", _size_class(F.col("n_trigrams")).alias("size")).agg(
+        F.percentile_approx("score", quantile, 10_000).alias("low")
+    )
+    by_size: dict[int, float] = {}
+    for r in lows.collect():
+        by_size[r["size"]] = min(r["low"], by_size.get(r["size"], 1.0))
+    out, low = [], by_size[min(by_size)] if by_size else 0.0
+    for size in range(64):
+        low = by_size.get(size, low)
+        out.append(share * low)
+    return out
+
+
+def drop_foreign(docs: DataFrame, quantile: float = 0.01, share: float = 0.5) -> DataFrame:
     """Documents in a language that can be told, with all their columns; learns from their own lang.
 
-    Rejects ``und`` (no letters, or no language to learn) and texts of at least ``enough`` distinct
-    trigrams whose cosine to every language is under ``least``: random bundles differ by about
-    1 / sqrt(DIM) = 0.03, so such a text shares no letter patterns with any language. Prose, noisy
-    or short, stays.
+    Rejects ``und`` (no letters, or no language to learn) and every text whose cosine to the nearest
+    language is under ``share`` of the low ``quantile`` of the labelled texts of like size (see
+    ``least_scores``): it shares too few letter patterns with any language. The rule is the
+    same for texts of any size; of very short ones even clean texts score little, so few of them
+    can be told from chance.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    told = predict(docs, learn(docs), row)
-    near = (F.col("score") >= least) | (F.col("n_trigrams") < enough)
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    named = F.struct(*kept).alias("row"), F.col("lang").cast("string").alias("lang")
+    told = stage_table(predict(docs, learn(docs), *named), "told")
+    least = F.array(*map(F.lit, least_scores(told, quantile, share)))
+    near = F.col("score") >= F.get(least, _size_class(F.col("n_trigrams")))
     return told.where((F.col("lang_pred") != UNKNOWN) & near).select("row.*")
