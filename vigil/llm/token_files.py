@@ -99,7 +99,7 @@ class WordTokenizer:
 
     loaded: dict[str, "WordTokenizer"] = {}
 
-    def __init__(self, path: str, limit: int = 60_000_000):
+    def __init__(self, path: str, limit: int = 48_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
