@@ -123,7 +123,7 @@ def detect_stream(
 ) -> DataFrame:
     """Other-user failures of a streaming access log → verdicts per failure.
 
-    ``bucket_seconds`` (default: ten windows) is the time span of one state key: longer ones
+    ``bucket_seconds`` (default: sixty windows) is the time span of one state key: longer ones
     mean fewer keys and context copies, shorter ones split a hot session further."""
     fails = log.filter(~F.col("success") & (F.col("resource_owner_id").isNull() | (F.col("resource_owner_id") != F.col("user_id"))))
     number = X.numeric_id(F.col("resource_id"), id_mode).cast("double").alias("number")
@@ -131,7 +131,7 @@ def detect_stream(
         "event_id", "ts_us", "user_id", "session_id", "resource_id", "resource_owner_id", number, "event_time"
     )
     in_session = F.coalesce(F.col("session_id") != "", F.lit(False))
-    bucket_s = bucket_seconds or 10 * window_seconds
+    bucket_s = bucket_seconds or 60 * window_seconds
     bucket = F.floor(F.col("ts_us") / F.lit(bucket_s * _US))
     copies = -(-window_seconds // bucket_s)
     in_window = (

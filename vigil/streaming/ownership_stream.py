@@ -216,7 +216,7 @@ def classify_stream(
     ``newest_results`` keeps the last. ``log`` needs ``event_time`` (a timestamp equal to ``ts_us``).
     Verdicts may be corrected until the watermark passes them.
     """
-    bucket_s = bucket_seconds or 10 * window_seconds
+    bucket_s = bucket_seconds or 60 * window_seconds
     own = F.coalesce(F.col("user_id") == F.col("resource_owner_id"), F.lit(False))
     failed = F.coalesce(~F.col("success"), F.lit(False))
     no_session = F.coalesce(F.col("session_id") == "", F.lit(True))
