@@ -17,8 +17,8 @@ def _enrich(spark, rows):
 def test_four_scenarios(spark):
     rows = [
         ("idor", "user_789", None, "Sequential IDOR enumeration of 4 loans", [], 4),
-        ("qa", "qa_automation", None, "Acme QA Test Suite sequential run", [], 5),
-        ("insider", "employee_4411", "acme-laptop-9", "employee accessing customer loans outside assigned portfolio", [], 6),
+        ("qa", "synthetic_3", None, "Lakeside Regression Pack sequential run", [], 5),
+        ("insider", "staff_4411", "lake-nb-9", "seen browsing borrowers without a case", [], 6),
         ("plain", "jdoe", None, "Routine login", [], 0),
     ]
     got = _enrich(spark, rows)
@@ -31,15 +31,15 @@ def test_four_scenarios(spark):
 
 def test_lookups(spark):
     rows = [
-        ("a1", "dba_team_bob", "PROD-DB-01.internal", "powershell.exe -enc AAA by svc", ["1.2.3.4"], 0),
-        ("a2", "[EMAIL_REDACTED]", None, "Lateral movement from workstation to server", [], 0),
-        ("a3", "x", None, "Multiple failed SSH attempts from 10.50.100.0/24 again", [], 0),
+        ("a1", "ops_db_bob", "LEDGER-PG-2.lan", "powershell.exe -enc AAA by svc", ["1.2.3.4"], 0),
+        ("a2", "[EMAIL_REDACTED]", None, "Remote service created on a ledger host", [], 0),
+        ("a3", "x", None, "Port sweep by patch scanner 10.77.8.0/24 again", [], 0),
     ]
     got = _enrich(spark, rows)
-    assert got["a1"]["is_critical"] and got["a1"]["asset_role"] == "Primary Database Server"
-    assert got["a1"]["vip_role"] == "dba_team" and got["a1"]["approved_tool"] == "powershell.exe"
+    assert got["a1"]["is_critical"] and got["a1"]["asset_role"] == "Loan ledger database"
+    assert got["a1"]["vip_role"] == "ops_db" and got["a1"]["approved_tool"] == "powershell.exe"
     assert got["a2"]["vip_role"] is None and got["a2"]["risk_multiplier"] == 2.0
-    assert got["a3"]["known_fp_pattern"].startswith("Multiple failed SSH")
+    assert got["a3"]["known_fp_pattern"].startswith("Port sweep")
 
 
 def test_cidr_range_join(spark):
@@ -59,7 +59,7 @@ def test_missing_context_file_gives_empty_sections(spark, tmp_path):
 
     ctx = load_context(str(tmp_path / "absent.json"))
     assert ctx["vip_users"] == [] and ctx["critical_assets"] == {}
-    df = spark.createDataFrame([("a", "dba_team_x", "prod-db-01.internal", "Sequential powershell.exe", [], 5)], SCHEMA)
+    df = spark.createDataFrame([("a", "ops_db_x", "ledger-pg-2.lan", "Sequential powershell.exe", [], 5)], SCHEMA)
     r = E.enrich_alerts(spark, df, ctx).first()
     assert not r["is_critical"] and r["vip_role"] is None and r["approved_tool"] is None and r["risk_multiplier"] == 1.0
 

@@ -176,7 +176,7 @@ _EM = [p for p in S.PATTERNS if p[0] == "EMAIL_ADDRESS"][0][1]
     + f"""SELECT alert_id, array_to_string(list_filter([
         CASE WHEN regexp_matches(coalesce(description, ''), {_lit(_CC)}) THEN 'PCI_SCOPE' END,
         CASE WHEN regexp_matches(coalesce(description, ''), {_lit(_EM)}) THEN 'GDPR_SCOPE' END,
-        CASE WHEN lower(affected_host) IN ('prod-db-01.internal', 'api-gateway-prod.internal', 'accounting-app-01.internal')
+        CASE WHEN lower(affected_host) IN ('ledger-pg-2.lan', 'edge-proxy-1.lan', 'recon-batch-3.lan')
              THEN 'CRITICAL_ASSET' END], lambda x: x IS NOT NULL), ',') AS regulatory_flags FROM alerts""",
 )
 def q_flags(spark, sf):

@@ -89,27 +89,27 @@ def access_log_from_events(events: DataFrame, id_prefix: str = "") -> DataFrame:
 # Sample values of our own (not the reference's): description phrases chosen by
 # doc_id % 7, hosts by doc_id % 5, users by doc_id % 6.
 ALERT_PHRASES = [
-    "Multiple failed SSH attempts from 10.50.100.0/24 observed",
-    "powershell.exe launched with -enc by svc_backup",
-    "Lateral movement from workstation to server detected",
+    "Port sweep by patch scanner 10.77.8.0/24 observed",
+    "powershell.exe launched with -enc by svc_snapshot",
+    "Remote service created on a ledger host at night",
     "Sequential enumeration of loan applications",
-    "employee accessing customer loans outside assigned portfolio",
-    "Acme QA Test Suite triggered access checks",
+    "staff member browsing borrowers without a case",
+    "Lakeside Regression Pack triggered access checks",
     "Routine authentication event",
 ]
 ALERT_HOSTS = [
-    "prod-db-01.internal",
-    "API-GATEWAY-PROD.internal",
-    "acme-laptop-042",
-    "ws-1234.corp.acme.com",
+    "ledger-pg-2.lan",
+    "EDGE-PROXY-1.lan",
+    "lake-nb-042",
+    "ws-1234.branch.lan",
     "build-agent-7",
 ]
 ALERT_USERS = [
-    "dba_team_admin",
+    "ops_db_admin",
     "jdoe",
-    "svc_accounting",
-    "employee_4411",
-    "qa_automation",
+    "svc_recon",
+    "staff_4411",
+    "synthetic_07",
     "jane.doe@example.com",
 ]
 SEVERITIES = ["LOW", "MEDIUM", "HIGH", "CRITICAL"]

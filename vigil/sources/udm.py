@@ -91,8 +91,8 @@ def udm_alerts(spark: SparkSession, sf_dir: str, window_seconds: int = 3 * 86400
     qa = F.array_contains(user_tags(num), "qa_automation")
     ev = F.struct(
         F.struct(F.lit("HTTP_REQUEST").alias("event_type"), _iso(F.col("ts_us")).alias("event_timestamp"),
-                 F.when(qa, F.lit("Acme QA Test Suite")).otherwise(F.lit("loan-portal")).alias("product_name"),
-                 F.lit("Acme").alias("vendor_name"), F.lit("WEB_ACCESS").alias("log_type")).alias("metadata"),
+                 F.when(qa, F.lit("Lakeside Regression Pack")).otherwise(F.lit("loan-portal")).alias("product_name"),
+                 F.lit("Lakeside").alias("vendor_name"), F.lit("WEB_ACCESS").alias("log_type")).alias("metadata"),
         F.struct(F.col("session_id"),
                  F.struct(F.col("http_method").alias("method"), F.col("http_status").alias("response_code"),
                           F.col("user_agent"), F.lit(None).cast("string").alias("referrer"),
@@ -104,7 +104,7 @@ def udm_alerts(spark: SparkSession, sf_dir: str, window_seconds: int = 3 * 86400
                           F.when(qa, F.lit("QA Automation Bot")).otherwise(F.concat(F.lit("User "), F.col("user_id"))).alias("user_display_name")
                           ).alias("user"),
                  F.array(F.col("client_ip")).alias("ip"), F.lit(443).alias("port"),
-                 F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("acme-laptop-"), (num % 100).cast("string"))).alias("hostname"),
+                 F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("lake-nb-"), (num % 100).cast("string"))).alias("hostname"),
                  F.struct(F.lit("Springfield").alias("city"), F.lit("IL").alias("region_code"), F.lit("US").alias("country_code")).alias("location")
                  ).alias("principal"),
         F.struct(F.col("request_path").alias("url"), F.lit("loans.internal").alias("hostname"), F.lit(443).alias("port"),
