@@ -99,7 +99,7 @@ class WordTokenizer:
 
     loaded: dict[str, "WordTokenizer"] = {}
 
-    def __init__(self, path: str, limit: int = 48_000_000):
+    def __init__(self, path: str, limit: int = 60_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -175,6 +175,7 @@ class PartIds(dict):
             if len(part) > LONG_PART:
                 return ids
         if self.held > self.limit:
+            self.older = None  # let the oldest go before the next is copied
             self.older, self.held = dict(self), 0
             self.clear()
         self.held += ENTRY_BYTES + len(part) + len(ids)
