@@ -166,6 +166,46 @@ def test_frontend_stitch_counts_views_in_window(spark):
     assert got == {1: 2, 2: 0}
 
 
+def test_frontend_stitch_stream_equals_batch(spark, tmp_path):
+    """Shuffled micro-batches with page loads later than their failures, a null session, and a closing row per side."""
+    from vigil.streaming import idor_stream as ST
+    from vigil.streaming.stitch_stream import stitch_stream
+
+    rng = random.Random(11)
+    session = ["s1"] * 6 + ["s2", None]  # one hot session
+    rows = [(rng.randrange(2000), "u", rng.choice(session), "r", "o", rng.random() < 0.5) for _ in range(300)]
+    closing = [(90_000, "u", "end", "r", "o", True), (90_000, "u", "end", "r", "o", False)]
+    path = _stream_files(spark, str(tmp_path / "log"), [rows[i::4] for i in range(4)] + [closing])
+    stored = spark.read.parquet(path)
+    log = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    log = log.withColumn("event_time", F.timestamp_micros("ts_us")).withWatermark("event_time", "1 hour")
+    out = ST.run_available_now(spark, stitch_stream(log.filter(~F.col("success")), log.filter("success"), 300), "stitch")
+    fails = stored.filter(~F.col("success") & (F.col("ts_us") < BASE + 90_000 * US))
+    want = D.stitch_frontend(fails, stored.filter("success"), 300)
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(map(tuple, want.select(out.columns).collect()), key=repr)
+    assert out.filter("page_loads_in_window > 5").count() > 10
+
+
+def test_frontend_stitch_stream_evicts_state(spark, tmp_path):
+    """In order of time, with a short delay, neither side's state grows with the stream."""
+    from vigil.session import checkpoint_dir
+    from vigil.streaming.stitch_stream import stitch_stream
+
+    batches = [[(1000 * i + k, "u", "s", "r", "o", k % 2 == 0) for k in range(40)] for i in range(6)]
+    path = _stream_files(spark, str(tmp_path / "log"), batches)
+    stored = spark.read.parquet(path)
+    log = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    log = log.withColumn("event_time", F.timestamp_micros("ts_us")).withWatermark("event_time", "10 seconds")
+    out = stitch_stream(log.filter(~F.col("success")), log.filter("success"), 60)
+    q = (
+        out.writeStream.format("noop").option("checkpointLocation", f"{checkpoint_dir(spark)}/{tmp_path.name}-evict")
+        .trigger(availableNow=True).start()
+    )
+    q.awaitTermination()
+    held = [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in q.recentProgress]
+    assert len(held) >= 6 and max(held) <= 3 * 100
+
+
 def _stream_files(spark, path, batches):
     """One file per micro-batch; the file source takes the oldest first."""
     import glob

@@ -422,14 +422,16 @@ def q_attack_pattern(spark, sf):
 STITCH_S = 3600
 
 
-@register(
-    "rum_stitch",
+RUM_STITCH_SQL = (
     with_views(access_log=access_log_sql(), fails=_FAILS,
                views="SELECT 'sess_' || user_id AS session_id, epoch_us(ts) AS view_us FROM events WHERE event_type = 'view'")
     + f"""SELECT f.event_id, f.session_id, f.ts_us, count(v.view_us) AS page_loads_in_window, max(v.view_us) AS last_page_load_us
 FROM fails f LEFT JOIN views v ON v.session_id = f.session_id AND v.view_us BETWEEN f.ts_us - {STITCH_S * 1_000_000} AND f.ts_us
-GROUP BY f.event_id, f.session_id, f.ts_us""",
+GROUP BY f.event_id, f.session_id, f.ts_us"""
 )
+
+
+@register("rum_stitch", RUM_STITCH_SQL)
 def q_rum_stitch(spark, sf):
     from vigil.sources.fixtures import epoch_us
     from vigil.sources.tables import table

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vigil.operators import detection as D
 from vigil.operators import rules as R
 from vigil.plans import register
-from vigil.plans.detection_plans import GAP, IDOR_EVENTS_SQL, THRESHOLD, WINDOW_S
+from vigil.plans.detection_plans import GAP, IDOR_EVENTS_SQL, RUM_STITCH_SQL, STITCH_S, THRESHOLD, WINDOW_S
 from vigil.plans.rules_plans import RULE_SCALE, _rule_sql
 from vigil.sources.fixtures import access_log_from_events
 from vigil.streaming import idor_stream as ST
 from vigil.streaming import ownership_stream as OS
+from vigil.streaming import stitch_stream as SS
 
 #: The replayed micro-batches are in no order of time: no row of them is late.
 ANY_ORDER = "3650 days"
@@ -102,3 +104,44 @@ def q_late_rows(spark, sf):
     return spark.read.parquet(on_time).select(*columns, F.lit(False).alias("late")).unionByName(
         spark.read.parquet(late).select(*columns, F.lit(True).alias("late"))
     )
+
+
+STITCH_BATCHES, STITCH_DELAY_S = 5, 14 * 86400
+
+
+@register("rum_stitch_stream", RUM_STITCH_SQL)
+def q_rum_stitch_stream(spark, sf):
+    """E17 on two watermarked streams over the events in micro-batches; equal to the batch ``rum_stitch`` (same oracle).
+
+    Rows come up to half the watermark's delay out of order, so a page load may follow its failure by batches;
+    a last failure and page load of a session of their own, beyond every window, move the watermark past the others
+    and stay in the state themselves."""
+    from vigil.sources.fixtures import epoch_us
+    from vigil.sources.tables import table
+
+    events = table(spark, sf, "events")
+    # one row: bounds of time
+    low, high = events.agg(F.min(epoch_us("ts")), F.max(epoch_us("ts"))).first()
+    low, high = low or 0, high or 0
+    past = F.timestamp_micros(F.lit(high + 2 * (STITCH_DELAY_S + STITCH_S) * 1_000_000)).cast("timestamp_ntz")
+    side = F.when(F.col("id") == 0, "error").otherwise("view")
+    closing = spark.range(2).select(
+        *[
+            {"ts": past, "event_type": side, "user_id": F.lit(-1), "event_id": F.lit(-1)}.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in events.schema.fields
+        ]
+    )
+    # up to a week's delay in arrival, then five spans of arrival
+    arrival = epoch_us("ts") + F.pmod(F.xxhash64("event_id"), F.lit(STITCH_DELAY_S * 500_000))
+    span = (high - low + STITCH_DELAY_S * 500_000) // STITCH_BATCHES + 1
+    part = F.when(F.col("ts") == past, STITCH_BATCHES).otherwise(F.floor((arrival - F.lit(low)) / F.lit(span)))
+    stream = ST.replayed(spark, events.unionByName(closing), part, STITCH_BATCHES + 1)
+    delay = f"{STITCH_DELAY_S} seconds"
+    log = access_log_from_events(stream).withWatermark("event_time", delay)
+    fails = D.classify_access(log).filter("other_failure")
+    views = stream.filter(F.col("event_type") == "view").select(
+        F.concat(F.lit("sess_"), F.col("user_id").cast("string")).alias("session_id"),
+        F.col("ts").cast("timestamp").alias("event_time"),
+    )
+    views = views.withWatermark("event_time", delay)
+    return ST.run_available_now(spark, SS.stitch_stream(fails, views, STITCH_S), "rum_stitch_stream")
