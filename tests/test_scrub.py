@@ -102,3 +102,59 @@ def test_tokenize_deterministic(spark):
     df = spark.createDataFrame([("user_1",), ("user_1",), ("user_2",)], "u string")
     toks = [r["t"] for r in df.select(S.tokenize("u", "salt").alias("t")).collect()]
     assert toks[0] == toks[1] != toks[2] and toks[0].startswith("usr_") and len(toks[0]) == 12
+
+
+def _walk(value):
+    if isinstance(value, str):
+        return py_scrub(value)
+    if isinstance(value, list):
+        return [_walk(v) for v in value]
+    if isinstance(value, dict):
+        return {k: _walk(v) for k, v in value.items()}
+    return value
+
+
+_BITS = ["a@b.io", "10.0.0.1", "123-45-6789", '"', "\\", "\n", "é", "\U0001f600", ":", " ", "plain", "{", "]", ",", "\x01", "\x02", "\\u0041"]
+
+
+def _random_json(rng, depth=0):
+    kind = rng.randrange(8 if depth < 5 else 5)
+    text = lambda: "".join(rng.choice(_BITS) for _ in range(rng.randrange(6)))
+    if kind < 3:
+        return text()
+    if kind < 5:
+        return rng.choice([None, True, False, 5551234567, 4111111111111111, -1.5, 0])
+    if kind < 7:
+        return {text() + str(i): _random_json(rng, depth + 1) for i in range(rng.randrange(4))}
+    return [_random_json(rng, depth + 1) for _ in range(rng.randrange(4))]
+
+
+def test_raw_json_equals_tree_walk(spark):
+    import json
+    import random
+
+    rng = random.Random(5)
+    values = [_random_json(rng) for _ in range(400)]
+    raw = [json.dumps(v, ensure_ascii=i % 2 == 0, indent=[None, 1][i % 3 == 0]) for i, v in enumerate(values)]
+    df = spark.createDataFrame(list(enumerate(raw)), "i int, j string")
+    for r in df.select("i", "j", S.scrub_json("j").alias("s")).collect():
+        assert json.loads(r["s"]) == _walk(values[r["i"]]), r["j"]
+        if _walk(values[r["i"]]) == values[r["i"]]:
+            assert r["s"] == r["j"]  # nothing found: byte for byte
+
+
+def test_raw_json_odd_rows(spark):
+    deep = "[" * 600 + '"a@b.io"' + "]" * 600
+    long = '"' + "a\\n\\\"" * 50_000 + ' 10.0.0.1"'
+    rows = {None: None, "": "", "12": "12", '"a@b.io"': '"[EMAIL_REDACTED]"', "{a@b.io": "{[EMAIL_REDACTED]",
+            '{"k":"a@b.io"': '{"k":"[EMAIL_REDACTED]"', deep: deep.replace("a@b.io", "[EMAIL_REDACTED]"),
+            long: long.replace("10.0.0.1", "[IP_REDACTED]")}
+    df = spark.createDataFrame([(k,) for k in rows], "j string").select("j", S.scrub_json("j").alias("s"))
+    assert {r["j"]: r["s"] for r in df.collect()} == rows
+    assert df.limit(0).count() == 0
+
+
+def test_variant_leaves_are_scrubbed(spark):
+    df = spark.sql("""SELECT parse_json('{"a@b.io":["10.0.0.1",5551234567,{"x":"a@b.io"}]}') AS v, 'a@b.io' AS t""")
+    got = S.scrub_columns(df).select(F.to_json("v").alias("v"), "t").first()
+    assert got["v"] == '{"a@b.io":["[IP_REDACTED]",5551234567,{"x":"[EMAIL_REDACTED]"}]}' and got["t"] == "[EMAIL_REDACTED]"

@@ -92,10 +92,52 @@ def has_pii(col: Column | str, entities=None) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+# Stand-ins for an escaped backslash and an escaped quote while a JSON text is cut at its quotes:
+# valid JSON holds no control characters but tab, line feed and carriage return.
+_BACKSLASH, _QUOTE = "\x01", "\x02"
+
+
+def _scrub_json_leaf(raw: Column, **kw) -> Column:
+    """A string of a JSON text, without its quotes: decoded, scrubbed, and written anew if that changed it."""
+    as_written = F.replace(F.replace(raw, F.lit(_QUOTE), F.lit('\\"')), F.lit(_BACKSLASH), F.lit("\\\\"))
+    quoted = F.concat(F.lit('["'), as_written, F.lit('"]'))
+    escaped = F.contains(as_written, F.lit("\\"))
+    text = F.when(escaped, F.from_json(quoted, "array<string>").getItem(0)).otherwise(as_written)
+    scrubbed = scrub_text(text, **kw)
+    array = F.to_json(F.array(scrubbed))  # ["..."]
+    written = F.substring(array, F.lit(3), F.length(array) - 4)
+    return F.when(scrubbed == text, raw).otherwise(written)
+
+
+def scrub_json(col: Column | str, **kw) -> Column:
+    """C2 on a raw JSON text of any shape and depth: string leaves are scrubbed; keys, numbers,
+    booleans, nulls and white space stay as they are, byte for byte, as do leaves without a finding.
+
+    A JSON text cut at its unescaped quotes has string contents at the odd places, and a string
+    is a key where a colon follows it; so no schema and no recursion is needed, and the work is
+    linear. NULL stays NULL. A text that is no valid JSON (or nested deeper than Spark parses) is
+    scrubbed as one plain text, keys included: nothing leaves it unscrubbed."""
+    c = F.col(col) if isinstance(col, str) else col
+    marked = F.replace(F.replace(c, F.lit("\\\\"), F.lit(_BACKSLASH)), F.lit('\\"'), F.lit(_QUOTE))
+    parts = F.split(marked, '"', -1)
+
+    def part(x: Column, i: Column) -> Column:
+        key = F.get(parts, i + 1).rlike(r"^\s*:")
+        return F.when((i % 2 == 1) & ~key, _scrub_json_leaf(x, **kw)).otherwise(x)
+
+    joined = F.array_join(F.transform(parts, part), '"')
+    done = F.replace(F.replace(joined, F.lit(_QUOTE), F.lit('\\"')), F.lit(_BACKSLASH), F.lit("\\\\"))
+    return F.when(F.try_parse_json(c).isNull(), scrub_text(c, **kw)).otherwise(done)
+
+
 def scrub_value(col: Column, dtype: T.DataType, **kw) -> Column:
-    """Recursively scrub every string leaf of a typed value."""
+    """Recursively scrub every string leaf of a typed value.
+
+    A VARIANT goes through its JSON text: dates and times in it become strings."""
     if isinstance(dtype, T.StringType):
         return scrub_text(col, **kw)
+    if isinstance(dtype, T.VariantType):
+        return F.parse_json(scrub_json(F.to_json(col), **kw))
     if isinstance(dtype, T.StructType):
         rebuilt = F.struct(*[scrub_value(col.getField(f.name), f.dataType, **kw).alias(f.name) for f in dtype.fields])
         return F.when(col.isNull(), F.lit(None).cast(dtype)).otherwise(rebuilt)
@@ -111,7 +153,7 @@ def scrub_value(col: Column, dtype: T.DataType, **kw) -> Column:
 
 
 def _has_string(dtype: T.DataType) -> bool:
-    if isinstance(dtype, T.StringType):
+    if isinstance(dtype, (T.StringType, T.VariantType)):
         return True
     if isinstance(dtype, T.StructType):
         return any(_has_string(f.dataType) for f in dtype.fields)

@@ -241,3 +241,48 @@ def q_scrub_nested(spark, sf):
         F.element_at("msg.meta", F.lit("first_line")).alias("meta_first_line"),
         F.array_join(F.array_sort(F.filter(F.map_keys("msg.meta"), lambda k: k == "role")), ",").alias("meta_keys"),
     )
+
+
+# C2 without a schema: raw JSON texts of mixed types, and the paths the check reads their leaves from.
+_JSON_LEAVES = {
+    "$.id": "CAST(c_custkey AS VARCHAR)",
+    "$.note": scrub_sql("text"),
+    "$.pan": "CAST(4111000000000000 + c_custkey AS VARCHAR)",  # a number: stays
+    "$['ops@bank.example.com']": scrub_sql("passport"),  # the key stays
+    "$.log[0]": "'12.25'",
+    "$.log[1]": scrub_sql("card || chr(9) || email"),
+    "$.log[2].seen": "'true'",
+    "$.log[2].raw[0][0]": scrub_sql("""'"' || email || '"' || chr(10) || ssn || '\\'"""),
+    "$.log[2].raw[1]": "c_custkey || '.5'",
+    "$.log[3]": "'null'",  # as a JSON path reads it
+    "$.log[4]": scrub_sql("phone"),
+}
+
+
+def _raw_json(p) -> F.Column:
+    """A customer's personal data as a raw JSON text: keys of any name, mixed arrays, escapes, white space."""
+    string = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
+    key = F.col("c_custkey").cast("string")
+    quoted = F.concat(F.lit('"'), p["email"], F.lit('"\n'), p["ssn"], F.lit("\\"))
+    return F.concat(
+        F.lit('{"id":'), key, F.lit(', "note" : '), string(p["text"]),
+        F.lit(',"pan":'), (F.lit(4111000000000000) + F.col("c_custkey")).cast("string"),
+        F.lit(',\n"ops@bank.example.com"\n:'), string(p["passport"]),
+        F.lit(',"log":[12.25,'), string(F.concat(p["card"], F.lit("\t"), p["email"])),
+        F.lit(',{"seen":true,"raw":[['), string(quoted), F.lit("],"), key, F.lit(".5]},null,"), string(p["phone"]), F.lit("]}"),
+    )
+
+
+@register(
+    "pii_scrub_json",
+    with_views(cp=customer_pii_sql())
+    + " UNION ALL ".join(
+        f"SELECT c_custkey, {_lit(path)} AS path, {leaf} AS leaf FROM cp" for path, leaf in _JSON_LEAVES.items()
+    ),
+)
+def q_scrub_json(spark, sf):
+    """C2/C3 on a raw JSON column without a schema: one row per leaf of the scrubbed text."""
+    cp = FX.customer_pii(spark, sf)
+    done = cp.select("c_custkey", S.scrub_json(_raw_json(cp)).alias("scrubbed"))
+    leaves = [F.struct(F.lit(p).alias("path"), F.get_json_object("scrubbed", p).alias("leaf")) for p in _JSON_LEAVES]
+    return done.select("c_custkey", F.inline(F.array(*leaves)))
