@@ -13,6 +13,7 @@ import corpus_pipeline
 from vigil.llm import (
     byte_bpe,
     chat_format,
+    common,
     embedding_dedup,
     fingerprints,
     language_id,
@@ -228,6 +229,67 @@ def test_prefix_hashes():
         assert fingerprints.likeness(x.fingerprint(), x.fingerprint()) == 1
 
 
+def test_likeness_counts_every_block():
+    """By brute force: blocks equal at the same place, the remainder too between texts of one length."""
+    import random
+
+    rnd = random.Random(9)
+    for _ in range(300):
+        a = "".join(rnd.choice("abc") for _ in range(rnd.randint(1, 300)))
+        b = list(a)
+        for _ in range(rnd.randint(0, 3)):
+            b[rnd.randrange(len(b))] = rnd.choice("abcd")
+        b = "".join(b) + "x" * rnd.choice([0, 0, 1, 40])
+        block = 1
+        while max(len(a), len(b)) > fingerprints.MAX_BLOCKS * block:
+            block *= 2
+        same = sum(
+            len(a[i : i + block])
+            for i in range(0, len(a), block)
+            if a[i : i + block] == b[i : i + block] and (i + block <= len(a) or len(a) == len(b))
+        )
+        x, y = (fingerprints.PrefixHashes(t).fingerprint() for t in (a, b))
+        assert fingerprints.likeness(x, y) == pytest.approx(same / max(len(a), len(b)))
+    long = "x" * 3100  # 24 blocks of 128 and a remainder of 28
+    x, y = (fingerprints.PrefixHashes(t).fingerprint() for t in (long, "y" + long[1:]))
+    assert fingerprints.likeness(x, y) == 1 - 128 / 3100
+
+
+def test_piece_cache_counts_bytes():
+    calls = []
+
+    def ids(piece):
+        calls.append(piece)
+        return piece.encode() * 4
+
+    cache = common.PieceCache(ids, limit=1 << 20)
+    for i in range(3000):
+        assert cache[f"{i} " + "z" * 1000] == ids(f"{i} " + "z" * 1000)
+    held = sum(cache.ENTRY + 4 * len(k) + len(v) for kept in (cache, cache.old) for k, v in kept.items())
+    assert 1 << 20 < held <= 2 << 20
+    before = len(calls)
+    assert cache["q" * 9000] == cache["q" * 9000] and len(calls) == before + 2  # too long to be kept
+    assert cache["word"] == cache["word"] and len(calls) == before + 3
+
+
+@pytest.mark.parametrize("window", [16, 23, 50, 201])
+def test_passages_any_window(make_docs, window):
+    import random
+
+    rnd = random.Random(window)
+    shared = ["".join(rnd.choice("ab ") for _ in range(n)) for n in (window - 1, window, window + 9, 3 * window)]
+    texts = ["".join(rnd.choice(shared + ["é%d" % rnd.randrange(9)]) for _ in range(rnd.randint(0, 6))) for _ in range(40)]
+    docs = make_docs(list(enumerate(texts)))
+    got = passage_dedup.passage_report(docs, window=window, batch_size=7).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in got] == brute.repeats(texts, window)
+
+
+@pytest.mark.parametrize("window", [0, 15, 4096])
+def test_passages_window_out_of_range(make_docs, window):
+    with pytest.raises(ValueError, match="window must be"):
+        passage_dedup.passage_report(make_docs([(1, "x" * 9000)]), window=window)
+
+
 @pytest.mark.parametrize("tile", [4096, 3])
 def test_passages(make_docs, tile):
     import random

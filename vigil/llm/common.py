@@ -129,23 +129,33 @@ def key_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[p
 
 
 class PieceCache(dict):
-    """Pure function results by key in two generations of at most ``limit`` entries.
+    """Pure function results (bytes) of strings, in two generations of at most ``limit`` bytes.
 
-    The bound is on memory only; a dropped entry is computed again.
+    The bound is on memory only; a dropped entry is computed again, and one that would take
+    more than a hundredth of a generation is not kept.
     """
 
-    def __init__(self, fn: Callable, limit: int = 300_000):
+    #: An entry's objects and its slot, besides the characters and bytes themselves.
+    ENTRY = 250
+
+    def __init__(self, fn: Callable, limit: int = 96 << 20):
         super().__init__()
-        self.fn, self.limit, self.old = fn, limit, {}
+        self.fn, self.limit, self.old, self.held = fn, limit, {}, 0
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.fn(key)
-        if len(self) >= self.limit:
+        # up to four bytes a character
+        size = self.ENTRY + 4 * len(key) + len(value)
+        if 100 * size > self.limit:
+            return value
+        if self.held + size > self.limit:
             self.old = dict(self)
             self.clear()
+            self.held = 0
         self[key] = value
+        self.held += size
         return value
 
 

@@ -11,7 +11,10 @@ prefix hashes at the multiples of a block of 2**k code points, 16 to 32 of them
 code point in shorter texts). Blocks of a coarser fingerprint are blocks of a finer one,
 so two fingerprints can be compared without their texts: the likeness is the share of
 code points, of the longer text, in blocks that are equal at the same place; runs of
-equal blocks are found by longest common extension. Equal texts have equal fingerprints.
+equal blocks are found by longest common extension. What follows the last mark is a
+block of its own between texts of one length (the hash of the whole text ends it); in
+texts of different lengths these remainders are different spans and never equal. Equal
+texts have equal fingerprints.
 
 Defined cases: a null text is empty; two empty texts have likeness 1, an empty and
 another one 0; a null doc_id comes last in descending order; rows with equal doc_id are
@@ -95,7 +98,7 @@ def likeness(a: str, b: str) -> float:
     """Share of the longer text's code points in equal blocks of two fingerprints."""
     if a == b:
         return 1.0
-    (n, _, x), (m, _, y) = a.split("."), b.split(".")
+    (n, u, x), (m, v, y) = a.split("."), b.split(".")
     sizes = int(n, 16), int(m, 16)
     if not min(sizes):
         return 0.0
@@ -112,7 +115,12 @@ def likeness(a: str, b: str) -> float:
         at = [0, *(int(text[i : i + 8], 16) for i in range(0, len(text), 8))]
         marks.append(at[::every])
     p, total = PRIMES[0], min(map(len, marks)) - 1
-    first, second = marks
+    first, second = marks[0][: total + 1], marks[1][: total + 1]
+    ends = [k * block for k in range(total + 1)]
+    if sizes[0] == sizes[1] > ends[-1]:
+        ends.append(sizes[0])
+        first, second = ([*at, int(whole[:8], 16)] for at, whole in ((first, u), (second, v)))
+        total += 1
     same = at = 0
     while at < total:
         # blocks from ``at`` on are equal as long as the spans are: binary search
@@ -123,9 +131,9 @@ def likeness(a: str, b: str) -> float:
                 low = mid
             else:
                 high = mid - 1
-        same += low
+        same += ends[at + low] - ends[at]
         at += low + 1
-    return min(1.0, same * block / max(sizes))
+    return same / max(sizes)
 
 
 def _with_successor(rows: Iterator[dict]) -> Iterator[tuple[dict, dict]]:

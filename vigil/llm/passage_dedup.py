@@ -162,8 +162,9 @@ def repeated_starts(contexts: list[bytes], leads: np.ndarray, copies: np.ndarray
 
     place = base[which] + shift[which] + BLOCK * index  # where the core starts, in bytes
     left, right = at(place - rim), at(place + core * BLOCK)
-    owners, starts, keys, kinds = [], [], [], []
-    tail = window - core * BLOCK  # bytes of a window outside its core: at least one block
+    owners, starts, keys, kinds, rests = [], [], [], [], []
+    # bytes of a window outside its core: one block (the key) and, if the window is no multiple of a block, a rest
+    rest = window - core * BLOCK - rim
     for t in range(BLOCK):
         start = shift[which] + BLOCK * index - t
         ok = (start >= 0) & (start < counts[which])
@@ -172,11 +173,15 @@ def repeated_starts(contexts: list[bytes], leads: np.ndarray, copies: np.ndarray
         starts.append(start[ok])
         keys.append((right[ok] & low) | (left[ok] & ~low))
         kinds.append(group[ok] * BLOCK + t)
-    assert tail == rim
-    owner, start, key, kind = map(np.concatenate, (owners, starts, keys, kinds))
-    by = np.lexsort((key, kind))
-    owner, start, key, kind = owner[by], start[by], key[by], kind[by]
-    fresh = np.append(True, (key[1:] != key[:-1]) | (kind[1:] != kind[:-1])) if len(key) else np.empty(0, bool)
+        if rest:
+            after = at(place[ok] + core * BLOCK + rim - t)
+            rests.append(after & np.uint64((1 << (8 * rest)) - 1))
+    names = [keys, kinds, rests] if rest else [keys, kinds]
+    owner, start, *names = map(np.concatenate, (owners, starts, *names))
+    by = np.lexsort(names)
+    owner, start, names = owner[by], start[by], [x[by] for x in names]
+    changes = np.any([x[1:] != x[:-1] for x in names], axis=0)
+    fresh = np.append(True, changes) if len(owner) else np.empty(0, bool)
     label = np.cumsum(fresh) - 1
     total = np.bincount(label, weights=copies[owner]) if len(label) else np.empty(0)
     return owner, start, total[label] >= 2 if len(label) else np.empty(0, bool), label
@@ -331,7 +336,12 @@ def _search(contexts: DataFrame, window: int, batch_size: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, tile: int = TILE, batch_size: int = BATCH) -> DataFrame:
     """(key, guard, firsts, ends): for every text with repeats, byte spans that together are
-    all bytes to remove. Spans may touch or overlap."""
+    all bytes to remove. Spans may touch or overlap.
+
+    ``window`` is any number of bytes from two blocks (16) to what a place holds (4095);
+    others raise a ValueError."""
+    if not 2 * BLOCK <= window < 1 << 12:
+        raise ValueError(f"window must be {2 * BLOCK} to {(1 << 12) - 1} bytes, not {window}")
     found = stage_table(_scan(docs, window), "anchors")
     # written, so that the join has two plain exchanges and Spark can split a gram's rows
     grams = stage_table(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams")
