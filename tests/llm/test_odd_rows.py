@@ -229,6 +229,23 @@ def test_prefix_hashes():
         assert fingerprints.likeness(x.fingerprint(), x.fingerprint()) == 1
 
 
+def test_every_letter_has_a_vector_of_its_own():
+    """Texts whose letters are 101 code points apart are unlike; many letters fit."""
+    import numpy as np
+
+    profiler = language_id.Profiler()
+    text = "\u4e00\u4e8c\u56db \u4e03\u516b\u4e5d\u5341"
+    moved = "".join(c if c == " " else chr(ord(c) + 101) for c in text)
+    one, other = (profiler.bundle(*profiler.trigrams(t)) for t in (text, moved))
+    assert abs(one @ other) / np.linalg.norm(one) / np.linalg.norm(other) < 0.3
+    everything = "".join(map(chr, range(0x4E00, 0x5E00)))
+    first = profiler.bundle(*profiler.trigrams(everything))
+    # drawn by code point: the same in a worker that met the letters in another order
+    again = language_id.Profiler()
+    again.bundle(*again.trigrams(everything[::-1]))
+    assert (again.bundle(*again.trigrams(everything)) == first).all()
+
+
 def test_likeness_counts_every_block():
     """By brute force: blocks equal at the same place, the remainder too between texts of one length."""
     import random

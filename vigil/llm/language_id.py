@@ -7,8 +7,9 @@ A text's language is the prototype with the largest cosine to the text's bundle.
 
 Trigrams are counted first, so a text costs one vector per distinct trigram. Words are
 framed by a space, which has a vector like any letter. Letters are told by Unicode
-category after lower-casing; their vectors are drawn by letter class: a-z each have
-their own, all other letters share ``OTHER_SLOTS`` slots by code point.
+category after lower-casing; each has a vector of its own, drawn from a generator seeded
+by its code point when a worker first meets it (about 1 KB a letter, so at most 150 MB for
+all letters of Unicode).
 
 Training sums bundles inside tasks and then per language in Spark; the model is one
 vector of ``DIM`` numbers per language, which is what travels to the driver and back:
@@ -31,23 +32,15 @@ from pyspark.sql import types as T
 
 from vigil.llm.common import stage_table, with_text
 
-DIM, OTHER_SLOTS, SEED = 1024, 101, 20
+DIM, SEED = 1024, 20
 UNKNOWN = "und"
-_ALPHABET = 27 + OTHER_SLOTS  # 0 is the space
 _BLOCK = 4096
+_BITS = 21  # of a code point
+_POINT = (1 << _BITS) - 1
 
 
-def _letters() -> np.ndarray:
-    return np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (_ALPHABET, DIM))
-
-
-def _slots() -> np.ndarray:
-    """Letter class of every code point; 0 for what is no letter."""
-    table = np.zeros(0x110000, np.uint8)
-    for cp in range(0x110000):
-        if chr(cp).isalpha():
-            table[cp] = cp - 96 if 97 <= cp <= 122 else 27 + cp % OTHER_SLOTS
-    return table
+def _is_letter() -> np.ndarray:
+    return np.fromiter((chr(cp).isalpha() for cp in range(0x110000)), bool, 0x110000)
 
 
 class Profiler:
@@ -56,9 +49,23 @@ class Profiler:
     shared: "Profiler | None" = None
 
     def __init__(self):
-        letters = _letters()
-        self.first, self.second, self.third = np.roll(letters, 2, 1), np.roll(letters, 1, 1), letters
-        self.slots = _slots()
+        self.letter = _is_letter()
+        self.slots = np.full(0x110000, -1, np.int32)
+        self.known = 0
+        # a row is a letter's vector with its last two signs repeated in front: the vector
+        # rolled by two, by one and by none are three views of it
+        self.rows = np.empty((64, DIM + 2), np.int8)
+        self._meet(np.zeros(1, np.int64))  # the space
+
+    def _meet(self, points: np.ndarray) -> None:
+        """Draw the vectors of letters not met before."""
+        for cp in np.unique(points[self.slots[points] < 0]).tolist():
+            if self.known == len(self.rows):
+                self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
+            signs = np.random.default_rng((SEED, cp)).choice(np.array([-1, 1], np.int8), DIM)
+            self.rows[self.known] = np.concatenate([signs[-2:], signs])
+            self.slots[cp] = self.known
+            self.known += 1
 
     @classmethod
     def get(cls) -> "Profiler":
@@ -71,7 +78,7 @@ class Profiler:
 
         A weight is the root of the count, so lines repeated many times don't drown the rest."""
         points = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32)
-        s = self.slots[points].astype(np.int32)
+        s = np.where(self.letter[points], points, 0).astype(np.int64)
         if not s.any():
             return None
         s = np.concatenate(([0], s, [0]))
@@ -79,16 +86,17 @@ class Profiler:
         s = np.append(s, 0)
         if len(s) < 3:
             return None
-        codes, counts = np.unique((s[:-2] * _ALPHABET + s[1:-1]) * _ALPHABET + s[2:], return_counts=True)
+        codes, counts = np.unique(s[:-2] << 2 * _BITS | s[1:-1] << _BITS | s[2:], return_counts=True)
         return codes, np.sqrt(counts)
 
     def bundle(self, codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        self._meet(codes >> _BITS & _POINT)  # each letter stands in the middle of a trigram
         total = np.zeros(DIM)
         for low in range(0, len(codes), _BLOCK):
             c = codes[low : low + _BLOCK]
-            vectors = self.first[c // _ALPHABET**2]
-            vectors *= self.second[c // _ALPHABET % _ALPHABET]
-            vectors *= self.third[c % _ALPHABET]
+            vectors = self.rows[self.slots[c >> 2 * _BITS], :DIM]
+            vectors *= self.rows[self.slots[c >> _BITS & _POINT], 1 : DIM + 1]
+            vectors *= self.rows[self.slots[c & _POINT], 2:]
             total += weights[low : low + _BLOCK].astype(np.float32) @ vectors.astype(np.float32)
         return total
 
