@@ -371,10 +371,12 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, tile: int = TILE, batc
         windows.groupBy("digest").agg((F.min("context") != F.max("context")).alias("many")).where("many").select("digest"),
         "digest",
     ).select("gram", "context", "first", F.col("first").alias("last"))
-    runs = (
+    # written, so that no aggregate stands under the join and Spark can split a context of many texts
+    runs = stage_table(
         runs.unionByName(twins)
         .groupBy("gram", "context")
-        .agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+        .agg(F.collect_set(F.struct("first", "last")).alias("runs")),
+        "runs",
     )
     return (
         shared.distinct()
