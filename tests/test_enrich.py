@@ -102,6 +102,50 @@ def test_similar_topk_equals_brute_force_in_blocks(spark):
     assert similar_topk(queries, corpus.limit(0), 3).count() == 0
 
 
+def test_similar_topk_prunes_pairs(spark):
+    """Exact at every size, and the share of pairs scored falls as a clustered corpus grows."""
+    import numpy as np
+
+    from vigil.operators.similarity import neighbours
+
+    rng = np.random.default_rng(8)
+    shares = []
+    for n in (500, 2000, 8000):
+        centres = rng.normal(size=(int(np.sqrt(n)), 16))
+        v = centres[rng.integers(0, len(centres), n)] + 0.1 * rng.normal(size=(n, 16))
+        q = v[:: n // 100][:100] + 0.05 * rng.normal(size=(100, 16))
+        corpus = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, v array<double>")
+        queries = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "query_id long, qv array<double>")
+        rows = neighbours(queries, corpus, 3, block_rows=300).collect()
+        s = np.round((q @ v.T) / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(v, axis=1), 12)
+        found = {}
+        for r in rows:
+            if r["pairs"] is None:
+                found.setdefault(r["query_id"], []).append((-r["similarity"], r["vec_id"]))
+        for i in range(100):
+            assert len(set(found[i])) == len(found[i])
+            want = sorted(zip(-s[i], range(n)))[:3]
+            assert [x for _, x in sorted(found[i])[:3]] == [x for _, x in want]
+        shares.append(sum(r["pairs"] or 0 for r in rows) / (100 * n))
+    print("share of pairs scored:", [round(x, 4) for x in shares])
+    assert shares[0] < 0.5 and shares[2] < shares[1] < shares[0] and shares[2] < 0.05
+
+
+def test_similar_topk_vectors_without_a_cosine(spark):
+    from vigil.operators.context_aggs import similar_topk
+
+    odd = [None, [], [0.0, 0.0], [None, 1.0], [float("nan"), 1.0]]
+    queries = spark.createDataFrame(list(enumerate([[1.0, 0.0], *odd])), "query_id long, qv array<double>")
+    corpus = spark.createDataFrame(
+        [(i, v, "TP", "n") for i, v in enumerate([*odd, [1.0, 1.0], [1.0, 0.0]])],
+        "vec_id long, v array<double>, disposition string, analyst_notes string",
+    )
+    got = {}
+    for r in similar_topk(queries, corpus, 3).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == {0: [6, 5, 0], **{q: [0, 1, 2] for q in range(1, 6)}}
+
+
 def test_interval_counts_without_pairs(spark):
     import random
 

@@ -124,58 +124,28 @@ def fmt_network(n: Column) -> Column:
     )
 
 
-def similar_topk(queries: DataFrame, corpus: DataFrame, k: int = 3, block_rows: int = 2048) -> DataFrame:
-    """Cosine similarity of each query vector to every corpus vector, top-k.
+def similar_topk(queries: DataFrame, corpus: DataFrame, k: int = 3, lists: int | None = None, block_rows: int = 4096) -> DataFrame:
+    """Cosine similarity of each query vector to the corpus vectors, exact top-k.
 
-    Both sides are dealt by hash into blocks of about ``block_rows`` rows, and every
-    query block meets every corpus block in its own task: one matrix product, of which
-    only the best ``k`` rows per query leave. Neither side passes the driver; the number
-    of blocks grows with the tables and the memory of a task does not. The candidates
-    are merged by the two-phase top-k, and the winners fetch their other columns.
+    Candidates come from inverted lists that are left out where the triangle inequality rules
+    them out (``vigil.operators.similarity``). They are merged by the two-phase top-k, and the
+    winners fetch their other columns.
 
-    Scores are compared at 12 decimals, so that equal vectors tie (the smaller
-    ``vec_id`` first); a zero vector has a NULL score and comes last.
+    Scores are compared at 12 decimals, so that equal vectors tie (the smaller ``vec_id``
+    first); a vector that has no cosine (null, zero, null or non-finite parts) has a NULL
+    score and comes last, so only the ``k`` smallest ``vec_id`` of those can be an answer.
     """
-    import numpy as np
-    import pandas as pd
-
-    n_q = -(-queries.count() // block_rows) or 1
-    n_c = -(-corpus.count() // block_rows) or 1
-
-    def block(key: str, n: int) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-
-    def every(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    q = queries.select("query_id", "qv", block("query_id", n_q).alias("qb")).select("*", every(n_c).alias("cb"))
-    c = corpus.select("vec_id", "v", block("vec_id", n_c).alias("cb")).select("*", every(n_q).alias("qb"))
-
-    def score(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
-        if qs.empty or cs.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "similarity": []})
-        Q, V = (np.stack(x.to_numpy()).astype("float64") for x in (qs["qv"], cs["v"]))
-        norms = np.outer(np.sqrt((Q * Q).sum(axis=1)), np.sqrt((V * V).sum(axis=1)))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            sim = np.where(norms > 0, np.round((Q @ V.T) / norms, 12), -np.inf)  # NULL scores last
-        last = -np.partition(-sim, min(k, len(V)) - 1, axis=1)[:, min(k, len(V)) - 1]
-        row, col = np.nonzero(sim >= last[:, None])
-        value, vec = sim[row, col], cs["vec_id"].to_numpy()[col]
-        order = np.lexsort((vec, -value, row))
-        row = row[order]
-        best = order[np.arange(len(row)) - np.searchsorted(row, row) < k]
-        value = pd.Series(value[best])
-        return pd.DataFrame({
-            "query_id": np.repeat(qs["query_id"].to_numpy(), np.bincount(row, minlength=len(Q)).clip(max=k)),
-            "vec_id": vec[best],
-            "similarity": value.where(value > -np.inf, None),
-        })
-
-    cand = (
-        q.groupBy("qb", "cb")
-        .cogroup(c.groupBy("qb", "cb"))
-        .applyInPandas(score, "query_id long, vec_id long, similarity double")
-    )
+    from vigil.operators.similarity import neighbours, usable
+
+    def least(rows: DataFrame) -> Column:
+        ids = [r[0] for r in rows.select("vec_id").orderBy("vec_id").limit(k).collect()]
+        return F.array(*map(F.lit, ids)).cast("array<long>")
+
+    has = usable(F.col("v"))
+    scored = neighbours(queries.filter(usable(F.col("qv"))), corpus.filter(has), k, lists, block_rows)
+    last = F.when(usable(F.col("qv")), least(corpus.filter(~has))).otherwise(least(corpus))
+    without = queries.select("query_id", F.explode(last).alias("vec_id"), F.lit(None).cast("double").alias("similarity"))
+    cand = scored.filter("pairs is null").drop("pairs").unionByName(without)
     order = [F.col("similarity").desc_nulls_last(), F.col("vec_id")]
     top = top_k_per_key(cand, "query_id", order, k, salt_col="vec_id")
     return top.join(corpus.select("vec_id", "disposition", "analyst_notes"), "vec_id").select(

@@ -58,7 +58,7 @@ def materialize(df: DataFrame) -> DataFrame:
 
     path = os.path.join(checkpoint_dir(df.sparkSession), "tables", uuid.uuid4().hex)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def records_from_log(log: DataFrame) -> DataFrame:
