@@ -76,6 +76,18 @@ def window_verdicts(
     }
 
 
+def apart(keys: np.ndarray, ts: np.ndarray, w_us: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows by (key, time), and in it a time line on which every key has a stretch of its
+    own: distances of one key's rows stay, rows of two keys are more than ``w_us`` apart."""
+    codes = codes_of(keys)
+    order = np.lexsort((ts, codes))
+    code, t = codes[order], ts[order]
+    first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]][: len(code)])
+    sizes = np.diff(np.r_[first, len(code)])
+    span = t[first + sizes - 1] - t[first] + w_us + 1
+    return order, t + np.repeat(np.cumsum(span) - span - t[first], sizes)
+
+
 def touched(ts: np.ndarray, arrived: np.ndarray, w_us: int) -> np.ndarray:
     """Rows in whose window ``[ts - w, ts]`` something arrived."""
     arrived = np.sort(arrived)
