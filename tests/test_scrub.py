@@ -158,3 +158,25 @@ def test_variant_leaves_are_scrubbed(spark):
     df = spark.sql("""SELECT parse_json('{"a@b.io":["10.0.0.1",5551234567,{"x":"a@b.io"}]}') AS v, 'a@b.io' AS t""")
     got = S.scrub_columns(df).select(F.to_json("v").alias("v"), "t").first()
     assert got["v"] == '{"a@b.io":["[IP_REDACTED]",5551234567,{"x":"[EMAIL_REDACTED]"}]}' and got["t"] == "[EMAIL_REDACTED]"
+
+
+def test_scrub_json_work_grows_with_the_text(spark):
+    """Four times the leaves must not take sixteen times the time: the text is cut once, not per part."""
+    import json
+    import time
+
+    from pyspark.sql import functions as F
+
+    from vigil.functions.scrub import scrub_json
+
+    def seconds(leaves):
+        text = json.dumps([f"word {i}" for i in range(leaves)] + ["a@b.example.com"])
+        df = spark.range(4, numPartitions=1).select(F.lit(text).alias("t"), "id")
+        df = df.select("id", scrub_json(F.concat("t", F.repeat(F.lit(" "), F.col("id").cast("int")))).alias("t"))
+        began = time.time()
+        rows = df.collect()
+        assert all(json.loads(r["t"])[-1] == "[EMAIL_REDACTED]" for r in rows)
+        return time.time() - began
+
+    seconds(10)
+    assert seconds(8000) < 8 * max(seconds(2000), 1.0)

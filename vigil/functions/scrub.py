@@ -97,16 +97,27 @@ def has_pii(col: Column | str, entities=None) -> Column:
 _BACKSLASH, _QUOTE = "\x01", "\x02"
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` refers to it, also inside lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _scrub_json_leaf(raw: Column, **kw) -> Column:
     """A string of a JSON text, without its quotes: decoded, scrubbed, and written anew if that changed it."""
+
+    def decoded(as_written: Column) -> Column:
+        quoted = F.concat(F.lit('["'), as_written, F.lit('"]'))
+        return F.when(F.contains(as_written, F.lit("\\")), F.from_json(quoted, "array<string>").getItem(0)).otherwise(as_written)
+
+    def rewritten(text: Column, scrubbed: Column) -> Column:
+        written = _bound(F.to_json(F.array(scrubbed)), lambda a: F.substring(a, F.lit(3), F.length(a) - 4))  # of ["..."]
+        return F.when(scrubbed == text, raw).otherwise(written)
+
     as_written = F.replace(F.replace(raw, F.lit(_QUOTE), F.lit('\\"')), F.lit(_BACKSLASH), F.lit("\\\\"))
-    quoted = F.concat(F.lit('["'), as_written, F.lit('"]'))
-    escaped = F.contains(as_written, F.lit("\\"))
-    text = F.when(escaped, F.from_json(quoted, "array<string>").getItem(0)).otherwise(as_written)
-    scrubbed = scrub_text(text, **kw)
-    array = F.to_json(F.array(scrubbed))  # ["..."]
-    written = F.substring(array, F.lit(3), F.length(array) - 4)
-    return F.when(scrubbed == text, raw).otherwise(written)
+    return _bound(
+        _bound(as_written, decoded),
+        lambda text: _bound(scrub_text(text, **kw), lambda scrubbed: rewritten(text, scrubbed)),
+    )
 
 
 def scrub_json(col: Column | str, **kw) -> Column:
@@ -115,19 +126,25 @@ def scrub_json(col: Column | str, **kw) -> Column:
 
     A JSON text cut at its unescaped quotes has string contents at the odd places, and a string
     is a key where a colon follows it; so no schema and no recursion is needed, and the work is
-    linear. NULL stays NULL. A text that is no valid JSON (or nested deeper than Spark parses) is
-    scrubbed as one plain text, keys included: nothing leaves it unscrubbed."""
-    c = F.col(col) if isinstance(col, str) else col
-    marked = F.replace(F.replace(c, F.lit("\\\\"), F.lit(_BACKSLASH)), F.lit('\\"'), F.lit(_QUOTE))
-    parts = F.split(marked, '"', -1)
+    linear: the cut is made once and bound, not again for every part. NULL stays NULL. A text that
+    is no valid JSON (or nested deeper than Spark parses) is scrubbed as one plain text, keys
+    included: nothing leaves it unscrubbed."""
+
+    def scrubbed(c: Column) -> Column:
+        marked = F.replace(F.replace(c, F.lit("\\\\"), F.lit(_BACKSLASH)), F.lit('\\"'), F.lit(_QUOTE))
+
+        def parts_scrubbed(parts: Column) -> Column:
+            def part(x: Column, i: Column) -> Column:
+                key = F.get(parts, i + 1).rlike(r"^\s*:")
+                return F.when((i % 2 == 1) & ~key, _scrub_json_leaf(x, **kw)).otherwise(x)
+
+            return F.array_join(F.transform(parts, part), '"')
 
-    def part(x: Column, i: Column) -> Column:
-        key = F.get(parts, i + 1).rlike(r"^\s*:")
-        return F.when((i % 2 == 1) & ~key, _scrub_json_leaf(x, **kw)).otherwise(x)
+        joined = _bound(F.split(marked, '"', -1), parts_scrubbed)
+        done = F.replace(F.replace(joined, F.lit(_QUOTE), F.lit('\\"')), F.lit(_BACKSLASH), F.lit("\\\\"))
+        return F.when(F.try_parse_json(c).isNull(), scrub_text(c, **kw)).otherwise(done)
 
-    joined = F.array_join(F.transform(parts, part), '"')
-    done = F.replace(F.replace(joined, F.lit(_QUOTE), F.lit('\\"')), F.lit(_BACKSLASH), F.lit("\\\\"))
-    return F.when(F.try_parse_json(c).isNull(), scrub_text(c, **kw)).otherwise(done)
+    return _bound(F.col(col) if isinstance(col, str) else col, scrubbed)
 
 
 def scrub_value(col: Column, dtype: T.DataType, **kw) -> Column:
