@@ -57,60 +57,74 @@ def process_ancestry(ev: DataFrame) -> DataFrame:
     A process is one (endpoint, process id, parent id, name), however many events it has; it starts
     at its first event. A process id may be used again: the parent is the one of that id that
     started last at or before the child (of those that all started later, the first: telemetry
-    may miss a start; ties: by name). Lines are found by pointer doubling, so a line of n ancestors takes
-    log2(n) rounds of equi-joins; each round is written to the shared checkpoint folder. A line
-    that comes back to itself is cut there and marked ``cyclic``.
+    may miss a start; ties: by name). Children and the processes of their parent's id stand in one
+    time line per (endpoint, id), so no child meets them all. Lines are found by pointer doubling, so a
+    line of n ancestors takes log2(n) rounds of equi-joins; each round takes only the lines that are not
+    whole yet and is written to the shared checkpoint folder. A line that comes back to itself is cut
+    there and marked ``cyclic``.
     """
     from vigil.operators.ownership import materialize
 
-    procs = ev.groupBy("endpoint_id", "process_id", "parent_process_id", "process_name").agg(
-        F.min("ts_us").alias("start_us")
-    )
+    process = ["endpoint_id", "process_id", "process_name", "start_us", "_id"]
     procs = materialize(
-        procs.withColumn("_id", F.xxhash64("endpoint_id", "process_id", "parent_process_id", "process_name"))
+        ev.groupBy("endpoint_id", "process_id", "parent_process_id", "process_name")
+        .agg(F.min("ts_us").alias("start_us"))
+        .withColumn("_id", F.xxhash64("endpoint_id", "process_id", "parent_process_id", "process_name"))
+    )
+    up = F.struct("start_us", "process_name", F.col("parent_process_id").alias("_of"), "_id")
+    has_parent = F.col("endpoint_id").isNotNull() & F.col("parent_process_id").isNotNull()
+    above = procs.filter(F.col("endpoint_id").isNotNull() & F.col("process_id").isNotNull()).select(
+        F.col("process_id").alias("_p"), F.lit(False).alias("_child"), *process, "parent_process_id", up.alias("_up")
     )
-    above = procs.select(
-        F.col("endpoint_id").alias("_e"), F.col("process_id").alias("_p"), F.struct("start_us", "process_name", F.col("parent_process_id").alias("_of"), "_id").alias("_up")
+    below = procs.filter(has_parent).select(
+        F.col("parent_process_id").alias("_p"), F.lit(True).alias("_child"), *process, "parent_process_id", F.lit(None).alias("_up")
     )
-    on_time = F.col("_up.start_us") <= F.col("start_us")
-    parents = (
-        procs.join(above, (F.col("endpoint_id") == F.col("_e")) & (F.col("parent_process_id") == F.col("_p")))
-        .groupBy("_id")
-        .agg(F.coalesce(F.max(F.when(on_time, F.col("_up"))), F.min("_up")).alias("_up"))
+    same_id = Window.partitionBy("endpoint_id", "_p")
+    in_turn = same_id.orderBy("start_us", "_child", "process_name", "parent_process_id", "_id")
+    on_time = F.last(F.when(F.col("_up.start_us").isNotNull(), F.col("_up")), ignorenulls=True).over(
+        in_turn.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    found = above.unionByName(below).select(
+        *process, "_child", F.when(F.col("start_us").isNotNull(), on_time).alias("_last"), F.min("_up").over(same_id).alias("_first")
+    )
+    found = found.filter("_child").select(*process, F.coalesce("_last", "_first").alias("_up"))
+    none = F.lit(None).cast(found.schema["_up"].dataType).alias("_up")
+    found = found.unionByName(procs.filter(~has_parent).select(*process, none))
+    no_line = F.array().cast("array<struct<id:bigint,name:string>>")
     line = materialize(
-        procs.join(parents, "_id", "left").select(
-            "_id",
-            F.col("_up._id").alias("_next"),
-            F.when(F.col("_up").isNull(), F.array().cast("array<struct<id:bigint,name:string>>"))
+        found.select(
+            *process,
+            # the line is whole if its last process has no parent's id
+            F.when(F.col("_up._of").isNotNull(), F.col("_up._id")).alias("_next"),
+            F.when(F.col("_up").isNull(), no_line)
             .otherwise(F.array(F.struct(F.col("_up._id").alias("id"), F.col("_up.process_name").alias("name"))))
             .alias("_line"),
             F.lit(False).alias("cyclic"),
         )
     )
-    while not line.filter(F.col("_next").isNotNull()).isEmpty():
-        further = line.select(
+    whole = line.filter(F.col("_next").isNull())
+    while not (line := line.filter(F.col("_next").isNotNull())).isEmpty():
+        further = whole.unionByName(line).filter(F.size("_line") > 0).select(
             F.col("_id").alias("_next"), F.col("_next").alias("_after"), F.col("_line").alias("_rest"),
         )
-        grown = line.join(further, "_next", "left").withColumn(
-            "_line", F.concat("_line", F.coalesce("_rest", F.array().cast("array<struct<id:bigint,name:string>>")))
-        )
+        grown = line.join(further, "_next", "left").withColumn("_line", F.concat("_line", F.coalesce("_rest", no_line)))
         ids = F.transform("_line", lambda x: x["id"])
         # a line that meets itself: keep it up to the first process that stands in it twice
-        again = F.col("cyclic") | F.array_contains(ids, F.col("_id")) | (F.size(F.array_distinct(ids)) < F.size(ids))
+        again = F.array_contains(ids, F.col("_id")) | (F.size(F.array_distinct(ids)) < F.size(ids))
         cut = F.filter(
             "_line",
             lambda x, i: (F.array_position(ids, x["id"]) == i + 1) & (x["id"] != F.col("_id")),
         )
         line = materialize(
             grown.select(
-                "_id",
+                *process,
                 F.when(~again, F.col("_after")).alias("_next"),
                 F.when(again, cut).otherwise(F.col("_line")).alias("_line"),
                 again.alias("cyclic"),
             )
         )
-    return procs.join(line, "_id").select(
+        whole = whole.unionByName(line.filter(F.col("_next").isNull()))
+    return whole.select(
         "endpoint_id", "process_id", "process_name", "start_us", F.transform("_line", lambda x: x["name"]).alias("ancestors"),
         F.size("_line").alias("depth"), "cyclic",
     )
