@@ -378,3 +378,21 @@ def test_array_kernels(seed):
             np.array([t for t, _ in live], np.int64), np.array([r for _, r in live], object), base, last, gap, 15,
         )
         assert got.tolist() == [owned(t, r, cut) for t, r in probes]
+
+
+def test_replayed_parts_of_many_rows_are_several_files(spark):
+    """A micro-batch is one part, whole, but no single file or task holds it."""
+    from pyspark.sql import functions as F
+
+    from vigil.streaming import idor_stream as ST
+
+    table = spark.range(1000).withColumn("part", F.when(F.col("id") == 7, 2).otherwise(F.col("id") % 2))
+    stream = ST.replayed(spark, table, F.col("part"), 3, file_rows=100)
+    seen = []
+
+    def sink(batch, batch_id):
+        seen.append((sorted(r[0] for r in batch.select("part").distinct().collect()), batch.count(), len(batch.inputFiles())))
+
+    query = stream.writeStream.foreachBatch(sink).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [s[:2] for s in seen] == [([0], 500), ([1], 499), ([2], 1)]

@@ -56,15 +56,26 @@ def buckets_of(window_us: int, bucket_us: int) -> Column:
     return F.explode(F.sequence(bucket(0), bucket(window_us))).alias("bucket")
 
 
-def replayed(spark: SparkSession, table: DataFrame, part: Column, batches: int) -> DataFrame:
+#: Rows of a replayed file: a micro-batch of more rows has several files, read by as many tasks.
+FILE_ROWS = 200_000
+
+
+def replayed(spark: SparkSession, table: DataFrame, part: Column, batches: int, file_rows: int = FILE_ROWS) -> DataFrame:
     """A table as a stream of ``batches`` micro-batches: ``part`` (0 to ``batches`` - 1) tells a row's.
 
-    The parts are written one after the other into the shared checkpoint folder; the file source
-    takes the oldest file first, one per trigger."""
+    The parts are written one after the other into the shared checkpoint folder, all as the same
+    number of files (as many as the largest part needs; empty ones fill a part up); the file source
+    takes the oldest files first, those of one part per trigger."""
     path = os.path.join(checkpoint_dir(spark), "streams", f"replay-{uuid.uuid4().hex[:8]}")
+    sizes = table.groupBy(part.alias("part")).count().filter(F.col("part").between(0, batches - 1))
+    files = -(-(sizes.agg(F.max("count")).first()[0] or 1) // file_rows)
     for i in range(batches):
-        table.filter(part == i).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        rows = table.filter(part == i)
+        (rows.coalesce(1) if files == 1 else rows.repartition(files)).write.mode("append").parquet(path)
+        missing = files * (i + 1) - len(spark.read.schema(table.schema).parquet(path).inputFiles()) if files > 1 else 0
+        for _ in range(missing):  # a part of few rows
+            table.limit(0).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def events_stream(spark: SparkSession, sf_dir: str, batches: int = 5) -> DataFrame:
