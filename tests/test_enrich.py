@@ -227,3 +227,20 @@ def test_process_ancestry(spark):
     assert got["c", "x"]["ancestors"] == ["z", "y"] and got["c", "x"]["cyclic"]
     assert got["c", "w"]["cyclic"] and got["c", "self"]["cyclic"] and got["c", "self"]["ancestors"] == []
     assert not got["h", "p11"]["cyclic"]
+
+
+def test_similar_topk_hands_visits_on_in_bounded_parts():
+    """A query may visit every list; a task hands on no more rows at a time for that."""
+    import numpy as np
+    import pandas as pd
+
+    from vigil.operators import similarity as SIM
+
+    rng = np.random.default_rng(5)
+    centres = SIM._unit(rng.normal(size=(300, 8)))
+    spans = pd.DataFrame({"list": range(300), "n": 9, "low": 0.0, "high": 2.0})
+    part = pd.DataFrame({"query_id": range(100), "qv": list(rng.normal(size=(100, 8))), "reach": 2.0, "seen": None})
+    frames = list(SIM._visited(part, centres, spans, 3))
+    assert max(map(len, frames)) <= SIM.OUT_ROWS
+    pairs = pd.concat(frames)[["query_id", "list"]]
+    assert len(pairs.drop_duplicates()) == len(pairs) == 100 * 300

@@ -30,6 +30,8 @@ from vigil.operators.ownership import materialize
 SAMPLE = 20_000
 #: Slack of distances for the rounding of scores to 12 decimals.
 EPS = 1e-5
+#: Distances that a task holds at a time, and rows it hands on at a time: its memory does not grow with the lists.
+DISTANCES, OUT_ROWS = 2**20, 4096
 
 
 def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -67,10 +69,12 @@ def fit_centroids(corpus: DataFrame, lists: int, rounds: int = 4) -> np.ndarray:
 def index_corpus(corpus: DataFrame, centres: np.ndarray) -> DataFrame:
     """(vec_id, v, list, far): each vector's nearest centroid and its distance to it."""
 
+    step = max(1, DISTANCES // len(centres))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for low in range(0, len(b), 2048):
-                part = b.iloc[low : low + 2048]
+            for low in range(0, len(b), step):
+                part = b.iloc[low : low + step]
                 d = _distances(_unit(_rows(part["v"])), centres)
                 own = d.argmin(1)
                 yield part.assign(list=own.astype(np.int32), far=d[np.arange(len(d)), own])
@@ -78,31 +82,40 @@ def index_corpus(corpus: DataFrame, centres: np.ndarray) -> DataFrame:
     return corpus.select("vec_id", "v").mapInPandas(run, "vec_id long, v array<double>, list int, far double")
 
 
+def _visited(part: pd.DataFrame, centres: np.ndarray, spans: pd.DataFrame, k: int) -> Iterator[pd.DataFrame]:
+    """The visits of some queries, ``OUT_ROWS`` at a time; see ``_visits``. ``spans`` and its ``centres`` stand by list."""
+    at = spans["list"].to_numpy()
+    n, low, high = (spans[c].to_numpy() for c in ("n", "low", "high"))
+    d = _distances(_unit(_rows(part["qv"])), centres)
+    by = np.argsort(d, axis=1, kind="stable")
+    before = np.cumsum(n[by], axis=1) - n[by]
+    first = np.zeros(d.shape, bool)
+    np.put_along_axis(first, by, before < k, axis=1)
+    reach = part["reach"].to_numpy(np.float64)[:, None]
+    within = (d - high <= reach + EPS) & (low - d <= reach + EPS)
+    for i, lists in enumerate(part["seen"]):
+        if lists is not None:
+            within[i, np.searchsorted(at, lists)] = False
+    row, col = np.nonzero(np.where(np.isnan(reach), first, within))
+    part = part.drop(columns="seen")
+    for start in range(0, len(row), OUT_ROWS):
+        r, c = row[start : start + OUT_ROWS], col[start : start + OUT_ROWS]
+        yield part.iloc[r].assign(list=at[c].astype(np.int32), near=d[r, c])
+
+
 def _visits(queries: DataFrame, centres: np.ndarray, spans: pd.DataFrame, k: int) -> DataFrame:
     """(query_id, qv, reach, list, near): the lists of a query and its distance to their centroids.
 
     Without a reach (null) the nearest lists that hold ``k`` vectors; with one, the lists but those
     ``seen`` that a vector within reach can be in. ``spans`` has a row per list: n, low and high of d(v,c)."""
     spans = spans.sort_values("list")
-    at = spans["list"].to_numpy()
-    n, low, high = (spans[c].to_numpy() for c in ("n", "low", "high"))
+    centres = centres[spans["list"].to_numpy()]
+    step = max(1, DISTANCES // len(centres))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for start in range(0, len(b), 1024):
-                part = b.iloc[start : start + 1024]
-                d = _distances(_unit(_rows(part["qv"])), centres[at])
-                by = np.argsort(d, axis=1, kind="stable")
-                before = np.cumsum(n[by], axis=1) - n[by]
-                first = np.zeros(d.shape, bool)
-                np.put_along_axis(first, by, before < k, axis=1)
-                reach = part["reach"].to_numpy(np.float64)[:, None]
-                within = (d - high <= reach + EPS) & (low - d <= reach + EPS)
-                for i, lists in enumerate(part["seen"]):
-                    if lists is not None:
-                        within[i, np.searchsorted(at, lists)] = False
-                row, col = np.nonzero(np.where(np.isnan(reach), first, within))
-                yield part.iloc[row].drop(columns="seen").assign(list=at[col].astype(np.int32), near=d[row, col])
+            for start in range(0, len(b), step):
+                yield from _visited(b.iloc[start : start + step], centres, spans, k)
 
     return queries.mapInPandas(run, "query_id long, qv array<double>, reach double, list int, near double")
 
