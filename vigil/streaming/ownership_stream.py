@@ -155,7 +155,7 @@ class OwnershipState(StatefulProcessor):
         self._hold(records, lookups, marks)
         # when the next set can expire, or all open rows are behind the watermark and forgotten
         rows = [*records["ts_us"].tolist(), *lookups["ts_us"].tolist()]
-        due = [t for t, _ in marks.values() if t + self.ttl_us > passed] + [max(rows)] * bool(rows)
+        due = [t for t, _ in marks.values() if t + self.ttl_us > passed] + ([max(rows)] if rows else [])
         if due:
             self.handle.registerTimer(max(min(due) + self.ttl_us, passed) // 1000 + 1)
 
